@@ -74,3 +74,54 @@ def latest_cte(asof: str = ASOF, minutes: int = WINDOW) -> list[tuple[str, str]]
 
 def alert_ctes(asof: str = ASOF, minutes: int = WINDOW) -> str:
     return with_ctes(log_cte(), alert_facts_cte(), *latest_cte(asof, minutes))
+
+
+# --- dashboard profiles (twin of operators.prepare / filters) ---------------
+def _strip(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _tok(c: str, tokens: list[str]) -> str:
+    lst = ", ".join(f"'{t}'" for t in tokens)
+    return f"(CASE WHEN {c} IN ({lst}) THEN NULL ELSE {c} END)"
+
+
+def ntf_match_sql(code: str) -> str:
+    from .. import schemas as K
+    return f"(regexp_matches({code}, '(?i)({'|'.join(K.NTF_PATTERNS)})') OR {code} = 'MISSING_CODE')"
+
+
+def prep_sql(profile: str) -> str:
+    from .. import schemas as K
+    if profile == "tests":
+        t = lambda c: _tok(_strip(c), K.NULL_TOKENS_TESTS)
+        dims = (f"COALESCE({t('model')}, 'Unknown') AS model, {t('line')} AS line, "
+                f"{t('station')} AS station, {t('process')} AS process, "
+                f"COALESCE({t('failed_testcode')}, '') AS failed_testcode")
+    else:
+        dims = ("CASE WHEN model IS NULL OR model IN ('No Data Found','NULL','') THEN 'Unknown' "
+                "ELSE model END AS model, line, station, process, "
+                "CASE WHEN COALESCE(failed_testcode, '') IN ('NULL','None','') THEN 'MISSING_CODE' "
+                "ELSE failed_testcode END AS failed_testcode")
+    base = (f"SELECT id, track_id, {dims}, upper({_strip('status')}) AS status, "
+            f"{iso_ts_sql('timestamp')} AS event_ts FROM log_data")
+    if profile == "tests":
+        label = "CASE WHEN status = 'P' THEN 'Passed' WHEN status = 'F' THEN 'Failed' ELSE 'Unknown' END"
+    elif profile == "span":
+        label = "CASE WHEN status = 'F' THEN 'Failed' ELSE 'Passed' END"
+    else:
+        label = (f"CASE WHEN NOT COALESCE(status = 'F', false) THEN 'Passed' "
+                 f"WHEN {ntf_match_sql('failed_testcode')} THEN 'NTF' ELSE 'Real Fail' END")
+    return (f"SELECT *, CAST(event_ts AS DATE) AS date, hour(event_ts) AS hour, "
+            f"(hour(event_ts) * 3600 + minute(event_ts) * 60 + second(event_ts)) * 1000000 AS tod, "
+            f"COALESCE(status = 'F', false) AS failed, {label} AS status_display "
+            f"FROM ({base}) WHERE event_ts IS NOT NULL")
+
+
+DEFAULT_FILTER_SQL = ("model IS NOT NULL AND line IS NOT NULL AND process IS NOT NULL "
+                      "AND station IS NOT NULL")
+
+
+def dash_ctes(profile: str, where: str = DEFAULT_FILTER_SQL, extra: list | None = None) -> str:
+    return with_ctes(log_cte(), ("prep", prep_sql(profile)),
+                     ("filt", f"SELECT * FROM prep WHERE {where}"), *(extra or []))

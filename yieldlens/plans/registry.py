@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerting
+from . import alerting, dashboards
 
-_MODULES = [alerting]
+_MODULES = [alerting, dashboards]
 
 
 def flagship(spark, sf_dir):
