@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerting, dashboards
+from . import alerting, dashboards, tracks
 
-_MODULES = [alerting, dashboards]
+_MODULES = [alerting, dashboards, tracks]
 
 
 def flagship(spark, sf_dir):
