@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerting, dashboards, tracks
+from . import alerting, dashboards, ingest, tracks
 
-_MODULES = [alerting, dashboards, tracks]
+_MODULES = [alerting, dashboards, tracks, ingest]
 
 
 def flagship(spark, sf_dir):

@@ -23,9 +23,18 @@ RECOMMENDED_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # The text-parsing plans carry large expression trees (the whole TH4
+    # parse is built-in expressions); constraint inference over them costs
+    # tens of seconds of driver time per query and prunes nothing.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
+def tune_for_parsing(spark: SparkSession) -> None:
+    """Switch off constraint inference for the parse plans (see above)."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "yieldlens", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(master).appName(app_name)

@@ -36,8 +36,9 @@ _CODES = ["TC_WIFI_RSSI_01;TC_GPS_02", "TC_WIFI_RSSI_01", "TC_AUDIO_LEVEL_03",
           "TC_CAMERA_BLEMISH_06", "TC_BATTERY_CHARGE_07", None]
 
 
-def log_data_from_events(ev: DataFrame) -> DataFrame:
-    """FIXTURES §3: ``events`` -> ``log_data`` (all text columns, id bigint)."""
+def log_data_from_events(ev: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """FIXTURES §3: ``events`` -> ``log_data`` (all text columns, id bigint).
+    ``keep`` passes event columns through (for the other derived fixtures)."""
     i, u, d, et = F.col("event_id"), F.col("user_id"), F.col("ts"), F.col("event_type")
     bad = _bad(i, u, et)
     line = F.concat(F.lit("L"), (u % 5).cast("string"))
@@ -65,6 +66,7 @@ def log_data_from_events(ev: DataFrame) -> DataFrame:
          .when(i % 47 == 0, "not a time")
          .when(i % 3 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
          .otherwise(F.date_format(d, "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        *[F.col(k) for k in keep],
     )
 
 
@@ -109,3 +111,109 @@ SELECT event_id + 1 AS id,
        ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS timestamp
 FROM events
 """
+
+
+# ---------------------------------------------------------------------------
+# Raw result files (FIXTURES §4): one file per event, plus a second copy of
+# the file name for every 50th event. Content: a header row, for every 37th
+# event a short (10-field) TH4 row, then the 20-field TH4 row (absent for
+# every 31st event). Line ends CRLF for odd ids. Time text MM/dd/yy HH:mm:ss
+# for even ids, M/d/yyyy H:mm:ss for odd. The failure code sits in field 14,
+# or in field 12 with 14 blank for every 3rd event. Every 211th file is gone
+# (null content).
+# ---------------------------------------------------------------------------
+RAW_SOURCES = ["watchdog", "poll", "rescan", "startup"]
+
+
+def raw_files_from_events(ev: DataFrame) -> DataFrame:
+    lg = log_data_from_events(ev, keep=("event_id", "ts"))
+    i, d = F.col("event_id"), F.col("ts")
+    eol = F.when(i % 2 == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+    code = F.coalesce(F.col("failed_testcode"), F.lit(""))
+    tm = F.when(i % 2 == 0, F.date_format(d, "MM/dd/yy HH:mm:ss")).otherwise(F.date_format(d, "M/d/yyyy H:mm:ss"))
+    fields = [F.lit("TH4"), F.coalesce(F.col("track_id"), F.lit("")), F.concat(F.lit("S"), i.cast("string")),
+              tm, F.col("process"), F.coalesce(F.col("station"), F.lit("")), F.lit("X6"), F.lit("X7"),
+              F.lit("X8"), F.col("status"), F.lit("N/A"), F.lit(""),
+              F.when(i % 3 == 0, code).otherwise(F.lit("")), F.lit(""),
+              F.when(i % 3 == 0, F.lit("")).otherwise(code), F.lit("REL.1_2_3"), F.lit("X16"),
+              F.col("model"), F.lit("X18"), F.lit("X19")]
+    th4 = F.concat_ws(",", *fields)
+    short = F.concat(F.lit("TH4,"), F.coalesce(F.col("track_id"), F.lit("")), F.lit(",a,b,c,d,e,f,g,h"))
+    content = F.concat(F.lit("HDR,"), i.cast("string"), eol,
+                       F.when(i % 37 == 0, F.concat(short, eol)).otherwise(F.lit("")),
+                       F.when(i % 31 == 0, F.lit("")).otherwise(F.concat(th4, eol)))
+    name = F.concat(F.lit("ic_"), F.coalesce(F.trim(F.col("track_id")), F.lit("")), F.lit("_"),
+                    i.cast("string"), F.lit(".rslt"))
+    base = lg.select(
+        i.alias("event_id"), name.alias("filename"),
+        F.when(i % 211 == 0, F.lit(None).cast("string")).otherwise(content).alias("content"),
+        F.element_at(F.array(*[F.lit(x) for x in RAW_SOURCES]), (i % 4 + 1).cast("int")).alias("source"),
+        d.alias("file_mtime"))
+    copies = F.when(i % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    out = base.select("*", F.explode(copies).alias("copy"))
+    return out.select(
+        (F.col("event_id") * 2 + F.col("copy")).alias("file_id"), "filename", "content",
+        F.when(F.col("copy") == 1, F.lit("rescan")).otherwise(F.col("source")).alias("source"),
+        F.when(F.col("copy") == 1, F.col("file_mtime") + F.expr("INTERVAL 1 SECOND"))
+         .otherwise(F.col("file_mtime")).alias("file_mtime"))
+
+
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_files_from_events(events(spark, sf_dir))
+
+
+def _raw_sql() -> str:
+    code = "COALESCE(failed_testcode, '')"
+    tm = ("CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%m/%d/%y %H:%M:%S') "
+          "ELSE strftime(ts, '%-m/%-d/%Y %-H:%M:%S') END")
+    fields = ["'TH4'", "COALESCE(track_id, '')", "'S' || CAST(event_id AS VARCHAR)", tm, "process",
+              "COALESCE(station, '')", "'X6'", "'X7'", "'X8'", "status", "'N/A'", "''",
+              f"CASE WHEN event_id % 3 = 0 THEN {code} ELSE '' END", "''",
+              f"CASE WHEN event_id % 3 = 0 THEN '' ELSE {code} END", "'REL.1_2_3'", "'X16'",
+              "model", "'X18'", "'X19'"]
+    th4 = "concat_ws(',', " + ", ".join(fields) + ")"
+    eol = "(CASE WHEN event_id % 2 = 1 THEN chr(13) || chr(10) ELSE chr(10) END)"
+    short = "'TH4,' || COALESCE(track_id, '') || ',a,b,c,d,e,f,g,h'"
+    content = (f"'HDR,' || CAST(event_id AS VARCHAR) || {eol} || "
+               f"(CASE WHEN event_id % 37 = 0 THEN {short} || {eol} ELSE '' END) || "
+               f"(CASE WHEN event_id % 31 = 0 THEN '' ELSE {th4} || {eol} END)")
+    src = "CASE event_id % 4 WHEN 0 THEN 'watchdog' WHEN 1 THEN 'poll' WHEN 2 THEN 'rescan' ELSE 'startup' END"
+    log_with = LOG_DATA_SQL.replace("FROM events", ", event_id, ts FROM events")
+    return f"""
+SELECT event_id * 2 + copy AS file_id,
+       'ic_' || COALESCE(trim(track_id), '') || '_' || CAST(event_id AS VARCHAR) || '.rslt' AS filename,
+       CASE WHEN event_id % 211 = 0 THEN NULL ELSE {content} END AS content,
+       CASE WHEN copy = 1 THEN 'rescan' ELSE {src} END AS source,
+       CASE WHEN copy = 1 THEN ts + INTERVAL 1 SECOND ELSE ts END AS file_mtime
+FROM ({log_with}) l, (SELECT unnest([0, 1]) AS copy) c
+WHERE copy = 0 OR event_id % 50 = 0
+"""
+
+
+RAW_FILES_SQL = _raw_sql()
+
+
+# ---------------------------------------------------------------------------
+# Reconciliation CSV rows (FIXTURES §4): log_data rows with id % 20 = 0 (rows
+# with id % 60 = 0 twice), plus an unknown track ZZ<id> for id % 200 = 0.
+# ---------------------------------------------------------------------------
+def reconciliation_rows(facts: DataFrame) -> DataFrame:
+    i = F.col("id")
+    variants = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
+                        lambda v: (v == 0) | ((v == 1) & (i % 60 == 0)) | ((v == 2) & (i % 200 == 0)))
+    rows = facts.where(i % 20 == 0).select("*", F.explode(variants).alias("v"))
+    return rows.select(
+        F.when(F.col("v") == 2, F.concat(F.lit("ZZ"), i.cast("string")))
+         .otherwise(F.coalesce(F.col("track_id"), F.lit(""))).alias("Track_ID"),
+        F.col("process").alias("Process"), F.coalesce(F.col("station"), F.lit("")).alias("Station"),
+        F.col("date").alias("Date"), F.col("time").alias("Time"),
+        F.concat(F.lit("MQS-"), F.upper(F.trim(F.col("status")))).alias("Reason"))
+
+
+RECONCILIATION_SQL = """
+SELECT CASE WHEN v = 2 THEN 'ZZ' || CAST(id AS VARCHAR) ELSE COALESCE(track_id, '') END AS Track_ID,
+       process AS Process, COALESCE(station, '') AS Station, date AS Date, time AS Time,
+       'MQS-' || upper(trim(status)) AS Reason
+FROM log_data, (SELECT unnest([0, 1, 2]) AS v) vs
+WHERE id % 20 = 0 AND (v = 0 OR (v = 1 AND id % 60 = 0) OR (v = 2 AND id % 200 = 0))
+"""
