@@ -96,19 +96,30 @@ _RESULT_TIME = ("^(1[0-2]|0[1-9]|[1-9])/(3[01]|[12]\\d|0[1-9]|[1-9])/(\\d{2}|\\d
                 "(2[0-3]|[01]\\d|\\d):([0-5]\\d|\\d):([0-5]\\d|\\d)$")
 
 
+def result_time_parts(text) -> Column:
+    """The six numbers (month, day, year, hour, minute, second) of a P3 time
+    text, or null when the text does not have the strict shape."""
+    t = col_(text)
+    return F.when(t.rlike(_RESULT_TIME), F.regexp_extract_all(t, F.lit("(\\d+)"), 1))
+
+
+def time_from_parts(parts) -> Column:
+    """TIMESTAMP_NTZ from ``result_time_parts``; two-digit years 69..99 are
+    19xx and 00..68 are 20xx (C ``strptime``); null when the date is invalid."""
+    p = col_(parts)
+    y = F.get(p, 2)
+    yy = y.cast("int")
+    year = F.when(F.length(y) == 2, F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)).otherwise(yy)
+    return F.try_make_timestamp_ntz(year, F.get(p, 0).cast("int"), F.get(p, 1).cast("int"),
+                                    F.get(p, 3).cast("int"), F.get(p, 4).cast("int"),
+                                    F.get(p, 5).cast("decimal(8,6)"))
+
+
 def parse_result_time_ts(text) -> Column:
     """P3 as TIMESTAMP_NTZ: ``%m/%d/%y %H:%M:%S`` then ``%m/%d/%Y %H:%M:%S``
-    (C ``strptime`` field rules); null when neither fits. Two-digit years
-    69..99 are 19xx, 00..68 are 20xx. Built from the parts, so no zone."""
-    t = col_(text)
-    part = [F.regexp_extract(t, _RESULT_TIME, i) for i in range(1, 7)]
-    ok = t.rlike(_RESULT_TIME)
-    yy = part[2].cast("int")
-    year = F.when(F.length(part[2]) == 2,
-                  F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)).otherwise(yy)
-    return F.when(ok, F.try_make_timestamp_ntz(
-        year, part[0].cast("int"), part[1].cast("int"),
-        part[3].cast("int"), part[4].cast("int"), part[5].cast("decimal(8,6)")))
+    (C ``strptime`` field rules); null when neither fits. Built from the
+    parts, so no session time zone is involved."""
+    return time_from_parts(result_time_parts(text))
 
 
 def parse_result_time(text) -> Column:

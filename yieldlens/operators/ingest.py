@@ -37,8 +37,11 @@ def parse_records(files: DataFrame, content: str = "content") -> DataFrame:
     and a ``has_th4`` flag."""
     parts = F.col("_parts")
     field = lambda k: C.strip_ws(F.get(parts, k))
-    ts = C.parse_result_time_ts(field(3))
-    rec = files.withColumn("_parts", th4_fields(content)).select(
+    ts = F.col("event_ts")
+    # intermediate columns keep each sub-parse a single attribute reference
+    rec = (files.withColumn("_parts", th4_fields(content))
+           .withColumn("_tparts", C.result_time_parts(field(3)))
+           .withColumn("event_ts", C.time_from_parts("_tparts"))).select(
         "*",
         field(1).alias("track_id"), field(4).alias("process"), field(17).alias("model"),
         C.line_from_station(field(5)).alias("line"), field(5).alias("station"),
@@ -46,7 +49,7 @@ def parse_records(files: DataFrame, content: str = "content") -> DataFrame:
         F.date_format(ts, "yyyy-MM-dd").alias("date"), F.date_format(ts, "HH:mm:ss").alias("time"),
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         parts.isNotNull().alias("has_th4"))
-    return rec.drop("_parts")
+    return rec.drop("_parts", "_tparts")
 
 
 def route(files: DataFrame, content: str = "content", order: list[str] | None = None,
@@ -82,7 +85,8 @@ def records(routed: DataFrame) -> DataFrame:
     as ``failed_testcode``)."""
     return (routed.where(F.col("outcome") == K.INSERT)
             .select("filename", "source", "process", "model", "line", "station", "status",
-                    F.col("failed_tests").alias("failed_testcode"), "track_id", "date", "time", "timestamp"))
+                    F.col("failed_tests").alias("failed_testcode"), "track_id", "date", "time", "timestamp",
+                    "event_ts"))
 
 
 def skip_log(routed: DataFrame) -> DataFrame:
@@ -92,7 +96,8 @@ def skip_log(routed: DataFrame) -> DataFrame:
             .select("filename", F.col("outcome").alias("reason"),
                     F.coalesce("process", F.lit("")).alias("process"),
                     F.coalesce("track_id", F.lit("")).alias("track_id"),
-                    F.when(F.col("timestamp") != "", F.col("timestamp")).alias("timestamp")))
+                    F.when(F.col("timestamp") != "", F.col("timestamp")).alias("timestamp"),
+                    "event_ts"))
 
 
 def late_caught(routed: DataFrame, lag_seconds: int | None = None,
