@@ -42,6 +42,19 @@ def _tracked(c: str = "track_id") -> Column:
     return F.col(c).isNotNull() & (F.trim(F.col(c)) != "")
 
 
+def latest_per_key(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Newest row (``event_ts`` desc, ``id`` desc) per non-blank track within
+    ``keys``; rows without a track id are kept as they are (U1)."""
+    tracked = rows.where(_tracked())
+    untracked = rows.where(~_tracked())
+    # max over a struct ordered (event_ts, id): newest time, then newest id
+    payload = [c for c in cols if c not in keys and c not in ("event_ts",)]
+    latest = (tracked.groupBy(*keys)
+              .agg(F.max(F.struct("event_ts", *payload)).alias("_m"))
+              .select(*keys, "_m.*"))
+    return latest.unionByName(untracked.select(*latest.columns))
+
+
 def latest_per_track(facts: DataFrame, asof: str, window_minutes: int,
                      method: str = "aggregate") -> DataFrame:
     """W1 + U1: deduplicated window rows.
@@ -50,16 +63,10 @@ def latest_per_track(facts: DataFrame, asof: str, window_minutes: int,
     event_ts``. ``method="window"`` is the ROW_NUMBER form (kept for tests and
     for comparing plans)."""
     rows = in_window(facts, asof, window_minutes).select(*DEDUP_COLS, "event_ts")
-    tracked = rows.where(_tracked())
-    untracked = rows.where(~_tracked())
     if method == "window":
+        tracked, untracked = rows.where(_tracked()), rows.where(~_tracked())
         w = Window.partitionBy("track_id").orderBy(F.col("event_ts").desc(), F.col("id").desc())
         latest = (tracked.withColumn("_rn", F.row_number().over(w))
                   .where(F.col("_rn") == 1).drop("_rn"))
-    else:
-        # max over a struct ordered (event_ts, id): newest time, then newest id
-        payload = [c for c in DEDUP_COLS if c not in ("track_id",)]
-        latest = (tracked.groupBy("track_id")
-                  .agg(F.max(F.struct("event_ts", *payload)).alias("_m"))
-                  .select("track_id", "_m.*"))
-    return latest.unionByName(untracked.select(*latest.columns))
+        return latest.unionByName(untracked.select(*latest.columns))
+    return latest_per_key(rows, ["track_id"], DEDUP_COLS)

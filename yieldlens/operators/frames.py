@@ -14,3 +14,11 @@ def single_row(*frames: DataFrame) -> DataFrame:
         out = out.unionByName(f, allowMissingColumns=True)
     cols = [c for f in frames for c in f.columns]
     return out.agg(*[F.max(c).alias(c) for c in cols])
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row of ``df``: an
+    equi-join on a constant key with the one-row side broadcast (its size is
+    one row by construction, so the broadcast is bounded)."""
+    return (df.withColumn("_one", F.lit(0))
+            .join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one").drop("_one"))

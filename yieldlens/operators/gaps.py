@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as K
 from ..functions import columns as C
+from .frames import attach
 
 
 def skip_totals(skips: DataFrame) -> DataFrame:
@@ -36,8 +37,7 @@ def gap_report(routed: DataFrame, count_no_th4: bool = True,
     # the reason list is a fixed five-value domain: an inline table, broadcast
     reasons = routed.sparkSession.createDataFrame([(r,) for r in K.SKIP_REASONS], "reason string")
     rows = reasons.join(per, "reason", "left").withColumn("count", F.coalesce("_n", F.lit(0)).cast("long"))
-    out = (rows.withColumn("_k", F.lit(0))
-           .join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k").drop("_k", "_n"))
+    out = attach(rows, totals).drop("_n")
     return out.withColumn("pct", C.pct("count", "seen", 2))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as K
 from ..functions import columns as C
+from .frames import attach
 
 
 def _nonnull(df: DataFrame, *keys: str) -> DataFrame:
@@ -28,10 +29,7 @@ def _cnt(cond: Column, name: str) -> Column:
 
 
 def _with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row: equi-join on a constant key
-    with the one-row side broadcast (its size is one row by construction)."""
-    return (df.withColumn("_k", F.lit(0))
-            .join(F.broadcast(scalar.withColumn("_k", F.lit(0))), "_k").drop("_k"))
+    return attach(df, scalar)
 
 
 # --- A1 / A2 / A3 ---------------------------------------------------------

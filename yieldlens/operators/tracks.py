@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as K
 from ..functions import columns as C
+from .frames import attach
 
 
 def _tracked(df: DataFrame) -> DataFrame:
@@ -88,8 +89,7 @@ def kpis(classes: DataFrame, all_tracks: DataFrame | None = None) -> DataFrame:
     if all_tracks is not None:
         parts.append(all_tracks.agg(F.count_distinct("track_id").alias("all_tracks")))
     one = single_row(*parts)
-    out = (per.withColumn("_k", F.lit(0))
-           .join(F.broadcast(one.withColumn("_k", F.lit(0))), "_k").drop("_k"))
+    out = attach(per, one)
     return out.withColumn("pct", C.pct("tracks", "total_tracks", 2))
 
 
@@ -125,8 +125,7 @@ def span_histogram(classes: DataFrame, bins: int = 30,
     failures, ``bins`` buckets from min to max (Q15), threshold attached."""
     multi = classes.where(F.col("failure_count") >= 2)
     bounds = multi.agg(F.min("failure_span_min").alias("_mn"), F.max("failure_span_min").alias("_mx"))
-    j = (multi.withColumn("_k", F.lit(0))
-         .join(F.broadcast(bounds.withColumn("_k", F.lit(0))), "_k").drop("_k"))
+    j = attach(multi, bounds)
     width = (F.col("_mx") - F.col("_mn")) / bins
     bucket = F.when(F.col("_mx") == F.col("_mn"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("failure_span_min") - F.col("_mn")) * bins / (F.col("_mx") - F.col("_mn"))) + 1,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerting, dashboards, ingest, tracks
+from . import alerting, dashboards, ingest, lifecycle, tracks
 
-_MODULES = [alerting, dashboards, tracks, ingest]
+_MODULES = [alerting, dashboards, tracks, ingest, lifecycle]
 
 
 def flagship(spark, sf_dir):
