@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerting, dashboards, ingest, lifecycle, tracks
+from . import alerting, dashboards, ingest, lifecycle, streams, tracks
 
-_MODULES = [alerting, dashboards, tracks, ingest, lifecycle]
+_MODULES = [alerting, dashboards, tracks, ingest, lifecycle, streams]
 
 
 def flagship(spark, sf_dir):
