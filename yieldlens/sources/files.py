@@ -18,8 +18,8 @@ def read_result_files(spark: SparkSession, path: str, recursive: bool = False,
     """Every file whose base name contains ``rslt`` (any case), whole
     text per file, with file name, modification time and the detection
     source tag. Undecodable bytes are replaced, never fatal."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
-          .text(path))
+    # text() sets wholetext from its own argument, so pass it there
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     return (df.select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_name").alias("filename"),

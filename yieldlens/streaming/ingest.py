@@ -25,8 +25,8 @@ RAW_SCHEMA = "file_id string, filename string, content string, source string, fi
 def stream_result_files(spark: SparkSession, path: str, max_files: int | None = None,
                         newest_first: bool = True, recursive: bool = False) -> DataFrame:
     """S2 + ST4 + ST5: new result files as a stream (whole text per file)."""
-    r = (spark.readStream.format("text").option("wholetext", True)
-         .option("latestFirst", newest_first).option("recursiveFileLookup", recursive))
+    r = (spark.readStream.format("text").option("wholetext", "true")
+         .option("latestFirst", str(bool(newest_first)).lower()).option("recursiveFileLookup", str(bool(recursive)).lower()))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.load(path)
