@@ -15,8 +15,20 @@ from pyspark.sql import functions as F
 ASOF = "2024-01-30 23:59:59"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than the cluster has
+    task slots (e.g. one small file) round-robin over the slots. Inputs large
+    enough to be split by the scan itself are returned unchanged, so no
+    shuffle is ever added for big data; filters and column pruning still
+    reach the scan below the repartition."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def _bad(i: Column, u: Column, et: Column) -> Column:
