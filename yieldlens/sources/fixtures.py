@@ -15,20 +15,33 @@ from pyspark.sql import functions as F
 ASOF = "2024-01-30 23:59:59"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than the cluster has
-    task slots (e.g. one small file) round-robin over the slots. Inputs large
-    enough to be split by the scan itself are returned unchanged, so no
-    shuffle is ever added for big data; filters and column pruning still
-    reach the scan below the repartition."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+def input_splits(spark: SparkSession, path: str) -> int:
+    """Estimated scan splits of a path from its size on the file system
+    (one metadata call; nothing is read)."""
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(hpath).getLength()
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    return max(1, -(-size // split))
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Spread an input that the scan cannot split into as many partitions as
+    the cluster has task slots (e.g. one small file) round-robin over the
+    slots. Inputs large enough to be split by the scan itself are returned
+    unchanged, so no shuffle is ever added for big data; filters and column
+    pruning still reach the scan below the repartition."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if input_splits(spark, path) < slots:
         return df.repartition(slots)
     return df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    path = f"{sf_dir}/events.parquet"
+    return spread(spark.read.parquet(path), path)
 
 
 def _bad(i: Column, u: Column, et: Column) -> Column:
