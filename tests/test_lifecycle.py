@@ -119,3 +119,19 @@ def test_backfill_and_evolve(spark):
     old = repairs.select("id", "unit_id")
     ev = L.evolve(old, K.REPAIR_ACTIONS)
     assert ev.columns == K.REPAIR_ACTIONS.fieldNames() and ev.where("capa_text is not null").count() == 0
+
+
+def test_stream_alert_batch_is_replay_safe(spark, tmp_path):
+    from yieldlens.streaming.line_rates import alert_batch
+    rates = spark.createDataFrame(
+        [(dt.datetime(2024, 1, 30, 8), dt.datetime(2024, 1, 30, 12), "L1", 20, 8),
+         (dt.datetime(2024, 1, 30, 8), dt.datetime(2024, 1, 30, 12), "L2", 20, 0),
+         (dt.datetime(2024, 1, 30, 7, 30), dt.datetime(2024, 1, 30, 11, 30), "L3", 20, 9)],
+        "window_start timestamp_ntz, window_end timestamp_ntz, line string, total long, failed long")
+    root = str(tmp_path / "state")
+    alert_batch(rates, 0, root)
+    alert_batch(rates, 0, root)          # replay: same partition rewritten
+    alert_batch(rates, 1, root)          # next evaluation: L1 already open
+    a = spark.read.parquet(f"{root}/failure_alerts").collect()
+    assert [(r.line, r.alert_sent_at, r.resolved) for r in a] == [("L1", "2024-01-30 12:00:00", 0)]
+    assert spark.read.parquet(f"{root}/repair_actions").count() == 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import schemas as K
 from ..functions import columns as C
 from .dedup import cutoff_literal, with_event_ts
-from .frames import single_row
+from .frames import attach, single_row
 
 
 def _line_counts(latest: DataFrame) -> DataFrame:
@@ -37,10 +37,12 @@ def line_rates(latest: DataFrame, min_samples: int = K.MIN_SAMPLES,
 
 
 def line_status(latest: DataFrame, min_samples: int = K.MIN_SAMPLES,
-                threshold: float = K.FAILURE_THRESHOLD, k: int | None = None) -> DataFrame:
+                threshold: float = K.FAILURE_THRESHOLD, k: int | None = None,
+                alerts: DataFrame | None = None) -> DataFrame:
     """Every line with total >= min_samples, its rate and an
     ``above`` flag (rounded rate > threshold, as displayed); ``k=10`` is the
-    diagnostic variant."""
+    diagnostic variant. With ``alerts`` the open / resolved alert counts are
+    attached to every row."""
     raw = F.col("failed").cast("double") / F.col("total") * 100
     out = (_line_counts(latest).where(F.col("total") >= min_samples)
            .withColumn("_raw", raw)
@@ -49,7 +51,16 @@ def line_status(latest: DataFrame, min_samples: int = K.MIN_SAMPLES,
            .orderBy(F.col("_raw").desc(), F.col("line").asc_nulls_last()))
     if k is not None:
         out = out.limit(k)
-    return out.select("line", "total", "failed", "rate", "above")
+    out = out.select("line", "total", "failed", "rate", "above")
+    if alerts is not None:
+        out = attach(out, alert_counts(alerts))
+    return out
+
+
+def alert_counts(alerts: DataFrame) -> DataFrame:
+    """Open and resolved alert counts (one row)."""
+    return alerts.agg(F.count_if(F.col("resolved") == 0).cast("long").alias("open_alerts"),
+                      F.count_if(F.col("resolved") == 1).cast("long").alias("resolved_alerts"))
 
 
 def top_codes(latest: DataFrame, k: int = K.TOP_N_TESTCODES) -> DataFrame:
@@ -90,9 +101,11 @@ def worst_station(latest: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_failed"), F.lit(0)).cast("long").alias("failed")))
 
 
-def diagnostics(facts: DataFrame, latest: DataFrame, asof: str, window_minutes: int) -> DataFrame:
+def diagnostics(facts: DataFrame, latest: DataFrame, asof: str, window_minutes: int,
+                alerts: DataFrame | None = None) -> DataFrame:
     """Raw and deduplicated window counts in one row, plus the number
-    of rows whose time text does not parse (excluded, Q25) and all rows."""
+    of rows whose time text does not parse (excluded, Q25), all rows and,
+    with ``alerts``, the open alert count."""
     rows = with_event_ts(facts)
     cut = cutoff_literal(asof, window_minutes)
     inwin = F.col("event_ts") >= cut
@@ -105,7 +118,10 @@ def diagnostics(facts: DataFrame, latest: DataFrame, asof: str, window_minutes:
         F.max(F.when(inwin, F.col("event_ts"))).alias("latest"))
     dd = latest.agg(F.count(F.lit(1)).alias("dedup_rows"),
                     F.count_if(C.alert_failed()).cast("long").alias("dedup_failures"))
-    return single_row(raw, dd)
+    parts = [raw, dd]
+    if alerts is not None:
+        parts.append(alert_counts(alerts).select("open_alerts"))
+    return single_row(*parts)
 
 
 def latest_rows(facts: DataFrame, asof: str, window_minutes: int, k: int = 5) -> DataFrame:
