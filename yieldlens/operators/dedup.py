@@ -44,15 +44,18 @@ def _tracked(c: str = "track_id") -> Column:
 
 def latest_per_key(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Newest row (``event_ts`` desc, ``id`` desc) per non-blank track within
-    ``keys``; rows without a track id are kept as they are (U1)."""
-    tracked = rows.where(_tracked())
-    untracked = rows.where(~_tracked())
-    # max over a struct ordered (event_ts, id): newest time, then newest id
-    payload = [c for c in cols if c not in keys and c not in ("event_ts",)]
-    latest = (tracked.groupBy(*keys)
-              .agg(F.max(F.struct("event_ts", *payload)).alias("_m"))
-              .select(*keys, "_m.*"))
-    return latest.unionByName(untracked.select(*latest.columns))
+    ``keys``; rows without a track id are kept as they are (U1).
+
+    One scan, one shuffle: the grouping key is the track id for tracked
+    rows and a per-row key (the row id) for the others, so untracked rows
+    pass through as singleton groups and never form one hot blank key."""
+    other = [k for k in keys if k != "track_id"]
+    key = F.when(_tracked(), F.concat(F.lit("t"), F.col("track_id"))) \
+        .otherwise(F.concat(F.lit("u"), F.col("id").cast("string")))
+    payload = [c for c in cols if c not in other and c != "event_ts"]
+    return (rows.withColumn("_key", key).groupBy(*other, "_key")
+            .agg(F.max(F.struct("event_ts", *payload)).alias("_m"))
+            .select(*other, "_m.*"))
 
 
 def latest_per_track(facts: DataFrame, asof: str, window_minutes: int,

@@ -8,7 +8,7 @@ Python worker. Each file's whole text is parsed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as K
@@ -58,16 +58,17 @@ def route(files: DataFrame, content: str = "content", order: list[str] | None =
     FILE_GONE (text could not be read) or DUPLICATE (the file name was seen
     before, in ``order``; Q16).
 
-    The duplicate check is an aggregate over the file name (map-side
-    combined) joined back; AQE splits the join if one name is very hot."""
+    The duplicate check is a window over the file name on the narrow
+    parsed rows (the text is dropped before the shuffle)."""
     allowed = allowed or K.ALLOWED_PROCESSES
     order = order or ["file_mtime", "file_id"]
-    # parse first and drop the text: only the narrow parsed rows shuffle
+    # parse first and drop the text: only the narrow parsed rows shuffle;
+    # one pass — the first copy of a file name is found with a window
     rec = (parse_records(files, content)
            .withColumn("_gone", F.col(content).isNull()).drop(content))
-    first = files.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first"))
-    rec = rec.join(first, "filename", "left")
-    dup = F.struct(*[F.col(c) for c in order]) != F.col("_first")
+    w = Window.partitionBy("filename").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    rec = rec.withColumn("_first", F.row_number().over(w))
+    dup = F.col("_first") > 1
     outcome = (F.when(dup, K.R_DUPLICATE)
                .when(F.col("_gone"), K.R_FILE_GONE)
                .when(~F.col("has_th4"), K.R_NO_TH4)

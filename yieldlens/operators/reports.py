@@ -40,27 +40,29 @@ def status_counts(df: DataFrame, dim: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def test_kpis(df: DataFrame, unfiltered: DataFrame | None = None) -> DataFrame:
-    """A2 + A3: one row of test KPIs; ``total_all`` / ``delta`` compare with
-    the unfiltered frame when given."""
+def test_kpis(df: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """A2 + A3: one row of test KPIs over the rows where ``predicate`` holds
+    (all rows when None); ``total_all`` / ``delta`` compare with every row
+    of ``df``. One pass: each KPI is an aggregate conditioned on the filter."""
+    keep = F.lit(True) if predicate is None else predicate
     coded = F.col("failed_testcode") != ""
     f = F.col("status") == "F"
+
+    def only(c: Column) -> Column:
+        return F.when(keep, c)
     kpi = df.agg(
-        F.count(F.lit(1)).alias("total"),
-        _cnt(F.col("status") == "P", "passed"),
-        _cnt(f, "failed"),
-        F.count_distinct("track_id").alias("unique_tracks"),
-        F.count_distinct("station").alias("unique_stations"),
-        F.count_distinct("line").alias("unique_lines"),
-        F.count_distinct(F.when(f & coded, F.col("track_id"))).alias("failed_tracks_with_code"),
-        F.count_distinct(F.when(f & ~coded, F.col("track_id"))).alias("failed_tracks_without_code"))
-    kpi = kpi.select("*", C.pct("passed", "total", 2).alias("pass_pct"),
-                     C.pct("failed", "total", 2).alias("fail_pct"))
-    if unfiltered is None:
-        return kpi
-    from .frames import single_row
-    allrows = unfiltered.agg(F.count(F.lit(1)).alias("total_all"))
-    return single_row(kpi, allrows).withColumn("delta", F.col("total") - F.col("total_all"))
+        _cnt(keep, "total"),
+        _cnt(keep & (F.col("status") == "P"), "passed"),
+        _cnt(keep & f, "failed"),
+        F.count_distinct(only(F.col("track_id"))).alias("unique_tracks"),
+        F.count_distinct(only(F.col("station"))).alias("unique_stations"),
+        F.count_distinct(only(F.col("line"))).alias("unique_lines"),
+        F.count_distinct(F.when(keep & f & coded, F.col("track_id"))).alias("failed_tracks_with_code"),
+        F.count_distinct(F.when(keep & f & ~coded, F.col("track_id"))).alias("failed_tracks_without_code"),
+        F.count(F.lit(1)).alias("total_all"))
+    return kpi.select("*", C.pct("passed", "total", 2).alias("pass_pct"),
+                      C.pct("failed", "total", 2).alias("fail_pct"),
+                      (F.col("total") - F.col("total_all")).alias("delta"))
 
 
 # --- A4 / A5 / A7 / A22 / R1 / R2 ------------------------------------------
@@ -129,10 +131,11 @@ def pareto(df: DataFrame, k: int = 20, blank_code: bool = False,
 def code_detail(df: DataFrame, k: int = 20, blank_code: bool = False) -> DataFrame:
     """Top codes with % of all (kept) coded failures, cumulative % and
     an example track (the first failed row with that code by insertion)."""
-    counts = _code_counts(df, blank_code)
-    total = counts.agg(F.sum("count").alias("_all"))
+    # the total over every code is a window over the per-code aggregate (one
+    # row per distinct code, bounded by the code vocabulary), so the rows are
+    # read once
+    counts = _code_counts(df, blank_code).withColumn("_all", F.sum("count").over(Window.partitionBy()))
     top = counts.orderBy(F.col("count").desc(), "code").limit(k)
-    top = _with_scalar(top, total)
     out = _running_pct(top, 1)
     return out.select("code", "count", C.pct("count", "_all", 1).alias("pct_of_failures"),
                       "cum_pct", "example_track", "rank")
@@ -147,15 +150,21 @@ def failures_by_process(df: DataFrame) -> DataFrame:
 def hierarchy(df: DataFrame) -> DataFrame:
     """Process -> station -> code roll-up of failed rows; every parent
     is the sum of its leaves; the third level falls back to the status label
-    when no failed row carries a code."""
+    when no failed row carries a code.
+
+    The rows are read once: they are reduced to (process, station, code,
+    status) counts, the "any code" flag and the roll-up are then computed on
+    that small result."""
     fails = _nonnull(df.where(F.col("failed")), "process", "station")
-    any_code = fails.agg(F.max(F.col("failed_testcode") != "").alias("_any"))
-    fails = _with_scalar(fails, any_code)
+    leaves = (fails.groupBy("process", "station", "failed_testcode", "status_display")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    # flag over the leaf aggregate (one row per leaf, bounded by the result)
+    leaves = leaves.withColumn("_any", F.max(F.col("failed_testcode") != "").over(Window.partitionBy()))
     leaf = F.when(F.coalesce(F.col("_any"), F.lit(False)), F.col("failed_testcode")) \
         .otherwise(F.col("status_display"))
-    return (fails.withColumn("leaf", leaf)
+    return (leaves.withColumn("leaf", leaf)
             .rollup("process", "station", "leaf")
-            .agg(F.count(F.lit(1)).alias("count"), F.grouping_id().cast("long").alias("level")))
+            .agg(F.sum("_n").cast("long").alias("count"), F.grouping_id().cast("long").alias("level")))
 
 
 def failure_types(df: DataFrame) -> DataFrame:

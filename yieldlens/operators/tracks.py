@@ -82,14 +82,12 @@ def attributes(df: DataFrame) -> DataFrame:
 def kpis(classes: DataFrame, all_tracks: DataFrame | None = None) -> DataFrame:
     """Tracks per class and % of the classified tracks; ``all_tracks``
     (distinct tracks of the unfiltered frame) is attached when given."""
-    from .frames import single_row
+    from pyspark.sql import Window
     per = classes.groupBy("overall_status").agg(F.count(F.lit(1)).alias("tracks"))
-    tot = classes.agg(F.count(F.lit(1)).alias("total_tracks"))
-    parts = [tot]
+    # at most four class rows: the total is a window over them (no re-read)
+    out = per.withColumn("total_tracks", F.sum("tracks").over(Window.partitionBy()).cast("long"))
     if all_tracks is not None:
-        parts.append(all_tracks.agg(F.count_distinct("track_id").alias("all_tracks")))
-    one = single_row(*parts)
-    out = attach(per, one)
+        out = attach(out, all_tracks.agg(F.count_distinct("track_id").alias("all_tracks")))
     return out.withColumn("pct", C.pct("tracks", "total_tracks", 2))
 
 

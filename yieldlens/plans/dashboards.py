@@ -25,7 +25,7 @@ def _q(fn, profile="tests"):
 
 def _kpis(spark, sf_dir):
     prep = prepare(Q.facts(spark, sf_dir), "tests")
-    return R.test_kpis(FL.FilterSpec().apply(prep), prep)
+    return R.test_kpis(prep, FL.FilterSpec().predicate())
 
 
 _ONE_DAY = FL.FilterSpec(start_date="2024-01-15", end_date="2024-01-15")

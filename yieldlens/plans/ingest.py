@@ -39,8 +39,7 @@ def _envelope_decoded(env):
 
 
 def _hourly_gap(s, d):
-    routed = _routed(s, d)
-    return G.hourly_gap(I.records(routed), I.skip_log(routed))
+    return G.hourly_gap_routed(_routed(s, d))
 
 
 def _reconcile(s, d):
