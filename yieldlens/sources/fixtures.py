@@ -61,38 +61,45 @@ _CODES = ["TC_WIFI_RSSI_01;TC_GPS_02", "TC_WIFI_RSSI_01", "TC_AUDIO_LEVEL_03",
           "TC_CAMERA_BLEMISH_06", "TC_BATTERY_CHARGE_07", None]
 
 
+_BAD_EXPR = ("(event_type = 'error' AND NOT (user_id % 5 = 4 AND event_id % 4 <> 0) "
+             "AND NOT (user_id % 5 = 3 AND event_id % 2 = 0))")
+
+
+def _code_expr() -> str:
+    whens = " ".join(f"WHEN event_id % 10 = {k} THEN " + ("CAST(NULL AS STRING)" if c is None else f"'{c}'")
+                     for k, c in enumerate(_CODES))
+    return f"CASE {whens} END"
+
+
+# The adapter as Spark SQL expressions: one ``selectExpr`` call builds the
+# whole projection (the Column-API form needs ~150 driver round trips).
+LOG_DATA_EXPRS = [
+    "event_id + 1 AS id",
+    "CASE event_id % 8 WHEN 0 THEN 'L2AR' WHEN 1 THEN 'L2VISION' WHEN 2 THEN 'UCT' WHEN 3 THEN 'FOD' "
+    "WHEN 4 THEN 'DepthVal' WHEN 5 THEN 'DepthCal' WHEN 6 THEN 'L2AR' ELSE 'MANUAL' END AS process",
+    "CASE WHEN event_id % 53 = 0 THEN 'No Data Found' WHEN event_id % 59 = 0 THEN '' "
+    "ELSE concat('M', CAST(user_id % 4 AS STRING)) END AS model",
+    "concat('L', CAST(user_id % 5 AS STRING)) AS line",
+    "CASE WHEN event_id % 79 = 0 THEN CAST(NULL AS STRING) ELSE concat('L', CAST(user_id % 5 AS STRING), "
+    "CASE WHEN event_id % 2 = 0 THEN '-' ELSE '_' END, 'ST', CAST(event_id % 11 AS STRING)) END AS station",
+    f"CASE WHEN {_BAD_EXPR} THEN (CASE WHEN event_id % 13 = 0 THEN 'FAIL' WHEN event_id % 17 = 0 THEN ' f ' "
+    "ELSE 'F' END) ELSE (CASE WHEN event_id % 89 = 0 THEN 'X' ELSE 'P' END) END AS status",
+    f"CASE WHEN {_BAD_EXPR} THEN {_code_expr()} ELSE '' END AS failed_testcode",
+    "CASE WHEN event_id % 97 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 101 = 0 THEN '  ' "
+    "ELSE concat('T', CAST(user_id AS STRING), '-', date_format(ts, 'yyyyMMdd')) END AS track_id",
+    "date_format(ts, 'yyyy-MM-dd') AS date",
+    "date_format(ts, 'HH:mm:ss') AS time",
+    "CASE WHEN event_id % 41 = 0 THEN CAST(NULL AS STRING) WHEN event_id % 43 = 0 THEN '' "
+    "WHEN event_id % 47 = 0 THEN 'not a time' "
+    "WHEN event_id % 3 = 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") "
+    "ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END AS timestamp",
+]
+
+
 def log_data_from_events(ev: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """FIXTURES §3: ``events`` -> ``log_data`` (all text columns, id bigint).
     ``keep`` passes event columns through (for the other derived fixtures)."""
-    i, u, d, et = F.col("event_id"), F.col("user_id"), F.col("ts"), F.col("event_type")
-    bad = _bad(i, u, et)
-    line = F.concat(F.lit("L"), (u % 5).cast("string"))
-    code = F.when(i % 10 == 0, _CODES[0])
-    for k in range(1, 10):
-        code = code.when(i % 10 == k, F.lit(_CODES[k]).cast("string"))
-    return ev.select(
-        (i + 1).alias("id"),
-        _process(i).alias("process"),
-        F.when(i % 53 == 0, "No Data Found").when(i % 59 == 0, "")
-         .otherwise(F.concat(F.lit("M"), (u % 4).cast("string"))).alias("model"),
-        line.alias("line"),
-        F.when(i % 79 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(line, F.when(i % 2 == 0, "-").otherwise("_"), F.lit("ST"),
-                             (i % 11).cast("string"))).alias("station"),
-        F.when(bad, F.when(i % 13 == 0, "FAIL").when(i % 17 == 0, " f ").otherwise("F"))
-         .otherwise(F.when(i % 89 == 0, "X").otherwise("P")).alias("status"),
-        F.when(bad, code).otherwise("").alias("failed_testcode"),
-        F.when(i % 97 == 0, F.lit(None).cast("string")).when(i % 101 == 0, "  ")
-         .otherwise(F.concat(F.lit("T"), u.cast("string"), F.lit("-"),
-                             F.date_format(d, "yyyyMMdd"))).alias("track_id"),
-        F.date_format(d, "yyyy-MM-dd").alias("date"),
-        F.date_format(d, "HH:mm:ss").alias("time"),
-        F.when(i % 41 == 0, F.lit(None).cast("string")).when(i % 43 == 0, "")
-         .when(i % 47 == 0, "not a time")
-         .when(i % 3 == 0, F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"))
-         .otherwise(F.date_format(d, "yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
-        *[F.col(k) for k in keep],
-    )
+    return ev.selectExpr(*LOG_DATA_EXPRS, *keep)
 
 
 def log_data(spark: SparkSession, sf_dir: str) -> DataFrame:
