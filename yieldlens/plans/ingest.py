@@ -14,6 +14,7 @@ from ..sources import fixtures as fx
 from . import common as Q
 from .common import with_ctes
 
+REGISTER_CUTOFF = "2024-01-16 00:00:00"
 _REC = ["track_id", "process", "model", "line", "station", "status", "failed_tests", "date", "time", "timestamp"]
 
 
@@ -49,7 +50,8 @@ def _reconcile(s, d):
 
 def _unprocessed(s, d):
     raw = _raw(s, d)
-    register = raw.where(F.col("file_id") % 6 == 0).select("filename")
+    # the register holds every file collected before the cut-off
+    register = raw.where(F.col("file_mtime") < F.lit(REGISTER_CUTOFF).cast("timestamp_ntz")).select("filename")
     return I.unprocessed(raw, register).select("file_id", "filename", "source")
 
 
@@ -211,8 +213,9 @@ SELECT track_id AS key, {', '.join(('failed_testcode AS failed_tests' if f == 'f
     "reconcile_totals": _RECONCILE + """
 SELECT COUNT(*) AS inserted, COUNT(*) FILTER (WHERE found_in_db = 1) AS matched,
        COUNT(*) - COUNT(*) FILTER (WHERE found_in_db = 1) AS missing FROM rec""",
-    "unprocessed_files": ingest_ctes() + """
-SELECT file_id, filename, source FROM raw WHERE filename NOT IN (SELECT filename FROM raw WHERE file_id % 6 = 0)""",
+    "unprocessed_files": ingest_ctes() + f"""
+SELECT file_id, filename, source FROM raw
+WHERE filename NOT IN (SELECT filename FROM raw WHERE file_mtime < TIMESTAMP '{REGISTER_CUTOFF}')""",
     "late_caught": ingest_ctes() + """
 SELECT filename, track_id, process FROM routed WHERE outcome = 'INSERT' AND source IN ('rescan', 'poll')""",
 }

@@ -226,14 +226,15 @@ RAW_FILES_SQL = _raw_sql()
 
 
 # ---------------------------------------------------------------------------
-# Reconciliation CSV rows (FIXTURES §4): log_data rows with id % 20 = 0 (rows
-# with id % 60 = 0 twice), plus an unknown track ZZ<id> for id % 200 = 0.
+# Reconciliation CSV rows: every log_data row is reported by the external
+# system (rows with id % 60 = 0 twice), plus an unknown track ZZ<id> for
+# id % 200 = 0.
 # ---------------------------------------------------------------------------
 def reconciliation_rows(facts: DataFrame) -> DataFrame:
     i = F.col("id")
     variants = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
                         lambda v: (v == 0) | ((v == 1) & (i % 60 == 0)) | ((v == 2) & (i % 200 == 0)))
-    rows = facts.where(i % 20 == 0).select("*", F.explode(variants).alias("v"))
+    rows = facts.select("*", F.explode(variants).alias("v"))
     return rows.select(
         F.when(F.col("v") == 2, F.concat(F.lit("ZZ"), i.cast("string")))
          .otherwise(F.coalesce(F.col("track_id"), F.lit(""))).alias("Track_ID"),
@@ -247,7 +248,7 @@ SELECT CASE WHEN v = 2 THEN 'ZZ' || CAST(id AS VARCHAR) ELSE COALESCE(track_id,
        process AS Process, COALESCE(station, '') AS Station, date AS Date, time AS Time,
        'MQS-' || upper(trim(status)) AS Reason
 FROM log_data, (SELECT unnest([0, 1, 2]) AS v) vs
-WHERE id % 20 = 0 AND (v = 0 OR (v = 1 AND id % 60 = 0) OR (v = 2 AND id % 200 = 0))
+WHERE v = 0 OR (v = 1 AND id % 60 = 0) OR (v = 2 AND id % 200 = 0)
 """
 
 
