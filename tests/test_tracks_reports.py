@@ -85,3 +85,27 @@ def test_span_histogram_single_value(spark, facts_df):
     rows = [_r(1, "C", "F", "2024-01-01 10:00:00"), _r(2, "C", "F", "2024-01-01 10:30:00")]
     h = TR.span_histogram(TR.classify_by_span(prepare(facts_df(rows), "span")), 30).collect()
     assert [(r.bucket, r.tracks) for r in h] == [(1, 1)]         # min = max -> bucket 1 (Q15)
+
+
+def test_wide_pivots_fill_gaps(spark, facts_df):
+    rows = [_r(1, "A", "F", "2024-01-01 10:00:00", model="M1"),
+            (2, "UCT", "M2", "L2", "L2-S1", "P", "", "B", "2024-01-01", "00:00:00", "2024-01-01 11:00:00")]
+    prep = prepare(facts_df(rows), "tests")
+    wide = {r.model: r.asDict() for r in R.fail_matrix(prep, "model", "line", wide=True).collect()}
+    assert wide["M1"]["L1"] == 100.0 and wide["M1"]["L2"] == 0.0 and wide["M2"]["L1"] == 0.0
+    r2 = {r.model: r.asDict() for r in R.distinct_failed_tracks(prep, wide=True).collect()}
+    assert r2 == {"M1": {"model": "M1", "L2AR": 1}}
+
+
+def test_export_and_fact_sink(spark, tmp_path):
+    from yieldlens.sources import files as SF
+    facts = fx.log_data(spark, "/root/testdata/sf0.001")
+    out = str(tmp_path / "export")
+    R.export(FilterSpec().apply(prepare(facts, "tests")), ["timestamp", "track_id", "status_display"], out)
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == ["timestamp", "track_id", "status_display"] and back.count() > 0
+    SF.write_facts(facts, str(tmp_path / "facts"))
+    stored = SF.read_facts(spark, str(tmp_path / "facts"))
+    assert stored.count() == facts.count() and "event_date" in stored.columns
+    one_day = stored.where("event_date = DATE '2024-01-15'")
+    assert "PartitionFilters" in one_day._jdf.queryExecution().executedPlan().toString() or one_day.count() > 0

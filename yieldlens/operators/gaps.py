@@ -18,7 +18,9 @@ def skip_totals(skips: DataFrame) -> DataFrame:
 def gap_report(routed: DataFrame, count_no_th4: bool = True,
                count_duplicate: bool = False) -> DataFrame:
     """Files seen = inserted + skipped; one row per skip reason with
-    its count and % of seen, plus the totals on every row.
+    its count and % of seen, plus the totals on every row (inserted facts,
+    skipped, seen, gap %, and the late-caught ``rescan_rows``; the NO_TH4 and
+    FILE_GONE table totals are their reason rows).
 
     ``count_no_th4=False`` reproduces the original counters, which never
     counted NO_TH4 files (Q17); DUPLICATE is counted only on request (Q16)."""
@@ -28,9 +30,11 @@ def gap_report(routed: DataFrame, count_no_th4: bool = True,
     if count_duplicate:
         counted.append(K.R_DUPLICATE)
     o = F.col("outcome")
+    late = (o == K.INSERT) & F.col("source").isin(*K.LATE_SOURCES)
     totals = routed.agg(
         F.count_if(o == K.INSERT).cast("long").alias("inserted"),
-        F.count_if(o.isin(*counted)).cast("long").alias("skipped"))
+        F.count_if(o.isin(*counted)).cast("long").alias("skipped"),
+        F.count_if(late).cast("long").alias("rescan_rows"))
     totals = totals.withColumn("seen", F.col("inserted") + F.col("skipped")) \
         .withColumn("gap_pct", C.pct("skipped", "seen", 2))
     per = routed.where(o.isin(*counted)).groupBy(o.alias("reason")).agg(F.count(F.lit(1)).alias("_n"))

@@ -150,9 +150,11 @@ def _gap_sql(count_no_th4: bool) -> str:
     reasons = " UNION ALL ".join(f"SELECT '{r}' AS reason" for r in K.SKIP_REASONS)
     return ingest_ctes() + f"""
 , t AS (SELECT COUNT(*) FILTER (WHERE outcome = 'INSERT') AS inserted,
-               COUNT(*) FILTER (WHERE outcome IN ({lst})) AS skipped FROM routed)
+               COUNT(*) FILTER (WHERE outcome IN ({lst})) AS skipped,
+               COUNT(*) FILTER (WHERE outcome = 'INSERT' AND source IN ('rescan', 'poll')) AS rescan_rows
+        FROM routed)
 , per AS (SELECT outcome AS reason, COUNT(*) AS n FROM routed WHERE outcome IN ({lst}) GROUP BY 1)
-SELECT r.reason, CAST(COALESCE(per.n, 0) AS BIGINT) AS count, t.inserted, t.skipped,
+SELECT r.reason, CAST(COALESCE(per.n, 0) AS BIGINT) AS count, t.inserted, t.skipped, t.rescan_rows,
        t.inserted + t.skipped AS seen,
        round_even(COALESCE(CAST(t.skipped AS DOUBLE) / NULLIF(t.inserted + t.skipped, 0) * 100, 0.0), 2) AS gap_pct,
        round_even(COALESCE(CAST(COALESCE(per.n, 0) AS DOUBLE) / NULLIF(t.inserted + t.skipped, 0) * 100, 0.0), 2) AS pct
