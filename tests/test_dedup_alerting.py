@@ -75,3 +75,15 @@ def test_flagship_matches_probe(spark):
     import __spark_entry__ as entry
     got = [(r.line, r.total, r.failed, r.rate) for r in entry.entry(spark).collect()]
     assert got == [("L0", 17, 5, 29.41), ("L1", 17, 4, 23.53), ("L2", 16, 2, 12.5)]
+
+
+def test_stored_facts_push_the_window_filter(spark, tmp_path):
+    from yieldlens.sources import files as SF
+    SF.write_facts(fx.log_data(spark, "/root/testdata/sf0.001"), str(tmp_path / "facts"))
+    stored = SF.read_facts(spark, str(tmp_path / "facts"))
+    latest = latest_per_track(stored, ASOF, 10080)
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [GreaterThanOrEqual(event_ts" in plan
+    assert "PartitionFilters: [isnotnull(event_date" in plan or "PartitionFilters: [(event_date" in plan
+    base = latest_per_track(fx.log_data(spark, "/root/testdata/sf0.001"), ASOF, 10080)
+    assert latest.count() == base.count()

@@ -34,8 +34,14 @@ def with_event_ts(facts: DataFrame) -> DataFrame:
 
 
 def in_window(facts: DataFrame, asof: str, window_minutes: int) -> DataFrame:
-    """rows whose normalised time is >= asof - window (no upper bound)."""
-    return with_event_ts(facts).where(F.col("event_ts") >= cutoff_literal(asof, window_minutes))
+    """rows whose normalised time is >= asof - window (no upper bound).
+    On stored facts (``event_ts`` column, ``event_date`` partitions) the
+    bound is a pushed parquet filter plus a partition filter."""
+    cut = cutoff_literal(asof, window_minutes)
+    rows = with_event_ts(facts)
+    if "event_date" in facts.columns:
+        rows = rows.where(F.col("event_date") >= F.to_date(cut))
+    return rows.where(F.col("event_ts") >= cut)
 
 
 def _tracked(c: str = "track_id") -> Column:

@@ -44,9 +44,11 @@ def read_facts(spark: SparkSession, path: str | None = None, jdbc_options: dict
 
 
 def write_facts(records: DataFrame, path: str, mode: str = "append") -> None:
-    """Fact sink: parquet partitioned by event date, so the trailing-window
-    and date-range filters prune whole directories."""
-    out = records.withColumn("event_date", F.to_date(C.parse_iso_ts(C.normalized_ts_text())))
+    """Fact sink: parquet partitioned by event date with the canonical
+    ``event_ts`` stored, so the trailing-window filter is on a bare column
+    (row-group skipping) and date filters prune whole directories."""
+    ts = C.parse_iso_ts(C.normalized_ts_text())
+    out = records.withColumn("event_ts", ts).withColumn("event_date", F.to_date("event_ts"))
     out.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
