@@ -42,10 +42,17 @@ def test_every_query_has_an_oracle():
     assert len(entry.queries()) >= 80
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_oracle(spark, con, name):
-    got = entry.queries()[name](spark, SF).toPandas()
-    want = con.sql(entry.oracle_sql()[name]).df()
+    sdf = entry.queries()[name](spark, SF)
+    rel = con.sql(entry.oracle_sql()[name])
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes} == {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    got = sdf.toPandas()
+    want = rel.df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert _canon(got) == _canon(want)

@@ -205,7 +205,8 @@ def daily(df: DataFrame) -> DataFrame:
 
 def by_minute(df: DataFrame) -> DataFrame:
     """A13 (one date): rows per (minute, status)."""
-    return (df.groupBy(F.date_trunc("MINUTE", "event_ts").alias("minute"),
+    # date_trunc returns a zoned timestamp; the facts are zone-less
+    return (df.groupBy(F.date_trunc("MINUTE", "event_ts").cast("timestamp_ntz").alias("minute"),
                        F.col("status_display").alias("status"))
             .agg(F.count(F.lit(1)).alias("count")))
 

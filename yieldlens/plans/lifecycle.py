@@ -350,12 +350,12 @@ def _open_alert_ctes():
                           ORDER BY CAST(failed AS DOUBLE) / total * 100 DESC, line LIMIT {Q.TOP_LINES}"""),
                       _TOP_CODES_CTE,
                       ("totals", "SELECT line, COUNT(*) AS total_line FROM latest GROUP BY line"),
-                      ("cj", """SELECT c.line, to_json(list_sort(list({'rank': CAST(c.rank AS BIGINT),
+                      ("cj", """SELECT c.line, CAST(to_json(list_sort(list({'rank': CAST(c.rank AS BIGINT),
                                    'testcode': COALESCE(NULLIF(c.code, ''), 'UNKNOWN'),
                                    'process': COALESCE(c.process, 'N/A'), 'failed_units': c.failed_units,
                                    'total_line': t.total_line,
                                    'rate': round_even(CAST(c.failed_units AS DOUBLE) / t.total_line * 100, 1)})))
-                                   AS top_testcodes
+                                   AS VARCHAR) AS top_testcodes
                             FROM codes c JOIN totals t ON c.line = t.line GROUP BY c.line"""),
                       ("st", f"""SELECT l.line, CASE WHEN b.failed IS NULL THEN l.line ELSE b.station END AS station
                           FROM (SELECT DISTINCT line FROM latest) l LEFT JOIN (

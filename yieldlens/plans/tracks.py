@@ -128,7 +128,7 @@ WHERE c.overall_status IN ('NTF', 'Real Fail') AND a.station IS NOT NULL GROUP B
 , bk AS (SELECT CAST(CASE WHEN mx = mn THEN 1 ELSE LEAST(FLOOR((failure_span_min - mn) * 30 / (mx - mn)) + 1, 30) END
                      AS BIGINT) AS bucket, mn, mx FROM multi, b)
 SELECT bucket, mn + (bucket - 1) * ((mx - mn) / 30) AS bin_start, mn + bucket * ((mx - mn) / 30) AS bin_end,
-       COUNT(*) AS tracks, {float(K.SPAN_LIMIT_TRACKS)} AS ntf_threshold
+       COUNT(*) AS tracks, CAST({float(K.SPAN_LIMIT_TRACKS)} AS DOUBLE) AS ntf_threshold
 FROM bk GROUP BY bucket, mn, mx"""),
     "track_status_filter": _span_sql(f"""
 SELECT {_ROWS} FROM filt WHERE track_id IN (SELECT track_id FROM classes WHERE overall_status = 'NTF')"""),
