@@ -144,3 +144,23 @@ def test_stream_equals_batch(spark):
     s = streams.stream_ingest(spark, "/root/testdata/sf0.001")
     b = I.records(I.route(fx.raw_files(spark, "/root/testdata/sf0.001"))).drop("event_ts")
     assert s.count() == b.count() and s.exceptAll(b.select(*s.columns)).count() == 0
+
+
+def test_hot_file_name_and_hot_track(spark):
+    """A third of the input under one file name / one track: results stay whole and exact."""
+    from yieldlens.operators.dedup import latest_per_track
+    rows = [(f"ic_T{i}_{i}.rslt", "HDR\n" + _th4(track=f"T{i}") + "\n") for i in range(200)]
+    rows += [("ic_HOT_1.rslt", "HDR\n" + _th4(track="HOT") + "\n") for _ in range(100)]
+    routed = I.route(_files(spark, rows)).cache()
+    counts = {r.outcome: r["count"] for r in routed.groupBy("outcome").count().collect()}
+    assert counts == {K.INSERT: 201, K.R_DUPLICATE: 99}
+    first_hot = routed.where("filename = 'ic_HOT_1.rslt' AND outcome = 'INSERT'").first()
+    assert first_hot.file_id == 200                       # earliest (mtime, id) copy wins
+    facts = spark.createDataFrame(
+        [(i, "L2AR", "M", "L1", "S", "F" if i % 2 else "P", "", "HOT" if i < 300 else f"T{i}", "2024-01-30",
+          "10:00:00", f"2024-01-30 {10 + i % 10:02d}:{i % 60:02d}:00") for i in range(900)], K.LOG_DATA)
+    latest = latest_per_track(facts, "2024-01-30 23:59:59", 1440)
+    hot = latest.where("track_id = 'HOT'").collect()
+    assert len(hot) == 1 and latest.count() == 601
+    assert hot[0].id == max(i for i in range(300) if (10 + i % 10, i % 60) == max((10 + j % 10, j % 60)
+                                                                               for j in range(300)))

@@ -53,22 +53,28 @@ def parse_records(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def route(files: DataFrame, content: str = "content", order: list[str] | None = None,
-          allowed: list[str] | None = None) -> DataFrame:
+          allowed: list[str] | None = None, materialize: bool = True) -> DataFrame:
     """P7 + F8 + ST2: one ``outcome`` per file: INSERT, PROCESS_SKIP, NO_TH4,
     FILE_GONE (text could not be read) or DUPLICATE (the file name was seen
     before, in ``order``; Q16).
 
-    The duplicate check is a window over the file name on the narrow
-    parsed rows (the text is dropped before the shuffle)."""
+    The text is parsed once and dropped; the narrow parsed rows are cut
+    from their lineage with a reliable ``checkpoint`` (``materialize``), so
+    the input is read a single time although two branches use the rows. The
+    first copy of every name is an aggregate (combined map-side, so a name
+    with a huge number of copies is reduced before the shuffle) joined back
+    on the name; AQE splits the join if one name holds many rows."""
     allowed = allowed or K.ALLOWED_PROCESSES
     order = order or ["file_mtime", "file_id"]
-    # parse first and drop the text: only the narrow parsed rows shuffle;
-    # one pass — the first copy of a file name is found with a window
     rec = (parse_records(files, content)
            .withColumn("_gone", F.col(content).isNull()).drop(content))
-    w = Window.partitionBy("filename").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    rec = rec.withColumn("_first", F.row_number().over(w))
-    dup = F.col("_first") > 1
+    if materialize and not rec.isStreaming:
+        from ..session import checkpoint_dir
+        checkpoint_dir(rec.sparkSession)
+        rec = rec.checkpoint(eager=True)
+    first = (rec.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first_key")))
+    rec = rec.join(first, "filename", "left")
+    dup = F.struct(*[F.col(c) for c in order]) != F.col("_first_key")
     outcome = (F.when(dup, K.R_DUPLICATE)
                .when(F.col("_gone"), K.R_FILE_GONE)
                .when(~F.col("has_th4"), K.R_NO_TH4)
@@ -78,7 +84,7 @@ def route(files: DataFrame, content: str = "content", order: list[str] | None =
     return (rec.withColumn("outcome", outcome)
             .withColumn("track_id", F.when(F.col("outcome").isin(K.R_NO_TH4, K.R_FILE_GONE), name_track)
                         .otherwise(F.col("track_id")))
-            .drop("_first", "has_th4", "_gone"))
+            .drop("_first_key", "has_th4", "_gone"))
 
 
 def records(routed: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ RECOMMENDED_CONF = {
     # parse is built-in expressions); constraint inference over them costs
     # tens of seconds of driver time per query and prunes nothing.
     "spark.sql.constraintPropagation.enabled": "false",
+    # reliable checkpoints of intermediate results are removed once unused
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
