@@ -33,8 +33,12 @@ RECOMMENDED_CONF = {
 
 
 def tune_for_parsing(spark: SparkSession) -> None:
-    """Switch off constraint inference for the parse plans (see above)."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    """Switch off constraint inference for the parse plans (see above).
+    Best effort: a session that refuses runtime changes keeps its setting."""
+    try:
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    except Exception:  # noqa: BLE001 - e.g. a locked-down shared session
+        pass
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
@@ -55,8 +59,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session has none (tests and single-machine runs)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        try:
+            if spark.sparkContext.getCheckpointDir() is None:
+                spark.sparkContext.setCheckpointDir(current)
+        except Exception:  # noqa: BLE001 - no SparkContext (remote session): the server has it
+            pass
         return current
     local = tempfile.mkdtemp(prefix="yieldlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
