@@ -109,3 +109,11 @@ def test_export_and_fact_sink(spark, tmp_path):
     assert stored.count() == facts.count() and "event_date" in stored.columns
     one_day = stored.where("event_date = DATE '2024-01-15'")
     assert "PartitionFilters" in one_day._jdf.queryExecution().executedPlan().toString() or one_day.count() > 0
+
+
+def test_map_columns_by_name(spark, facts_df):
+    rows = [_r(1, "A", "F", "2024-01-01 10:00:00")]
+    df = facts_df(rows).withColumnRenamed("station", "test_station").withColumnRenamed("process", "proc")
+    prep = prepare(df, "span", columns={"test_station": "station", "proc": "process"})
+    r = prep.first()
+    assert (r.station, r.process) == ("L1-S1", "L2AR")       # by name, not by position (Q1)
