@@ -21,8 +21,23 @@ from ..functions import columns as C
 from .frames import attach, single_row
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
-NOT_FILLED = "❌ not filled"
-DASH = "—"
+NOT_FILLED = K.NOT_FILLED
+DASH = K.DASH
+
+
+def _fill(template: str, values: dict) -> Column:
+    """Fill a ``{name}`` text template with columns / constants, in order."""
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    cols = []
+    for i, piece in enumerate(parts):
+        if i % 2 == 0:
+            if piece:
+                cols.append(F.lit(piece))
+        else:
+            v = values[piece]
+            cols.append(v if isinstance(v, Column) else F.lit(str(v)))
+    return F.concat(*cols)
 
 
 def _ts_text(c: Column) -> Column:
@@ -323,28 +338,19 @@ def open_alerts(rates: DataFrame, codes: DataFrame, stations: DataFrame, alerts:
 
 def alert_text(alerts: DataFrame, asof: str, threshold: float = K.FAILURE_THRESHOLD,
                window_minutes: int = K.WINDOW_MINUTES, sla_hours: int = K.SLA_HOURS) -> DataFrame:
-    """The notification text of each alert."""
+    """The notification text of each alert (layout ``schemas.ALERT_MESSAGE``)."""
     codes = read_codes(F.col("top_testcodes"))
-    block = F.concat_ws("", F.transform(codes, lambda e: F.format_string(
-        "\n  %s. TestCode : %s\n     Process  : %s\n     Failed   : %s/%s (%s%%)\n",
-        e["rank"].cast("string"), e["testcode"], e["process"], e["failed_units"].cast("string"),
-        e["total_line"].cast("string"), e["rate"].cast("string"))))
-    block = F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, block).otherwise(F.lit("\n  (no testcode data in window)\n"))
-    ident = F.col("id").cast("string")
-    text = F.concat(
-        F.lit("⚠️  LINE FAILURE ALERT\n" + "═" * 40 + "\n"),
-        F.lit("Line         : "), F.col("line"), F.lit("\n"),
-        F.lit("Station      : "), F.col("station"), F.lit("\n"),
-        F.lit("Failure Rate : "), F.col("line_failure_rate").cast("string"),
-        F.lit(f"%   (threshold >{threshold}%)\n"),
-        F.lit("Failed/Total : "), F.col("failed_tests").cast("string"), F.lit("/"),
-        F.col("total_tests").cast("string"), F.lit(f"  (last {window_minutes}min, dedup by unit)\n"),
-        F.lit("Alert ID     : #"), ident, F.lit("\n"),
-        F.lit(f"Time         : {asof}\nSLA          : {sla_hours}h\n" + "─" * 40 + "\n"),
-        F.lit("🔴 Top Failed Test Codes:\n"), block, F.lit("─" * 40 + "\nReply with:\n"),
-        F.lit("  RCA:"), ident, F.lit(":<root cause>\n  ACTION:"), ident, F.lit(":<action taken>\n  CAPA:"),
-        ident, F.lit(":<corrective steps>\n  RESOLVE:"), ident, F.lit("\nPhoto: send image, caption=IMG:"),
-        ident, F.lit(":<note>\nOr tap a button below ↓"))
+    block = F.concat_ws("", F.transform(codes, lambda e: _fill(K.ALERT_CODE_LINE, {
+        "rank": e["rank"].cast("string"), "testcode": e["testcode"], "process": e["process"],
+        "failed": e["failed_units"].cast("string"), "total": e["total_line"].cast("string"),
+        "rate": e["rate"].cast("string")})))
+    block = F.when(F.coalesce(F.size(codes), F.lit(0)) > 0, block).otherwise(F.lit(K.ALERT_NO_CODES))
+    text = _fill(K.ALERT_MESSAGE, {
+        "bar": K.ALERT_BAR, "rule": K.ALERT_RULE, "line": F.col("line"), "station": F.col("station"),
+        "rate": F.col("line_failure_rate").cast("string"), "threshold": threshold,
+        "failed": F.col("failed_tests").cast("string"), "total": F.col("total_tests").cast("string"),
+        "window": window_minutes, "id": F.col("id").cast("string"), "time": asof, "sla": sla_hours,
+        "codes": block})
     return alerts.select(F.col("id").alias("alert_id"), text.alias("text"))
 
 
@@ -368,13 +374,13 @@ def open_view(alerts: DataFrame, repairs: DataFrame, asof: str, sla_hours: int =
     age = F.when(sent.isNull(), F.lit(0)).otherwise(
         F.floor(F.timestamp_diff("SECOND", sent, _lit_ts(asof)) / 60)).cast("long")
     sla_min = sla_hours * 60
-    label = F.when(F.col("age_min") > sla_min, F.lit("🔴 SLA BREACH")).otherwise(
-        F.concat(F.col("age_min").cast("string"), F.lit(f"m/{sla_min}m")))
+    label = F.when(F.col("age_min") > sla_min, F.lit(K.SLA_BREACH)).otherwise(
+        _fill(K.SLA_AGE, {"age": F.col("age_min").cast("string"), "sla": sla_min}))
     codes = read_codes(F.col("top_testcodes"))
-    summary = F.concat_ws("", F.transform(codes, lambda e: F.format_string(
-        "\n    %s. %s %s%% (%s/%s)", e["rank"].cast("string"), e["testcode"], e["rate"].cast("string"),
-        F.coalesce(e["failed_units"].cast("string"), F.lit("?")),
-        F.coalesce(e["total_line"].cast("string"), F.lit("?")))))
+    summary = F.concat_ws("", F.transform(codes, lambda e: _fill(K.OPEN_VIEW_CODE_LINE, {
+        "rank": e["rank"].cast("string"), "testcode": e["testcode"], "rate": e["rate"].cast("string"),
+        "failed": F.coalesce(e["failed_units"].cast("string"), F.lit("?")),
+        "total": F.coalesce(e["total_line"].cast("string"), F.lit("?"))})))
     filled = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(NOT_FILLED)).alias(c)
     return (j.withColumn("age_min", age)
             .select(a["id"].alias("id"), "line", "station", "line_failure_rate", "failed_tests", "total_tests",
@@ -394,7 +400,8 @@ def history_view(alerts: DataFrame, repairs: DataFrame, k: int = 10) -> DataFram
     dash = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(DASH)).alias(c)
     return j.select(top["id"].alias("id"), "line", "station", "line_failure_rate", "failed_tests",
                     "total_tests", "alert_sent_at", "resolved_at", "resolution_mins",
-                    F.when(F.col("within_sla") == 1, F.lit("✅")).otherwise(F.lit("🔴")).alias("sla_icon"),
+                    F.when(F.col("within_sla") == 1, F.lit(K.ICON_WITHIN_SLA))
+                    .otherwise(F.lit(K.ICON_SLA_BREACHED)).alias("sla_icon"),
                     dash("failure_description"), dash("rca_text"), dash("action_taken"),
                     dash("capa_text"), dash("engineer_contact"))
 

@@ -386,31 +386,35 @@ SELECT CAST((SELECT COALESCE(MAX(id), 0) FROM repairs) + n AS BIGINT) AS id,
        CAST(NULL AS VARCHAR) AS closed_at
 FROM fresh"""
 
-_NL = "chr(10)"
+def _fill_sql(template: str, values: dict) -> str:
+    """SQL text concatenation of a ``{name}`` template (twin of lifecycle._fill)."""
+    import re
+    parts = re.split(r"\{(\w+)\}", template)
+    out = []
+    for i, piece in enumerate(parts):
+        if i % 2 == 0:
+            if piece:
+                out.append("'" + piece.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+        else:
+            v = values[piece]
+            out.append(v if isinstance(v, str) and v.startswith("(") else "'" + str(v) + "'")
+    return "(" + " || ".join(out) + ")"
 
 
 def _alert_text_sql() -> str:
-    block = (f"array_to_string(list_transform(codes, lambda e: {_NL} || '  ' || CAST(e.rank AS VARCHAR) "
-             f"|| '. TestCode : ' || e.testcode || {_NL} || '     Process  : ' || e.process || {_NL} "
-             f"|| '     Failed   : ' || CAST(COALESCE(e.failed_units, e.failed) AS VARCHAR) || '/' "
-             f"|| CAST(COALESCE(e.total_line, e.total) AS VARCHAR) || ' (' || CAST(e.rate AS VARCHAR) || '%)' "
-             f"|| {_NL}), '')")
-    ident = "CAST(id AS VARCHAR)"
-    bar_d, bar_s = "═" * 40, "─" * 40
-    return _base_ctes() + f"""
-SELECT id AS alert_id,
-  '⚠️  LINE FAILURE ALERT' || {_NL} || '{bar_d}' || {_NL} || 'Line         : ' || line || {_NL}
-  || 'Station      : ' || station || {_NL} || 'Failure Rate : ' || CAST(line_failure_rate AS VARCHAR)
-  || '%   (threshold >{K.FAILURE_THRESHOLD}%)' || {_NL} || 'Failed/Total : ' || CAST(failed_tests AS VARCHAR) || '/'
-  || CAST(total_tests AS VARCHAR) || '  (last {K.WINDOW_MINUTES}min, dedup by unit)' || {_NL}
-  || 'Alert ID     : #' || {ident} || {_NL} || 'Time         : {Q.ASOF}' || {_NL} || 'SLA          : {K.SLA_HOURS}h'
-  || {_NL} || '{bar_s}' || {_NL} || '🔴 Top Failed Test Codes:' || {_NL}
-  || CASE WHEN COALESCE(len(codes), 0) > 0 THEN {block} ELSE {_NL} || '  (no testcode data in window)' || {_NL} END
-  || '{bar_s}' || {_NL} || 'Reply with:' || {_NL} || '  RCA:' || {ident} || ':<root cause>' || {_NL}
-  || '  ACTION:' || {ident} || ':<action taken>' || {_NL} || '  CAPA:' || {ident} || ':<corrective steps>' || {_NL}
-  || '  RESOLVE:' || {ident} || {_NL} || 'Photo: send image, caption=IMG:' || {ident} || ':<note>' || {_NL}
-  || 'Or tap a button below ↓' AS text
-FROM (SELECT *, {_CODES} AS codes FROM alerts)"""
+    line = _fill_sql(K.ALERT_CODE_LINE, {
+        "rank": "(CAST(e.rank AS VARCHAR))", "testcode": "(e.testcode)", "process": "(e.process)",
+        "failed": "(CAST(COALESCE(e.failed_units, e.failed) AS VARCHAR))",
+        "total": "(CAST(COALESCE(e.total_line, e.total) AS VARCHAR))", "rate": "(CAST(e.rate AS VARCHAR))"})
+    block = (f"(CASE WHEN COALESCE(len(codes), 0) > 0 THEN array_to_string(list_transform(codes, lambda e: {line}), '') "
+             f"ELSE {_fill_sql(K.ALERT_NO_CODES, {})} END)")
+    text = _fill_sql(K.ALERT_MESSAGE, {
+        "bar": K.ALERT_BAR, "rule": K.ALERT_RULE, "line": "(line)", "station": "(station)",
+        "rate": "(CAST(line_failure_rate AS VARCHAR))", "threshold": K.FAILURE_THRESHOLD,
+        "failed": "(CAST(failed_tests AS VARCHAR))", "total": "(CAST(total_tests AS VARCHAR))",
+        "window": K.WINDOW_MINUTES, "id": "(CAST(id AS VARCHAR))", "time": Q.ASOF, "sla": K.SLA_HOURS,
+        "codes": block})
+    return _base_ctes() + f"SELECT id AS alert_id, {text} AS text FROM (SELECT *, {_CODES} AS codes FROM alerts)"
 
 
 ORACLES = {

@@ -63,6 +63,44 @@ SHIFT_PRESETS = {"Day": ("00:00:00", "23:59:00"),
                  "AM": ("06:00:00", "14:00:00"),
                  "PM": ("14:00:00", "22:00:00")}
 
+# Notification and view texts (fixed layout of the reproduced messages).
+# ``{name}`` fields are filled per alert; ``{bar}`` / ``{rule}`` are the
+# 40-character separators; ``{codes}`` is the block of ranked codes.
+ALERT_MESSAGE = (
+    "⚠️  LINE FAILURE ALERT\n"
+    "{bar}\n"
+    "Line         : {line}\n"
+    "Station      : {station}\n"
+    "Failure Rate : {rate}%   (threshold >{threshold}%)\n"
+    "Failed/Total : {failed}/{total}  (last {window}min, dedup by unit)\n"
+    "Alert ID     : #{id}\n"
+    "Time         : {time}\n"
+    "SLA          : {sla}h\n"
+    "{rule}\n"
+    "🔴 Top Failed Test Codes:\n"
+    "{codes}"
+    "{rule}\n"
+    "Reply with:\n"
+    "  RCA:{id}:<root cause>\n"
+    "  ACTION:{id}:<action taken>\n"
+    "  CAPA:{id}:<corrective steps>\n"
+    "  RESOLVE:{id}\n"
+    "Photo: send image, caption=IMG:{id}:<note>\n"
+    "Or tap a button below ↓"
+)
+ALERT_BAR = "═" * 40
+ALERT_RULE = "─" * 40
+ALERT_CODE_LINE = ("\n  {rank}. TestCode : {testcode}\n     Process  : {process}\n"
+                   "     Failed   : {failed}/{total} ({rate}%)\n")
+ALERT_NO_CODES = "\n  (no testcode data in window)\n"
+OPEN_VIEW_CODE_LINE = "\n    {rank}. {testcode} {rate}% ({failed}/{total})"
+SLA_BREACH = "🔴 SLA BREACH"
+SLA_AGE = "{age}m/{sla}m"
+NOT_FILLED = "❌ not filled"
+DASH = "—"
+ICON_WITHIN_SLA = "✅"
+ICON_SLA_BREACHED = "🔴"
+
 # Alerting defaults.
 FAILURE_THRESHOLD = 3.0
 MIN_SAMPLES = 5
