@@ -65,40 +65,39 @@ def alert_counts(alerts: DataFrame) -> DataFrame:
 
 def top_codes(latest: DataFrame, k: int = K.TOP_N_TESTCODES) -> DataFrame:
     """A33 + P11 + W4: per line, the ``k`` (primary code, process) pairs with
-    most failed units; rate against all units of the line (1 place)."""
-    failed = latest.where(C.alert_failed() & F.col("failed_testcode").isNotNull()
-                          & (F.trim(F.col("failed_testcode")) != ""))
-    per_code = (failed.withColumn("code", C.primary_code())
-                .groupBy("line", "code", "process")
-                .agg(F.count(F.lit(1)).alias("failed_units")))
-    w = Window.partitionBy("line").orderBy(F.col("failed_units").desc(),
-                                           F.col("code").asc_nulls_last(),
+    most failed units; rate against all units of the line (1 place).
+
+    One aggregate over the rows: qualifying failed rows group by (line, code,
+    process), every other row by its line alone; the line total is a window
+    over that small result."""
+    q = (C.alert_failed() & F.col("failed_testcode").isNotNull()
+         & (F.trim(F.col("failed_testcode")) != ""))
+    g = (latest.groupBy("line", q.alias("_q"), F.when(q, C.primary_code()).alias("code"),
+                        F.when(q, F.col("process")).alias("process"))
+         .agg(F.count(F.lit(1)).alias("_n")))
+    g = g.withColumn("total_line", F.sum("_n").over(Window.partitionBy("line")).cast("long"))
+    w = Window.partitionBy("line").orderBy(F.col("_n").desc(), F.col("code").asc_nulls_last(),
                                            F.col("process").asc_nulls_last())
-    ranked = per_code.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    totals = latest.groupBy("line").agg(F.count(F.lit(1)).alias("total_line"))
-    return (ranked.join(totals, ranked["line"].eqNullSafe(totals["line"]), "inner")
-            .select(ranked["line"], "rank",
-                    F.coalesce(F.when(F.col("code") != "", F.col("code")), F.lit("UNKNOWN")).alias("testcode"),
-                    F.coalesce(F.col("process"), F.lit("N/A")).alias("process"),
-                    "failed_units", "total_line",
-                    C.pct("failed_units", "total_line", 1).alias("rate")))
+    ranked = (g.where("_q").withColumn("rank", F.row_number().over(w).cast("long"))
+              .where(F.col("rank") <= k))
+    return ranked.select(
+        "line", "rank",
+        F.coalesce(F.when(F.col("code") != "", F.col("code")), F.lit("UNKNOWN")).alias("testcode"),
+        F.coalesce(F.col("process"), F.lit("N/A")).alias("process"),
+        F.col("_n").alias("failed_units"), "total_line",
+        C.pct("_n", "total_line", 1).alias("rate"))
 
 
 def worst_station(latest: DataFrame) -> DataFrame:
     """Per line the station with most failed units (name breaks ties);
-    the line name itself when the line has no failures."""
-    per_station = (latest.where(C.alert_failed()).groupBy("line", "station")
-                   .agg(F.count(F.lit(1)).alias("failed")))
-    # deterministic tie-break: highest count, then smallest station name
+    the line name itself when the line has no failures. One aggregate over
+    (line, station), then a per-line window over that small result."""
+    g = latest.groupBy("line", "station").agg(F.count_if(C.alert_failed()).cast("long").alias("failed"))
     w = Window.partitionBy("line").orderBy(F.col("failed").desc(), F.col("station").asc_nulls_last())
-    best = per_station.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    best = best.select(F.col("line").alias("_line"), F.col("station").alias("_station"),
-                       F.col("failed").alias("_failed"))
-    lines = latest.select("line").distinct()
-    return (lines.join(best, lines["line"].eqNullSafe(best["_line"]), "left")
-            .select("line",
-                    F.when(F.col("_failed").isNull(), F.col("line")).otherwise(F.col("_station")).alias("station"),
-                    F.coalesce(F.col("_failed"), F.lit(0)).cast("long").alias("failed")))
+    best = g.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    return best.select("line",
+                       F.when(F.col("failed") > 0, F.col("station")).otherwise(F.col("line")).alias("station"),
+                       "failed")
 
 
 def diagnostics(facts: DataFrame, latest: DataFrame, asof: str, window_minutes: int,

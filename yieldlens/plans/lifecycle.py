@@ -10,6 +10,7 @@ from .. import schemas as K
 from ..operators import alerting as A
 from ..operators import lifecycle as L
 from ..operators.dedup import latest_per_track
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from . import common as Q
 from .common import with_ctes
@@ -17,7 +18,11 @@ from .common import with_ctes
 
 def _state(s, d):
     facts = Q.facts(s, d)
-    alerts_x = fx.alert_state(facts)
+    # the alert state is small (lines x days) and used by every branch of the
+    # lifecycle plans: materialise it once (reliable checkpoint) instead of
+    # re-deriving it from the facts in each branch
+    checkpoint_dir(s)
+    alerts_x = fx.alert_state(facts).checkpoint(eager=True)
     alerts = alerts_x.drop("_day")
     return facts, alerts_x, alerts, L.evolve(fx.repair_state(alerts_x), K.REPAIR_ACTIONS)
 
@@ -58,9 +63,14 @@ def _close_all(part):
     return run
 
 
+def _latest(s, facts):
+    # W1 once (E2): the deduplicated window feeds rates, codes and stations
+    return latest_per_track(facts, Q.ASOF, Q.WINDOW).checkpoint(eager=True)
+
+
 def _open_alerts(s, d):
     facts, _, alerts, repairs = _state(s, d)
-    latest = latest_per_track(facts, Q.ASOF, Q.WINDOW)
+    latest = _latest(s, facts)
     rates = A.line_rates(latest, Q.MIN_SAMPLES, Q.THRESHOLD, Q.TOP_LINES)
     new_alerts, _ = L.open_alerts(rates, A.top_codes(latest, Q.TOP_CODES), A.worst_station(latest),
                                   alerts, repairs, Q.ASOF)
@@ -69,7 +79,7 @@ def _open_alerts(s, d):
 
 def _open_repairs(s, d):
     facts, _, alerts, repairs = _state(s, d)
-    latest = latest_per_track(facts, Q.ASOF, Q.WINDOW)
+    latest = _latest(s, facts)
     rates = A.line_rates(latest, Q.MIN_SAMPLES, Q.THRESHOLD, Q.TOP_LINES)
     return L.open_alerts(rates, A.top_codes(latest, Q.TOP_CODES), A.worst_station(latest),
                          alerts, repairs, Q.ASOF)[1]
