@@ -161,37 +161,42 @@ FROM events
 RAW_SOURCES = ["watchdog", "poll", "rescan", "startup"]
 
 
+def _raw_exprs() -> tuple[list[str], list[str]]:
+    """Spark SQL expressions of the raw-file fixture (one call per step)."""
+    code = "coalesce(failed_testcode, '')"
+    tm = ("CASE WHEN event_id % 2 = 0 THEN date_format(ts, 'MM/dd/yy HH:mm:ss') "
+          "ELSE date_format(ts, 'M/d/yyyy H:mm:ss') END")
+    fields = ["'TH4'", "coalesce(track_id, '')", "concat('S', CAST(event_id AS STRING))", tm, "process",
+              "coalesce(station, '')", "'X6'", "'X7'", "'X8'", "status", "'N/A'", "''",
+              f"CASE WHEN event_id % 3 = 0 THEN {code} ELSE '' END", "''",
+              f"CASE WHEN event_id % 3 = 0 THEN '' ELSE {code} END", "'REL.1_2_3'", "'X16'",
+              "model", "'X18'", "'X19'"]
+    th4 = "concat_ws(',', " + ", ".join(fields) + ")"
+    eol = "(CASE WHEN event_id % 2 = 1 THEN '\\r\\n' ELSE '\\n' END)"
+    short = "concat('TH4,', coalesce(track_id, ''), ',a,b,c,d,e,f,g,h')"
+    content = (f"concat('HDR,', CAST(event_id AS STRING), {eol}, "
+               f"CASE WHEN event_id % 37 = 0 THEN concat({short}, {eol}) ELSE '' END, "
+               f"CASE WHEN event_id % 31 = 0 THEN '' ELSE concat({th4}, {eol}) END)")
+    src = ("CASE event_id % 4 WHEN 0 THEN 'watchdog' WHEN 1 THEN 'poll' WHEN 2 THEN 'rescan' "
+           "ELSE 'startup' END")
+    first = [
+        "event_id",
+        "concat('ic_', coalesce(trim(track_id), ''), '_', CAST(event_id AS STRING), '.rslt') AS filename",
+        f"CASE WHEN event_id % 211 = 0 THEN CAST(NULL AS STRING) ELSE {content} END AS content",
+        f"{src} AS source", "ts AS file_mtime",
+        "explode(CASE WHEN event_id % 50 = 0 THEN array(0, 1) ELSE array(0) END) AS copy",
+    ]
+    second = [
+        "event_id * 2 + copy AS file_id", "filename", "content",
+        "CASE WHEN copy = 1 THEN 'rescan' ELSE source END AS source",
+        "CASE WHEN copy = 1 THEN file_mtime + INTERVAL 1 SECOND ELSE file_mtime END AS file_mtime",
+    ]
+    return first, second
+
+
 def raw_files_from_events(ev: DataFrame) -> DataFrame:
-    lg = log_data_from_events(ev, keep=("event_id", "ts"))
-    i, d = F.col("event_id"), F.col("ts")
-    eol = F.when(i % 2 == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
-    code = F.coalesce(F.col("failed_testcode"), F.lit(""))
-    tm = F.when(i % 2 == 0, F.date_format(d, "MM/dd/yy HH:mm:ss")).otherwise(F.date_format(d, "M/d/yyyy H:mm:ss"))
-    fields = [F.lit("TH4"), F.coalesce(F.col("track_id"), F.lit("")), F.concat(F.lit("S"), i.cast("string")),
-              tm, F.col("process"), F.coalesce(F.col("station"), F.lit("")), F.lit("X6"), F.lit("X7"),
-              F.lit("X8"), F.col("status"), F.lit("N/A"), F.lit(""),
-              F.when(i % 3 == 0, code).otherwise(F.lit("")), F.lit(""),
-              F.when(i % 3 == 0, F.lit("")).otherwise(code), F.lit("REL.1_2_3"), F.lit("X16"),
-              F.col("model"), F.lit("X18"), F.lit("X19")]
-    th4 = F.concat_ws(",", *fields)
-    short = F.concat(F.lit("TH4,"), F.coalesce(F.col("track_id"), F.lit("")), F.lit(",a,b,c,d,e,f,g,h"))
-    content = F.concat(F.lit("HDR,"), i.cast("string"), eol,
-                       F.when(i % 37 == 0, F.concat(short, eol)).otherwise(F.lit("")),
-                       F.when(i % 31 == 0, F.lit("")).otherwise(F.concat(th4, eol)))
-    name = F.concat(F.lit("ic_"), F.coalesce(F.trim(F.col("track_id")), F.lit("")), F.lit("_"),
-                    i.cast("string"), F.lit(".rslt"))
-    base = lg.select(
-        i.alias("event_id"), name.alias("filename"),
-        F.when(i % 211 == 0, F.lit(None).cast("string")).otherwise(content).alias("content"),
-        F.element_at(F.array(*[F.lit(x) for x in RAW_SOURCES]), (i % 4 + 1).cast("int")).alias("source"),
-        d.alias("file_mtime"))
-    copies = F.when(i % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    out = base.select("*", F.explode(copies).alias("copy"))
-    return out.select(
-        (F.col("event_id") * 2 + F.col("copy")).alias("file_id"), "filename", "content",
-        F.when(F.col("copy") == 1, F.lit("rescan")).otherwise(F.col("source")).alias("source"),
-        F.when(F.col("copy") == 1, F.col("file_mtime") + F.expr("INTERVAL 1 SECOND"))
-         .otherwise(F.col("file_mtime")).alias("file_mtime"))
+    first, second = _raw_exprs()
+    return log_data_from_events(ev, keep=("event_id", "ts")).selectExpr(*first).selectExpr(*second)
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
