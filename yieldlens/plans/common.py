@@ -7,9 +7,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.frames import single_row  # noqa: F401
 from ..session import tune_for_parsing
 from ..sources import fixtures as fx
 

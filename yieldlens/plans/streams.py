@@ -6,8 +6,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from .. import schemas as K
 from ..session import checkpoint_dir, tune_for_parsing
 from ..sources import fixtures as fx
