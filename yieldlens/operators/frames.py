@@ -17,8 +17,9 @@ def single_row(*frames: DataFrame) -> DataFrame:
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row of ``df``: an
-    equi-join on a constant key with the one-row side broadcast (its size is
-    one row by construction, so the broadcast is bounded)."""
-    return (df.withColumn("_one", F.lit(0))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one").drop("_one"))
+    """Add the columns of a one-row aggregate to every row of ``df`` as a
+    scalar subquery (evaluated once, no join of any kind). The columns are
+    packed into one struct so the aggregate runs a single time."""
+    packed = one_row.select(F.struct(*one_row.columns).alias("_one")).scalar()
+    return df.select("*", packed.alias("_one")).select(
+        *[F.col(c) for c in df.columns], *[F.col(f"_one.{c}").alias(c) for c in one_row.columns])
