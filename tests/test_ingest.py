@@ -164,3 +164,20 @@ def test_hot_file_name_and_hot_track(spark):
     assert len(hot) == 1 and latest.count() == 601
     assert hot[0].id == max(i for i in range(300) if (10 + i % 10, i % 60) == max((10 + j % 10, j % 60)
                                                                                for j in range(300)))
+
+
+def test_size_setting_parse():
+    assert fx._bytes("134217728") == 134217728 and fx._bytes("128m") == 128 << 20 and fx._bytes("1g") == 1 << 30
+
+
+def test_dedup_stream_within_watermark(spark, tmp_path):
+    src = tmp_path / "staged"
+    rows = [("a.rslt", "x", dt.datetime(2024, 1, 1, 10)), ("a.rslt", "y", dt.datetime(2024, 1, 1, 10, 5)),
+            ("b.rslt", "z", dt.datetime(2024, 1, 1, 10, 6))]
+    spark.createDataFrame(rows, "filename string, content string, file_mtime timestamp_ntz").write.parquet(str(src))
+    stream = spark.readStream.schema("filename string, content string, file_mtime timestamp_ntz").parquet(str(src))
+    q = (SI.dedup_stream(stream, "1 day").writeStream.format("memory").queryName("dedup_stream_test")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(r.filename for r in spark.sql("SELECT * FROM dedup_stream_test").collect())
+    assert got == ["a.rslt", "b.rslt"]

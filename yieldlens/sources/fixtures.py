@@ -22,10 +22,17 @@ def input_splits(spark: SparkSession, path: str) -> int:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
     size = fs.getContentSummary(hpath).getLength()
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728").rstrip("b"))
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
     return max(1, -(-size // split))
 
 
+def _bytes(text: str) -> int:
+    """'134217728', '128m', '128MB' -> bytes."""
+    t = text.strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
+    return int(float(t[:-1] if mult > 1 else t) * mult)
+
+
 def spread(df: DataFrame, path: str) -> DataFrame:
     """Spread an input that the scan cannot split into as many partitions as
     the cluster has task slots (e.g. one small file) round-robin over the
