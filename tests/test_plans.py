@@ -17,7 +17,7 @@ def _executed_plan(df) -> str:
 
 @pytest.mark.parametrize("name", ["lines_above_threshold", "track_classes_span", "failure_hierarchy",
                                   "hourly_gap", "route_outcomes", "test_kpis", "code_detail",
-                                  "top_testcodes", "worst_station"])
+                                  "top_testcodes", "worst_station", "track_kpis"])
 def test_single_scan_of_the_input(spark, name):
     df = entry.queries()[name](spark, SF)
     df.write.format("noop").mode("overwrite").save()

@@ -117,3 +117,15 @@ def test_map_columns_by_name(spark, facts_df):
     prep = prepare(df, "span", columns={"test_station": "station", "proc": "process"})
     r = prep.first()
     assert (r.station, r.process) == ("L1-S1", "L2AR")       # by name, not by position (Q1)
+
+
+def test_track_kpis_one_pass_equals_two_step(spark):
+    prep = prepare(fx.log_data(spark, "/root/testdata/sf0.001"), "span")
+    spec = FilterSpec(profile="span", line=["L0", "L1"])
+    two = {r.overall_status: tuple(r) for r in
+           TR.kpis(TR.classify_by_span(spec.apply(prep)), prep).select(
+               "overall_status", "tracks", "total_tracks", "all_tracks", "pct").collect()}
+    one = {r.overall_status: tuple(r) for r in
+           TR.kpis_one_pass(prep, spec.predicate()).select(
+               "overall_status", "tracks", "total_tracks", "all_tracks", "pct").collect()}
+    assert one == two

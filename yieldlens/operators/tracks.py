@@ -134,3 +134,29 @@ def span_histogram(classes: DataFrame, bins: int = 30,
             .select("bucket", (F.col("_mn") + (F.col("bucket") - 1) * width).alias("bin_start"),
                     (F.col("_mn") + F.col("bucket") * width).alias("bin_end"), "tracks",
                     F.lit(float(threshold)).alias("ntf_threshold")))
+
+
+def kpis_one_pass(rows: DataFrame, predicate: Column, max_span: float = K.SPAN_LIMIT_TRACKS) -> DataFrame:
+    """A19 in one pass over the unfiltered rows: every per-track aggregate is
+    conditioned on the filter ``predicate`` (so the classes equal
+    ``classify_by_span`` of the filtered rows), and the unfiltered distinct
+    track count comes from the same aggregate. Same columns as ``kpis``."""
+    from pyspark.sql import Window
+    keep = F.coalesce(predicate, F.lit(False))
+    f = keep & F.col("failed")
+    g = (_tracked(rows).groupBy("track_id")
+         .agg(F.bool_or(keep).alias("_in"), F.count_if(f).cast("long").alias("failure_count"),
+              _span_minutes(F.min(F.when(f, F.col("event_ts"))),
+                            F.max(F.when(f, F.col("event_ts")))).alias("failure_span_min")))
+    status = (F.when(~F.col("_in"), F.lit(None))
+              .when(F.col("failure_count") == 0, K.PASSED)
+              .when(F.col("failure_count") == 1, K.FAILED)
+              .when(F.col("failure_span_min") <= F.lit(float(max_span)), K.NTF)
+              .otherwise(K.REAL_FAIL))
+    per = g.groupBy(status.alias("overall_status")).agg(F.count(F.lit(1)).alias("tracks"))
+    everything = Window.partitionBy()     # at most five rows: four classes + "not in filter"
+    out = per.select("*", F.sum(F.when(F.col("overall_status").isNotNull(), F.col("tracks")))
+                     .over(everything).cast("long").alias("total_tracks"),
+                     F.sum("tracks").over(everything).cast("long").alias("all_tracks"))
+    return (out.where(F.col("overall_status").isNotNull())
+            .withColumn("pct", C.pct("tracks", "total_tracks", 2)))

@@ -24,7 +24,9 @@ def _pattern_view(s, d):
 
 
 def _kpis(s, d):
-    return TR.kpis(_span_classes(s, d), prepare(Q.facts(s, d), "span"))
+    # one pass: classes of the filtered rows and the unfiltered track count
+    return TR.kpis_one_pass(prepare(Q.facts(s, d), "span"), FL.FilterSpec(profile="span").predicate(),
+                            K.SPAN_LIMIT_TRACKS)
 
 
 def _matrix(status):
