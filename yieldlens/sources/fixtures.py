@@ -15,15 +15,21 @@ from pyspark.sql import functions as F
 ASOF = "2024-01-30 23:59:59"
 
 
-def input_splits(spark: SparkSession, path: str) -> int:
-    """Estimated scan splits of a path from its size on the file system
-    (one metadata call; nothing is read)."""
+SPREAD_MAX_BYTES = 1 << 30   # inputs up to 1 GB may be spread; larger ones never are
+
+
+def input_size(spark: SparkSession, path: str) -> int:
+    """Bytes under a path (one file-system metadata call; nothing is read)."""
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getContentSummary(hpath).getLength()
+    return fs.getContentSummary(hpath).getLength()
+
+
+def input_splits(spark: SparkSession, path: str) -> int:
+    """Estimated scan splits of a path from its size on the file system."""
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
-    return max(1, -(-size // split))
+    return max(1, -(-input_size(spark, path) // split))
 
 
 def _bytes(text: str) -> int:
@@ -34,18 +40,20 @@ def _bytes(text: str) -> int:
 
 
 def spread(df: DataFrame, path: str) -> DataFrame:
-    """Spread an input that the scan cannot split into as many partitions as
-    the cluster has task slots (e.g. one small file) round-robin over the
-    slots. Inputs large enough to be split by the scan itself are returned
-    unchanged, so no shuffle is ever added for big data; filters and column
-    pruning still reach the scan below the repartition."""
+    """Spread a small input that the scan cannot split across the task
+    slots (e.g. one file of one row group) round-robin. Only inputs of at
+    most ``SPREAD_MAX_BYTES`` that give fewer splits than slots are spread,
+    so the added shuffle is always small; anything bigger keeps the scan's
+    own partitioning. Filters and column pruning still reach the scan below
+    the repartition."""
     spark = df.sparkSession
     try:
         slots = spark.sparkContext.defaultParallelism
+        size = input_size(spark, path)
         splits = input_splits(spark, path)
     except Exception:  # noqa: BLE001 - no JVM handle (remote session): leave the scan as is
         return df
-    if splits < slots:
+    if size <= SPREAD_MAX_BYTES and splits < slots:
         return df.repartition(slots)
     return df
 
