@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from yieldlens.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def _executed_plan(df) -> str:
                                   "hourly_gap", "route_outcomes", "test_kpis", "code_detail",
                                   "top_testcodes", "worst_station", "track_kpis"])
 def test_single_scan_of_the_input(spark, name):
-    df = entry.queries()[name](spark, SF)
+    df = registry.queries()[name](spark, SF)
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # the events table is read once (routing reads its checkpointed narrow rows instead)
@@ -27,15 +27,15 @@ def test_single_scan_of_the_input(spark, name):
 
 
 def test_scans_are_pruned(spark):
-    plan = entry.queries()["lines_above_threshold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = registry.queries()["lines_above_threshold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert schemas and all("props" not in s and "value" not in s for s in schemas)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_cartesian_product_or_python_udf(spark, name):
     if name.startswith("stream_"):
         pytest.skip("streaming queries return the table they wrote")
-    plan = _executed_plan(entry.queries()[name](spark, SF))
+    plan = _executed_plan(registry.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
