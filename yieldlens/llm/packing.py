@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .tokens import WordTokenizer
+from .tokens import word_tokenizer
 
 TIERS = (2048, 1024, 512, 256)
 POOL = 2_000_000         # tokens packed together
@@ -167,7 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     end = END_ID.to_bytes(4, "little")
 
     def run(batches):
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = word_tokenizer(tokenizer_path)
         base = TaskContext.get().partitionId() << 33
         pool: list[tuple] = []                               # (doc_id, id bytes, tokens of the document, ids before)
         held = sequences = groups = 0
