@@ -25,7 +25,7 @@ columns of its input, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,12 @@ class _Symbols(dict):
         return symbol
 
 
+@lru_cache(maxsize=1)
+def _worker_symbols() -> _Symbols:
+    """One per worker process, so it serves the tasks that follow."""
+    return _Symbols()
+
+
 def symbols(text: str | None, seen: _Symbols) -> np.ndarray:
     words = (text or "").split()
     out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
@@ -211,7 +217,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     """doc_id, item_id, edits, similarity, end_word: a row per document id and item that its text holds."""
     def searcher(block: Items):
         def run(batches):
-            seen = _Symbols()
+            seen = _worker_symbols()
             for batch in batches:
                 ids, out = batch.column(0).to_pylist(), []
                 for first, words in _batches(batch.column(1).to_pylist(), seen):
@@ -240,7 +246,7 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, min
 
     def keeper(block: Items):
         def run(batches):
-            seen = _Symbols()
+            seen = _worker_symbols()
             for batch in batches:
                 stays = np.ones(batch.num_rows, bool)
                 for first, words in _batches(batch.column(at).to_pylist(), seen):

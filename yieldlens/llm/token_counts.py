@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,12 @@ class Counter:
         return [sum(lengths[k:k + LEAF]) for k in at], [sum(counts[k:k + LEAF]) for k in at]
 
 
+@lru_cache(maxsize=1)
+def counter_of(ranks_path: str) -> Counter:
+    """One per worker process, so its cache serves the tasks that follow."""
+    return Counter(ranks_path)
+
+
 class Tree:
     """Leaves under binary nodes that hold the sums of their code points and tokens."""
 
@@ -164,7 +171,7 @@ _TREE = "doc_id long, chars long, tokens long, leaf_chars array<int>, leaf_token
 def build(docs: DataFrame, ranks_path: str) -> DataFrame:
     """The tree of every document: doc_id, chars, tokens, leaf_chars, leaf_tokens."""
     def run(batches: Iterator[pa.RecordBatch]):
-        counter = Counter(ranks_path)
+        counter = counter_of(ranks_path)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -196,7 +203,7 @@ def apply_edits(docs: DataFrame, edits: Column, ranks_path: str, trees: bool = F
         fields += [("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32()))]
 
     def run(batches):
-        counter = Counter(ranks_path)
+        counter = counter_of(ranks_path)
         for batch in batches:
             out = []
             for doc_id, text, changes, chars, tokens in zip(*(c.to_pylist() for c in batch.columns)):
