@@ -120,6 +120,7 @@ class Items:
             if len(w) >= min_words:
                 self.ids.append(item_id)
                 self.words.append(w)
+        self.plain = [w.tolist() for w in self.words]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
         self.stride, self.walks, self.tables = stride, Walks(), []
         pad = np.zeros(STEPS + 1, np.uint64)
@@ -176,7 +177,7 @@ class Items:
             first = int(firsts[doc])
             lo, hi = max(begin - 2 * most, first), min(begin + n + 2 * most, first + len(docs[doc]))
             text = words[lo:hi]
-            if len(text) < n - most or np.isin(self.words[item], text).sum() < n - most:
+            if sum(map(set(text.tolist()).__contains__, self.plain[item])) < n - most:
                 continue
             edits, end = edit_distance(self.words[item], text, most)
             if edits <= most and edits < best.get((doc, item), (most + 1, 0))[0]:
