@@ -45,7 +45,7 @@ READS = 8                # words that an item's suffix must have for a walk
 BLOCK_WORDS = 400_000
 CHUNK = 400_000          # words whose windows are embedded at a time
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‘’–—…"
-_CACHE = 500_000
+_CACHE = 300_000
 
 
 class _Symbols(dict):

@@ -32,7 +32,7 @@ from .common import arrow_map
 
 LEAF = 64                # pre-tokens a leaf
 REACH = 3                # code points after a pre-token's end that can decide it
-CACHE = 600_000
+CACHE = 400_000
 # Fixed value: the pre-token pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 800_000          # texts remembered, of words and of pieces
+CACHE = 500_000          # texts remembered, of words and of pieces
 # lower-case letters up to U+024F, whose category and case are settled, with a tail of ASCII marks but "'"
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
 # a full stop or comma beside another mark: they are encoded together
