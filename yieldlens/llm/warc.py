@@ -112,7 +112,7 @@ def central_directory(file) -> tuple[int, int, int]:
     """(offset, bytes, entries) of the central directory, from the end record or its ZIP64 form."""
     tail_at = max(0, file.size - 65557)                      # the end record and the longest comment
     tail = file.read(tail_at, file.size - tail_at)
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))     # room for the record's 22 bytes
     while at >= 0 and struct.unpack_from("<H", tail, at + 20)[0] != len(tail) - at - 22:
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
