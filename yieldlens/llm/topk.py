@@ -35,6 +35,8 @@ SCALE = 64
 QUERY_BLOCK = 4096       # query rows sent to the tasks at once
 HEAD = 2048              # longest vectors that set the first k-th best scores
 STEP = 1024              # candidates met at a time
+QUERIES = 1024           # and queries
+LEAD = 0.9               # share of the mass in the partial sums
 EXACT = 1 << 52          # inner products below it are exact in double precision
 
 
@@ -59,8 +61,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def rotation(ints: DataFrame, dim: int) -> np.ndarray:
-    """Right singular vectors of the table, strongest first (dim x dim)."""
+def rotation(ints: DataFrame, dim: int) -> tuple[np.ndarray, int]:
+    """Right singular vectors of the table, strongest first (dim x dim), and how many of them
+    hold LEAD of its mass."""
     def gram(batches):
         total = np.zeros((dim, dim))
         for batch in batches:
@@ -74,28 +77,36 @@ def rotation(ints: DataFrame, dim: int) -> np.ndarray:
     m = np.zeros((dim, dim))
     for r in sums:                                            # dim rows of dim numbers
         m[r["i"]] = r["row"]
-    return np.linalg.eigh(m)[1][:, ::-1].copy()
+    values, turn = np.linalg.eigh(m)
+    mass = np.cumsum(np.maximum(values[::-1], 0))
+    return turn[:, ::-1].copy(), int(np.searchsorted(mass, LEAD * mass[-1])) + 1
 
 
 class QueryBlock:
     """Integer queries, their rotated forms and their k-th best scores so far."""
 
-    def __init__(self, ids: np.ndarray, ints: np.ndarray, turn: np.ndarray, k: int):
-        self.ids, self.ints, self.turn, self.k = ids, ints, turn, k
-        self.first = max(1, len(turn) // 2)                  # rotated coordinates in the partial sum
+    def __init__(self, ids: np.ndarray, ints: np.ndarray, turn: np.ndarray, first: int):
+        self.ids, self.ints, self.turn, self.first = ids, ints, turn, first
         rotated = ints @ turn
-        self.lead = rotated[:, :self.first]
-        self.rest = np.linalg.norm(rotated[:, self.first:], axis=1)
+        self.lead = rotated[:, :first]                       # the partial sum's coordinates
+        self.rest = np.linalg.norm(rotated[:, first:], axis=1)
         self.norm = np.linalg.norm(rotated, axis=1)
         self.largest = int(np.abs(ints).max(initial=0))
         self.floor = np.full(len(ids), -np.inf)
 
-    def products(self, rows: np.ndarray, ints: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        """Exact scores of the pairs (rows, cols)."""
-        bound = self.largest * int(np.abs(ints).max(initial=0)) * ints.shape[1]
-        if bound < EXACT:
-            return np.einsum("ij,ij->i", self.ints[rows].astype(float), ints[cols].astype(float)).astype(np.int64)
-        return np.einsum("ij,ij->i", self.ints[rows], ints[cols])
+    def products(self, rows: np.ndarray, ints: np.ndarray) -> np.ndarray:
+        """Exact scores of these queries with all of ``ints``."""
+        if self.largest * int(np.abs(ints).max(initial=0)) * ints.shape[1] < EXACT:
+            return self.ints[rows].astype(float) @ ints.T.astype(float)
+        return self.ints[rows] @ ints.T
+
+    def start(self, ids: np.ndarray, ints: np.ndarray, k: int) -> None:
+        """Sets the k-th best scores that these candidates alone give."""
+        for lo in range(0, len(self.ids) if len(ids) > k else 0, QUERIES):
+            rows = np.arange(lo, min(lo + QUERIES, len(self.ids)))
+            scores = self.products(rows, ints).astype(float)
+            scores[self.ids[rows, None] == ids] = -np.inf
+            self.floor[rows] = np.nextafter(np.partition(scores, -k, axis=1)[:, -k], -np.inf)
 
     def meet(self, best: "Best", ids: np.ndarray, ints: np.ndarray, norms: np.ndarray) -> bool:
         """Scores the candidates (descending length) that can count; False if none of
@@ -106,38 +117,50 @@ class QueryBlock:
             return False
         rotated = ints @ self.turn
         rest = np.linalg.norm(rotated[:, self.first:], axis=1)
-        bound = self.lead[live] @ rotated[:, :self.first].T + np.outer(self.rest[live], rest)
-        r, cols = np.nonzero(bound + slack[live, None] >= self.floor[live, None])
-        rows = live[r]
-        other = ids[cols] != self.ids[rows]
-        rows, cols = rows[other], cols[other]
-        for lo in range(0, len(rows), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
-            best.add(rows[part], ids[cols[part]], self.products(rows[part], ints, cols[part]))
+        for lo in range(0, len(live), QUERIES):
+            rows = live[lo:lo + QUERIES]
+            bound = self.lead[rows] @ rotated[:, :self.first].T
+            bound += np.outer(self.rest[rows], rest)
+            able = bound >= (self.floor - slack)[rows, None]
+            rows, cols = rows[able.any(axis=1)], np.flatnonzero(able.any(axis=0))
+            if not len(rows):
+                continue
+            scores = self.products(rows, ints[cols])
+            r, c = np.nonzero((scores >= self.floor[rows, None]) & (self.ids[rows, None] != ids[cols]))
+            best.add(rows[r], ids[cols[c]], scores[r, c].astype(np.int64))
         self.floor = np.maximum(self.floor, best.kth(len(self.ids)))
         return True
 
 
 class Best:
-    """The k best (score, smaller id first) of each query."""
+    """The k best (score, smaller id first) of each query; newcomers wait until there are many."""
 
     def __init__(self, k: int):
         self.k = k
-        self.rows = self.ids = self.scores = np.zeros(0, np.int64)
+        self.found = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+        self.waiting = 0
 
     def add(self, rows, ids, scores) -> None:
-        rows, ids, scores = (np.concatenate(x) for x in
-                             ((self.rows, rows), (self.ids, ids), (self.scores, scores)))
+        self.found.append((rows, ids, scores))
+        self.waiting += len(rows)
+        if self.waiting > len(self.found[0][0]) + (1 << 16):
+            self.settle()
+
+    def settle(self):
+        rows, ids, scores = (np.concatenate(x) for x in zip(*self.found))
         order = np.lexsort((ids, -scores, rows))
         rows, ids, scores = rows[order], ids[order], scores[order]
         keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < self.k
-        self.rows, self.ids, self.scores = rows[keep], ids[keep], scores[keep]
+        self.found, self.waiting = [(rows[keep], ids[keep], scores[keep])], 0
+        return self.found[0]
 
     def kth(self, queries: int) -> np.ndarray:
+        """The k-th best of those settled; lower than the true one or -inf is fine."""
+        rows, _, scores = self.found[0]
         out = np.full(queries, -np.inf)
-        ends = np.searchsorted(self.rows, np.arange(queries), side="right")
-        full = ends - np.searchsorted(self.rows, np.arange(queries)) == self.k
-        out[full] = self.scores[ends[full] - 1]
+        ends = np.searchsorted(rows, np.arange(queries), side="right")
+        full = ends - np.searchsorted(rows, np.arange(queries)) == self.k
+        out[full] = scores[ends[full] - 1]
         return out
 
 
@@ -154,7 +177,8 @@ def _search(block: QueryBlock, dim: int, k: int):
                 part = slice(lo, lo + STEP)
                 if not block.meet(best, ids[part], ints[part], norms[part]):
                     break
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids[best.rows]), pa.array(best.ids), pa.array(best.scores)],
+        rows, ids, scores = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids[rows]), pa.array(ids), pa.array(scores)],
                                          ["query_id", "vec_id", "score"])
     return run
 
@@ -166,21 +190,20 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
     rows = integer_vectors(vectors, scale).where(F.col("vec_id").isNotNull())
     ints = stored(rows.sortWithinPartitions(F.desc("norm2"), "vec_id"), "topk-vectors")
     dim = ints.agg(F.max(F.size("vec"))).first()[0] or 1
-    turn = rotation(ints, dim)
+    turn, lead = rotation(ints, dim)
     queries = stored(ints.where(is_query).select("vec_id", "vec").distinct()
                      .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))), "topk-queries")
     n = queries.count()
     head = ints.orderBy(F.desc("norm2"), "vec_id").limit(HEAD).collect()           # HEAD rows
+    head_ids, heads = np.array([r["vec_id"] for r in head], np.int64), _padded([r["vec"] for r in head], dim)
     blocks = -(-n * 5 // (4 * QUERY_BLOCK))                  # a fifth of room above the mean block
     found = []
     for b in range(blocks):
         part = queries.where(F.floor(F.col("block") * blocks / (1 << 20)) == b).orderBy("vec_id").collect()
         if not part:
             continue
-        block = QueryBlock(np.array([r["vec_id"] for r in part]), _padded([r["vec"] for r in part], dim), turn, k)
-        first = Best(k)
-        heads = _padded([r["vec"] for r in head], dim)
-        block.meet(first, np.array([r["vec_id"] for r in head]), heads, np.sqrt([r["norm2"] for r in head]))
+        block = QueryBlock(np.array([r["vec_id"] for r in part]), _padded([r["vec"] for r in part], dim), turn, lead)
+        block.start(head_ids, heads, k)
         found.append(arrow_map(ints, _search(block, dim, k), "query_id long, vec_id long, score long"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
