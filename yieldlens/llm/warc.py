@@ -244,7 +244,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(part, schema)
 
     text = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return arrow_map(archives.select("uri").repartition("uri"), run, text + (", payload binary" if payloads else ""))
+    tasks = max(1, archives.count())                         # a number that adaptive execution leaves alone
+    return arrow_map(archives.select("uri").repartition(tasks, "uri"), run, text + (", payload binary" if payloads else ""))
 
 
 def pages_through_archives(pages: DataFrame) -> DataFrame:
