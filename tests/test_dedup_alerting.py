@@ -87,3 +87,12 @@ def test_stored_facts_push_the_window_filter(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in plan or "PartitionFilters: [(event_date" in plan
     base = latest_per_track(fx.log_data(spark, "/root/testdata/sf0.001"), ASOF, 10080)
     assert latest.count() == base.count()
+
+
+def test_rate_equal_to_the_threshold_is_no_alert(spark):
+    from yieldlens.operators import alerting
+    for percent in (7, 14, 28, 55, 56):
+        rows = [("L1", "F" if k < percent else "P") for k in range(100)]
+        latest = spark.createDataFrame(rows, "line string, status string")
+        assert alerting.line_rates(latest, 5, float(percent)).count() == 0
+        assert alerting.line_rates(latest, 5, percent - 0.5).count() == 1

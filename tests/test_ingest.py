@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from yieldlens import schemas as K
 from yieldlens.operators import gaps as G
+from yieldlens.functions import columns as C
 from yieldlens.operators import ingest as I
+from yieldlens.operators.prepare import prepare
 from yieldlens.plans import streams
 from yieldlens.sources import files as SF
 from yieldlens.sources import fixtures as fx
@@ -166,10 +168,6 @@ def test_hot_file_name_and_hot_track(spark):
                                                                                for j in range(300)))
 
 
-def test_size_setting_parse():
-    assert fx._bytes("134217728") == 134217728 and fx._bytes("128m") == 128 << 20 and fx._bytes("1g") == 1 << 30
-
-
 def test_dedup_stream_within_watermark(spark, tmp_path):
     src = tmp_path / "staged"
     rows = [("a.rslt", "x", dt.datetime(2024, 1, 1, 10)), ("a.rslt", "y", dt.datetime(2024, 1, 1, 10, 5)),
@@ -181,3 +179,32 @@ def test_dedup_stream_within_watermark(spark, tmp_path):
     q.awaitTermination()
     got = sorted(r.filename for r in spark.sql("SELECT * FROM dedup_stream_test").collect())
     assert got == ["a.rslt", "b.rslt"]
+
+
+def test_csv_by_name_with_quotes(spark, tmp_path):
+    p = tmp_path / "mqs.csv"
+    p.write_text('Reason,Process,Extra,Track_ID,Date,Time\n"said ""no"",\nthen yes",L2AR,x, T1 ,2024-01-01,10:00:00\n')
+    rows = G.read_reconciliation_csv(spark, str(p)).collect()
+    assert [tuple(r) for r in rows] == [("T1", "L2AR", "", "2024-01-01", "10:00:00", 'said "no",\nthen yes')]
+
+
+def test_second_query_on_the_same_root_adds(spark, tmp_path):
+    from yieldlens.sources.files import read_table
+    root = str(tmp_path / "out")
+    for k in (1, 2):
+        src = str(tmp_path / f"in{k}")
+        rows = [(f"f{k}", f"ic_T{k}_{k}.rslt", "HDR\n" + _th4(track=f"T{k}") + "\n", "watchdog", dt.datetime(2024, 1, k))]
+        spark.createDataFrame(rows, SI.RAW_SCHEMA).write.parquet(src)
+        SI.start_ingest(SI.stream_raw_rows(spark, src), root, str(tmp_path / f"ck{k}"),
+                        trigger={"availableNow": True}, lag_seconds=60).awaitTermination()
+    facts = read_table(spark, root, "log_data")
+    assert sorted(r.track_id for r in facts.collect()) == ["T1", "T2"] and facts.select("id").distinct().count() == 2
+    assert {"id", "event_ts", "event_date"} <= set(facts.columns)
+    assert read_table(spark, root, "no_th4_files").count() == 0            # no rows yet, still a table
+    assert read_table(spark, root, "rescan_tracking").count() == 2         # found long after their modification
+    assert prepare(facts, "span").count() == 2
+
+
+def test_result_time_takes_any_white_space(spark):
+    df = spark.createDataFrame([("01/02/24   10:11:12",), ("01/02/24\t10:11:12",), ("01/02/2410:11:12",)], "t string")
+    assert [r[0] for r in df.select(C.parse_result_time("t")).collect()] == ["2024-01-02 10:11:12"] * 2 + [None]

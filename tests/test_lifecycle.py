@@ -133,5 +133,34 @@ def test_stream_alert_batch_is_replay_safe(spark, tmp_path):
     alert_batch(rates, 0, root)          # replay: same partition rewritten
     alert_batch(rates, 1, root)          # next evaluation: L1 already open
     a = spark.read.parquet(f"{root}/failure_alerts").collect()
-    assert [(r.line, r.alert_sent_at, r.resolved) for r in a] == [("L1", "2024-01-30 12:00:00", 0)]
-    assert spark.read.parquet(f"{root}/repair_actions").count() == 1
+    # every window that the batch closed is evaluated, the older one with its own time
+    assert sorted((r.line, r.alert_sent_at, r.resolved) for r in a) == [("L1", "2024-01-30 12:00:00", 0),
+                                                                        ("L3", "2024-01-30 11:30:00", 0)]
+    assert spark.read.parquet(f"{root}/repair_actions").count() == 2
+
+
+def test_unit_texts_by_like_and_exactly(spark):
+    repairs = _repairs(spark, [(1, None, "ALERT-12abc", "Open"), (2, None, "alert-7", "Open"),
+                               (3, None, "ALERT-007", "Open"), (4, None, "ALERT-8", "Open")])
+    assert {r.id: r.alert_id for r in L.backfill_alert_id(repairs).collect()} == {1: 12, 2: 7, 3: 7, 4: 8}
+    alerts = _alerts(spark, [(7, "L1", "2024-01-30 09:00:00", 0), (8, "L1", "2024-01-30 09:00:00", 0)])
+    links, _ = L.repair_for(alerts, repairs, alerts.select(F.col("id").alias("alert_id")), "2024-01-30 12:00:00")
+    got = {r.alert_id: r.repair_id for r in links.collect()}
+    assert got[8] == 4 and got[7] not in (2, 3)              # only the exact text names the alert
+
+
+def test_media_keeps_the_repair_row_it_points_to(spark):
+    alerts = _alerts(spark, [(3, "L1", "2024-01-30 09:00:00", 0)])
+    events = L.parse_messages(_msgs(spark, [(1, 1, "photo", "#3 a picture"), (2, 2, "photo", "3"), (3, 3, "photo", "ALERT-3")]))
+    media, repairs = L.attach_media(alerts, _repairs(spark, [(10, 99, "x", "Open")]), events, "2024-01-30 12:00:00")
+    ids = {r.id for r in repairs.collect()}
+    assert {r.repair_id for r in media.collect()} <= ids and ids >= {10}
+
+
+def test_history_is_in_order_after_the_join(spark):
+    alerts = _alerts(spark, [(k, "L1", "2024-01-30 09:00:00", 1) for k in range(1, 41)])
+    alerts = alerts.withColumn("resolved_at", F.concat(F.lit("2024-01-30 10:"), F.lpad(F.col("id").cast("string"), 2, "0"),
+                                                       F.lit(":00")))
+    repairs = _repairs(spark, [(k, k, f"ALERT-{k}", "Closed") for k in range(1, 41)])
+    view = L.history_view(alerts.hint("shuffle_merge"), repairs.hint("shuffle_merge"), 20)
+    assert [r.id for r in view.collect()] == list(range(40, 20, -1))

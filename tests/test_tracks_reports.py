@@ -91,9 +91,9 @@ def test_wide_pivots_fill_gaps(spark, facts_df):
     rows = [_r(1, "A", "F", "2024-01-01 10:00:00", model="M1"),
             (2, "UCT", "M2", "L2", "L2-S1", "P", "", "B", "2024-01-01", "00:00:00", "2024-01-01 11:00:00")]
     prep = prepare(facts_df(rows), "tests")
-    wide = {r.model: r.asDict() for r in R.fail_matrix(prep, "model", "line", wide=True).collect()}
+    wide = {r.model: r.asDict() for r in R.fail_matrix(prep, "model", "line", columns=["L1", "L2"]).collect()}
     assert wide["M1"]["L1"] == 100.0 and wide["M1"]["L2"] == 0.0 and wide["M2"]["L1"] == 0.0
-    r2 = {r.model: r.asDict() for r in R.distinct_failed_tracks(prep, wide=True).collect()}
+    r2 = {r.model: r.asDict() for r in R.distinct_failed_tracks(prep, columns=["L2AR"]).collect()}
     assert r2 == {"M1": {"model": "M1", "L2AR": 1}}
 
 
@@ -129,3 +129,13 @@ def test_track_kpis_one_pass_equals_two_step(spark):
            TR.kpis_one_pass(prep, spec.predicate()).select(
                "overall_status", "tracks", "total_tracks", "all_tracks", "pct").collect()}
     assert one == two
+
+
+def test_failed_as_a_word_fails(spark, facts_df):
+    rows = [_r(1, "A", "FAILED", "2024-01-01 10:00:00"), _r(2, "B", "F", "2024-01-01 10:00:00.250"),
+            _r(3, "C", "P", "2024-01-01 11:00:00")]
+    for profile in ("span", "pattern"):
+        prep = prepare(facts_df(rows), profile)
+        assert {r.track_id: r.failed for r in prep.collect()} == {"A": True, "B": True, "C": False}
+        spec = FilterSpec(profile=profile, search="failed")
+        assert sorted(r.track_id for r in spec.apply(prep).collect()) == ["A", "B"]

@@ -77,11 +77,11 @@ def is_testcode(raw) -> Column:
 
 # --- P3 / P9 / P14: time -------------------------------------------------
 
-_ISO_SHAPE = "^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}$"
+_ISO_SHAPE = "^\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2}(\\.\\d{1,6})?$"
 
 
 def parse_iso_ts(text) -> Column:
-    """Strict ``yyyy-MM-dd HH:mm:ss`` (``T`` also accepted as separator) to
+    """Strict ``yyyy-MM-dd HH:mm:ss`` with an optional fraction (``T`` also accepted as separator) to
     TIMESTAMP_NTZ; anything else is null. Zone-independent: no session TZ."""
     t = F.replace(F.trim(col_(text)), F.lit("T"), F.lit(" "))
     return F.when(t.rlike(_ISO_SHAPE), t.try_cast("timestamp_ntz"))
@@ -94,7 +94,7 @@ def normalized_ts_text(ts="timestamp", date="date", time="time") -> Column:
     return F.replace(filled, F.lit("T"), F.lit(" "))
 
 
-_RESULT_TIME = ("^(1[0-2]|0[1-9]|[1-9])/(3[01]|[12]\\d|0[1-9]|[1-9])/(\\d{2}|\\d{4}) "
+_RESULT_TIME = ("^(1[0-2]|0[1-9]|[1-9])/(3[01]|[12]\\d|0[1-9]|[1-9])/(\\d{2}|\\d{4})\\s+"
                 "(2[0-3]|[01]\\d|\\d):([0-5]\\d|\\d):([0-5]\\d|\\d)$")
 
 

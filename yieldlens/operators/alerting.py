@@ -27,7 +27,7 @@ def line_rates(latest: DataFrame, min_samples: int = K.MIN_SAMPLES,
                threshold: float = K.FAILURE_THRESHOLD, k: int = K.TOP_N_LINES) -> DataFrame:
     """Lines with total >= min_samples and rate > threshold (strict),
     highest rate first (line name breaks ties), top ``k``."""
-    raw = F.col("failed").cast("double") / F.col("total") * 100
+    raw = F.col("failed") * 100.0 / F.col("total")
     return (_line_counts(latest)
             .where((F.col("total") >= min_samples) & (raw > threshold))
             .withColumn("_raw", raw)
@@ -43,7 +43,7 @@ def line_status(latest: DataFrame, min_samples: int = K.MIN_SAMPLES,
     ``above`` flag (rounded rate > threshold, as displayed); ``k=10`` is the
     diagnostic variant. With ``alerts`` the open / resolved alert counts are
     attached to every row."""
-    raw = F.col("failed").cast("double") / F.col("total") * 100
+    raw = F.col("failed") * 100.0 / F.col("total")
     out = (_line_counts(latest).where(F.col("total") >= min_samples)
            .withColumn("_raw", raw)
            .withColumn("rate", F.bround("_raw", 2))

@@ -93,10 +93,11 @@ class FilterSpec:
 
 def domains(df: DataFrame) -> DataFrame:
     """F11 values: one row per (dimension, distinct non-null value); long
-    form so no value list is ever gathered into a single row."""
-    parts = [df.select(F.lit(d).alias("dimension"), F.col(d).alias("value"))
-             .where(F.col("value").isNotNull()) for d in DIMENSIONS]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    form so no value list is ever gathered into a single row, sorted, in one
+    scan."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS]))
+    return (df.select(pairs.alias("_p")).select("_p.*").where(F.col("value").isNotNull())
+            .distinct().orderBy("dimension", "value"))
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -109,8 +109,11 @@ def clean_csv(csv: DataFrame) -> DataFrame:
 
 
 def read_reconciliation_csv(spark, path: str) -> DataFrame:
-    """S7 source: header CSV with the six external columns."""
-    return clean_csv(spark.read.csv(path, header=True, schema=K.RECONCILIATION_CSV))
+    """S7 source: the six external columns by header name, in any order among others;
+    a missing column reads ''. Quoted fields may hold quotes ("" for one) and line ends."""
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return clean_csv(raw.select(*[F.col(f"`{f.name}`") if f.name in raw.columns else F.lit("").alias(f.name)
+                                  for f in K.RECONCILIATION_CSV.fields]))
 
 
 def reconcile(csv: DataFrame, facts: DataFrame) -> DataFrame:

@@ -53,26 +53,21 @@ def parse_records(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def route(files: DataFrame, content: str = "content", order: list[str] | None = None,
-          allowed: list[str] | None = None, materialize: bool = True) -> DataFrame:
+          allowed: list[str] | None = None) -> DataFrame:
     """P7 + F8 + ST2: one ``outcome`` per file: INSERT, PROCESS_SKIP, NO_TH4,
     FILE_GONE (text could not be read) or DUPLICATE (the file name was seen
     before, in ``order``; Q16).
 
-    The text is parsed once and dropped; the narrow parsed rows are cut
-    from their lineage with a reliable ``checkpoint`` (``materialize``), so
-    the input is read a single time although two branches use the rows. The
-    first copy of every name is an aggregate (combined map-side, so a name
-    with a huge number of copies is reduced before the shuffle) joined back
-    on the name; AQE splits the join if one name holds many rows."""
+    The text is parsed once and dropped. The first copy of every name is an
+    aggregate over the names and the order columns alone (the text is pruned
+    from that branch; a name with a huge number of copies is reduced before
+    the shuffle), joined back on the name; AQE splits the join if one name
+    holds many rows. Nothing runs before the caller's action."""
     allowed = allowed or K.ALLOWED_PROCESSES
     order = order or ["file_mtime", "file_id"]
     rec = (parse_records(files, content)
            .withColumn("_gone", F.col(content).isNull()).drop(content))
-    if materialize and not rec.isStreaming:
-        from ..session import checkpoint_dir
-        checkpoint_dir(rec.sparkSession)
-        rec = rec.checkpoint(eager=True)
-    first = (rec.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first_key")))
+    first = (files.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first_key")))
     rec = rec.join(first, "filename", "left")
     dup = F.struct(*[F.col(c) for c in order]) != F.col("_first_key")
     outcome = (F.when(dup, K.R_DUPLICATE)
@@ -87,13 +82,13 @@ def route(files: DataFrame, content: str = "content", order: list[str] | None =
             .drop("_first_key", "has_th4", "_gone"))
 
 
-def records(routed: DataFrame) -> DataFrame:
+def records(routed: DataFrame, *more: str) -> DataFrame:
     """The INSERT rows as ``log_data`` columns (``failed_tests`` is stored
-    as ``failed_testcode``)."""
+    as ``failed_testcode``), and ``more`` columns of the routed rows."""
     return (routed.where(F.col("outcome") == K.INSERT)
             .select("filename", "source", "process", "model", "line", "station", "status",
                     F.col("failed_tests").alias("failed_testcode"), "track_id", "date", "time", "timestamp",
-                    "event_ts"))
+                    "event_ts", *more))
 
 
 def skip_log(routed: DataFrame) -> DataFrame:

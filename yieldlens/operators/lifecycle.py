@@ -139,12 +139,20 @@ def evolve(df: DataFrame, schema) -> DataFrame:
 
 
 def backfill_alert_id(repairs: DataFrame) -> DataFrame:
-    """Null ``alert_id`` taken from ``unit_id = 'ALERT-<n>'`` when n > 0."""
-    n = F.when(F.col("unit_id").startswith("ALERT-"), _int_text(F.substring(F.col("unit_id"), 7, 1 << 20)))
+    """Null ``alert_id`` taken from a ``unit_id`` like 'ALERT-<n>' (any case, the number its
+    leading digits) when n > 0."""
+    tail = F.regexp_extract(F.substr(F.col("unit_id"), F.lit(7)), "^\\s*([+-]?\\d+)", 1)
+    n = F.when(F.upper("unit_id").startswith("ALERT-"), tail.try_cast("bigint"))
     return repairs.withColumn("alert_id", F.when(F.col("alert_id").isNull() & (n > 0), n)
                               .otherwise(F.col("alert_id")))
 
 
+def _exact_unit() -> Column:
+    """The alert id of a ``unit_id`` that is exactly 'ALERT-<id>' as ids are written; else null."""
+    return F.when(F.col("unit_id").rlike("^ALERT-(0|-?[1-9]\\d*)$"),
+                  F.substr(F.col("unit_id"), F.lit(7)).try_cast("bigint"))
+
+
 # --- L2: get or create the repair row of an alert ------------------------------
 
 def repair_for(alerts: DataFrame, repairs: DataFrame, alert_ids: DataFrame, asof: str):
@@ -155,7 +163,7 @@ def repair_for(alerts: DataFrame, repairs: DataFrame, alert_ids: DataFrame, asof
         alerts.select(F.col("id").alias("alert_id"), "line", "station"), "alert_id")
     by_alert = (repairs.where(F.col("alert_id").isNotNull()).groupBy("alert_id")
                 .agg(F.max("id").alias("_by_alert")))
-    unit_n = F.when(F.col("unit_id").startswith("ALERT-"), _int_text(F.substring(F.col("unit_id"), 7, 1 << 20)))
+    unit_n = _exact_unit()
     by_unit = (repairs.where(unit_n.isNotNull()).groupBy(unit_n.alias("alert_id"))
                .agg(F.max("id").alias("_by_unit")))
     j = ids.join(by_alert, "alert_id", "left").join(by_unit, "alert_id", "left")
@@ -203,16 +211,18 @@ def apply_responses(alerts: DataFrame, repairs: DataFrame, events: DataFrame, as
         for f in K.REPAIR_ACTIONS.fieldNames()])
 
 
-def attach_media(alerts: DataFrame, repairs: DataFrame, events: DataFrame, asof: str) -> DataFrame:
-    """L4 + P20: media rows of valid photo events, linked to the repair row."""
+def attach_media(alerts: DataFrame, repairs: DataFrame, events: DataFrame, asof: str):
+    """L4 + P20: ``(media, repairs')``: media rows of valid photo events, linked to the repair
+    row, and the repair table with the rows that were attached or created for them."""
     ev = valid_events(events, alerts).where(F.col("action") == "media")
-    links, _ = repair_for(alerts, repairs, ev, asof)
+    links, repairs2 = repair_for(alerts, repairs, ev, asof)
     ev = ev.join(links, "alert_id")
     fname = F.concat(F.lit("alert"), F.col("alert_id").cast("string"), F.lit("_"),
                      F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.col("user"), F.lit(".jpg"))
-    return ev.select(F.col("msg_id").alias("id"), F.col("repair_id").cast("long"), F.col("alert_id").cast("long"),
+    media = ev.select(F.col("msg_id").alias("id"), F.col("repair_id").cast("long"), F.col("alert_id").cast("long"),
                      fname.alias("filepath"), F.col("value").alias("caption"), F.col("user").alias("uploaded_by"),
                      F.lit("image").alias("media_type"), _ts_text(F.col("ts")).alias("uploaded_at"))
+    return media, repairs2
 
 
 def resolve(alerts: DataFrame, repairs: DataFrame, events: DataFrame,
@@ -244,7 +254,7 @@ def resolve(alerts: DataFrame, repairs: DataFrame, events: DataFrame,
         if f == "within_sla" else F.col(f)
         for f in K.FAILURE_ALERTS.fieldNames()])
     # repairs closed by alert id, or by unit ALERT-<id> with no other alert id
-    unit_n = F.when(F.col("unit_id").startswith("ALERT-"), _int_text(F.substring(F.col("unit_id"), 7, 1 << 20)))
+    unit_n = _exact_unit()
     r = repairs.withColumn("_unit", unit_n)
     close = res.select(F.col("alert_id").alias("_cid"), F.col("_rts").alias("_cts"))
     by_id = r.join(close, r["alert_id"] == close["_cid"], "left").select(*r.columns, F.col("_cts").alias("_c1"))
@@ -398,12 +408,13 @@ def history_view(alerts: DataFrame, repairs: DataFrame, k: int = 10) -> DataFram
     top = a.orderBy(F.col("resolved_at").desc(), F.col("id").desc()).limit(k)
     j = top.join(r, top["id"] == r["alert_id"], "left")
     dash = lambda c: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(DASH)).alias(c)
-    return j.select(top["id"].alias("id"), "line", "station", "line_failure_rate", "failed_tests",
+    return (j.select(top["id"].alias("id"), "line", "station", "line_failure_rate", "failed_tests",
                     "total_tests", "alert_sent_at", "resolved_at", "resolution_mins",
                     F.when(F.col("within_sla") == 1, F.lit(K.ICON_WITHIN_SLA))
                     .otherwise(F.lit(K.ICON_SLA_BREACHED)).alias("sla_icon"),
                     dash("failure_description"), dash("rca_text"), dash("action_taken"),
                     dash("capa_text"), dash("engineer_contact"))
+            .orderBy(F.col("resolved_at").desc(), F.col("id").desc()))
 
 
 # --- A35 / A36 -----------------------------------------------------------------------

@@ -4,7 +4,7 @@ Three profiles, one per dashboard of the reproduced system:
 
 * ``tests``   test-level quality (status P/F/Unknown, null tokens cleaned,
               blank code kept as '')
-* ``span``    track classification by failure time span (status Passed/Failed,
+* ``span``    track classification by failure time span (status text F or FAILED fails,
               unknown statuses count as passed, blank code -> MISSING_CODE)
 * ``pattern`` test-level NTF / Real Fail by failure-code words
 
@@ -37,8 +37,8 @@ def _label(profile: str, status: Column, code: Column) -> Column:
         return (F.when(status == "P", K.PASSED).when(status == "F", K.FAILED)
                 .otherwise(K.UNKNOWN))
     if profile == "span":
-        return F.when(status == "F", K.FAILED).otherwise(K.PASSED)
-    failed = F.coalesce(status == "F", F.lit(False))
+        return F.when(status == "FAILED", K.FAILED).otherwise(K.PASSED)
+    failed = F.coalesce(status == "FAILED", F.lit(False))
     return (F.when(~failed, K.PASSED).when(C.ntf_code(code), K.NTF)
             .otherwise(K.REAL_FAIL))
 
@@ -59,6 +59,7 @@ def prepare(facts: DataFrame, profile: str = "tests", columns: dict[str, str] |
         raw_code = F.coalesce(F.col("failed_testcode"), F.lit(""))
         code = F.when(raw_code.isin(*K.CODE_NULL_TOKENS), F.lit(K.MISSING_CODE)).otherwise(raw_code)
         line, station, process = F.col("line"), F.col("station"), F.col("process")
+        status = F.when(status == "P", "PASSED").when(status == "F", "FAILED").otherwise(status)
     ts = C.parse_iso_ts(F.col("timestamp"))
     out = (df.select(
         F.col("id"), F.col("track_id"), model.alias("model"), line.alias("line"),
@@ -70,5 +71,5 @@ def prepare(facts: DataFrame, profile: str = "tests", columns: dict[str, str] |
         F.to_date("event_ts").alias("date"),
         F.hour("event_ts").cast("long").alias("hour"),
         C.micros_of_day("event_ts").alias("tod"),
-        F.coalesce(F.col("status") == "F", F.lit(False)).alias("failed"),
+        F.coalesce(F.col("status") == ("F" if profile == "tests" else "FAILED"), F.lit(False)).alias("failed"),
         _label(profile, F.col("status"), F.col("failed_testcode")).alias("status_display"))

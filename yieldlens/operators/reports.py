@@ -46,7 +46,7 @@ def test_kpis(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     of ``df``. One pass: each KPI is an aggregate conditioned on the filter."""
     keep = F.lit(True) if predicate is None else predicate
     coded = F.col("failed_testcode") != ""
-    f = F.col("status") == "F"
+    f = F.col("failed")
 
     def only(c: Column) -> Column:
         return F.when(keep, c)
@@ -68,35 +68,36 @@ def test_kpis(df: DataFrame, predicate: Column | None = None) -> DataFrame:
 # --- A4 / A5 / A7 / A22 / R1 / R2 ------------------------------------------
 
 def fail_matrix(df: DataFrame, row: str, col: str, cond: Column | None = None,
-                places: int = 1, wide: bool = False) -> DataFrame:
+                places: int = 1, columns: list[str] | None = None) -> DataFrame:
     """Total, matching rows and % per (row, col) cell. ``cond``
-    defaults to status F. ``wide=True`` pivots to one column per ``col``
-    value with gaps 0 (R1)."""
+    defaults to failed rows. ``columns`` names the ``col`` values that get a
+    column each, with gaps 0 (R1)."""
     cond = F.col("failed") if cond is None else cond
     long_ = (_nonnull(df, row, col).groupBy(row, col)
              .agg(F.count(F.lit(1)).alias("total"), _cnt(cond, "fails"))
              .withColumn("fail_pct", C.pct("fails", "total", places)))
-    if not wide:
+    if columns is None:
         return long_
-    return long_.groupBy(row).pivot(col).agg(F.first("fail_pct")).fillna(0)
+    return long_.groupBy(row).pivot(col, columns).agg(F.first("fail_pct")).fillna(0)
 
 
 def league(df: DataFrame, k: int = 15) -> DataFrame:
     """Model-process pairs by failure rate (1 place), top ``k``."""
     g = (_nonnull(df, "model", "process").groupBy("model", "process")
-         .agg(F.count(F.lit(1)).alias("total"), _cnt(F.col("status") == "F", "fails")))
+         .agg(F.count(F.lit(1)).alias("total"), _cnt(F.col("failed"), "fails")))
     g = g.select("model", "process", "total", (F.col("total") - F.col("fails")).alias("passed"),
                  "fails", C.pct("fails", "total", 1).alias("fail_rate"))
     return g.orderBy(F.col("fail_rate").desc(), "model", "process").limit(k)
 
 
-def distinct_failed_tracks(df: DataFrame, wide: bool = False) -> DataFrame:
-    """Distinct failed tracks per model x process (wide: gaps 0)."""
+def distinct_failed_tracks(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Distinct failed tracks per model x process; ``columns`` names the
+    processes that get a column each, with gaps 0."""
     long_ = (_nonnull(df.where(F.col("failed")), "model", "process").groupBy("model", "process")
              .agg(F.count_distinct("track_id").alias("failed_tracks")))
-    if not wide:
+    if columns is None:
         return long_
-    return long_.groupBy("model").pivot("process").agg(F.first("failed_tracks")).fillna(0)
+    return long_.groupBy("model").pivot("process", columns).agg(F.first("failed_tracks")).fillna(0)
 
 
 # --- A8 / A9 / W2 ---------------------------------------------------------
@@ -131,10 +132,10 @@ def pareto(df: DataFrame, k: int = 20, blank_code: bool = False,
 def code_detail(df: DataFrame, k: int = 20, blank_code: bool = False) -> DataFrame:
     """Top codes with % of all (kept) coded failures, cumulative % and
     an example track (the first failed row with that code by insertion)."""
-    # the total over every code is a window over the per-code aggregate (one
-    # row per distinct code, bounded by the code vocabulary), so the rows are
-    # read once
-    counts = _code_counts(df, blank_code).withColumn("_all", F.sum("count").over(Window.partitionBy()))
+    # codes are free text, so their total is an aggregate of its own over the
+    # pruned rows, not a window that brings every code to one task
+    counts = _code_counts(df, blank_code)
+    counts = attach(counts, counts.agg(F.sum("count").alias("_all")))
     top = counts.orderBy(F.col("count").desc(), "code").limit(k)
     out = _running_pct(top, 1)
     return out.select("code", "count", C.pct("count", "_all", 1).alias("pct_of_failures"),
@@ -152,14 +153,13 @@ def hierarchy(df: DataFrame) -> DataFrame:
     is the sum of its leaves; the third level falls back to the status label
     when no failed row carries a code.
 
-    The rows are read once: they are reduced to (process, station, code,
-    status) counts, the "any code" flag and the roll-up are then computed on
-    that small result."""
+    The rows are reduced to (process, station, code, status) counts, which are
+    rolled up; the "any code" flag is a one-row aggregate of its own, so no
+    task meets all leaves."""
     fails = _nonnull(df.where(F.col("failed")), "process", "station")
     leaves = (fails.groupBy("process", "station", "failed_testcode", "status_display")
               .agg(F.count(F.lit(1)).alias("_n")))
-    # flag over the leaf aggregate (one row per leaf, bounded by the result)
-    leaves = leaves.withColumn("_any", F.max(F.col("failed_testcode") != "").over(Window.partitionBy()))
+    leaves = attach(leaves, fails.agg(F.max(F.col("failed_testcode") != "").alias("_any")))
     leaf = F.when(F.coalesce(F.col("_any"), F.lit(False)), F.col("failed_testcode")) \
         .otherwise(F.col("status_display"))
     return (leaves.withColumn("leaf", leaf)

@@ -53,7 +53,7 @@ QUERIES = {
     "latest_rows": latest_rows,
 }
 
-_RATE = "CAST(failed AS DOUBLE) / total * 100"
+_RATE = "failed * CAST(100.0 AS DOUBLE) / total"
 _LINE_COUNTS = (f"SELECT line, COUNT(*) AS total, CAST(SUM(CASE WHEN {FAIL_SQL} THEN 1 ELSE 0 END) AS BIGINT) "
                 "AS failed FROM latest GROUP BY line")
 

@@ -35,7 +35,7 @@ def cutoff_text(asof: str = ASOF, minutes: int = WINDOW) -> str:
 # ---------------------------------------------------------------------------
 # DuckDB CTE text
 # ---------------------------------------------------------------------------
-ISO_RE = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
+ISO_RE = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?"
 FAIL_SQL = "(UPPER(TRIM(status)) IN ('F','FAIL','FAILED'))"
 
 
@@ -105,18 +105,21 @@ def prep_sql(profile: str) -> str:
                 "ELSE model END AS model, line, station, process, "
                 "CASE WHEN COALESCE(failed_testcode, '') IN ('NULL','None','') THEN 'MISSING_CODE' "
                 "ELSE failed_testcode END AS failed_testcode")
-    base = (f"SELECT id, track_id, {dims}, upper({_strip('status')}) AS status, "
+    status, failed = f"upper({_strip('status')})", "F"
+    if profile != "tests":
+        status, failed = f"CASE {status} WHEN 'P' THEN 'PASSED' WHEN 'F' THEN 'FAILED' ELSE {status} END", "FAILED"
+    base = (f"SELECT id, track_id, {dims}, {status} AS status, "
             f"{iso_ts_sql('timestamp')} AS event_ts FROM log_data")
     if profile == "tests":
         label = "CASE WHEN status = 'P' THEN 'Passed' WHEN status = 'F' THEN 'Failed' ELSE 'Unknown' END"
     elif profile == "span":
-        label = "CASE WHEN status = 'F' THEN 'Failed' ELSE 'Passed' END"
+        label = "CASE WHEN status = 'FAILED' THEN 'Failed' ELSE 'Passed' END"
     else:
-        label = (f"CASE WHEN NOT COALESCE(status = 'F', false) THEN 'Passed' "
+        label = (f"CASE WHEN NOT COALESCE(status = 'FAILED', false) THEN 'Passed' "
                  f"WHEN {ntf_match_sql('failed_testcode')} THEN 'NTF' ELSE 'Real Fail' END")
     return (f"SELECT *, CAST(event_ts AS DATE) AS date, hour(event_ts) AS hour, "
             f"(hour(event_ts) * 3600 + minute(event_ts) * 60 + second(event_ts)) * 1000000 AS tod, "
-            f"COALESCE(status = 'F', false) AS failed, {label} AS status_display "
+            f"COALESCE(status = '{failed}', false) AS failed, {label} AS status_display "
             f"FROM ({base}) WHERE event_ts IS NOT NULL")
 
 

@@ -46,7 +46,7 @@ def _apply(s, d):
 
 def _media(s, d):
     alerts, repairs, ev = _events(s, d)
-    return L.attach_media(alerts, repairs, ev, Q.ASOF)
+    return L.attach_media(alerts, repairs, ev, Q.ASOF)[0]
 
 
 def _resolve(part):
@@ -352,12 +352,12 @@ def _open_alert_ctes():
     return (with_ctes(Q.log_cte(), Q.alert_facts_cte(), *Q.latest_cte(),
                       ("alerts_src", fx.alerts_sql()), ("alerts", "SELECT * EXCLUDE (_day) FROM alerts_src"),
                       ("repairs", fx.REPAIRS_SQL),
-                      ("rates", f"""SELECT line, total, failed, round_even(CAST(failed AS DOUBLE) / total * 100, 2) AS rate
+                      ("rates", f"""SELECT line, total, failed, round_even(failed * CAST(100.0 AS DOUBLE) / total, 2) AS rate
                           FROM (SELECT line, COUNT(*) AS total,
                                        CAST(SUM(CASE WHEN {Q.FAIL_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS failed
                                 FROM latest GROUP BY line)
-                          WHERE total >= {Q.MIN_SAMPLES} AND CAST(failed AS DOUBLE) / total * 100 > {Q.THRESHOLD}
-                          ORDER BY CAST(failed AS DOUBLE) / total * 100 DESC, line LIMIT {Q.TOP_LINES}"""),
+                          WHERE total >= {Q.MIN_SAMPLES} AND failed * CAST(100.0 AS DOUBLE) / total > {Q.THRESHOLD}
+                          ORDER BY failed * CAST(100.0 AS DOUBLE) / total DESC, line LIMIT {Q.TOP_LINES}"""),
                       _TOP_CODES_CTE,
                       ("totals", "SELECT line, COUNT(*) AS total_line FROM latest GROUP BY line"),
                       ("cj", """SELECT c.line, CAST(to_json(list_sort(list({'rank': CAST(c.rank AS BIGINT),

@@ -6,12 +6,18 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from .. import schemas as K
+from ..operators import alerting as A
+from ..operators.dedup import latest_per_track, with_event_ts
 from ..session import checkpoint_dir, tune_for_parsing
 from ..sources import fixtures as fx
+from ..sources.files import read_table
 from ..streaming import ingest as SI
 from ..streaming import line_rates as SL
 from . import common as Q
+from .alerting import _LINE_COUNTS, _RATE
 from .common import with_ctes
 from .ingest import ingest_ctes
 
@@ -33,12 +39,30 @@ def stream_ingest(spark, sf_dir):
     q = SI.start_ingest(SI.stream_raw_rows(spark, f"{base}/input", max_files=4), f"{base}/out",
                         f"{base}/ckpt", trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out/log_data").select(*_REC_COLS)
+    return read_table(spark, f"{base}/out", "log_data").select(*_REC_COLS)
+
+
+def ingested_lines_above_threshold(spark, sf_dir):
+    """Raw files -> stream -> stored fact table -> W1 + A31."""
+    tune_for_parsing(spark)
+    base = scratch(spark)
+    fx.raw_files(spark, sf_dir).write.parquet(f"{base}/input")
+    q = SI.start_ingest(SI.stream_raw_rows(spark, f"{base}/input", max_files=4), f"{base}/out",
+                        f"{base}/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    facts = read_table(spark, f"{base}/out", "log_data")
+    return A.line_rates(latest_per_track(facts, Q.ASOF, Q.WINDOW), Q.MIN_SAMPLES, Q.THRESHOLD, Q.TOP_LINES)
 
 
 def stream_line_rate(spark, sf_dir):
     base = scratch(spark)
-    Q.facts(spark, sf_dir).write.parquet(f"{base}/facts")
+    facts = with_event_ts(Q.facts(spark, sf_dir)).select(*K.LOG_DATA.fieldNames(), "event_ts")
+    # a last row, without a line, far enough ahead to close every window of the others
+    end = (facts.agg(F.max("event_ts").alias("_t"))
+           .select(*[(F.date_format(F.col("_t") + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd HH:mm:ss")
+                      if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name)
+                     for f in K.LOG_DATA.fields]))
+    facts.drop("event_ts").unionByName(end).write.parquet(f"{base}/facts")
     stream = spark.readStream.schema(K.LOG_DATA).parquet(f"{base}/facts")
     q = SL.start_line_rates(stream, f"{base}/rates", f"{base}/ckpt", trigger={"availableNow": True})
     q.awaitTermination()
@@ -48,11 +72,11 @@ def stream_line_rate(spark, sf_dir):
 QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_line_rate": stream_line_rate,
+    "ingested_lines_above_threshold": ingested_lines_above_threshold,
 }
 
 _TRACKED = "track_id IS NOT NULL AND TRIM(track_id) <> ''"
 _LINE_RATE = with_ctes(Q.log_cte(), Q.alert_facts_cte(), ("ev", "SELECT * FROM facts WHERE event_ts IS NOT NULL"),
-                       ("wm", "SELECT MAX(event_ts) - INTERVAL 240 MINUTE AS wm FROM ev"),
                        ("win", """SELECT ev.*, time_bucket(INTERVAL 30 MINUTE, event_ts) - to_minutes(30 * k) AS ws
                                   FROM ev, (SELECT unnest(range(8)) AS k) ks"""),
                        ("keyed", f"""SELECT *, CASE WHEN {_TRACKED} THEN track_id ELSE chr(0) || CAST(id AS VARCHAR) END
@@ -61,9 +85,14 @@ _LINE_RATE = with_ctes(Q.log_cte(), Q.alert_facts_cte(), ("ev", "SELECT * FROM f
                                      ORDER BY event_ts DESC, id DESC) AS rn FROM keyed) WHERE rn = 1""")) + f"""
 SELECT ws AS window_start, ws + INTERVAL 240 MINUTE AS window_end, line, COUNT(*) AS total,
        CAST(SUM(CASE WHEN {Q.FAIL_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS failed
-FROM latest WHERE ws + INTERVAL 240 MINUTE <= (SELECT wm FROM wm) GROUP BY ws, line"""
+FROM latest GROUP BY ws, line"""
 
 ORACLES = {
     "stream_ingest": ingest_ctes() + f"SELECT {', '.join(_REC_COLS)} FROM records",
     "stream_line_rate": _LINE_RATE,
+    "ingested_lines_above_threshold": ingest_ctes(
+        ("facts", f"SELECT *, row_number() OVER () AS id, {Q.iso_ts_sql('timestamp')} AS event_ts FROM records"),
+        *Q.latest_cte()) + f"""
+SELECT line, total, failed, round_even({_RATE}, 2) AS rate FROM ({_LINE_COUNTS})
+WHERE total >= {Q.MIN_SAMPLES} AND {_RATE} > {Q.THRESHOLD} ORDER BY {_RATE} DESC, line LIMIT {Q.TOP_LINES}""",
 }

@@ -2,12 +2,11 @@
 
 The library never creates a session behind the caller's back; these helpers
 are for tests, the bench and command-line use. ``checkpoint_dir`` honours the
-cluster's ``spark.checkpoint.dir`` and only invents one when it is unset.
+cluster's ``spark.checkpoint.dir``; only a local-mode session without one gets a temporary folder.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,25 +49,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when the
-    session has none (tests and single-machine runs)."""
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``. Where it
+    is unset, a local-mode session (tests, one machine) gets a temporary folder; any other
+    session fails, because a machine's own folder is not shared."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        try:
-            if spark.sparkContext.getCheckpointDir() is None:
-                spark.sparkContext.setCheckpointDir(current)
-        except Exception:  # noqa: BLE001 - no SparkContext (remote session): the server has it
-            pass
         return current
-    local = tempfile.mkdtemp(prefix="yieldlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # noqa: BLE001 - core setting refused at runtime: the context still gets it
-        pass
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="yieldlens-ckpt-"))
+    return sc.getCheckpointDir()

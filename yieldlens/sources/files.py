@@ -6,6 +6,7 @@ credentials or addresses.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,37 +53,71 @@ def write_facts(records: DataFrame, path: str, mode: str = "append") -> None:
     out.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
-def write_outcomes(routed: DataFrame, batch_id: int, root: str) -> None:
+def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is no such path; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def with_identity(records: DataFrame) -> DataFrame:
+    """Inserted records as fact rows: a stable ``id`` (hash of the file's own id, so a replay
+    gives the same), and ``event_date`` of the canonical ``event_ts``."""
+    return (records.withColumn("id", F.xxhash64("file_id")).withColumn("event_date", F.to_date("event_ts"))
+            .drop("file_id"))
+
+
+def write_outcomes(routed: DataFrame, batch_id: int, root: str, run: str = "batch",
+                   lag_seconds: int | None = None, processed_at=None) -> None:
     """S6 + S10: persist one routed batch into its tables, each partitioned
-    by ``batch_id`` and written with dynamic partition overwrite, so a
-    replayed micro-batch rewrites the same partitions (idempotent). The
-    processed-file register is written last: a file counts as processed only
-    once its outcome is durable."""
+    by ``run`` (the query that writes) and ``batch_id`` and written with dynamic
+    partition overwrite, so a replayed micro-batch rewrites its own partitions
+    (idempotent) and another query on the same root adds to them. ``log_data``
+    is partitioned by ``event_date`` first, so trailing-window and date filters
+    prune folders. The processed-file register is written last: a file counts
+    as processed only once its outcome is durable."""
     from ..operators import ingest as I
-    b = F.lit(batch_id).cast("long")
     routed = routed.persist()
     try:
+        inserted = routed.where(F.col("outcome") == K.INSERT)
         tables = {
-            "log_data": I.records(routed).drop("event_ts"),
+            "log_data": with_identity(I.records(routed, "file_id")),
             "skip_log": I.skip_log(routed).drop("event_ts"),
             "no_th4_files": routed.where(F.col("outcome") == K.R_NO_TH4).select("filename", "track_id"),
             "file_gone_log": routed.where(F.col("outcome") == K.R_FILE_GONE)
                                    .select("filename", "track_id", "source"),
             "duplicate_files": routed.where(F.col("outcome") == K.R_DUPLICATE).select("filename", "source"),
-            "rescan_tracking": I.late_caught(routed),
+            "rescan_tracking": I.late_caught(inserted, lag_seconds, processed_at),
+            "processed_files": routed.where(F.col("outcome") != K.R_DUPLICATE)
+                                     .select("filename", F.current_timestamp().cast("timestamp_ntz")
+                                             .alias("processed_time")),
         }
         for name, df in tables.items():
-            (df.withColumn("batch_id", b).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-             .parquet(f"{root}/{name}"))
-        register = (routed.where(F.col("outcome") != K.R_DUPLICATE)
-                    .select("filename", F.current_timestamp().cast("timestamp_ntz").alias("processed_time")))
-        (register.withColumn("batch_id", b).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-         .parquet(f"{root}/processed_files"))
+            parts = ["event_date"] if name == "log_data" else []
+            (df.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(*parts, "run", "batch_id").parquet(f"{root}/{name}"))
     finally:
         routed.unpersist()
 
 
+_EMPTY = {
+    "skip_log": "filename string, reason string, process string, track_id string, timestamp string",
+    "no_th4_files": "filename string, track_id string",
+    "file_gone_log": "filename string, track_id string, source string",
+    "duplicate_files": "filename string, source string",
+    "rescan_tracking": "filename string, track_id string, process string",
+    "processed_files": "filename string, processed_time timestamp_ntz",
+    "log_data": "filename string, source string, process string, model string, line string, station string, "
+                "status string, failed_testcode string, track_id string, date string, time string, "
+                "timestamp string, event_ts timestamp_ntz, id long, event_date date",
+}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    """A table that ``write_outcomes`` keeps; one without rows so far reads as empty."""
+    schema = f"{_EMPTY[name]}, run string, batch_id long"
+    return spark.read.schema(schema).parquet(f"{root}/{name}")

@@ -15,52 +15,8 @@ from pyspark.sql import functions as F
 ASOF = "2024-01-30 23:59:59"
 
 
-SPREAD_MAX_BYTES = 1 << 30   # inputs up to 1 GB may be spread; larger ones never are
-
-
-def input_size(spark: SparkSession, path: str) -> int:
-    """Bytes under a path (one file-system metadata call; nothing is read)."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(hpath).getLength()
-
-
-def input_splits(spark: SparkSession, path: str) -> int:
-    """Estimated scan splits of a path from its size on the file system."""
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728"))
-    return max(1, -(-input_size(spark, path) // split))
-
-
-def _bytes(text: str) -> int:
-    """'134217728', '128m', '128MB' -> bytes."""
-    t = text.strip().lower().rstrip("b")
-    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
-    return int(float(t[:-1] if mult > 1 else t) * mult)
-
-
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Spread a small input that the scan cannot split across the task
-    slots (e.g. one file of one row group) round-robin. Only inputs of at
-    most ``SPREAD_MAX_BYTES`` that give fewer splits than slots are spread,
-    so the added shuffle is always small; anything bigger keeps the scan's
-    own partitioning. Filters and column pruning still reach the scan below
-    the repartition."""
-    spark = df.sparkSession
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        size = input_size(spark, path)
-        splits = input_splits(spark, path)
-    except Exception:  # noqa: BLE001 - no JVM handle (remote session): leave the scan as is
-        return df
-    if size <= SPREAD_MAX_BYTES and splits < slots:
-        return df.repartition(slots)
-    return df
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return spread(spark.read.parquet(path), path)
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
 def _bad(i: Column, u: Column, et: Column) -> Column:
@@ -294,7 +250,7 @@ def alert_state(facts: DataFrame) -> DataFrame:
     per = (latest.groupBy("_d", "line")
            .agg(F.count(F.lit(1)).alias("total"), F.count_if(C.alert_failed()).cast("long").alias("failed")))
     day = F.dayofmonth("_d")
-    li = F.substring("line", 2, 10).cast("int")
+    li = F.substr(F.col("line"), F.lit(2)).cast("int")
     aid = (day * 10 + li + 1).cast("long")
     mins = (20 + 13 * (day % 10)).cast("double")
     sent_ts = F.col("_d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(23))
@@ -333,7 +289,7 @@ def repair_state(alerts: DataFrame) -> DataFrame:
     row with unit ``ALERT-x`` on day 2, line L1."""
     a = alerts
     day = F.dayofmonth("_day") if "_day" in a.columns else F.lit(0)
-    li = F.substring("line", 2, 10).cast("int")
+    li = F.substr(F.col("line"), F.lit(2)).cast("int")
     second = a["id"] % 7 == 0
     oddity = (day == 2) & (li == 1) & ~second
     ks = F.filter(F.array(F.lit(0), F.lit(1)), lambda k: (k == 0) | second | oddity)

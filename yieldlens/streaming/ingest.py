@@ -11,19 +11,21 @@ an executor or driver loss never duplicates or loses rows.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as K
 from ..functions import columns as C
 from ..operators import ingest as I
-from ..sources.files import write_outcomes
+from ..sources.files import read_if_written, write_outcomes
 
 RAW_SCHEMA = "file_id string, filename string, content string, source string, file_mtime timestamp_ntz"
 
 
 def stream_result_files(spark: SparkSession, path: str, max_files: int | None = None,
-                        newest_first: bool = True, recursive: bool = False) -> DataFrame:
+                        newest_first: bool = False, recursive: bool = False) -> DataFrame:
     """S2 + ST4 + ST5: new result files as a stream (whole text per file)."""
     r = (spark.readStream.format("text").option("wholetext", "true")
          .option("latestFirst", str(bool(newest_first)).lower()).option("recursiveFileLookup", str(bool(recursive)).lower()))
@@ -49,33 +51,32 @@ def stream_raw_rows(spark: SparkSession, path: str, max_files: int | None = None
     return r.load(path)
 
 
-def _register(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root}/processed_files").select("filename")
-    except Exception:  # first batch: no register yet
-        return None
-
-
-def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """ST1 + ST2 + ST6: route one micro-batch and write its outcomes."""
+def process_batch(batch: DataFrame, batch_id: int, root: str, run: str = "batch",
+                  lag_seconds: int | None = None) -> None:
+    """ST1 + ST2 + ST6: route one micro-batch and write its outcomes. The first copy of a file
+    name that a batch confirms stays; copies in later batches are duplicates."""
     spark = batch.sparkSession
     routed = I.route(batch)
-    reg = _register(spark, root)
-    if reg is not None:
+    register = read_if_written(spark, f"{root}/processed_files")
+    if register is not None:
         # files confirmed by an earlier batch (not this one: replays rewrite it)
-        earlier = (spark.read.parquet(f"{root}/processed_files")
-                   .where(F.col("batch_id") != batch_id).select("filename").distinct())
+        earlier = (register.where((F.col("batch_id") != batch_id) | (F.col("run") != run))
+                   .select("filename").distinct())
         seen = routed.join(earlier.withColumn("_seen", F.lit(True)), "filename", "left")
         routed = (seen.withColumn("outcome", F.when(F.col("_seen"), F.lit(K.R_DUPLICATE))
                                   .otherwise(F.col("outcome"))).drop("_seen"))
-    write_outcomes(routed, batch_id, root)
+    write_outcomes(routed, batch_id, root, run, lag_seconds)
 
 
-def start_ingest(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
+def start_ingest(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
+                 lag_seconds: int | None = None):
     """Start the ingest query; ``trigger`` e.g. ``{"processingTime": "1 second"}``
-    or ``{"availableNow": True}``."""
+    or ``{"availableNow": True}``. Batches are numbered per checkpoint, so the tables name the
+    checkpoint as their run. ``lag_seconds``: files inserted later than that after their
+    modification count as late."""
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
     w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: process_batch(df, bid, root)))
+         .foreachBatch(lambda df, bid: process_batch(df, bid, root, run, lag_seconds)))
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 

@@ -51,35 +51,41 @@ def start_line_rates(facts_stream: DataFrame, sink_path: str, checkpoint: str,
 
 def alert_batch(rates_batch: DataFrame, batch_id: int, state_root: str, min_samples: int = 5,
                 threshold: float = 3.0, k: int = 3) -> None:
-    """ST8 (``foreachBatch`` body): evaluate the newest closed window of the
-    batch like one poll — lines with enough units above the threshold, top
-    ``k`` by rate — and open alerts for lines without an open alert (J7).
-    New alert and repair rows are appended under ``batch_id`` with dynamic
-    partition overwrite, so a replayed batch does not open alerts twice."""
+    """ST8 (``foreachBatch`` body): evaluate every window that the batch closed, oldest first,
+    each like one poll: lines with enough units above the threshold, top ``k`` by rate; open
+    alerts for lines without an open alert (J7), counting those opened by the windows before.
+    The alert and repair rows of a window are stored under (``batch_id``, ``window_end``) with
+    dynamic partition overwrite, so a replayed batch does not open alerts twice."""
     from .. import schemas as K
     from ..operators import lifecycle as L
+    from ..sources.files import read_if_written
     spark = rates_batch.sparkSession
+    tables = {"failure_alerts": K.FAILURE_ALERTS, "repair_actions": K.REPAIR_ACTIONS}
+
+    def state(name: str, asof: str) -> DataFrame:
+        table = read_if_written(spark, f"{state_root}/{name}")
+        if table is None:
+            return spark.createDataFrame([], tables[name])
+        before = (F.col("batch_id") != batch_id) | (F.col("window_end").cast("string") < asof)
+        return table.where(before).select(*tables[name].fieldNames())
+
+    raw = F.col("failed") * 100.0 / F.col("total")
+    breaches = (rates_batch.where((F.col("total") >= min_samples) & (raw > threshold))
+                .select("line", "total", "failed", raw.alias("_raw"), F.bround(raw, 2).alias("rate"),
+                        F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("_asof"))).persist()
     try:
-        alerts = spark.read.parquet(f"{state_root}/failure_alerts").where(F.col("batch_id") != batch_id)
-        repairs = spark.read.parquet(f"{state_root}/repair_actions").where(F.col("batch_id") != batch_id)
-        alerts, repairs = alerts.drop("batch_id"), repairs.drop("batch_id")
-    except Exception:  # first evaluation: empty state
-        alerts = spark.createDataFrame([], K.FAILURE_ALERTS)
-        repairs = spark.createDataFrame([], K.REPAIR_ACTIONS)
-    newest = rates_batch.agg(F.max("window_end").alias("window_end"))
-    cur = rates_batch.join(newest, "window_end", "left_semi")
-    raw = F.col("failed").cast("double") / F.col("total") * 100
-    rates = (cur.where((F.col("total") >= min_samples) & (raw > threshold))
-             .withColumn("_raw", raw).orderBy(F.col("_raw").desc(), "line").limit(k)
-             .select("line", "total", "failed", F.bround("_raw", 2).alias("rate"),
-                     F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("_asof")))
-    asof = rates.select("_asof").first()
-    if asof is None:       # nothing breaches: no state change
-        return
-    empty_codes = spark.createDataFrame([], "line string, rank long, testcode string, process string, "
-                                            "failed_units long, total_line long, rate double")
-    empty_st = spark.createDataFrame([], "line string, station string")
-    new_a, new_r = L.open_alerts(rates.drop("_asof"), empty_codes, empty_st, alerts, repairs, asof[0])
-    for name, df in (("failure_alerts", new_a), ("repair_actions", new_r)):
-        (df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{state_root}/{name}"))
+        # one short text per window that the batch closed and that has a breach
+        for row in breaches.select("_asof").distinct().orderBy("_asof").collect():
+            asof = row["_asof"]
+            rates = (breaches.where(F.col("_asof") == asof).orderBy(F.col("_raw").desc(), "line").limit(k)
+                     .select("line", "total", "failed", "rate"))
+            codes = spark.createDataFrame([], "line string, rank long, testcode string, process string, "
+                                              "failed_units long, total_line long, rate double")
+            stations = spark.createDataFrame([], "line string, station string")
+            new = L.open_alerts(rates, codes, stations, state("failure_alerts", asof), state("repair_actions", asof), asof)
+            for name, df in zip(tables, new):
+                (df.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("window_end", F.lit(asof))
+                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("batch_id", "window_end").parquet(f"{state_root}/{name}"))
+    finally:
+        breaches.unpersist()
