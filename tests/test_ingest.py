@@ -63,6 +63,21 @@ def test_envelope_roundtrip(spark):
     assert back.track_id == "T1" and back.filename == "ic_T1_1.rslt" and not back.bad_json
     bad = spark.createDataFrame([("{not json",)], "value string")
     assert I.from_envelope(bad).first().bad_json
+    odd = spark.createDataFrame([("k", '"abc"', 7), ("k", "[1]", 8), ("k", None, 9)], "key string, value string, offset long")
+    got = I.from_envelope(odd).collect()
+    assert all(r.bad_json for r in got) and [(r.key, r.raw, r.offset) for r in got][:2] == [("k", '"abc"', 7), ("k", "[1]", 8)]
+
+
+def test_rows_without_a_track_column_are_all_kept(spark):
+    from yieldlens.operators.dedup import latest_per_track
+    facts = spark.createDataFrame([(k, "UCT", "M", "L1", "S", "P", "", "T", "2024-01-30", "10:00:00", "2024-01-30 10:00:00")
+                                   for k in range(3)], K.LOG_DATA).drop("track_id")
+    assert latest_per_track(facts, "2024-01-30 23:59:59", 1440).count() == 3
+
+
+def test_undecodable_bytes_are_dropped(spark, tmp_path):
+    (tmp_path / "a_rslt.txt").write_bytes(b"TH4\xff,x")
+    assert SF.read_result_files(spark, str(tmp_path)).first().content == "TH4,x"
 
 
 def test_outcomes_add_up_and_gap_report(spark):

@@ -151,10 +151,18 @@ def test_unit_texts_by_like_and_exactly(spark):
 
 def test_media_keeps_the_repair_row_it_points_to(spark):
     alerts = _alerts(spark, [(3, "L1", "2024-01-30 09:00:00", 0)])
-    events = L.parse_messages(_msgs(spark, [(1, 1, "photo", "#3 a picture"), (2, 2, "photo", "3"), (3, 3, "photo", "ALERT-3")]))
+    events = L.parse_messages(_msgs(spark, [(1, 1, "photo", "IMG:3:a picture")]))
     media, repairs = L.attach_media(alerts, _repairs(spark, [(10, 99, "x", "Open")]), events, "2024-01-30 12:00:00")
     ids = {r.id for r in repairs.collect()}
-    assert {r.repair_id for r in media.collect()} <= ids and ids >= {10}
+    found = {r.repair_id for r in media.collect()}
+    assert found and found <= ids and ids >= {10} and len(ids) == 2
+
+
+def test_open_line_gets_its_missing_repair_row(spark):
+    alerts = _alerts(spark, [(3, "L1", "2024-01-30 09:00:00", 0), (4, "L2", "2024-01-30 09:00:00", 0)])
+    rates = spark.createDataFrame([("L1", 20, 8, 40.0)], "line string, total long, failed long, rate double")
+    repairs = L.ensure_repairs(rates, alerts, _repairs(spark, [(10, 99, "x", "Open")]), "2024-01-30 12:00:00")
+    assert sorted((r.alert_id, r.unit_id) for r in repairs.collect()) == [(3, "ALERT-3"), (99, "x")]
 
 
 def test_history_is_in_order_after_the_join(spark):

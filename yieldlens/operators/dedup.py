@@ -69,9 +69,13 @@ def latest_per_track(facts: DataFrame, asof: str, window_minutes: int,
     """W1 + U1: deduplicated window rows.
 
     Output: ``id, track_id, line, station, status, failed_testcode, process,
-    event_ts``. ``method="window"`` is the ROW_NUMBER form (kept for tests and
+    event_ts``; a table without a track column gives its raw window rows, track
+    null. ``method="window"`` is the ROW_NUMBER form (kept for tests and
     for comparing plans)."""
-    rows = in_window(facts, asof, window_minutes).select(*DEDUP_COLS, "event_ts")
+    rows = in_window(facts, asof, window_minutes)
+    if "track_id" not in facts.columns:
+        return rows.withColumn("track_id", F.lit(None).cast("string")).select(*DEDUP_COLS, "event_ts")
+    rows = rows.select(*DEDUP_COLS, "event_ts")
     if method == "window":
         tracked, untracked = rows.where(_tracked()), rows.where(~_tracked())
         w = Window.partitionBy("track_id").orderBy(F.col("event_ts").desc(), F.col("id").desc())

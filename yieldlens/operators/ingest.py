@@ -127,14 +127,17 @@ def to_envelope(rec: DataFrame) -> DataFrame:
 
 
 def from_envelope(df: DataFrame, value: str = "value") -> DataFrame:
-    """Decode; rows whose JSON does not parse get ``bad_json``."""
-    parsed = F.from_json(F.col(value).cast("string"), K.ENVELOPE, {"mode": "PERMISSIVE"})
+    """Decode; rows whose value is not a JSON object get ``bad_json``. Columns beside the
+    value (key, offset, ...) are kept, and a bad row keeps its text as ``raw``."""
     raw = F.col(value).cast("string")
-    out = df.select(parsed.alias("_e"), F.try_parse_json(raw).isNull().alias("bad_json"))
-    return out.select(*[F.col(f"_e.{f}").alias(f) for f in K.RECORD_FIELDS],
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False))
+    out = df.select(*[F.col(c) for c in df.columns if c != value], raw.alias("_raw"),
+                    F.from_json(raw, K.ENVELOPE, {"mode": "PERMISSIVE"}).alias("_e"), (~is_object).alias("bad_json"))
+    kept = [F.col(c) for c in df.columns if c != value and c not in (*K.RECORD_FIELDS, "filename", "source")]
+    return out.select(*kept, *[F.col(f"_e.{f}").alias(f) for f in K.RECORD_FIELDS],
                       F.coalesce(F.col("_e._filename"), F.lit("")).alias("filename"),
                       F.coalesce(F.col("_e._source"), F.lit("unknown")).alias("source"),
-                      "bad_json")
+                      "bad_json", F.when(F.col("bad_json"), F.col("_raw")).alias("raw"))
 
 
 # --- J6 / S10: processed-file register -------------------------------------

@@ -316,6 +316,14 @@ def read_codes(json_text: Column) -> Column:
         F.coalesce(e["total_line"], e["total"]).alias("total_line"), e["rate"].alias("rate")))
 
 
+def ensure_repairs(rates: DataFrame, alerts: DataFrame, repairs: DataFrame, asof: str) -> DataFrame:
+    """L1 + L2 for breaching lines whose alert is still open: the repair table with a row for
+    the newest open alert of each."""
+    newest = (alerts.where(F.col("resolved") == 0).groupBy("line").agg(F.max("id").alias("alert_id"))
+              .join(rates.select("line"), "line", "left_semi"))
+    return repair_for(alerts, repairs, newest.select("alert_id"), asof)[1]
+
+
 def open_alerts(rates: DataFrame, codes: DataFrame, stations: DataFrame, alerts: DataFrame,
                 repairs: DataFrame, asof: str, source_table: str = "log_data"):
     """L1 + J7: an alert (and its ``Open`` repair row ``ALERT-<id>``) for

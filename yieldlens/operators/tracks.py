@@ -25,14 +25,23 @@ def _span_minutes(first: Column, last: Column) -> Column:
     return F.timestamp_diff("SECOND", first, last).cast("double") / 60
 
 
-def classify_by_span(df: DataFrame, max_span: float = K.SPAN_LIMIT_TRACKS) -> DataFrame:
+def _attribute_columns() -> list[Column]:
+    """J5 + W5: first non-null model, line, station of a track in insertion
+    (id) order, and the time of its first test, as aggregates."""
+    first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("id"))).alias(c) for c in ("model", "line", "station")]
+    return [*first, F.min("event_ts").alias("first_test")]
+
+
+def classify_by_span(df: DataFrame, max_span: float = K.SPAN_LIMIT_TRACKS, attributes: bool = False) -> DataFrame:
     """A17 (X1): 0 failures Passed; 1 Failed; >= 2 with first-to-last failure
-    span <= ``max_span`` minutes NTF; otherwise Real Fail."""
+    span <= ``max_span`` minutes NTF; otherwise Real Fail. ``attributes`` adds J5's
+    columns from the same aggregate."""
     f = F.col("failed")
     g = (_tracked(df).groupBy("track_id")
          .agg(F.count_if(f).cast("long").alias("failure_count"),
               _span_minutes(F.min(F.when(f, F.col("event_ts"))),
-                            F.max(F.when(f, F.col("event_ts")))).alias("failure_span_min")))
+                            F.max(F.when(f, F.col("event_ts")))).alias("failure_span_min"),
+              *(_attribute_columns() if attributes else [])))
     status = (F.when(F.col("failure_count") == 0, K.PASSED)
               .when(F.col("failure_count") == 1, K.FAILED)
               .when(F.col("failure_span_min") <= F.lit(float(max_span)), K.NTF)
@@ -70,13 +79,8 @@ def status_filter(df: DataFrame, classes: DataFrame, status: str) -> DataFrame:
 
 
 def attributes(df: DataFrame) -> DataFrame:
-    """J5 + W5: first non-null model, line, station per track in insertion
-    (id) order, and the time of the first test."""
-    def first(c: str) -> Column:
-        return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    return (_tracked(df).groupBy("track_id")
-            .agg(first("model"), first("line"), first("station"),
-                 F.min("event_ts").alias("first_test")))
+    """J5 + W5 alone: one row per track."""
+    return _tracked(df).groupBy("track_id").agg(*_attribute_columns())
 
 
 def kpis(classes: DataFrame, all_tracks: DataFrame | None = None) -> DataFrame:
@@ -91,29 +95,25 @@ def kpis(classes: DataFrame, all_tracks: DataFrame | None = None) -> DataFrame:
     return out.withColumn("pct", C.pct("tracks", "total_tracks", 2))
 
 
-def class_rate_matrix(classes: DataFrame, attrs: DataFrame, status: str,
-                      places: int = 1) -> DataFrame:
-    """Share of tracks in ``status`` per (first model, first line)."""
-    j = classes.join(attrs, "track_id").where(F.col("model").isNotNull() & F.col("line").isNotNull())
+def class_rate_matrix(tracks: DataFrame, status: str, places: int = 1) -> DataFrame:
+    """Share of tracks (classes with attributes) in ``status`` per (first model, first line)."""
+    j = tracks.where(F.col("model").isNotNull() & F.col("line").isNotNull())
     return (j.groupBy("model", "line")
             .agg(F.count(F.lit(1)).alias("total_tracks"),
                  F.count_if(F.col("overall_status") == status).cast("long").alias("class_tracks"))
             .withColumn("class_rate", C.pct("class_tracks", "total_tracks", places)))
 
 
-def classes_by_day(classes: DataFrame, attrs: DataFrame,
-                   statuses: tuple[str, ...] = (K.NTF, K.REAL_FAIL)) -> DataFrame:
+def classes_by_day(tracks: DataFrame, statuses: tuple[str, ...] = (K.NTF, K.REAL_FAIL)) -> DataFrame:
     """NTF / Real Fail tracks per date of their first test."""
-    j = classes.where(F.col("overall_status").isin(*statuses)).join(attrs, "track_id")
+    j = tracks.where(F.col("overall_status").isin(*statuses))
     return (j.groupBy(F.to_date("first_test").alias("date"), "overall_status")
             .agg(F.count(F.lit(1)).alias("tracks")))
 
 
-def classes_by_station(classes: DataFrame, attrs: DataFrame,
-                       statuses: tuple[str, ...] = (K.NTF, K.REAL_FAIL)) -> DataFrame:
+def classes_by_station(tracks: DataFrame, statuses: tuple[str, ...] = (K.NTF, K.REAL_FAIL)) -> DataFrame:
     """NTF / Real Fail tracks per first station."""
-    j = (classes.where(F.col("overall_status").isin(*statuses)).join(attrs, "track_id")
-         .where(F.col("station").isNotNull()))
+    j = tracks.where(F.col("overall_status").isin(*statuses) & F.col("station").isNotNull())
     return j.groupBy("station", "overall_status").agg(F.count(F.lit(1)).alias("tracks"))
 
 
@@ -147,7 +147,8 @@ def kpis_one_pass(rows: DataFrame, predicate: Column, max_span: float = K.SPAN_L
     g = (_tracked(rows).groupBy("track_id")
          .agg(F.bool_or(keep).alias("_in"), F.count_if(f).cast("long").alias("failure_count"),
               _span_minutes(F.min(F.when(f, F.col("event_ts"))),
-                            F.max(F.when(f, F.col("event_ts")))).alias("failure_span_min")))
+                            F.max(F.when(f, F.col("event_ts")))).alias("failure_span_min"),
+              *(_attribute_columns() if attributes else [])))
     status = (F.when(~F.col("_in"), F.lit(None))
               .when(F.col("failure_count") == 0, K.PASSED)
               .when(F.col("failure_count") == 1, K.FAILED)

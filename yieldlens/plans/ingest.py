@@ -33,10 +33,7 @@ def _parse_th4(s, d):
 
 
 def _envelope_decoded(env):
-    dec = env.select("key", F.from_json("value", K.ENVELOPE).alias("_e"),
-                     F.try_parse_json("value").isNull().alias("bad_json"))
-    return dec.select("key", *[F.col(f"_e.{f}").alias(f) for f in K.RECORD_FIELDS],
-                      F.col("_e._filename").alias("filename"), F.col("_e._source").alias("source"), "bad_json")
+    return I.from_envelope(env).drop("raw")
 
 
 def _hourly_gap(s, d):

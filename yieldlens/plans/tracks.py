@@ -31,15 +31,13 @@ def _kpis(s, d):
 
 def _matrix(status):
     def run(s, d):
-        rows = _span_view(s, d)
-        return TR.class_rate_matrix(TR.classify_by_span(rows), TR.attributes(rows), status)
+        return TR.class_rate_matrix(TR.classify_by_span(_span_view(s, d), attributes=True), status)
     return run
 
 
 def _by(fn):
     def run(s, d):
-        rows = _span_view(s, d)
-        return fn(TR.classify_by_span(rows), TR.attributes(rows))
+        return fn(TR.classify_by_span(_span_view(s, d), attributes=True))
     return run
 
 

@@ -18,13 +18,14 @@ def read_result_files(spark: SparkSession, path: str, recursive: bool = False,
                       source: str = "startup") -> DataFrame:
     """Every file whose base name contains ``rslt`` (any case), whole
     text per file, with file name, modification time and the detection
-    source tag. Undecodable bytes are replaced, never fatal."""
+    source tag. Undecodable bytes are dropped, and a file that is gone
+    between listing and reading is skipped; neither is fatal."""
     # text() sets wholetext from its own argument, so pass it there
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
+    df = spark.read.option("ignoreMissingFiles", "true").text(path, wholetext=True, recursiveFileLookup=recursive)
     return (df.select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_name").alias("filename"),
-        F.col("value").alias("content"),
+        F.replace("value", F.lit("\ufffd"), F.lit("")).alias("content"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"),
         F.lit(source).alias("source"))
         .where(C.is_rslt_name(F.col("filename"))))

@@ -38,4 +38,4 @@ def kafka_source(spark: SparkSession, options: dict, max_offsets: int | None = N
     if max_offsets:
         r = r.option("maxOffsetsPerTrigger", str(max_offsets))
     raw = r.load()
-    return I.from_envelope(raw.select(F.col("value").cast("string").alias("value")))
+    return I.from_envelope(raw.withColumn("key", F.col("key").cast("string")))

@@ -27,14 +27,14 @@ RAW_SCHEMA = "file_id string, filename string, content string, source string, fi
 def stream_result_files(spark: SparkSession, path: str, max_files: int | None = None,
                         newest_first: bool = False, recursive: bool = False) -> DataFrame:
     """S2 + ST4 + ST5: new result files as a stream (whole text per file)."""
-    r = (spark.readStream.format("text").option("wholetext", "true")
+    r = (spark.readStream.format("text").option("wholetext", "true").option("ignoreMissingFiles", "true")
          .option("latestFirst", str(bool(newest_first)).lower()).option("recursiveFileLookup", str(bool(recursive)).lower()))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.load(path)
     return (df.select(F.col("_metadata.file_path").alias("file_id"),
                       F.col("_metadata.file_name").alias("filename"),
-                      F.col("value").alias("content"), F.lit("watchdog").alias("source"),
+                      F.replace("value", F.lit("\ufffd"), F.lit("")).alias("content"), F.lit("watchdog").alias("source"),
                       F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"))
             .where(C.is_rslt_name(F.col("filename"))))
 
