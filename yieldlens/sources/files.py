@@ -25,7 +25,7 @@ def read_result_files(spark: SparkSession, path: str, recursive: bool = False,
     return (df.select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_name").alias("filename"),
-        F.replace("value", F.lit("\ufffd"), F.lit("")).alias("content"),
+        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("content"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"),
         F.lit(source).alias("source"))
         .where(C.is_rslt_name(F.col("filename"))))

@@ -34,7 +34,7 @@ def stream_result_files(spark: SparkSession, path: str, max_files: int | None =
     df = r.load(path)
     return (df.select(F.col("_metadata.file_path").alias("file_id"),
                       F.col("_metadata.file_name").alias("filename"),
-                      F.replace("value", F.lit("\ufffd"), F.lit("")).alias("content"), F.lit("watchdog").alias("source"),
+                      F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("content"), F.lit("watchdog").alias("source"),
                       F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"))
             .where(C.is_rslt_name(F.col("filename"))))
 
