@@ -24,7 +24,7 @@ def test_single_scan_of_the_input(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # read once, but for one more pruned pass: routing takes the first copy of each name from names and
     # times alone, and the two reports their one-row total from the code column alone
-    most = 2 if name in ("hourly_gap", "route_outcomes", "failure_hierarchy", "code_detail") else 1
+    most = 2 if name in ("route_outcomes", "failure_hierarchy", "code_detail") else 1
     assert len(re.findall(r"events\.parquet|Relation \[event_id", plan)) <= most, plan[:2000]
 
 

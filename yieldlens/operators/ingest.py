@@ -52,6 +52,27 @@ def parse_records(files: DataFrame, content: str = "content") -> DataFrame:
     return rec.drop("_parts", "_tparts")
 
 
+ORDER = ["file_mtime", "file_id"]
+
+
+def _first_outcome(allowed: list[str] | None) -> Column:
+    """P7 for the first copy of a name, over parsed rows with ``_gone``."""
+    return (F.when(F.col("_gone"), K.R_FILE_GONE)
+            .when(~F.col("has_th4"), K.R_NO_TH4)
+            .when(~F.coalesce(F.col("process").isin(*(allowed or K.ALLOWED_PROCESSES)), F.lit(False)), K.R_PROCESS)
+            .otherwise(K.INSERT))
+
+
+def first_outcomes(files: DataFrame, content: str = "content", order: list[str] | None = None,
+                   allowed: list[str] | None = None) -> DataFrame:
+    """filename, outcome, event_ts of the first copy of every name: what ``route`` gives but for its
+    DUPLICATE rows, as one aggregate without a join."""
+    rec = parse_records(files, content).withColumn("_gone", F.col(content).isNull())
+    rec = rec.select("filename", F.struct(*(order or ORDER)).alias("_key"),
+                     F.struct(_first_outcome(allowed).alias("outcome"), "event_ts").alias("_r"))
+    return rec.groupBy("filename").agg(F.min_by("_r", "_key").alias("_r")).select("filename", "_r.*")
+
+
 def route(files: DataFrame, content: str = "content", order: list[str] | None = None,
           allowed: list[str] | None = None) -> DataFrame:
     """P7 + F8 + ST2: one ``outcome`` per file: INSERT, PROCESS_SKIP, NO_TH4,
@@ -63,18 +84,13 @@ def route(files: DataFrame, content: str = "content", order: list[str] | None =
     from that branch; a name with a huge number of copies is reduced before
     the shuffle), joined back on the name; AQE splits the join if one name
     holds many rows. Nothing runs before the caller's action."""
-    allowed = allowed or K.ALLOWED_PROCESSES
-    order = order or ["file_mtime", "file_id"]
+    order = order or ORDER
     rec = (parse_records(files, content)
            .withColumn("_gone", F.col(content).isNull()).drop(content))
     first = (files.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first_key")))
     rec = rec.join(first, "filename", "left")
     dup = F.struct(*[F.col(c) for c in order]) != F.col("_first_key")
-    outcome = (F.when(dup, K.R_DUPLICATE)
-               .when(F.col("_gone"), K.R_FILE_GONE)
-               .when(~F.col("has_th4"), K.R_NO_TH4)
-               .when(~F.coalesce(F.col("process").isin(*allowed), F.lit(False)), K.R_PROCESS)
-               .otherwise(K.INSERT))
+    outcome = F.when(dup, K.R_DUPLICATE).otherwise(_first_outcome(allowed))
     name_track = C.track_from_filename(F.col("filename"))
     return (rec.withColumn("outcome", outcome)
             .withColumn("track_id", F.when(F.col("outcome").isin(K.R_NO_TH4, K.R_FILE_GONE), name_track)

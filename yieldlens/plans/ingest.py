@@ -37,7 +37,7 @@ def _envelope_decoded(env):
 
 
 def _hourly_gap(s, d):
-    return G.hourly_gap_routed(_routed(s, d))
+    return G.hourly_gap_routed(I.first_outcomes(_raw(s, d)))
 
 
 def _reconcile(s, d):
