@@ -21,15 +21,13 @@ table gives no rows. Scores are 64-bit, so |score| must stay below 2**63.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, stored
+from .common import arrow_map, new_folder, stored
 
 SCALE = 64
 QUERY_BLOCK = 4096       # query rows sent to the tasks at once
@@ -197,18 +195,19 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
     head = ints.orderBy(F.desc("norm2"), "vec_id").limit(HEAD).collect()           # HEAD rows
     head_ids, heads = np.array([r["vec_id"] for r in head], np.int64), _padded([r["vec"] for r in head], dim)
     blocks = -(-n * 5 // (4 * QUERY_BLOCK))                  # a fifth of room above the mean block
-    found = []
-    for b in range(blocks):
+    path, schema = new_folder(spark, "topk-found"), "query_id long, vec_id long, score long"
+    for b in range(blocks):                                  # a table, so the plan stays small however many blocks
         part = queries.where(F.floor(F.col("block") * blocks / (1 << 20)) == b).orderBy("vec_id").collect()
         if not part:
             continue
         block = QueryBlock(np.array([r["vec_id"] for r in part]), _padded([r["vec"] for r in part], dim), turn, lead)
         block.start(head_ids, heads, k)
-        found.append(arrow_map(ints, _search(block, dim, k), "query_id long, vec_id long, score long"))
-    if not found:
+        arrow_map(ints, _search(block, dim, k), schema).write.mode("append").parquet(path)
+    if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = spark.read.schema(schema).parquet(path)
+    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
