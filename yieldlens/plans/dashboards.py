@@ -28,6 +28,16 @@ def _kpis(spark, sf_dir):
     return R.test_kpis(prep, FL.FilterSpec().predicate())
 
 
+def _mapped(spark, sf_dir):
+    # An input whose columns go by other names
+    facts = Q.facts(spark, sf_dir).withColumnsRenamed({v: k for k, v in _MAPPING.items()})
+    return R.status_counts(prepare(facts, "tests", _MAPPING), "process")
+
+
+_MAPPING = {"unit": "track_id", "tester": "station", "result": "status", "product": "model", "stage": "process"}
+# values that get a column each in the wide matrices
+_LINES = [f"L{k}" for k in range(5)]
+_PROCESSES = ["DepthCal", "DepthVal", "FOD", "L2AR", "L2VISION", "MANUAL", "UCT"]
 _ONE_DAY = FL.FilterSpec(start_date="2024-01-15", end_date="2024-01-15")
 
 QUERIES = {
@@ -57,6 +67,14 @@ QUERIES = {
         d, "model", "line", F.col("status_display") == K.REAL_FAIL, 1), "pattern"),
     "failure_type_split": _q(R.failure_types, "pattern"),
     "top3_codes_per_model": _q(lambda d: R.top_codes_per_model(d, 3), "span"),
+    "station_stats_span": _q(lambda d: R.station_stats(d, "span"), "span"),
+    "hourly_volume_classes": _q(lambda d: R.hourly(d, [K.PASSED, K.NTF, K.REAL_FAIL]), "pattern"),
+    "pareto_codes_pattern": _q(lambda d: R.pareto(d, 15, blank_code=True, places=None), "pattern"),
+    "code_detail_pattern": _q(lambda d: R.code_detail(d, 10, blank_code=True), "pattern"),
+    "failure_hierarchy_pattern": _q(R.hierarchy, "pattern"),
+    "failrate_model_line_wide": _q(lambda d: R.fail_matrix(d, "model", "line", columns=_LINES)),
+    "failed_tracks_model_process_wide": _q(lambda d: R.distinct_failed_tracks(d, _PROCESSES)),
+    "mapped_columns": _mapped,
 }
 
 # --- F1-F6, F11, S9 -----------------------------------------------------------
@@ -141,6 +159,39 @@ def _station_top_sql(profile, statuses, label):
 {parts}"""
 
 
+def _grid_sql(profile, statuses):
+    labels = ", ".join(f"('{s}')" for s in statuses)
+    return dash_ctes(profile) + f"""
+, counts AS (SELECT hour, status_display AS status, COUNT(*) AS count FROM filt GROUP BY 1, 2)
+, grid AS (SELECT h.range AS hour, s.status FROM range(24) h, (VALUES {labels}) s(status))
+SELECT g.hour, g.status, CAST(COALESCE(c.count, 0) AS BIGINT) AS count
+FROM grid g LEFT JOIN counts c ON g.hour = c.hour AND g.status = c.status"""
+
+
+def _detail_sql(profile, k, cond):
+    return dash_ctes(profile) + f"""
+, codes AS (SELECT failed_testcode AS code, COUNT(*) AS count, arg_min_null(track_id, id) AS example_track
+            FROM filt WHERE {cond} GROUP BY 1)
+, top AS (SELECT * FROM codes ORDER BY count DESC, code LIMIT {k})
+SELECT code, count, {_pct('count', '(SELECT SUM(count) FROM codes)', 1)} AS pct_of_failures,
+       {_running(1)}, example_track FROM top"""
+
+
+def _hierarchy_sql(profile):
+    return dash_ctes(profile) + """
+, fails AS (SELECT * FROM filt WHERE failed AND process IS NOT NULL AND station IS NOT NULL)
+, anyc AS (SELECT MAX(failed_testcode <> '') AS any_code FROM fails)
+SELECT process, station, leaf, COUNT(*) AS count, CAST(GROUPING(process, station, leaf) AS BIGINT) AS level
+FROM (SELECT f.*, CASE WHEN COALESCE((SELECT any_code FROM anyc), false) THEN failed_testcode
+                       ELSE status_display END AS leaf FROM fails f)
+GROUP BY ROLLUP (process, station, leaf)"""
+
+
+def _wide_sql(long_sql, row, col, value, zero, values):
+    cells = ", ".join(f"COALESCE(MAX({value}) FILTER (WHERE {col} = '{v}'), {zero}) AS \"{v}\"" for v in values)
+    return f"SELECT {row}, {cells} FROM ({long_sql}) GROUP BY {row}"
+
+
 _ROWS_SQL = ", ".join(_ROW_COLS)
 
 
@@ -181,26 +232,11 @@ SELECT model, process, COUNT(DISTINCT track_id) AS failed_tracks FROM filt
 WHERE failed AND model IS NOT NULL AND process IS NOT NULL GROUP BY 1, 2""",
     "pareto_codes": _pareto_sql("tests", 20, False, 1),
     "pareto_codes_missing": _pareto_sql("span", 15, True, None),
-    "code_detail": dash_ctes("tests") + f"""
-, codes AS (SELECT failed_testcode AS code, COUNT(*) AS count, arg_min_null(track_id, id) AS example_track
-            FROM filt WHERE failed AND failed_testcode <> '' GROUP BY 1)
-, top AS (SELECT * FROM codes ORDER BY count DESC, code LIMIT 20)
-SELECT code, count, {_pct('count', '(SELECT SUM(count) FROM codes)', 1)} AS pct_of_failures,
-       {_running(1)}, example_track FROM top""",
+    "code_detail": _detail_sql("tests", 20, "failed AND failed_testcode <> ''"),
     "failures_by_process": dash_ctes("tests") + """
 SELECT process, COUNT(*) AS count FROM filt WHERE failed AND process IS NOT NULL GROUP BY 1""",
-    "failure_hierarchy": dash_ctes("tests") + """
-, fails AS (SELECT * FROM filt WHERE failed AND process IS NOT NULL AND station IS NOT NULL)
-, anyc AS (SELECT MAX(failed_testcode <> '') AS any_code FROM fails)
-SELECT process, station, leaf, COUNT(*) AS count, CAST(GROUPING(process, station, leaf) AS BIGINT) AS level
-FROM (SELECT f.*, CASE WHEN COALESCE((SELECT any_code FROM anyc), false) THEN failed_testcode
-                       ELSE status_display END AS leaf FROM fails f)
-GROUP BY ROLLUP (process, station, leaf)""",
-    "hourly_volume": dash_ctes("span") + """
-, counts AS (SELECT hour, status_display AS status, COUNT(*) AS count FROM filt GROUP BY 1, 2)
-, grid AS (SELECT h.range AS hour, s.status FROM range(24) h, (VALUES ('Passed'), ('Failed')) s(status))
-SELECT g.hour, g.status, CAST(COALESCE(c.count, 0) AS BIGINT) AS count
-FROM grid g LEFT JOIN counts c ON g.hour = c.hour AND g.status = c.status""",
+    "failure_hierarchy": _hierarchy_sql("tests"),
+    "hourly_volume": _grid_sql("span", ["Passed", "Failed"]),
     "daily_trend": dash_ctes("tests") + """
 SELECT date, status_display AS status, COUNT(*) AS count FROM filt GROUP BY 1, 2""",
     "minute_trend": dash_ctes("tests", _DEF + " AND date = DATE '2024-01-15'") + """
@@ -260,4 +296,20 @@ SELECT MIN(date) AS min_date, MAX(date) AS max_date, strftime(MIN(event_ts), '%H
     "export_rows": dash_ctes("tests") + """
 SELECT strftime(event_ts, '%Y-%m-%d %H:%M:%S') AS timestamp, track_id, model, line, station, process,
        status_display, failed_testcode FROM filt""",
+    "station_stats_span": dash_ctes("span") + f"""
+SELECT station, total, passed, total - passed AS failed, {_pct('total - passed', 'total', 1)} AS fail_rate
+FROM (SELECT station, COUNT(*) AS total, COUNT(*) FILTER (WHERE status_display = 'Passed') AS passed
+      FROM filt WHERE station IS NOT NULL GROUP BY 1)""",
+    "hourly_volume_classes": _grid_sql("pattern", ["Passed", "NTF", "Real Fail"]),
+    "pareto_codes_pattern": _pareto_sql("pattern", 15, True, None),
+    "code_detail_pattern": _detail_sql("pattern", 10, "failed"),
+    "failure_hierarchy_pattern": _hierarchy_sql("pattern"),
+    "failrate_model_line_wide": _wide_sql(_matrix_sql("tests", "model", "line"), "model", "line", "fail_pct", "0.0",
+                                          _LINES),
+    "failed_tracks_model_process_wide": _wide_sql(dash_ctes("tests") + """
+SELECT model, process, COUNT(DISTINCT track_id) AS failed_tracks FROM filt
+WHERE failed AND model IS NOT NULL AND process IS NOT NULL GROUP BY 1, 2""", "model", "process", "failed_tracks", "0",
+                                                  _PROCESSES),
+    "mapped_columns": dash_ctes("tests") + """
+SELECT process, status_display AS status, COUNT(*) AS count FROM prep WHERE process IS NOT NULL GROUP BY 1, 2""",
 }

@@ -40,6 +40,12 @@ def _hourly_gap(s, d):
     return G.hourly_gap_routed(I.first_outcomes(_raw(s, d)))
 
 
+def _hourly_gap_tables(s, d):
+    # The stored fact and skip tables, joined by hour
+    routed = _routed(s, d)
+    return G.hourly_gap(I.records(routed), I.skip_log(routed))
+
+
 def _reconcile(s, d):
     facts = Q.facts(s, d)
     return G.reconcile(fx.reconciliation_rows(facts), facts)
@@ -63,6 +69,9 @@ QUERIES = {
     "gap_report": lambda s, d: G.gap_report(_routed(s, d), count_no_th4=True),
     "gap_report_original": lambda s, d: G.gap_report(_routed(s, d), count_no_th4=False),
     "hourly_gap": _hourly_gap,
+    "hourly_gap_tables": _hourly_gap_tables,
+    "register_latest": lambda s, d: I.register_latest(_raw(s, d).select(
+        "filename", F.col("file_mtime").alias("processed_time"))),
     "reconcile": _reconcile,
     "reconcile_totals": lambda s, d: G.reconcile_totals(_reconcile(s, d)),
     "unprocessed_files": _unprocessed,
@@ -208,6 +217,8 @@ SELECT track_id AS key, {', '.join(('failed_testcode AS failed_tests' if f == 'f
     "gap_report": _gap_sql(True),
     "gap_report_original": _gap_sql(False),
     "hourly_gap": _HOURLY,
+    "hourly_gap_tables": _HOURLY,
+    "register_latest": ingest_ctes() + "SELECT filename, MAX(file_mtime) AS processed_time FROM raw GROUP BY 1",
     "reconcile": _RECONCILE + "SELECT * FROM rec",
     "reconcile_totals": _RECONCILE + """
 SELECT COUNT(*) AS inserted, COUNT(*) FILTER (WHERE found_in_db = 1) AS matched,

@@ -18,9 +18,8 @@ from .common import with_ctes
 
 def _state(s, d):
     facts = Q.facts(s, d)
-    # the alert state is small (lines x days) and used by every branch of the
-    # lifecycle plans: materialise it once (reliable checkpoint) instead of
-    # re-deriving it from the facts in each branch
+    # the alert state is used by every branch of the lifecycle plans: materialise
+    # it once (reliable checkpoint) instead of re-deriving it from the facts in each
     checkpoint_dir(s)
     alerts_x = fx.alert_state(facts).checkpoint(eager=True)
     alerts = alerts_x.drop("_day")
@@ -85,6 +84,25 @@ def _open_repairs(s, d):
                          alerts, repairs, Q.ASOF)[1]
 
 
+def _view(fn):
+    def run(s, d):
+        _, _, alerts, repairs = _state(s, d)
+        return fn(alerts, repairs)
+    return run
+
+
+def _diagnostics(s, d):
+    facts, _, alerts, _ = _state(s, d)
+    return A.diagnostics(facts, latest_per_track(facts, Q.ASOF, Q.WINDOW), Q.ASOF, Q.WINDOW, alerts)
+
+
+def _line_status(k):
+    def run(s, d):
+        facts, _, alerts, _ = _state(s, d)
+        return A.line_status(latest_per_track(facts, Q.ASOF, Q.WINDOW), Q.MIN_SAMPLES, Q.THRESHOLD, k, alerts)
+    return run
+
+
 _OLD_REPAIR_COLS = ["id", "alert_id", "unit_id", "line", "station", "status", "rca_text",
                     "action_taken", "created_at", "updated_at", "closed_at"]
 
@@ -102,8 +120,11 @@ QUERIES = {
     "open_alerts": _open_alerts,
     "open_alert_repairs": _open_repairs,
     "alert_text": lambda s, d: L.alert_text(_state(s, d)[2], Q.ASOF),
-    "open_view": lambda s, d: L.open_view(_state(s, d)[2], _state(s, d)[3], Q.ASOF),
-    "history_view": lambda s, d: L.history_view(_state(s, d)[2], _state(s, d)[3], 10),
+    "open_view": _view(lambda a, r: L.open_view(a, r, Q.ASOF)),
+    "history_view": _view(lambda a, r: L.history_view(a, r, 10)),
+    "window_diagnostics_alerts": _diagnostics,
+    "line_status_alerts": _line_status(None),
+    "line_status_top10": _line_status(10),
     "alert_stats": lambda s, d: L.stats(_state(s, d)[2]),
     "sla_report": lambda s, d: L.sla(_state(s, d)[2]),
     "backfill_alert_id": lambda s, d: L.backfill_alert_id(_state(s, d)[3]),
@@ -330,6 +351,31 @@ FROM (SELECT COUNT(*) AS resolved, CAST(COALESCE(SUM(within_sla), 0) AS BIGINT)
              round_even(AVG(resolution_mins), 1) AS avg_mins, round_even(MIN(resolution_mins), 1) AS min_mins,
              round_even(MAX(resolution_mins), 1) AS max_mins FROM alerts WHERE resolved = 1)"""
 
+_COUNTS = """(SELECT COUNT(*) FROM alerts WHERE resolved = 0) AS open_alerts,
+       (SELECT COUNT(*) FROM alerts WHERE resolved = 1) AS resolved_alerts"""
+_WINDOW_CTES = [Q.alert_facts_cte(), *Q.latest_cte()]
+
+
+def _line_status_sql(limit: str) -> str:
+    rate = "failed * CAST(100.0 AS DOUBLE) / total"
+    return _base_ctes(*_WINDOW_CTES) + f"""
+SELECT line, total, failed, round_even({rate}, 2) AS rate, round_even({rate}, 2) > {Q.THRESHOLD} AS above, {_COUNTS}
+FROM (SELECT line, COUNT(*) AS total, CAST(SUM(CASE WHEN {Q.FAIL_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS failed
+      FROM latest GROUP BY line)
+WHERE total >= {Q.MIN_SAMPLES} ORDER BY {rate} DESC, line {limit}"""
+
+
+_DIAGNOSTICS = _base_ctes(*_WINDOW_CTES) + f"""
+SELECT (SELECT COUNT(*) FROM facts) AS total_rows,
+       (SELECT COUNT(*) FROM facts WHERE event_ts IS NULL) AS unparsable_rows,
+       (SELECT COUNT(*) FROM win) AS raw_rows,
+       (SELECT COUNT(*) FROM win WHERE {Q.FAIL_SQL}) AS raw_failures,
+       (SELECT MIN(event_ts) FROM win) AS earliest,
+       (SELECT MAX(event_ts) FROM win) AS latest,
+       (SELECT COUNT(*) FROM latest) AS dedup_rows,
+       (SELECT COUNT(*) FROM latest WHERE {Q.FAIL_SQL}) AS dedup_failures,
+       (SELECT COUNT(*) FROM alerts WHERE resolved = 0) AS open_alerts"""
+
 _BACKFILL = _base_ctes() + f"""
 SELECT {_REPAIR_COLS.replace('alert_id,', f'CASE WHEN alert_id IS NULL AND {_UNIT_N} > 0 THEN {_UNIT_N} ELSE alert_id END AS alert_id,', 1)}
 FROM repairs"""
@@ -443,6 +489,9 @@ ORACLES = {
     "alert_text": _alert_text_sql(),
     "open_view": _OPEN_VIEW,
     "history_view": _HISTORY,
+    "window_diagnostics_alerts": _DIAGNOSTICS,
+    "line_status_alerts": _line_status_sql(""),
+    "line_status_top10": _line_status_sql("LIMIT 10"),
     "alert_stats": _STATS,
     "sla_report": _SLA,
     "backfill_alert_id": _BACKFILL,

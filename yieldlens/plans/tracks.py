@@ -51,6 +51,7 @@ QUERIES = {
     "track_classes_span": _span_classes,
     "track_classes_pattern": lambda s, d: TR.classify_by_pattern(_pattern_view(s, d)),
     "track_kpis": _kpis,
+    "track_kpis_pattern": lambda s, d: TR.kpis(TR.classify_by_pattern(_pattern_view(s, d))),
     "realfail_model_line_tracks": _matrix(K.REAL_FAIL),
     "ntf_model_line_tracks": _matrix(K.NTF),
     "ntf_daily": _by(TR.classes_by_day),
@@ -89,6 +90,13 @@ _SPAN_FILTER_CTES = [
 ]
 
 
+_PATTERN_CLASSES = """
+SELECT track_id, has_real_fail, has_ntf,
+       CASE WHEN has_real_fail THEN 'Real Fail' WHEN has_ntf THEN 'NTF' ELSE 'Passed' END AS overall_status
+FROM (SELECT track_id, bool_or(status_display = 'Real Fail') AS has_real_fail,
+             bool_or(status_display = 'NTF') AS has_ntf FROM kept WHERE track_id IS NOT NULL GROUP BY 1)"""
+
+
 def _matrix_sql(status):
     return _span_sql(f"""
 SELECT model, line, total_tracks, class_tracks,
@@ -102,11 +110,12 @@ _ROWS = "id, track_id, model, line, station, process, status, event_ts"
 
 ORACLES = {
     "track_classes_span": _span_sql("SELECT * FROM classes"),
-    "track_classes_pattern": dash_ctes("pattern", extra=_SPAN_FILTER_CTES) + """
-SELECT track_id, has_real_fail, has_ntf,
-       CASE WHEN has_real_fail THEN 'Real Fail' WHEN has_ntf THEN 'NTF' ELSE 'Passed' END AS overall_status
-FROM (SELECT track_id, bool_or(status_display = 'Real Fail') AS has_real_fail,
-             bool_or(status_display = 'NTF') AS has_ntf FROM kept WHERE track_id IS NOT NULL GROUP BY 1)""",
+    "track_classes_pattern": dash_ctes("pattern", extra=_SPAN_FILTER_CTES) + _PATTERN_CLASSES,
+    "track_kpis_pattern": dash_ctes("pattern", extra=[*_SPAN_FILTER_CTES, ("classes", _PATTERN_CLASSES)]) + """
+SELECT overall_status, tracks, total_tracks,
+       round_even(COALESCE(CAST(tracks AS DOUBLE) / NULLIF(total_tracks, 0) * 100, 0.0), 2) AS pct FROM (
+  SELECT overall_status, COUNT(*) AS tracks, (SELECT COUNT(*) FROM classes) AS total_tracks
+  FROM classes GROUP BY 1)""",
     "track_kpis": _span_sql("""
 SELECT overall_status, tracks, total_tracks, all_tracks,
        round_even(COALESCE(CAST(tracks AS DOUBLE) / NULLIF(total_tracks, 0) * 100, 0.0), 2) AS pct FROM (

@@ -233,8 +233,9 @@ WHERE v = 0 OR (v = 1 AND id % 60 = 0) OR (v = 2 AND id % 200 = 0)
 
 
 # ---------------------------------------------------------------------------
-# Alert state (FIXTURES §4, refined): one alert per (day, line) with the
-# deduplicated line rate of that day; id = day * 10 + line number + 1; sent
+# Alert state (FIXTURES §4, refined): one alert per (day, line, run of 1,000 row ids),
+# so alerts grow with the facts, with the rate of the deduplicated rows there;
+# id = the smallest row id of these rows (unique at any size); sent
 # 23:00 (day 13: unparsable sent text); open when day % 3 = 0 and the line
 # number is even, else resolved after 20 + 13 * (day % 10) minutes. The
 # ranked-code JSON uses the old key names (failed / total) for even ids.
@@ -247,11 +248,12 @@ def alert_state(facts: DataFrame) -> DataFrame:
             .withColumn("_d", F.to_date("event_ts")))
     latest = latest_per_key(rows.select(*DEDUP_COLS, "event_ts", "_d"), ["_d", "track_id"],
                             DEDUP_COLS + ["_d"])
-    per = (latest.groupBy("_d", "line")
-           .agg(F.count(F.lit(1)).alias("total"), F.count_if(C.alert_failed()).cast("long").alias("failed")))
+    per = (latest.groupBy("_d", "line", F.floor(F.col("id") / 1000).alias("_run"))
+           .agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("total"),
+                F.count_if(C.alert_failed()).cast("long").alias("failed")))
     day = F.dayofmonth("_d")
     li = F.substr(F.col("line"), F.lit(2)).cast("int")
-    aid = (day * 10 + li + 1).cast("long")
+    aid = F.col("_first")
     mins = (20 + 13 * (day % 10)).cast("double")
     sent_ts = F.col("_d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(23))
     resolved = ~((day % 3 == 0) & (li % 2 == 0))
@@ -374,17 +376,17 @@ WITH src AS (SELECT *, CAST(event_ts AS DATE) AS d FROM (SELECT *, {ts} AS event
 lat AS (SELECT {cols} FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY d, track_id ORDER BY event_ts DESC, id DESC)
                             AS rn FROM src WHERE {tracked}) WHERE rn = 1
         UNION ALL SELECT {cols} FROM src WHERE NOT ({tracked})),
-per AS (SELECT d, line, COUNT(*) AS total,
+per AS (SELECT d, line, MIN(id) AS first_id, COUNT(*) AS total,
                CAST(SUM(CASE WHEN UPPER(TRIM(status)) IN ('F','FAIL','FAILED') THEN 1 ELSE 0 END) AS BIGINT) AS failed
-        FROM lat GROUP BY d, line),
-b AS (SELECT *, day(d) AS dd, CAST(substr(line, 2, 10) AS INTEGER) AS li,
+        FROM lat GROUP BY d, line, id // 1000),
+b AS (SELECT *, day(d) AS dd, CAST(substr(line, 2) AS INTEGER) AS li,
              CAST(20 + 13 * (day(d) % 10) AS DOUBLE) AS mins, CAST(d AS TIMESTAMP) + INTERVAL 23 HOUR AS sent_ts,
              CAST(failed * 100 // total AS BIGINT) AS pct_int FROM per)
-SELECT CAST(dd * 10 + li + 1 AS BIGINT) AS id, 'log_data' AS source_table, line,
+SELECT first_id AS id, 'log_data' AS source_table, line,
        line || '-ST' || CAST(dd % 11 AS VARCHAR) AS station,
        round_even(CAST(failed AS DOUBLE) / total * 100, 2) AS line_failure_rate,
        CAST(total AS BIGINT) AS total_tests, failed AS failed_tests,
-       CASE WHEN (dd * 10 + li + 1) % 2 = 0
+       CASE WHEN first_id % 2 = 0
             THEN '[{{"rank": 1, "testcode": "TC_' || line || '_01", "process": "L2AR", "failed": ' || failed
                  || ', "total": ' || total || ', "rate": ' || pct_int || '}}]'
             ELSE '[{{"rank": 1, "testcode": "TC_' || line || '_01", "process": "L2AR", "failed_units": ' || failed
@@ -409,7 +411,7 @@ SELECT CAST(a.id * 2 + k AS BIGINT) AS id,
        CAST(NULL AS VARCHAR) AS action_taken, CAST(NULL AS VARCHAR) AS capa_text,
        CAST(NULL AS VARCHAR) AS engineer_contact, alert_sent_at AS created_at, alert_sent_at AS updated_at,
        resolved_at AS closed_at
-FROM (SELECT *, (day(_day) = 2 AND CAST(substr(line, 2, 10) AS INTEGER) = 1 AND id % 7 <> 0) AS odd FROM alerts_src) a,
+FROM (SELECT *, (day(_day) = 2 AND CAST(substr(line, 2) AS INTEGER) = 1 AND id % 7 <> 0) AS odd FROM alerts_src) a,
      (SELECT unnest([0, 1]) AS k) ks
 WHERE k = 0 OR a.id % 7 = 0 OR odd"""
 
