@@ -223,3 +223,38 @@ def test_second_query_on_the_same_root_adds(spark, tmp_path):
 def test_result_time_takes_any_white_space(spark):
     df = spark.createDataFrame([("01/02/24   10:11:12",), ("01/02/24\t10:11:12",), ("01/02/2410:11:12",)], "t string")
     assert [r[0] for r in df.select(C.parse_result_time("t")).collect()] == ["2024-01-02 10:11:12"] * 2 + [None]
+
+
+def test_files_gone_after_the_listing_are_recorded(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("A1_rslt.txt", "B2_rslt.txt"):
+        (folder / name).write_text("no row here")
+    (folder / "other.txt").write_text("x")
+    SF.list_result_files(spark, str(folder)).write.parquet(str(tmp_path / "listing"))
+    (folder / "B2_rslt.txt").unlink()
+    listing = spark.read.parquet(str(tmp_path / "listing"))
+    files = SF.with_gone(SF.read_result_files(spark, str(folder)), listing)
+    got = {r.filename: (r.outcome, r.track_id) for r in I.route(files).collect()}
+    assert got == {"A1_rslt.txt": (K.R_NO_TH4, "A1"), "B2_rslt.txt": (K.R_FILE_GONE, "B2")}
+
+
+def test_relay_consumer_feeds_the_fact_table(spark, tmp_path):
+    from yieldlens.streaming.ingest import relay_batch
+    root = str(tmp_path / "out")
+
+    def batch(rows):
+        return I.from_envelope(spark.createDataFrame(rows, "key string, value string, partition int, offset long"))
+
+    def msg(track, name):
+        return (f'{{"track_id": "{track}", "process": "UCT", "status": "P", "timestamp": "2024-01-05 10:00:00", '
+                f'"_filename": "{name}", "_source": "poll"}}')
+    first = [("T1", msg("T1", "a_rslt"), 0, 1), ("T2", msg("T2", "a_rslt"), 0, 2), ("T9", "not json", 0, 3)]
+    relay_batch(batch(first), 0, root)
+    relay_batch(batch(first), 0, root)                                   # replayed
+    relay_batch(batch([("T1", msg("T1", "a_rslt"), 0, 4), ("T3", msg("T3", "b_rslt"), 1, 1)]), 1, root)
+    facts = SF.read_table(spark, root, "log_data").collect()
+    assert sorted((r.track_id, r.filename, str(r.event_date)) for r in facts) == [
+        ("T1", "a_rslt", "2024-01-05"), ("T3", "b_rslt", "2024-01-05")]
+    assert [(r.key, r.raw) for r in SF.read_table(spark, root, "dead_letters").collect()] == [("T9", "not json")]
+    assert SF.read_table(spark, root, "duplicate_files").count() == 2

@@ -1,6 +1,7 @@
 """Alert / repair lifecycle (L1-L6, P19-P21, S11, S12) on hand-made state."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -123,19 +124,27 @@ def test_backfill_and_evolve(spark):
 
 def test_stream_alert_batch_is_replay_safe(spark, tmp_path):
     from yieldlens.streaming.line_rates import alert_batch
-    rates = spark.createDataFrame(
-        [(dt.datetime(2024, 1, 30, 8), dt.datetime(2024, 1, 30, 12), "L1", 20, 8),
-         (dt.datetime(2024, 1, 30, 8), dt.datetime(2024, 1, 30, 12), "L2", 20, 0),
-         (dt.datetime(2024, 1, 30, 7, 30), dt.datetime(2024, 1, 30, 11, 30), "L3", 20, 9)],
-        "window_start timestamp_ntz, window_end timestamp_ntz, line string, total long, failed long")
+    t = dt.datetime(2024, 1, 30, 12)
+    early = dt.datetime(2024, 1, 30, 11, 30)
+    units = spark.createDataFrame(
+        [(t, "L1", "L1-S1", "P", None, 12), (t, "L1", "L1-S1", "F", "TC_A_01;TC_B_02", 3), (t, "L1", "L1-S2", "F", "TC_C_03", 5),
+         (t, "L2", "L2-S1", "P", None, 20), (early, "L3", "L3-S1", "P", None, 11), (early, "L3", "L3-S1", "F", None, 9),
+         (t, "L3", "L3-S2", "F", "TC_D_04", 20)],
+        "window_end timestamp_ntz, line string, station string, status string, failed_testcode string, units long")
+    units = units.withColumn("process", F.lit("UCT"))
     root = str(tmp_path / "state")
-    alert_batch(rates, 0, root)
-    alert_batch(rates, 0, root)          # replay: same partition rewritten
-    alert_batch(rates, 1, root)          # next evaluation: L1 already open
+    alert_batch(units, 0, root)
+    alert_batch(units, 0, root)          # replay: same partition rewritten
+    alert_batch(units, 1, root)          # next evaluation: L1 already open
+    alert_batch(units, 0, root, run="other")     # another query numbers its batches anew: nothing is replaced
     a = spark.read.parquet(f"{root}/failure_alerts").collect()
     # every window that the batch closed is evaluated, the older one with its own time
     assert sorted((r.line, r.alert_sent_at, r.resolved) for r in a) == [("L1", "2024-01-30 12:00:00", 0),
                                                                         ("L3", "2024-01-30 11:30:00", 0)]
+    assert {r.line: (r.station, r.total_tests, r.failed_tests) for r in a} == {"L1": ("L1-S2", 20, 8), "L3": ("L3-S1", 20, 9)}
+    codes = {r.line: [(c["testcode"], c["failed_units"], c["total_line"]) for c in json.loads(r.top_testcodes)] for r in a}
+    assert codes == {"L1": [("TC_C_03", 5, 20), ("TC_A_01", 3, 20)], "L3": []}
+    assert sorted((r.id, r.line) for r in a) == [(1, "L3"), (2, "L1")]
     assert spark.read.parquet(f"{root}/repair_actions").count() == 2
 
 

@@ -1,14 +1,15 @@
 """Alert evaluation over the trailing window.
 
 Inputs are the fact table and an explicit ``asof``; the deduplicated window
-(W1) is computed once by the caller and shared by every function here.
+(W1) is computed once by the caller and shared by every function here; it may
+also come pre-counted, each row standing for ``units`` equal ones.
 All per-line work is done for all lines in one pass (the system we reproduce
 re-ran the dedup once per line).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as K
@@ -18,9 +19,15 @@ from .frames import attach, single_row
 
 
 def _line_counts(latest: DataFrame) -> DataFrame:
+    n = _weight(latest)
     return (latest.groupBy("line")
-            .agg(F.count(F.lit(1)).alias("total"),
-                 F.count_if(C.alert_failed()).cast("long").alias("failed")))
+            .agg(F.sum(n).alias("total"),
+                 F.sum(F.when(C.alert_failed(), n).otherwise(0)).alias("failed")))
+
+
+def _weight(latest: DataFrame) -> Column:
+    """Units that a row stands for: ``units`` of pre-counted rows, else one."""
+    return (F.col("units") if "units" in latest.columns else F.lit(1)).cast("long")
 
 
 def line_rates(latest: DataFrame, min_samples: int = K.MIN_SAMPLES,
@@ -74,7 +81,7 @@ def top_codes(latest: DataFrame, k: int = K.TOP_N_TESTCODES) -> DataFrame:
          & (F.trim(F.col("failed_testcode")) != ""))
     g = (latest.groupBy("line", q.alias("_q"), F.when(q, C.primary_code()).alias("code"),
                         F.when(q, F.col("process")).alias("process"))
-         .agg(F.count(F.lit(1)).alias("_n")))
+         .agg(F.sum(_weight(latest)).alias("_n")))
     g = g.withColumn("total_line", F.sum("_n").over(Window.partitionBy("line")).cast("long"))
     w = Window.partitionBy("line").orderBy(F.col("_n").desc(), F.col("code").asc_nulls_last(),
                                            F.col("process").asc_nulls_last())
@@ -92,7 +99,8 @@ def worst_station(latest: DataFrame) -> DataFrame:
     """Per line the station with most failed units (name breaks ties);
     the line name itself when the line has no failures. One aggregate over
     (line, station), then a per-line window over that small result."""
-    g = latest.groupBy("line", "station").agg(F.count_if(C.alert_failed()).cast("long").alias("failed"))
+    units = F.when(C.alert_failed(), _weight(latest)).otherwise(0)
+    g = latest.groupBy("line", "station").agg(F.sum(units).alias("failed"))
     w = Window.partitionBy("line").orderBy(F.col("failed").desc(), F.col("station").asc_nulls_last())
     best = g.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return best.select("line",

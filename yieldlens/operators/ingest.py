@@ -156,6 +156,18 @@ def from_envelope(df: DataFrame, value: str = "value") -> DataFrame:
                       "bad_json", F.when(F.col("bad_json"), F.col("_raw")).alias("raw"))
 
 
+def from_relay(decoded: DataFrame, order: list[str]) -> DataFrame:
+    """S4 consumer side: decoded envelopes as routed rows. The first copy of a file name in
+    ``order`` is an INSERT, later ones are duplicates; bad rows are left to the dead letters."""
+    good = decoded.where(~F.col("bad_json"))
+    first = good.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first_key"))
+    copy = F.struct(*[F.col(c) for c in order]) != F.col("_first_key")
+    return (good.join(first, "filename")
+            .withColumn("outcome", F.when(copy, K.R_DUPLICATE).otherwise(K.INSERT))
+            .withColumn("file_id", F.col("filename"))
+            .withColumn("event_ts", C.parse_iso_ts(F.col("timestamp"))).drop("_first_key", "bad_json", "raw"))
+
+
 # --- J6 / S10: processed-file register -------------------------------------
 
 def register_latest(register: DataFrame) -> DataFrame:

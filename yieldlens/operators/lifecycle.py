@@ -325,10 +325,11 @@ def ensure_repairs(rates: DataFrame, alerts: DataFrame, repairs: DataFrame, asof
 
 
 def open_alerts(rates: DataFrame, codes: DataFrame, stations: DataFrame, alerts: DataFrame,
-                repairs: DataFrame, asof: str, source_table: str = "log_data"):
+                repairs: DataFrame, asof: str | None, source_table: str = "log_data"):
     """L1 + J7: an alert (and its ``Open`` repair row ``ALERT-<id>``) for
     each breaching line without an open alert; ids continue after the
-    current maximum in rate order. ``rates`` is already the top N (Q13).
+    current maximum in rate order. ``rates`` is already the top N (Q13); with
+    ``asof`` None it names each line's own time (``asof``, TIMESTAMP_NTZ), and ids go by time first.
     Returns ``(new_alerts, new_repairs)``."""
     open_lines = alerts.where(F.col("resolved") == 0).select("line")
     fresh = rates.join(open_lines, "line", "left_anti")
@@ -336,9 +337,10 @@ def open_alerts(rates: DataFrame, codes: DataFrame, stations: DataFrame, alerts:
              .join(stations.select("line", F.col("station").alias("_st")), "line", "left"))
     mx = alerts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_amax"))
     rmx = repairs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_rmax"))
-    w = Window.orderBy(F.col("rate").desc(), F.col("line"))  # over <= N breaching lines
+    first = [] if asof else [F.col("asof")]
+    w = Window.orderBy(*first, F.col("rate").desc(), F.col("line"))  # a row per breaching line at most
     base = attach(attach(fresh, mx), rmx).withColumn("_n", F.row_number().over(w))
-    now = _ts_text(_lit_ts(asof))
+    now = _ts_text(_lit_ts(asof) if asof else F.col("asof"))
     new_alerts = base.select(
         (F.col("_amax") + F.col("_n")).cast("long").alias("id"), F.lit(source_table).alias("source_table"),
         "line", F.coalesce("_st", "line").alias("station"), F.col("rate").alias("line_failure_rate"),

@@ -54,8 +54,7 @@ def ingested_lines_above_threshold(spark, sf_dir):
     return A.line_rates(latest_per_track(facts, Q.ASOF, Q.WINDOW), Q.MIN_SAMPLES, Q.THRESHOLD, Q.TOP_LINES)
 
 
-def stream_line_rate(spark, sf_dir):
-    base = scratch(spark)
+def _fact_stream(spark, sf_dir, base):
     facts = with_event_ts(Q.facts(spark, sf_dir)).select(*K.LOG_DATA.fieldNames(), "event_ts")
     # a last row, without a line, far enough ahead to close every window of the others
     end = (facts.agg(F.max("event_ts").alias("_t"))
@@ -63,31 +62,88 @@ def stream_line_rate(spark, sf_dir):
                       if f.name == "timestamp" else F.lit(None)).cast(f.dataType).alias(f.name)
                      for f in K.LOG_DATA.fields]))
     facts.drop("event_ts").unionByName(end).write.parquet(f"{base}/facts")
-    stream = spark.readStream.schema(K.LOG_DATA).parquet(f"{base}/facts")
+    return spark.readStream.schema(K.LOG_DATA).parquet(f"{base}/facts")
+
+
+def stream_line_rate(spark, sf_dir):
+    base = scratch(spark)
+    stream = _fact_stream(spark, sf_dir, base)
     q = SL.start_line_rates(stream, f"{base}/rates", f"{base}/ckpt", trigger={"availableNow": True})
     q.awaitTermination()
     return spark.read.parquet(f"{base}/rates")
 
 
+def _stream_alerts(name):
+    def run(spark, sf_dir):
+        base = scratch(spark)
+        stream = _fact_stream(spark, sf_dir, base)
+        q = SL.start_alerts(stream, f"{base}/state", f"{base}/ckpt", trigger={"availableNow": True},
+                            min_samples=Q.MIN_SAMPLES, threshold=Q.THRESHOLD, k=Q.TOP_LINES)
+        q.awaitTermination()
+        return SL.alert_table(spark, f"{base}/state", name)
+    return run
+
+
 QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_line_rate": stream_line_rate,
+    "stream_alerts": _stream_alerts("failure_alerts"),
+    "stream_alert_repairs": _stream_alerts("repair_actions"),
     "ingested_lines_above_threshold": ingested_lines_above_threshold,
 }
 
 _TRACKED = "track_id IS NOT NULL AND TRIM(track_id) <> ''"
-_LINE_RATE = with_ctes(Q.log_cte(), Q.alert_facts_cte(), ("ev", "SELECT * FROM facts WHERE event_ts IS NOT NULL"),
+_WINDOW_CTES = with_ctes(Q.log_cte(), Q.alert_facts_cte(), ("ev", "SELECT * FROM facts WHERE event_ts IS NOT NULL"),
                        ("win", """SELECT ev.*, time_bucket(INTERVAL 30 MINUTE, event_ts) - to_minutes(30 * k) AS ws
                                   FROM ev, (SELECT unnest(range(8)) AS k) ks"""),
                        ("keyed", f"""SELECT *, CASE WHEN {_TRACKED} THEN track_id ELSE chr(0) || CAST(id AS VARCHAR) END
                                      AS key FROM win WHERE event_ts < ws + INTERVAL 240 MINUTE"""),
                        ("latest", """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ws, key
-                                     ORDER BY event_ts DESC, id DESC) AS rn FROM keyed) WHERE rn = 1""")) + f"""
+                                     ORDER BY event_ts DESC, id DESC) AS rn FROM keyed) WHERE rn = 1"""))
+_LINE_RATE = _WINDOW_CTES + f"""
 SELECT ws AS window_start, ws + INTERVAL 240 MINUTE AS window_end, line, COUNT(*) AS total,
        CAST(SUM(CASE WHEN {Q.FAIL_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS failed
 FROM latest GROUP BY ws, line"""
 
+_RAW = "failed * CAST(100.0 AS DOUBLE) / total"
+# per window the top lines above the threshold; a line's alert opens in its first such window
+_ALERTED = _WINDOW_CTES + f"""
+, rates AS (SELECT ws, line, COUNT(*) AS total, CAST(SUM(CASE WHEN {Q.FAIL_SQL} THEN 1 ELSE 0 END) AS BIGINT) AS failed
+            FROM latest GROUP BY ws, line)
+, breach AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ws ORDER BY {_RAW} DESC, line) AS rk FROM rates
+             WHERE total >= {Q.MIN_SAMPLES} AND {_RAW} > {Q.THRESHOLD})
+, opened AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY line ORDER BY ws) AS nth FROM breach
+                            WHERE rk <= {Q.TOP_LINES}) WHERE nth = 1)
+, here AS (SELECT l.* FROM latest l JOIN opened o ON l.ws = o.ws AND l.line = o.line)
+, per_code AS (SELECT line, TRIM(split_part(failed_testcode, ';', 1)) AS code, process, COUNT(*) AS failed_units FROM here
+               WHERE {Q.FAIL_SQL} AND failed_testcode IS NOT NULL AND TRIM(failed_testcode) <> '' GROUP BY 1, 2, 3)
+, ranked AS (SELECT c.*, o.total, ROW_NUMBER() OVER (PARTITION BY c.line ORDER BY failed_units DESC, code, process NULLS LAST)
+             AS rank FROM per_code c JOIN opened o USING (line))
+, cj AS (SELECT line, CAST(to_json(list_sort(list({{'rank': CAST(rank AS BIGINT), 'testcode': COALESCE(NULLIF(code, ''), 'UNKNOWN'),
+                'process': COALESCE(process, 'N/A'), 'failed_units': failed_units, 'total_line': total,
+                'rate': round_even(CAST(failed_units AS DOUBLE) / total * 100, 1)}}))) AS VARCHAR) AS codes
+         FROM ranked WHERE rank <= {K.TOP_N_TESTCODES} GROUP BY line)
+, st AS (SELECT * FROM (SELECT line, station, ROW_NUMBER() OVER (PARTITION BY line ORDER BY COUNT(*) DESC, station NULLS LAST) AS rn
+                        FROM here WHERE {Q.FAIL_SQL} GROUP BY line, station) WHERE rn = 1)
+, numbered AS (SELECT o.*, cj.codes, COALESCE(st.station, o.line) AS station, round_even({_RAW}, 2) AS rate,
+                      strftime(o.ws + INTERVAL 240 MINUTE, '%Y-%m-%d %H:%M:%S') AS sent_at,
+                      ROW_NUMBER() OVER (ORDER BY o.ws, round_even({_RAW}, 2) DESC, o.line) AS n
+               FROM opened o LEFT JOIN cj ON cj.line = o.line LEFT JOIN st ON st.line = o.line)"""
+_STREAM_ALERTS = _ALERTED + """
+SELECT n AS id, 'log_data' AS source_table, line, station, rate AS line_failure_rate, total AS total_tests,
+       failed AS failed_tests, COALESCE(codes, '[]') AS top_testcodes, sent_at AS alert_sent_at, CAST(0 AS INTEGER) AS resolved,
+       CAST(NULL AS VARCHAR) AS resolved_at, CAST(NULL AS DOUBLE) AS resolution_mins,
+       CAST(NULL AS INTEGER) AS within_sla, CAST(NULL AS VARCHAR) AS telegram_msg_id FROM numbered"""
+_STREAM_REPAIRS = _ALERTED + """
+SELECT n AS id, n AS alert_id, 'ALERT-' || CAST(n AS VARCHAR) AS unit_id, line, station, 'Open' AS status,
+       CAST(NULL AS VARCHAR) AS failure_description, CAST(NULL AS VARCHAR) AS rca_text,
+       CAST(NULL AS VARCHAR) AS action_taken, CAST(NULL AS VARCHAR) AS capa_text,
+       CAST(NULL AS VARCHAR) AS engineer_contact, sent_at AS created_at, sent_at AS updated_at,
+       CAST(NULL AS VARCHAR) AS closed_at FROM numbered"""
+
 ORACLES = {
+    "stream_alerts": _STREAM_ALERTS,
+    "stream_alert_repairs": _STREAM_REPAIRS,
     "stream_ingest": ingest_ctes() + f"SELECT {', '.join(_REC_COLS)} FROM records",
     "stream_line_rate": _LINE_RATE,
     "ingested_lines_above_threshold": ingest_ctes(

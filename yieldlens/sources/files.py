@@ -31,6 +31,24 @@ def read_result_files(spark: SparkSession, path: str, recursive: bool = False,
         .where(C.is_rslt_name(F.col("filename"))))
 
 
+def list_result_files(spark: SparkSession, path: str, recursive: bool = False, source: str = "startup") -> DataFrame:
+    """The result files there are, without reading them. Store it to find files that are
+    gone by the time they are read."""
+    df = (spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
+          .option("recursiveFileLookup", str(recursive).lower()).load(path))
+    return (df.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_name").alias("filename"),
+                      F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"),
+                      F.lit(source).alias("source"))
+            .where(C.is_rslt_name(F.col("filename"))))
+
+
+def with_gone(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """``files`` as read, and a row without content for each file of an earlier, stored
+    ``listing`` that the read did not find; ``route`` gives those FILE_GONE."""
+    gone = listing.join(files.select("file_id"), "file_id", "left_anti")
+    return files.unionByName(gone.withColumn("content", F.lit(None).cast("string")))
+
+
 def read_facts(spark: SparkSession, path: str | None = None, jdbc_options: dict | None = None,
                num_partitions: int = 64) -> DataFrame:
     """The fact table, from parquet (``path``) or over JDBC. The JDBC
@@ -54,10 +72,11 @@ def write_facts(records: DataFrame, path: str, mode: str = "append") -> None:
     out.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
-def read_if_written(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None if there is no such path; other errors are raised."""
+def read_if_written(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table of ``schema`` at ``path`` (it may have no rows yet), or None if there is no
+    such path; other errors are raised."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -112,6 +131,7 @@ _EMPTY = {
     "duplicate_files": "filename string, source string",
     "rescan_tracking": "filename string, track_id string, process string",
     "processed_files": "filename string, processed_time timestamp_ntz",
+    "dead_letters": "key string, raw string",
     "log_data": "filename string, source string, process string, model string, line string, station string, "
                 "status string, failed_testcode string, track_id string, date string, time string, "
                 "timestamp string, event_ts timestamp_ntz, id long, event_date date",
@@ -120,5 +140,8 @@ _EMPTY = {
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table that ``write_outcomes`` keeps; one without rows so far reads as empty."""
-    schema = f"{_EMPTY[name]}, run string, batch_id long"
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+    return spark.read.schema(table_schema(name)).parquet(f"{root}/{name}")
+
+
+def table_schema(name: str) -> str:
+    return f"{_EMPTY[name]}, run string, batch_id long"

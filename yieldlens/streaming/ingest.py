@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import schemas as K
 from ..functions import columns as C
 from ..operators import ingest as I
-from ..sources.files import read_if_written, write_outcomes
+from ..sources.files import read_if_written, table_schema, write_outcomes
 
 RAW_SCHEMA = "file_id string, filename string, content string, source string, file_mtime timestamp_ntz"
 
@@ -55,17 +55,40 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, run: str = "batch"
                   lag_seconds: int | None = None) -> None:
     """ST1 + ST2 + ST6: route one micro-batch and write its outcomes. The first copy of a file
     name that a batch confirms stays; copies in later batches are duplicates."""
-    spark = batch.sparkSession
-    routed = I.route(batch)
-    register = read_if_written(spark, f"{root}/processed_files")
-    if register is not None:
-        # files confirmed by an earlier batch (not this one: replays rewrite it)
-        earlier = (register.where((F.col("batch_id") != batch_id) | (F.col("run") != run))
-                   .select("filename").distinct())
-        seen = routed.join(earlier.withColumn("_seen", F.lit(True)), "filename", "left")
-        routed = (seen.withColumn("outcome", F.when(F.col("_seen"), F.lit(K.R_DUPLICATE))
-                                  .otherwise(F.col("outcome"))).drop("_seen"))
-    write_outcomes(routed, batch_id, root, run, lag_seconds)
+    write_outcomes(_mark_seen(I.route(batch), batch_id, root, run), batch_id, root, run, lag_seconds)
+
+
+def _mark_seen(routed: DataFrame, batch_id: int, root: str, run: str) -> DataFrame:
+    """Routed rows whose file name an earlier batch confirmed become duplicates."""
+    register = read_if_written(routed.sparkSession, f"{root}/processed_files", table_schema("processed_files"))
+    if register is None:
+        return routed
+    # files confirmed by an earlier batch (not this one: replays rewrite it)
+    earlier = (register.where((F.col("batch_id") != batch_id) | (F.col("run") != run))
+               .select("filename").distinct())
+    seen = routed.join(earlier.withColumn("_seen", F.lit(True)), "filename", "left")
+    return (seen.withColumn("outcome", F.when(F.col("_seen"), F.lit(K.R_DUPLICATE))
+                            .otherwise(F.col("outcome"))).drop("_seen"))
+
+
+def relay_batch(decoded: DataFrame, batch_id: int, root: str, run: str = "relay",
+                order: tuple[str, ...] = ("partition", "offset")) -> None:
+    """S4 + ST3, consumer side: one micro-batch of decoded envelopes (``kafka_source``). Records of
+    names not confirmed before go to the fact table; values that are no JSON object are kept as
+    dead letters with key and text, written first so that a replay finds the batch open."""
+    bad = decoded.where("bad_json").select(F.col("key").cast("string").alias("key"), "raw")
+    (bad.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run", "batch_id").parquet(f"{root}/dead_letters"))
+    write_outcomes(_mark_seen(I.from_relay(decoded, list(order)), batch_id, root, run), batch_id, root, run)
+
+
+def start_relay(decoded: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
+    """Start the consumer of the relay; batches are numbered per checkpoint, as in ``start_ingest``."""
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    w = (decoded.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: relay_batch(df, bid, root, run)))
+    return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def start_ingest(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,

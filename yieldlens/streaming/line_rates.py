@@ -1,9 +1,10 @@
-"""ST7-ST9: sliding-window line failure rates over a stream of facts.
+"""ST7-ST9: sliding-window line failure rates and alerts over a stream of facts.
 
 The reproduced system re-evaluates "last 240 minutes" every 1800 s with no
-watermark. As a stream: event time -> watermark -> sliding window
-(240 min, slide 30 min) -> newest row per (window, track) -> per (window,
-line) counts, both aggregations in append mode on the same window column.
+watermark. As a stream: event time -> watermark -> newest row per (pane of one
+slide, track) -> sliding window (240 min, slide 30 min) -> newest row per
+(window, track) -> counts per window, all in append mode. Rows are reduced to
+panes before they are copied into the windows that overlap them.
 Alerts are raised per micro-batch in ``foreachBatch`` against the alert state
 (J7). The batch form (``operators.alerting`` with an explicit ``asof``) gives
 the same numbers for any window the watermark has closed.
@@ -11,34 +12,59 @@ the same numbers for any window the watermark has closed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .. import schemas as K
 from ..functions import columns as C
+from ..operators import alerting as A
+from ..operators import lifecycle as L
 from ..operators.dedup import with_event_ts
+from ..sources.files import read_if_written
 
 TRACK_COLS = ["id", "line", "station", "status", "failed_testcode", "process"]
+WINDOW_ROWS = ["line", "station", "process", "status", "failed_testcode"]
 
 
-def stream_line_rates(facts_stream: DataFrame, window: str = "240 minutes", slide: str = "30 minutes",
-                      watermark: str = "240 minutes") -> DataFrame:
-    """Streaming DF of (window_start, window_end, line, total, failed)."""
+def _latest_per_window(facts_stream: DataFrame, window: str, slide: str, watermark: str) -> DataFrame:
+    """w and the newest row of every (window, track); untracked rows each."""
     rows = with_event_ts(facts_stream).where(F.col("event_ts").isNotNull())
     # watermarks need TIMESTAMP (session zone); the facts are zone-less (Q24)
     rows = rows.withColumn("_et", F.col("event_ts").cast("timestamp")).withWatermark("_et", watermark)
-    rows = rows.withColumn("w", F.window("_et", window, slide))
     tracked = F.col("track_id").isNotNull() & (F.trim(F.col("track_id")) != "")
     # untracked rows keep their own key (the row id) so no blank key gets hot
     key = F.when(tracked, F.col("track_id")).otherwise(F.concat(F.lit("\u0000"), F.col("id").cast("string")))
-    latest = (rows.withColumn("_key", key).groupBy("w", "_key")
-              .agg(F.max(F.struct("_et", *TRACK_COLS)).alias("_m"))
-              .select("w", "_m.line", "_m.status"))
-    per_line = (latest.groupBy("w", "line")
+    panes = (rows.withColumn("_key", key).groupBy(F.window("_et", slide).alias("pane"), "_key")
+             .agg(F.max(F.struct("_et", *TRACK_COLS)).alias("_m")))
+    return (panes.groupBy(F.window("pane", window, slide).alias("w"), "_key")
+            .agg(F.max("_m").alias("_m")).select("w", "_m.*"))
+
+
+def _bounds() -> list:
+    return [F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+            F.col("w.end").cast("timestamp_ntz").alias("window_end")]
+
+
+def stream_line_rates(facts_stream: DataFrame, window: str = "240 minutes", slide: str = "30 minutes",
+                      watermark: str = "240 minutes") -> DataFrame:
+    """Streaming DF of (window_start, window_end, line, total, failed)."""
+    per_line = (_latest_per_window(facts_stream, window, slide, watermark).groupBy("w", "line")
                 .agg(F.count(F.lit(1)).alias("total"),
                      F.count_if(C.alert_failed()).cast("long").alias("failed")))
-    return per_line.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                           F.col("w.end").cast("timestamp_ntz").alias("window_end"),
-                           "line", "total", "failed")
+    return per_line.select(*_bounds(), "line", "total", "failed")
+
+
+def stream_window_units(facts_stream: DataFrame, window: str = "240 minutes", slide: str = "30 minutes",
+                        watermark: str = "240 minutes") -> DataFrame:
+    """Streaming DF of the deduplicated rows of each window, equal rows counted: window_start,
+    window_end, line, station, process, status, failed_testcode, units. What rates, top
+    codes and worst stations of an alert are computed from."""
+    per = (_latest_per_window(facts_stream, window, slide, watermark).groupBy("w", *WINDOW_ROWS)
+           .agg(F.count(F.lit(1)).alias("units")))
+    return per.select(*_bounds(), *WINDOW_ROWS, "units")
 
 
 def start_line_rates(facts_stream: DataFrame, sink_path: str, checkpoint: str,
@@ -49,43 +75,71 @@ def start_line_rates(facts_stream: DataFrame, sink_path: str, checkpoint: str,
     return q.trigger(**(trigger or {"processingTime": "30 minutes"})).start()
 
 
-def alert_batch(rates_batch: DataFrame, batch_id: int, state_root: str, min_samples: int = 5,
-                threshold: float = 3.0, k: int = 3) -> None:
-    """ST8 (``foreachBatch`` body): evaluate every window that the batch closed, oldest first,
-    each like one poll: lines with enough units above the threshold, top ``k`` by rate; open
-    alerts for lines without an open alert (J7), counting those opened by the windows before.
-    The alert and repair rows of a window are stored under (``batch_id``, ``window_end``) with
-    dynamic partition overwrite, so a replayed batch does not open alerts twice."""
-    from .. import schemas as K
-    from ..operators import lifecycle as L
-    from ..sources.files import read_if_written
-    spark = rates_batch.sparkSession
-    tables = {"failure_alerts": K.FAILURE_ALERTS, "repair_actions": K.REPAIR_ACTIONS}
-
-    def state(name: str, asof: str) -> DataFrame:
-        table = read_if_written(spark, f"{state_root}/{name}")
-        if table is None:
-            return spark.createDataFrame([], tables[name])
-        before = (F.col("batch_id") != batch_id) | (F.col("window_end").cast("string") < asof)
-        return table.where(before).select(*tables[name].fieldNames())
+STATE = {"failure_alerts": K.FAILURE_ALERTS, "repair_actions": K.REPAIR_ACTIONS}
+
+
+def alert_table(spark: SparkSession, state_root: str, name: str, run: str | None = None,
+                batch_id: int | None = None) -> DataFrame:
+    """One of the ``STATE`` tables; without the rows of a batch, if one is named."""
+    schema = StructType([*STATE[name].fields, StructField("run", StringType()), StructField("batch_id", LongType())])
+    table = read_if_written(spark, f"{state_root}/{name}", schema)
+    if table is None:
+        return spark.createDataFrame([], STATE[name])
+    if run is not None:
+        table = table.where((F.col("run") != run) | (F.col("batch_id") != batch_id))
+    return table.select(*STATE[name].fieldNames())
 
+
+def first_breaches(units: DataFrame, min_samples: int, threshold: float, k: int) -> DataFrame:
+    """Per line the oldest window in which it is among the ``k`` lines above the
+    threshold (A31 per window): asof (the window's end), line, total, failed, rate."""
+    n, failed = F.col("units"), F.when(C.alert_failed(), F.col("units")).otherwise(0)
     raw = F.col("failed") * 100.0 / F.col("total")
-    breaches = (rates_batch.where((F.col("total") >= min_samples) & (raw > threshold))
-                .select("line", "total", "failed", raw.alias("_raw"), F.bround(raw, 2).alias("rate"),
-                        F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("_asof"))).persist()
+    per = (units.groupBy(F.col("window_end").alias("asof"), "line").agg(F.sum(n).alias("total"), F.sum(failed).alias("failed"))
+           .where((F.col("total") >= min_samples) & (raw > threshold)))
+    order = Window.partitionBy("asof").orderBy(raw.desc(), F.col("line").asc_nulls_last())
+    top = per.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
+    first = top.groupBy("line").agg(F.min(F.struct("asof", "total", "failed")).alias("_f")).select("line", "_f.*")
+    return first.select("asof", "line", "total", "failed", F.bround(raw, 2).alias("rate"))
+
+
+def alert_batch(units: DataFrame, batch_id: int, state_root: str, min_samples: int = K.MIN_SAMPLES,
+                threshold: float = K.FAILURE_THRESHOLD, k: int = K.TOP_N_LINES, run: str = "batch") -> None:
+    """ST8 (``foreachBatch`` body) over the windows that the batch closed (``stream_window_units``).
+    Evaluating them one by one, oldest first, opens an alert for a line in its first window above
+    the threshold, unless it has an open alert (J7), with the codes and worst station of that
+    window; all lines are done at once, as no alert is closed here. Breaching lines with an open
+    alert but without a repair row get one (L1, L2). The rows are stored under (``run``,
+    ``batch_id``) with dynamic partition overwrite, so a replayed batch does not open alerts twice."""
+    spark = units.sparkSession
+    units = units.persist()
     try:
-        # one short text per window that the batch closed and that has a breach
-        for row in breaches.select("_asof").distinct().orderBy("_asof").collect():
-            asof = row["_asof"]
-            rates = (breaches.where(F.col("_asof") == asof).orderBy(F.col("_raw").desc(), "line").limit(k)
-                     .select("line", "total", "failed", "rate"))
-            codes = spark.createDataFrame([], "line string, rank long, testcode string, process string, "
-                                              "failed_units long, total_line long, rate double")
-            stations = spark.createDataFrame([], "line string, station string")
-            new = L.open_alerts(rates, codes, stations, state("failure_alerts", asof), state("repair_actions", asof), asof)
-            for name, df in zip(tables, new):
-                (df.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("window_end", F.lit(asof))
-                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("batch_id", "window_end").parquet(f"{state_root}/{name}"))
+        alerts, repairs = (alert_table(spark, state_root, name, run, batch_id) for name in STATE)
+        rates = first_breaches(units, min_samples, threshold, k).persist()
+        here = units.join(rates.select("line", F.col("asof").alias("window_end")), ["line", "window_end"], "left_semi")
+        # the time of the last window stands for the evaluation that mends missing rows
+        last = units.agg(F.date_format(F.max("window_end"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+        if last is None:
+            return
+        mended = L.ensure_repairs(rates, alerts, repairs, last)
+        new_alerts, new_repairs = L.open_alerts(rates, A.top_codes(here), A.worst_station(here), alerts, mended, None)
+        added = mended.join(repairs.select("id"), "id", "left_anti").select(*repairs.columns)
+        for name, df in zip(STATE, (new_alerts, new_repairs.unionByName(added))):
+            (df.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run", "batch_id").parquet(f"{state_root}/{name}"))
+        rates.unpersist()
     finally:
-        breaches.unpersist()
+        units.unpersist()
+
+
+def start_alerts(facts_stream: DataFrame, state_root: str, checkpoint: str, trigger: dict | None = None,
+                 min_samples: int = K.MIN_SAMPLES, threshold: float = K.FAILURE_THRESHOLD,
+                 k: int = K.TOP_N_LINES, **kw):
+    """ST7 + ST8 as one running job: windows -> alerts and repair rows under ``state_root``.
+    Batches are numbered per checkpoint, so the rows name the checkpoint as their run."""
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    w = (stream_window_units(facts_stream, **kw).writeStream.outputMode("append")
+         .option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: alert_batch(df, bid, state_root, min_samples, threshold, k, run)))
+    return w.trigger(**(trigger or {"processingTime": "30 minutes"})).start()
