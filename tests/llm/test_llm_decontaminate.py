@@ -92,3 +92,29 @@ def test_edit_distance_is_exact():
         want = least_edits(item, text)
         got, _ = decontaminate.edit_distance(np.array(item, np.uint64), np.array(text, np.uint64), 8)
         assert got == want
+
+
+def test_a_passage_shared_by_many_items_is_listed_in_runs(monkeypatch):
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(4000)}"
+    passage = [word() for _ in range(12)]
+    items = [(k, " ".join(passage + [word() for _ in range(8)])) for k in range(200)]
+    docs = []
+    for k in range(40):
+        text = items[k * 5][1].split()
+        text[draw.randrange(len(text))] = word()
+        docs.append(" ".join([word() for _ in range(30)] + text + [word() for _ in range(25)] + passage))
+    symbols = [decontaminate.symbols(d, decontaminate._Symbols()) for d in docs]
+    block = decontaminate.Items(items, 0.8, 5, decontaminate.STRIDE)
+    whole = list(block.matches(symbols))
+    monkeypatch.setattr(decontaminate, "LISTED", 37)
+    assert list(block.matches(symbols)) == whole
+    assert {(d, i) for d, i, *_ in whole} == expected(list(enumerate(docs)), items)
+
+
+def test_repeated_items_are_one_item(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")] * 50, "item_id long, text string")
+    docs = spark.createDataFrame([(7, "zero one two three four five six seven eight nine")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(7, 1, 0)]
+    assert decontaminate.clean(docs, items).count() == 0

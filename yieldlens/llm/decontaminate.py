@@ -45,6 +45,7 @@ READS = 8                # words that an item's suffix must have for a walk
 BLOCK_WORDS = 400_000
 CHUNK = 400_000          # words whose windows are embedded at a time
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‘’–—…"
+LISTED = 500_000         # candidates listed at a time
 _CACHE = 300_000
 
 
@@ -142,19 +143,30 @@ class Items:
             present[(keys & self.mask).astype(np.int64)] = True
             self.tables.append((keys[order], order, present))
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> list[tuple[int, int, int]]:
+    def candidates(self, words: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, item, word where the item would begin) for windows that share a key with it;
-        ``docs`` names the document of each window."""
-        found = []
+        ``docs`` names the document of each window. A passage that many items share meets all of
+        them, so windows are listed in runs of about ``LISTED`` candidates."""
+        hits, load = [], np.zeros(len(starts), np.int64)
         for walk, (table, order, present) in enumerate(self.tables):
             keys = self.walks.keys(words, starts, walk)
             hit = np.flatnonzero(present[(keys & self.mask).astype(np.int64)])
             lo = np.searchsorted(table, keys[hit], side="left")
             n = np.searchsorted(table, keys[hit], side="right") - lo
-            rows = np.repeat(hit, n)
-            places = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            found.append(np.stack([docs[rows], self.owner[places], starts[rows] - self.offset[places]], axis=1))
-        return np.unique(np.concatenate(found), axis=0).tolist()
+            load[hit] += n
+            hits.append((hit, lo, n, order))
+        cuts = (np.flatnonzero(np.diff(np.cumsum(load) // LISTED)) + 1).tolist()
+        for first, last in zip([0, *cuts], [*cuts, len(starts)]):
+            found = []
+            for hit, lo, n, order in hits:
+                a, b = np.searchsorted(hit, [first, last])
+                many = n[a:b]
+                rows = np.repeat(hit[a:b], many)
+                places = order[np.repeat(lo[a:b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                found.append(np.stack([docs[rows], self.owner[places], starts[rows] - self.offset[places]], axis=1))
+            listed = np.unique(np.concatenate(found), axis=0)
+            for k in range(0, len(listed), 10_000):
+                yield from listed[k:k + 10_000].tolist()
 
     def matches(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edits, word of the stretch's end) of every verified pair."""
@@ -171,7 +183,7 @@ class Items:
         for doc, item, begin in self.candidates(words, np.concatenate(windows), of):
             n, most = len(self.words[item]), self.edits[item]
             # the stretch looked at reaches twice as far as edits can shift it, so begins nearby need no second look
-            if begin - tried.get((doc, item), begin - most - 1) <= most or best.get((doc, item), (1, 0))[0] == 0:
+            if abs(begin - tried.get((doc, item), begin - most - 1)) <= most or best.get((doc, item), (1, 0))[0] == 0:
                 continue
             tried[doc, item] = begin
             first = int(firsts[doc])
@@ -189,7 +201,7 @@ class Items:
 def _blocks(items: DataFrame, similarity: float, min_words: int) -> Iterator[Items]:
     """Item blocks of a proven size, each collected alone."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("text").isNotNull()).withColumn("words", F.size(F.split("text", "\\s+")))
+    rows = rows.where(F.col("text").isNotNull()).distinct().withColumn("words", F.size(F.split("text", "\\s+")))
     total, shortest = rows.where(F.col("words") >= min_words).agg(F.sum("words"), F.min("words")).first()
     if not total:
         return
