@@ -55,17 +55,19 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, run: str = "batch"
                   lag_seconds: int | None = None) -> None:
     """ST1 + ST2 + ST6: route one micro-batch and write its outcomes. The first copy of a file
     name that a batch confirms stays; copies in later batches are duplicates."""
-    write_outcomes(_mark_seen(I.route(batch), batch_id, root, run), batch_id, root, run, lag_seconds)
+    routed = _mark_seen(I.route(batch), batch.select("filename"), batch_id, root, run)
+    write_outcomes(routed, batch_id, root, run, lag_seconds)
 
 
-def _mark_seen(routed: DataFrame, batch_id: int, root: str, run: str) -> DataFrame:
-    """Routed rows whose file name an earlier batch confirmed become duplicates."""
+def _mark_seen(routed: DataFrame, names: DataFrame, batch_id: int, root: str, run: str) -> DataFrame:
+    """Routed rows whose file name an earlier batch confirmed become duplicates. The register is
+    scanned for the batch's ``names`` only, so it is filtered where it lies, not shuffled."""
     register = read_if_written(routed.sparkSession, f"{root}/processed_files", table_schema("processed_files"))
     if register is None:
         return routed
     # files confirmed by an earlier batch (not this one: replays rewrite it)
     earlier = (register.where((F.col("batch_id") != batch_id) | (F.col("run") != run))
-               .select("filename").distinct())
+               .select("filename").join(names.distinct(), "filename", "left_semi").distinct())
     seen = routed.join(earlier.withColumn("_seen", F.lit(True)), "filename", "left")
     return (seen.withColumn("outcome", F.when(F.col("_seen"), F.lit(K.R_DUPLICATE))
                             .otherwise(F.col("outcome"))).drop("_seen"))
@@ -80,7 +82,8 @@ def relay_batch(decoded: DataFrame, batch_id: int, root: str, run: str = "relay"
     (bad.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run", "batch_id").parquet(f"{root}/dead_letters"))
-    write_outcomes(_mark_seen(I.from_relay(decoded, list(order)), batch_id, root, run), batch_id, root, run)
+    routed = _mark_seen(I.from_relay(decoded, list(order)), decoded.select("filename"), batch_id, root, run)
+    write_outcomes(routed, batch_id, root, run)
 
 
 def start_relay(decoded: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
