@@ -68,3 +68,12 @@ def test_tokens_equal_the_library():
              "", "   ", "a.b ,'ll x.'s A.B. (x.) ÷a× µ", "<|startoftext|> a. <|STARTOFTEXT|>", "One. Two, three", "a\x85b\nc\td"]
     for t in texts:
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_every_latin_mark_beside_a_stop():
+    mine, theirs = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    for c in map(chr, range(256)):
+        for s in ".,":
+            for t in (f"foo{c}{s} bar", f"foo{s}{c} bar", f"a {c}{s}b, x", f"a{s}{c}{s}b", f"a {s}{c}", f"{c}{s}"):
+                ids = np.frombuffer(mine.encode(t), "<u4").tolist()
+                assert ids == theirs.encode(t, add_special_tokens=False).ids, repr(t)

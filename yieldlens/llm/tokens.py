@@ -16,8 +16,10 @@ import numpy as np
 CACHE = 500_000          # texts remembered, of words and of pieces
 # lower-case letters up to U+024F, whose category and case are settled, with a tail of ASCII marks but "'"
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+# Latin-1 characters that the pre-tokenizer takes for marks: all but letters, numbers and its white space
+_MARK = "[%s]" % "".join(re.escape(c) for c in map(chr, range(256)) if not c.isalnum() and c not in "\t\n\v\f\r \x85\xa0")
 # a full stop or comma beside another mark: they are encoded together
-_RUN = re.compile("[.,][!-/:-@\\[-`{-~]|[!-/:-@\\[-`{-~][.,]")
+_RUN = re.compile(f"[.,]{_MARK}|{_MARK}[.,]")
 
 
 def _byte_letters() -> dict[int, str]:
