@@ -41,3 +41,17 @@ def test_odd_rows(spark):
     got = html_text.extract_main_text(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == [("1", "", 0), ("1", "", 0), ("None", "a", 1)]
     assert html_text.extract_main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_unmarked_article_interrupted_by_a_box():
+    box = "<div class=ad>" + "<p>Buy this now</p>" * 4 + "</div>"
+    links = "<ul>" + "<li><a href=x>Another page of ours</a></li>" * 4 + "</ul>"
+    for cut in (box, links):
+        for first, last in (("<p>First part.</p><p>More of it.</p>", "<p>Last part.</p>"),
+                            ("<div>First part.</div>", "<div>Last.</div>"), ("<p>First part.", "<p>Last.")):
+            page = f"<body><div id=top><p>Tag line</p></div>{links}<div id=content>{first}{cut}{last}</div></body>"
+            assert main_text(page) == " ".join(re.sub("<[^>]*>", " ", first + last).split())
+    a, b = "a long paragraph " * 20, "another paragraph " * 9
+    page = f"<div class=row><div class=col><p>{a}<p>{a}</div></div>{box}<div class=row><div class=col><p>{b}</div></div>"
+    assert main_text(page) == (a + a + b).strip()
+    assert main_text(f"{a}{box}{b}") == (a + b).strip()

@@ -7,8 +7,9 @@ that are mostly link text weigh nothing, as do, in a page that marks its
 article (``article`` or ``main``), all lines outside it. The weights are summed over
 sliding windows of ``WINDOW`` lines; a surge is a weighted line at which the sums rise
 from under the threshold, a dive the line after which they fall to nothing. Each
-stretch from a surge to its dive is a candidate, and the page's text is kept from the
-strongest stretch and, where the page marks its article, from all stretches in it.
+stretch from a surge to its dive is a candidate. Where the page marks its article, all
+stretches in it are kept; elsewhere the strongest stretch, all others in the element that
+holds it, and those with a window of ``PARAGRAPH`` characters or more.
 
 Edge cases: a null or empty html gives an empty text; unclosed and stray tags, comments
 and scripts without an end are read as browsers do; character references are decoded
@@ -19,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 
 import pyarrow as pa
@@ -29,6 +31,7 @@ from .common import arrow_map
 
 WINDOW = 3               # lines whose weights are summed
 SURGE = 1                # least window sum of a surge, in characters
+PARAGRAPH = 80           # window sum at which a stretch is text wherever it stands
 LINKED = 0.6             # share of link text from which a line is a menu
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
@@ -42,6 +45,8 @@ _BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption",
           "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
           "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section",
           "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+# elements that hold an article's paragraphs, in pages that mark none
+_HOLDERS = {"article", "body", "center", "div", "html", "main", "section", "td"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 # what an element of these kinds closes when it opens
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -71,17 +76,17 @@ def _boilerplate(tag: str, attributes: str) -> bool:
 
 
 class Line:
-    __slots__ = ("text", "weight", "marked")
+    __slots__ = ("text", "weight", "marked", "holders")
 
-    def __init__(self, text: str, weight: int, marked: bool):
-        self.text, self.weight, self.marked = text, weight, marked
+    def __init__(self, text: str, weight: int, marked: bool, holders: tuple[int, ...]):
+        self.text, self.weight, self.marked, self.holders = text, weight, marked, holders
 
 
 def lines(page: str) -> list[Line]:
     """The page's lines of text, weighted by the characters that may be article text."""
     out: list[Line] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, bool]] = []             # tag, boilerplate, marks an article
+    open_tags: list[tuple[str, bool, bool, int]] = []        # tag, boilerplate, marks an article, place in the page
     linked = at = 0
 
     def end() -> None:
@@ -90,16 +95,17 @@ def lines(page: str) -> list[Line]:
         parts.clear()
         if text:
             menu = linked >= LINKED * len(text)
-            marked = any(m for _, _, m in open_tags)
-            dull = any(b for _, b, _ in open_tags) or (menu and not marked)
-            out.append(Line(text, 0 if dull else len(text), marked))
+            marked = any(m for _, _, m, _ in open_tags)
+            dull = any(b for _, b, _, _ in open_tags) or (menu and not marked)
+            holders = tuple([place for t, _, _, place in open_tags if t in _HOLDERS])
+            out.append(Line(text, 0 if dull else len(text), marked, holders))
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
         if text:
             parts.append(text)
-            if any(t == "a" for t, _, _ in open_tags):
+            if any(t == "a" for t, _, _, _ in open_tags):
                 linked += len(text.strip())
 
     while m := _TAG.search(page, at):
@@ -114,8 +120,8 @@ def lines(page: str) -> list[Line]:
             if tag in _BLOCK:
                 end()
             k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), None)
-            if k is not None and not (tag not in _BLOCK and any(t in _SKIP for t, _, _ in open_tags[k + 1:])):
-                if any(b or x for _, b, x in open_tags[k:]):
+            if k is not None and not (tag not in _BLOCK and any(t in _SKIP for t, _, _, _ in open_tags[k + 1:])):
+                if any(b or x for _, b, x, _ in open_tags[k:]):
                     end()
                 del open_tags[k:]
             continue
@@ -131,7 +137,7 @@ def lines(page: str) -> list[Line]:
         if tag in _BLOCK and open_tags and open_tags[-1][0] == "p":
             open_tags.pop()
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
-            open_tags.append((tag, dull, tag in _MARKED))
+            open_tags.append((tag, dull, tag in _MARKED, at))
     say(page[at:])
     end()
     return out
@@ -152,13 +158,33 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     return found
 
 
+def _holder(found: list[Line], lo: int, hi: int) -> int | None:
+    """The innermost element around the weighted lines from ``lo`` to ``hi``; around a line that has
+    an element of its own, the next one out."""
+    paths = [x.holders for x in found[lo:hi + 1] if x.weight]
+    common = os.path.commonprefix(paths)
+    if len(paths) == 1 and common and sum(common[-1] in x.holders for x in found) == 1:
+        common = common[:-1]
+    return common[-1] if common else None
+
+
+def _kept(found: list[Line], weights: list[int], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of text in a page that marks no article."""
+    best = max(runs, key=lambda r: (sum(weights[r[0]:r[1] + 1]), -r[0]))
+    holder = _holder(found, *best)
+    return [(lo, hi) for lo, hi in runs
+            if (lo, hi) == best or holder is None
+            or any(holder in found[k].holders for k in range(lo, hi + 1) if weights[k])
+            or max(sum(weights[k:min(k + WINDOW, hi + 1)]) for k in range(lo, hi + 1)) >= PARAGRAPH]
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
     marked = any(x.marked and x.weight for x in found)
     weights = [x.weight if x.marked or not marked else 0 for x in found]
     runs = stretches(weights)
     if not marked and runs:
-        runs = [max(runs, key=lambda r: (sum(weights[r[0]:r[1] + 1]), -r[0]))]
+        runs = _kept(found, weights, runs)
     return " ".join(found[k].text for lo, hi in runs for k in range(lo, hi + 1) if weights[k])
 
 
