@@ -118,3 +118,21 @@ def test_repeated_items_are_one_item(spark):
     got = decontaminate.contaminated(docs, items).collect()
     assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(7, 1, 0)]
     assert decontaminate.clean(docs, items).count() == 0
+
+
+def test_short_items_are_never_missed():
+    draw = random.Random(6)
+    word = lambda: f"w{draw.randrange(3000)}"
+    items = [(k, " ".join(word() for _ in range(5 + k % 20))) for k in range(200)]
+    docs = []
+    for k, (_, text) in enumerate(items * 2):
+        w = text.split()
+        for _ in range(int(0.2 * len(w) + 1e-9) if k < 200 else 0):
+            at = draw.randrange(len(w))
+            draw.choice([lambda: w.__setitem__(at, word()), lambda: w.pop(at), lambda: w.insert(at, word())])()
+        docs.append(" ".join([word() for _ in range(20 + k % 4)] + w + [word() for _ in range(20)]))
+    block = decontaminate.Items(items, 0.8, 5, decontaminate.STRIDE)
+    found = list(block.matches([decontaminate.symbols(d, decontaminate._Symbols()) for d in docs]))
+    assert {(d, i) for d, i, *_ in found} == expected(list(enumerate(docs)), items)
+    assert {(d, i, e) for d, i, e, _ in found} == {(d, i, least_edits(words(items[i][1]), words(docs[d])))
+                                                   for d, i, *_ in found}

@@ -13,6 +13,11 @@ item-sized stretch must hold enough of the item's words for the allowed edits (a
 that edit distance implies), and then the exact word edit distance between the item and
 the best stretch there decides: at most ``(1 - similarity)`` times the item's words.
 
+A walk often runs past the end of an item of fewer than ``SHORT`` words, so these are cut
+into one piece more than they may have edits. An edit touches one piece, so one at least
+stands unchanged in any stretch that matches: places that hold a piece are candidates,
+and none is missed.
+
 Items go to the tasks in blocks of at most ``BLOCK_WORDS`` words (one item may exceed
 it); documents are never shuffled, and each is read whole.
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,7 @@ SAMPLES = 6              # sampled steps each
 STEPS = 14               # steps of a walk
 STRIDE = 4               # words between window starts, less if items are short
 READS = 8                # words that an item's suffix must have for a walk
+SHORT = 24               # words from which an item is found by walks
 BLOCK_WORDS = 400_000
 CHUNK = 400_000          # words whose windows are embedded at a time
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‘’–—…"
@@ -110,6 +117,37 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return int(row[end]), end
 
 
+_Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _table(keys: np.ndarray) -> _Table:
+    """Keys in order, their places, and which low bits occur."""
+    order = np.argsort(keys, kind="stable")
+    present = np.zeros(1 << max(16, (32 * len(keys)).bit_length()), bool)
+    present[(keys & np.uint64(len(present) - 1)).astype(np.int64)] = True
+    return keys[order], order, present
+
+
+def _hits(table: _Table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which of ``keys`` the table may have, the first place and number of each there, and the table's places."""
+    ordered, order, present = table
+    hit = np.flatnonzero(present[(keys & np.uint64(len(present) - 1)).astype(np.int64)])
+    lo = np.searchsorted(ordered, keys[hit], side="left")
+    return hit, lo, np.searchsorted(ordered, keys[hit], side="right") - lo, order
+
+
+_FACTORS = np.random.default_rng(2).integers(1, 1 << 63, SHORT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _piece_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """The keys of all runs of ``size`` words."""
+    mixed = words ^ (words >> np.uint64(29))
+    key = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        key += mixed[k:k + len(key)] * _FACTORS[k]
+    return key ^ (key >> np.uint64(31))
+
+
 class Items:
     """One block of benchmark items with its LSH tables."""
 
@@ -127,43 +165,54 @@ class Items:
         pad = np.zeros(STEPS + 1, np.uint64)
         flat = np.concatenate([x for w in self.words for x in (w, pad)] or [pad])
         starts, owner, offset, at = [], [], [], 0
+        pieces: dict[int, list[tuple[int, int, int]]] = {}   # length -> place, item, offset of each piece
         for k, w in enumerate(self.words):
-            for o in range(max(1, len(w) - READS + 1)):
+            if len(w) < SHORT:
+                cuts = [len(w) * j // min(self.edits[k] + 1, len(w)) for j in range(min(self.edits[k] + 1, len(w)) + 1)]
+                for o, end in zip(cuts, cuts[1:]):
+                    pieces.setdefault(end - o, []).append((at + o, k, o))
+            for o in range(len(w) - READS + 1 if len(w) >= SHORT else 0):
                 starts.append(at + o)
                 owner.append(k)
                 offset.append(o)
             at += len(w) + len(pad)
         self.owner, self.offset = np.array(owner, np.int64), np.array(offset, np.int64)
-        bits = max(16, (32 * max(1, len(starts))).bit_length())
-        self.mask = np.uint64((1 << bits) - 1)
         for walk in range(WALKS if starts else 0):
-            keys = self.walks.keys(flat, np.array(starts, np.int64), walk)
-            order = np.argsort(keys, kind="stable")
-            present = np.zeros(1 << bits, bool)
-            present[(keys & self.mask).astype(np.int64)] = True
-            self.tables.append((keys[order], order, present))
+            self.tables.append(_table(self.walks.keys(flat, np.array(starts, np.int64), walk)))
+        self.pieces = []
+        for size, found in sorted(pieces.items()):
+            places, owner, offset = np.array(found, np.int64).T
+            self.pieces.append((size, _table(_piece_keys(flat, size)[places]), owner, offset))
 
     def candidates(self, words: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(document, item, word where the item would begin) for windows that share a key with it;
-        ``docs`` names the document of each window. A passage that many items share meets all of
-        them, so windows are listed in runs of about ``LISTED`` candidates."""
-        hits, load = [], np.zeros(len(starts), np.int64)
-        for walk, (table, order, present) in enumerate(self.tables):
-            keys = self.walks.keys(words, starts, walk)
-            hit = np.flatnonzero(present[(keys & self.mask).astype(np.int64)])
-            lo = np.searchsorted(table, keys[hit], side="left")
-            n = np.searchsorted(table, keys[hit], side="right") - lo
+        ``docs`` names the document of each window."""
+        yield from self._listed([(*_hits(table, self.walks.keys(words, starts, walk)), self.owner, self.offset)
+                                 for walk, table in enumerate(self.tables)], starts, docs)
+
+    def short_candidates(self, words: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The same for places that hold a piece of a short item; ``docs`` names the document of each word."""
+        yield from self._listed([(*_hits(table, _piece_keys(words, size)), owner, offset)
+                                 for size, table, owner, offset in self.pieces], np.arange(len(words)), docs)
+
+    @staticmethod
+    def _listed(hits: list[tuple], starts: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """The candidates of ``hits``. A passage that many items share meets all of them, so windows
+        are listed in runs of about ``LISTED`` candidates."""
+        if not hits:
+            return
+        load = np.zeros(len(starts), np.int64)
+        for hit, _, n, *_ in hits:
             load[hit] += n
-            hits.append((hit, lo, n, order))
         cuts = (np.flatnonzero(np.diff(np.cumsum(load) // LISTED)) + 1).tolist()
         for first, last in zip([0, *cuts], [*cuts, len(starts)]):
             found = []
-            for hit, lo, n, order in hits:
+            for hit, lo, n, order, owner, offset in hits:
                 a, b = np.searchsorted(hit, [first, last])
                 many = n[a:b]
                 rows = np.repeat(hit[a:b], many)
                 places = order[np.repeat(lo[a:b], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                found.append(np.stack([docs[rows], self.owner[places], starts[rows] - self.offset[places]], axis=1))
+                found.append(np.stack([docs[rows], owner[places], starts[rows] - offset[places]], axis=1))
             listed = np.unique(np.concatenate(found), axis=0)
             for k in range(0, len(listed), 10_000):
                 yield from listed[k:k + 10_000].tolist()
@@ -175,12 +224,13 @@ class Items:
         sizes = np.array([len(w) + len(pad) for w in docs], np.int64)
         firsts = np.cumsum(sizes) - sizes
         windows = [np.arange(f, f + len(w), self.stride) for f, w in zip(firsts, docs)]
-        if not self.tables or not any(map(len, windows)):
+        if not any(map(len, windows)):
             return
         of = np.repeat(np.arange(len(docs)), [len(w) for w in windows])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: dict[tuple[int, int], int] = {}
-        for doc, item, begin in self.candidates(words, np.concatenate(windows), of):
+        for doc, item, begin in chain(self.candidates(words, np.concatenate(windows), of),
+                                      self.short_candidates(words, np.repeat(np.arange(len(docs)), sizes))):
             n, most = len(self.words[item]), self.edits[item]
             # the stretch looked at reaches twice as far as edits can shift it, so begins nearby need no second look
             if abs(begin - tried.get((doc, item), begin - most - 1)) <= most or best.get((doc, item), (1, 0))[0] == 0:
