@@ -55,3 +55,24 @@ def test_unmarked_article_interrupted_by_a_box():
     page = f"<div class=row><div class=col><p>{a}<p>{a}</div></div>{box}<div class=row><div class=col><p>{b}</div></div>"
     assert main_text(page) == (a + a + b).strip()
     assert main_text(f"{a}{box}{b}") == (a + b).strip()
+
+
+def test_wrappers_named_after_the_layout():
+    text = "<h1>Title</h1><p>The first paragraph.</p><div class=ad>Buy</div><p>The second.</p>"
+    want = "Title The first paragraph. The second."
+    side = "<div class=sidebar><p>Some other box</p></div>"
+    opens = [f"<div class='{c}'>" for c in ("row has-sidebar", "no-sidebar", "content-sidebar-wrap", "sidebar", "widget menu",
+                                            "legal", "banner", "page-header-content")] + ["<form>", "<form><div class='nav-left'>"]
+    for start in opens:
+        end = "</div></form>" if "<form>" in start else "</div>"
+        for a, b in (("<article>", "</article>"), ("<main>", "</main>"), ("", "")):
+            page = f"<body><nav><a href=/>Home</a></nav>{start}{a}{text}{b}{side}{end}<footer>(c) us</footer></body>"
+            assert main_text(page) == want, page
+            assert main_text(f"<main>{start}{a}{text}{b}{side}{end}</main>") == want
+    for box in ("<div class=sidebar>", "<aside>", "<div class=related>", "<div hidden>"):
+        page = f"<article>{text}</article>{box}<article><p>A teaser</p></article></div></aside>"
+        assert main_text(page) == want
+    assert main_text(f"<div hidden><article>{text}</article></div>") == ""
+    talk = "<p>A reader wrote at length. </p>" * 20
+    assert main_text(f"<div id=content>{text}</div><div class=comments>{talk}</div>") == want
+    assert main_text(f"<nav>Menu</nav><footer>{talk}</footer>") == ""

@@ -4,7 +4,9 @@ The markup is stripped to lines, one a block element. Containers that are never
 article text (scripts, styles, forms, menus, headers, footers, asides, and elements
 whose class, id or role names an advert, notice, menu, sidebar or comment) and lines
 that are mostly link text weigh nothing, as do, in a page that marks its
-article (``article`` or ``main``), all lines outside it. The weights are summed over
+article (``article`` or ``main``), all lines outside it. A container that wraps the
+article or the page's text is no boilerplate, whatever its tag and names: see
+``_wrappers``. The weights are summed over
 sliding windows of ``WINDOW`` lines; a surge is a weighted line at which the sums rise
 from under the threshold, a dive the line after which they fall to nothing. Each
 stretch from a surge to its dive is a candidate. Where the page marks its article, all
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import os
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,9 @@ _RAW = {t: re.compile(rf"</{t}\s*>|$", re.I) for t in ("script", "style", "texta
                                                        "iframe", "svg", "math", "xmp", "noembed", "noframes")}
 _SKIP = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "object", "canvas",
          "audio", "video", "figcaption", "fieldset", "label", "datalist", "map"}
+_HIDDEN, _PART, _TALK, _FRAME = 4, 3, 2, 1    # how surely a container is boilerplate
+_KINDS = {**dict.fromkeys(_SKIP, _HIDDEN), **dict.fromkeys(("nav", "header", "footer", "aside", "menu", "figcaption"), _PART),
+          **dict.fromkeys(("form", "fieldset", "label", "object", "dialog"), _FRAME)}
 _MARKED = {"article", "main"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl",
           "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
@@ -56,37 +62,87 @@ _BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*
                      r"footer|header|masthead|topbar|toolbar|comments?|disqus|replies|respond|related|recommend\w*|"
                      r"share|sharing|social|subscribe|newsletter|signup|login|pagination|pager|skip-link|"
                      r"copyright|legal|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+# of those, names of text that is no article, where the others may also name a page's layout
+_TALKS = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|footer|"
+                    r"comments?|disqus|replies|respond|related|recommend\w*|share|sharing|social|subscribe|newsletter|"
+                    r"copyright|legal|contentinfo)(?:$|[_-])", re.I)
+# names that say which boxes a layout has
+_LAYOUT = re.compile(r"(?:has|no|not|with|without|layout)[_-].*|(?:content|main|page)[_-].*[_-](?:wrap|wrapper|container|layout)",
+                     re.I)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
-    if tag in _SKIP:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+def _boilerplate(tag: str, attributes: str) -> int:
+    """How surely the element is boilerplate, 0 if it is none."""
+    kind = _KINDS.get(tag, 0)
+    if not attributes or kind == _HIDDEN or tag in ("html", "body", "article", "main"):
+        return kind
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _HIDDEN
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
+            return _HIDDEN
         if name in ("class", "id", "role") and _BOILER.search(value):
-            return True
-    return False
+            for token in value.split():
+                if _BOILER.search(token) and not _LAYOUT.fullmatch(token):
+                    kind = max(kind, _TALK if _TALKS.search(token) else _FRAME)
+    return kind
 
 
 class Line:
-    __slots__ = ("text", "weight", "marked", "holders")
+    __slots__ = ("text", "weight", "marked", "holders", "menu", "plain", "boxes")
 
-    def __init__(self, text: str, weight: int, marked: bool, holders: tuple[int, ...]):
-        self.text, self.weight, self.marked, self.holders = text, weight, marked, holders
+    def __init__(self, text: str, marked: bool, holders: tuple[int, ...], linked: int, boxes: list[tuple[int, int, bool]]):
+        self.text, self.marked, self.holders = text, marked, holders
+        self.menu = linked >= LINKED * len(text)
+        self.plain = max(0, len(text) - linked)              # characters outside links
+        self.boxes = boxes                                   # place, kind, whether an article is between it and the line
+        self.weigh(frozenset())
+
+    def weigh(self, wrappers: set[int] | frozenset[int]) -> None:
+        dull = any(place not in wrappers for place, _, _ in self.boxes) or (self.menu and not self.marked)
+        self.weight = 0 if dull else len(self.text)
+
+
+def _most(found: list[Line], articles: bool) -> set[int]:
+    """The boxes, or the boxes around articles, with more than half of the unlinked text of ``found``."""
+    held: Counter[int] = Counter()
+    for x in found:
+        for place, _, around in x.boxes:
+            if around or not articles:
+                held[place] += x.plain
+    total = sum(x.plain for x in found)
+    return {place for place, n in held.items() if 2 * n > total}
+
+
+def _wrappers(found: list[Line]) -> set[int]:
+    """Boilerplate containers that wrap the page's text. A form or a box named after a part of the layout is
+    one if it holds most of the unlinked text, or of that in articles; if that leaves the page without text,
+    so is any box around an article, or else a named one with most of the text. Hidden boxes never are."""
+    def upto(kind: int) -> list[Line]:
+        return [x for x in found if all(k <= kind for _, k, _ in x.boxes)]
+
+    wrappers: set[int] = set()
+    if any(k == _FRAME for x in found for _, k, _ in x.boxes):
+        frames = upto(_FRAME)
+        wrappers = _most(frames, False) | _most([x for x in frames if x.marked], True)
+    for more in (lambda: {p for x in upto(_FRAME) for p, _, around in x.boxes if around},
+                 lambda: {p for x in upto(_PART) for p, _, around in x.boxes if around},
+                 lambda: _most(upto(_TALK), False)):
+        for x in found:
+            x.weigh(wrappers)
+        if any(x.weight for x in found):
+            break
+        wrappers |= more()
+    return wrappers
 
 
 def lines(page: str) -> list[Line]:
     """The page's lines of text, weighted by the characters that may be article text."""
     out: list[Line] = []
     parts: list[str] = []
-    open_tags: list[tuple[str, bool, bool, int]] = []        # tag, boilerplate, marks an article, place in the page
+    open_tags: list[tuple[str, int, bool, int]] = []         # tag, boilerplate, marks an article, place in the page
     linked = at = 0
 
     def end() -> None:
@@ -94,11 +150,10 @@ def lines(page: str) -> list[Line]:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            menu = linked >= LINKED * len(text)
-            marked = any(m for _, _, m, _ in open_tags)
-            dull = any(b for _, b, _, _ in open_tags) or (menu and not marked)
+            inmost = max((k for k, (_, _, m, _) in enumerate(open_tags) if m), default=-1)
             holders = tuple([place for t, _, _, place in open_tags if t in _HOLDERS])
-            out.append(Line(text, 0 if dull else len(text), marked, holders))
+            boxes = [(place, b, k < inmost) for k, (_, b, _, place) in enumerate(open_tags) if b]
+            out.append(Line(text, inmost >= 0, holders, linked, boxes))
         linked = 0
 
     def say(text: str) -> None:
@@ -140,6 +195,9 @@ def lines(page: str) -> list[Line]:
             open_tags.append((tag, dull, tag in _MARKED, at))
     say(page[at:])
     end()
+    wrappers = _wrappers(out)
+    for x in out:
+        x.weigh(wrappers)
     return out
 
 
