@@ -136,3 +136,15 @@ def test_short_items_are_never_missed():
     assert {(d, i) for d, i, *_ in found} == expected(list(enumerate(docs)), items)
     assert {(d, i, e) for d, i, e, _ in found} == {(d, i, least_edits(words(items[i][1]), words(docs[d])))
                                                    for d, i, *_ in found}
+
+
+def test_items_of_few_words_and_scripts_without_spaces(spark):
+    han = "春眠不覺曉，處處聞啼鳥。夜來風雨聲，花落知多少。"
+    items = spark.createDataFrame([(1, "Quite short!"), (2, han), (3, "one"), (4, "สวัสดีครับ"), (5, "..."), (6, "鳥"),
+                                   (7, "a b c d")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "it is quite, SHORT here"), (2, "quite a short one"), (3, "前" + han.replace("啼", "蹄") + "後"),
+                                  (4, "ก่อนสวัสดีครับ"), (5, "春眠 many 聞啼"), (6, "a b x c d a b c"), (7, "... !")],
+                                 "doc_id long, text string")
+    got = decontaminate.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(1, 1, 0), (2, 3, 0), (3, 2, 1), (3, 6, 0), (4, 4, 0)}
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {5, 6, 7}

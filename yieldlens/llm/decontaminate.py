@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
-Texts are word sequences (lower case, outer punctuation off). A CGK random walk
+Texts are word sequences (lower case, outer punctuation off; in scripts that set no spaces
+between words every character is a word). A CGK random walk
 reads a sequence and writes the word under its head at every step, moving on or not
 by a random bit of (step, word); two sequences a few edits apart fall into step again,
 so edit distance becomes Hamming distance of the written strings. Each of ``WALKS``
@@ -22,13 +23,14 @@ Items go to the tasks in blocks of at most ``BLOCK_WORDS`` words (one item may e
 it); documents are never shuffled, and each is read whole.
 
 Edge cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words
-are not searched for; repeated items and rows are reported or dropped each; rows with a
+match where their words stand without any edit; repeated items and rows are reported or dropped each; rows with a
 null doc_id are reported under null; empty tables give no matches; ``clean`` returns the
 columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from itertools import chain
@@ -51,7 +53,10 @@ READS = 8                # words that an item's suffix must have for a walk
 SHORT = 24               # words from which an item is found by walks
 BLOCK_WORDS = 400_000
 CHUNK = 400_000          # words whose windows are embedded at a time
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‘’–—…"
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»„“”‘’–—…、。〈〉《》「」『』【】・！（），．：；？"
+# Thai, Lao, Burmese, Khmer; kana and Han with their marks, also beyond the first plane
+_UNSPACED = "[\u0e01-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1780-\u17d3\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff61-\uff9f\U00020000-\U0003ffff]"
+_EACH = re.compile(_UNSPACED)
 LISTED = 500_000         # candidates listed at a time
 _CACHE = 300_000
 
@@ -74,7 +79,10 @@ def _worker_symbols() -> _Symbols:
 
 
 def symbols(text: str | None, seen: _Symbols) -> np.ndarray:
-    words = (text or "").split()
+    text = text or ""
+    if not text.isascii() and _EACH.search(text):
+        text = _EACH.sub(" \\g<0> ", text)
+    words = text.split()
     out = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
     return out[out != 0]
 
@@ -156,11 +164,11 @@ class Items:
         self.ids, self.words = [], []
         for item_id, text in rows:
             w = symbols(text, seen)
-            if len(w) >= min_words:
+            if len(w):
                 self.ids.append(item_id)
                 self.words.append(w)
         self.plain = [w.tolist() for w in self.words]
-        self.edits = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
+        self.edits = [int((1 - similarity) * len(w) + 1e-9) if len(w) >= min_words else 0 for w in self.words]
         self.stride, self.walks, self.tables = stride, Walks(), []
         pad = np.zeros(STEPS + 1, np.uint64)
         flat = np.concatenate([x for w in self.words for x in (w, pad)] or [pad])
@@ -251,11 +259,12 @@ class Items:
 def _blocks(items: DataFrame, similarity: float, min_words: int) -> Iterator[Items]:
     """Item blocks of a proven size, each collected alone."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.col("text").isNotNull()).distinct().withColumn("words", F.size(F.split("text", "\\s+")))
-    total, shortest = rows.where(F.col("words") >= min_words).agg(F.sum("words"), F.min("words")).first()
+    rows = rows.where(F.col("text").isNotNull()).distinct().withColumn(
+        "words", F.size(F.split("text", "\\s+")) + F.length(F.regexp_replace("text", "[^" + _UNSPACED[1:], "")))
+    total, shortest = rows.agg(F.sum("words"), F.min(F.when(F.col("words") >= min_words, F.col("words")))).first()
     if not total:
         return
-    stride = max(1, min(STRIDE, (int(shortest) - READS) // 2))
+    stride = STRIDE if shortest is None else max(1, min(STRIDE, (int(shortest) - READS) // 2))
     n = -(-total * 3 // (2 * BLOCK_WORDS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
