@@ -99,3 +99,17 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 2000), (2000, 1000), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected_components(edges).collect()}
     assert got == {**{k: 0 for k in range(301)}, 1000: 1000, 2000: 1000}
+
+
+def test_the_kept_row_of_a_repeated_id_leads_its_class(spark):
+    draw = random.Random(8)
+    text = lambda: " ".join(f"w{draw.randrange(5000)}" for _ in range(60))
+    rows, want = [], set()
+    for k in range(0, 40, 2):
+        shared, own = text(), text()
+        rows += [(k, shared), *draw.sample([(k + 1, shared), (k + 1, own), (k + 1, shared)], 3)]
+        want |= {shared, own}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = simhash.one_per_class(docs).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert {r.text for r in kept} == want

@@ -148,11 +148,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 def one_per_class(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, one row each. Rows without a
-    doc_id cannot be named and all stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    stays = stored(found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(),
-                   "simhash-keep")
+    """The rows of ``docs`` with the smallest doc_id of their class, one row each. Where a doc_id has several
+    texts, the row is one whose own class it leads, of the smallest fingerprint. Rows without a doc_id
+    cannot be named and all stay."""
+    leads = F.when(F.col("doc_id") == F.col("component_id"), F.col("fingerprint"))
+    found = near_duplicates(docs, shingle, max_bits).groupBy("doc_id").agg(
+        F.min(leads).alias("lead"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
+    stays = stored(found.where("lead IS NOT NULL").select(
+        F.col("doc_id").alias("__keep"), F.when(F.col("low") < F.col("high"), F.col("lead")).alias("__lead")),
+        "simhash-keep")
+    led = stored(stays.where("__lead IS NOT NULL"), "simhash-several")     # few as a rule, by its stored size
     named = docs.where(F.col("doc_id").isNotNull())
-    named = named.join(stays, named["doc_id"].cast("long") == stays["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = named["doc_id"].cast("long") == F.col("__keep")
+    single = named.join(stays.where("__lead IS NULL"), key, "left_semi").dropDuplicates(["doc_id"])
+
+    def run(batches):                                        # the leading texts of ids that have several
+        for batch in batches:
+            texts, lead = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            yield batch.drop_columns(["__lead"]).filter(
+                pa.array([f"{fingerprint(t, shingle):016x}" == x for t, x in zip(texts, lead)], pa.bool_()))
+
+    at = docs.columns.index("text")
+    several = arrow_map(named.join(led, key).drop("__keep"), run, docs.schema).dropDuplicates(["doc_id"])
+    return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))
