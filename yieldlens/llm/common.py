@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +46,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers."""
-    env = df.sparkSession.sparkContext.environment
+def importable(spark: SparkSession) -> None:
+    """Lets the workers of functions made from now on import this package."""
+    env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if _REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_REPO, *filter(None, paths)])
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+              schema: str) -> DataFrame:
+    """``mapInArrow`` with this package importable in the workers."""
+    importable(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in turn, with about ``most`` bytes in ``column`` at a time."""
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.nan_to_num(sizes.astype(np.float64)))
+    cuts = np.flatnonzero(np.diff(ends // most)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        # a copy: Arrow's string functions misread parts of a batch once cast
+        yield batch.take(pa.array(np.arange(lo, hi))) if hi - lo < len(sizes) else batch
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b; null-free longs),
     root the smallest node reachable.

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, packing, quality, shards, simhash, token_counts, topk, warc
+from . import (decontaminate, divergence, filter_audit, html_text, language_model, line_dedup, packing, quality, shards,
+               simhash, token_counts, topk, warc)
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -60,8 +61,21 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_lm_scores(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_decontamination, op4_html_text, op5_shards, op6_topk,
-                                   op7_warc, op8_line_dedup, op9_token_counts, op10_quality)}
+                                   op7_warc, op8_line_dedup, op9_token_counts, op10_quality, op11_lm_scores,
+                                   op12_filter_audit, op13_divergence)}
 
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -105,4 +119,81 @@ j AS (SELECT k.*, owner IS NULL OR owner = doc_id AS stays FROM k LEFT JOIN o US
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op12_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+m AS (
+  SELECT doc_id, part,
+         [len(words) < 50,
+          100 * len(list_distinct(words)) < 65 * len(words),
+          100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+          regexp_matches(t, '[#$%&*|]'),
+          coalesce(doc_id > low, false)] AS fails
+  FROM w),
+l AS (
+  SELECT doc_id, coalesce(max(quality), 0) = 1 AS good, coalesce(max(toxic), 0) = 1 AS bad
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+g AS (
+  SELECT part, fails, coalesce(good, false) AS good, coalesce(bad, false) AS bad, count(*) AS n
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o
+  FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f)
+  JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+x AS (
+  SELECT part, o, step, o[step] AS f, n, good, bad, fails[o[step]] AS own,
+         len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 AS late,
+         len(list_filter(fails, lambda k: k)) AS n_fails
+  FROM g CROSS JOIN s),
+r AS (
+  SELECT part, o, step, f,
+         sum(CASE WHEN NOT own AND NOT late THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN own AND NOT late THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN own AND late THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN own AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN own AND NOT late AND good THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN own AND NOT late AND bad THEN n ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order,
+       CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM r""",
+    "op13_divergence": """
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+w AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (total + 2 * v) AS q FROM k JOIN v USING (lang)),
+g AS (SELECT DISTINCT lang, source FROM d),
+z AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n) AS total FROM z GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (s.total + 2 * v) AS p
+  FROM z JOIN s USING (lang, source) JOIN v USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+         CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM u)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10""",
 }
