@@ -8,7 +8,8 @@ built to each word start. The pointers are sorted by the words they point at wit
 quicksort that compares eight bytes at a depth: a slice of pointers is split into smaller, equal and
 greater ones than a pivot, equal ones go on eight bytes deeper, and slices of up to ``SMALL`` pointers are
 sorted at once. Pointers of one word then form an equal run, whose documents and counts per
-source are read off; only these few rows are shuffled and added up.
+source are read off, one row a run and language. These rows meet by language and term in the only shuffle of all terms;
+those of terms in too few documents end there.
 
 Pairs of sources are compared in tasks by language, bucket of terms and block of sources, as the
 integer sums of their matrix of rates; the buckets' sums are added by Spark.
@@ -31,15 +32,16 @@ from .common import arrow_map, importable, slices, stored
 
 MIN_DOCS = 10
 TOP = 10                 # terms reported for a group
-SLICE = 16 << 20         # bytes of text whose pointers are sorted together
+SLICE = 8 << 20          # bytes of text whose pointers are sorted together
 SMALL = 8192             # pointers sorted without another split
 DEEP = 4                 # eight-byte keys compared at once in such a slice
-RATES = 1 << 18          # rows (source, term, count) of a bucket, about
+TERMS = 1 << 14          # terms of a bucket, about
 SOURCES = 256            # sources of a block
 UNIT = 1_000_000_000     # rates are in billionths
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_MASKS = np.array([(1 << 64) - (1 << 8 * k) for k in range(9)], np.uint64)      # without the last k bytes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -51,7 +53,7 @@ def word_starts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     new[0] = new[-1] = True
     new[1:-1] = letter[1:] != letter[:-1]
     new[starts[starts < len(data)]] = True
-    edges = np.flatnonzero(new)
+    edges = np.flatnonzero(new).astype(np.int32)
     words = letter[edges[:-1]]
     return edges[:-1][words], np.diff(edges)[words]
 
@@ -63,63 +65,67 @@ class PointerSort:
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
         self.windows = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))
         self.pointers, self.lengths = pointers, lengths
-        self.order = np.arange(len(pointers))
+        self.order = np.arange(len(pointers), dtype=np.int32)
         self.first = np.zeros(len(pointers), bool)           # where an equal run begins
         if len(pointers):
             self._sort()
 
     def _keys(self, which: np.ndarray, depth: int) -> np.ndarray:
         """The eight bytes of each word at a depth, zeros after its end."""
-        rest = np.clip(self.lengths[which] - 8 * depth, 0, 8).astype(np.uint64)
+        unused = np.clip(8 * (depth + 1) - self.lengths[which], 0, 8)
         at = np.minimum(self.pointers[which] + 8 * depth, len(self.windows) - 1)
-        keys = self.windows[at].astype(np.uint64) >> ((np.uint64(8) - np.maximum(rest, 1)) * np.uint64(8))
-        return np.where(rest > 0, keys << ((np.uint64(8) - np.maximum(rest, 1)) * np.uint64(8)), np.uint64(0))
+        return self.windows[at].astype(np.uint64) & _MASKS[unused]
 
     def _sort(self) -> None:
         order, lengths, first = self.order, self.lengths, self.first
+        held = self._keys(order, 0)                          # of each place the key at its slice's depth
         todo = [(0, len(order), 0)]
         while todo:
             lo, hi, depth = todo.pop()
             first[lo] = True
             if hi - lo == 1:
                 continue
-            here = order[lo:hi]
+            here, keys = order[lo:hi], held[lo:hi]
             if hi - lo > SMALL:
-                keys = self._keys(here, depth)
-                pivot = np.sort(keys[::(hi - lo) // 101])[50]
+                some = np.sort(keys[::(hi - lo) // 101 + 1])
+                pivot = some[len(some) // 2]
                 less, more = keys < pivot, keys > pivot
                 equal = ~(less | more)
                 a, b = lo + int(less.sum()), hi - int(more.sum())
                 order[lo:hi] = np.concatenate([here[less], here[equal], here[more]])
+                held[lo:hi] = np.concatenate([keys[less], keys[equal], keys[more]])
                 if lo < a:
                     todo.append((lo, a, depth))
                 if b < hi:
                     todo.append((b, hi, depth))
+                first[a] = True
                 if (lengths[order[a:b]] > 8 * depth + 8).any():
+                    held[a:b] = self._keys(order[a:b], depth + 1)
                     todo.append((a, b, depth + 1))
-                else:
-                    first[a] = True
                 continue
             longest = int(lengths[here].max())
             deep = max(1, min(DEEP, -(-longest // 8) - depth))
-            keys = [self._keys(here, depth + k) for k in range(deep)]
+            keys = [keys, *(self._keys(here, depth + k) for k in range(1, deep))]
             by = np.lexsort(keys[::-1])
             order[lo:hi] = here = here[by]
-            new = np.ones(hi - lo, bool)
-            new[1:] = False
+            new = np.zeros(hi - lo, bool)
+            new[0] = True
             for k in keys:
                 k = k[by]
                 new[1:] |= k[1:] != k[:-1]
             first[lo:hi] |= new
             if longest > 8 * (depth + deep):                 # runs equal so far whose words go on
                 edges = np.append(np.flatnonzero(new), hi - lo)
-                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                    if j - i > 1 and (lengths[here[i:j]] > 8 * (depth + deep)).any():
-                        todo.append((lo + i, lo + j, depth + deep))
+                goes_on = np.maximum.reduceat(lengths[here], edges[:-1]) > 8 * (depth + deep)
+                for i in np.flatnonzero(goes_on & (np.diff(edges) > 1)).tolist():
+                    i, j = int(edges[i]), int(edges[i + 1])
+                    held[lo + i:lo + j] = self._keys(here[i:j], depth + deep)
+                    todo.append((lo + i, lo + j, depth + deep))
 
 
 def _words(data: np.ndarray, pointers: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """The words as an Arrow array."""
+    lengths = lengths.astype(np.int64)
     ends = np.cumsum(lengths)
     at = np.repeat(pointers - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
     offsets = np.concatenate([[0], ends]).astype(np.int64)
@@ -127,27 +133,29 @@ def _words(data: np.ndarray, pointers: np.ndarray, lengths: np.ndarray) -> pa.Ar
         None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))])
 
 
-def _runs(data: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(term, group, occurrences, documents) of the texts that begin at ``starts`` in ``data``."""
+def _runs(data: np.ndarray, starts: np.ndarray, groups: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, and of each word and group the place of the word, the group, occurrences and documents) of the texts that
+    begin at ``starts`` in ``data``, by word and group."""
     data = _LOWER[data]
     pointers, lengths = word_starts(data, starts)
     sort = PointerSort(data, pointers, lengths)
-    run = np.cumsum(sort.first) - 1
     heads = sort.order[sort.first]
-    row = np.searchsorted(starts, pointers, "right")[sort.order] - 1
+    words = _words(data, pointers[heads], lengths[heads])
+    run = np.cumsum(sort.first) - 1
+    row = (np.searchsorted(starts, pointers, "right") - 1).astype(np.int32)[sort.order]
     n_groups = int(groups.max(initial=0)) + 1
     cell = run * n_groups + groups[row]
+    del pointers, lengths, sort
     new = np.ones(len(run), bool)                            # the first place of a document in a run
     new[1:] = (run[1:] != run[:-1]) | (row[1:] != row[:-1])
     cells, at, counts = np.unique(cell, return_inverse=True, return_counts=True)
-    docs = np.bincount(at[new], minlength=len(cells))
-    words = _words(data, pointers[heads], lengths[heads])
-    return words.take(pa.array(cells // n_groups)), cells % n_groups, counts, docs
+    return words, cells // n_groups, cells % n_groups, counts, np.bincount(at[new], minlength=len(cells))
 
 
 def slice_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents, added up in each slice."""
-    schema = "lang string, source string, term string, n long, docs long"
+    """lang, term, docs, sources, ns: of each slice, the documents that a language's texts hold a term in, and its
+    occurrences in each source."""
+    schema = "lang string, term string, docs long, sources array<string>, ns array<long>"
 
     def emit(texts, langs, sources, once=None):
         """The counts of binary ``texts``; ``once`` holds the terms of this document that were counted before."""
@@ -159,18 +167,28 @@ def slice_counts(docs: DataFrame) -> DataFrame:
         langs, sources = pa.concat_arrays(langs), pa.concat_arrays(sources)
         codes = [x.dictionary_encode().indices.to_numpy().astype(np.int64) for x in (langs, sources)]
         _, place, groups = np.unique(codes[0] * len(langs) + codes[1], return_index=True, return_inverse=True)
-        terms, group, counts, found = _runs(data, (offsets[:-1] - offsets[0])[full], groups[full])
+        words, word, group, counts, found = _runs(data, (offsets[:-1] - offsets[0])[full], groups[full])
+        if not len(word):
+            return
         if once is not None:
-            words = terms.to_pylist()
-            found = np.array([w not in once for w in words], np.int64)
-            once.update(words)
-        at = pa.array(place[group])
-        for lo in range(0, len(terms), 1 << 17):
-            s = slice(lo, lo + (1 << 17))
+            seen = words.to_pylist()
+            found = np.array([w not in once for w in seen], np.int64)
+            once.update(seen)
+        lang = codes[0][place][group]                        # groups are in the order of their languages
+        first = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (lang[1:] != lang[:-1])))
+        found = np.add.reduceat(found, first)
+        edges = np.append(first, len(word))
+        for lo in range(0, len(first), 1 << 17):
+            hi = min(lo + (1 << 17), len(first))
+            cells = slice(edges[lo], edges[hi])
+            offs = pa.array(edges[lo:hi + 1] - edges[lo], pa.int32())
+            own = pa.array(place[group[cells]])
             yield pa.RecordBatch.from_arrays(
-                [langs.take(at[s]), sources.take(at[s]),
-                 terms[s].cast(pa.binary()).cast(pa.string()), pa.array(counts[s], pa.int64()),
-                 pa.array(found[s], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                [langs.take(pa.array(place[group[first[lo:hi]]])),
+                 words.take(pa.array(word[first[lo:hi]])).cast(pa.binary()).cast(pa.string()),
+                 pa.array(found[lo:hi], pa.int64()), pa.ListArray.from_arrays(offs, sources.take(own)),
+                 pa.ListArray.from_arrays(offs, pa.array(counts[cells], pa.int64()))],
+                ["lang", "term", "docs", "sources", "ns"])
 
     def pieces(text: bytes):
         """``text`` cut between words, about a slice each."""
@@ -271,11 +289,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     """lang, source, part, item, value, rank: part ``pair`` compares a source with each other one of its language,
     part ``term`` lists the ``top`` terms that the source uses more than its language."""
     groups = stored(_groups(docs).distinct(), "divergence-groups")
-    sums = stored(slice_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")),
-                  "divergence-counts")
-    kept = stored(sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))
-                  .where(F.col("docs") >= min_docs).select("lang", "term", "lang_n"), "divergence-terms")
-    counts = stored(sums.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "divergence-kept")
+    everywhere = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    cells = (slice_counts(docs).withColumn("docs", everywhere).where(F.col("docs") >= min_docs)
+             .select("lang", "term", F.explode(F.arrays_zip("sources", "ns")).alias("x")))
+    counts = stored(cells.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n")),
+                    "divergence-counts")
+    kept = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")), "divergence-terms")
+    counts = counts.join(kept, ["lang", "term"])
 
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
@@ -284,7 +304,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     totals = stored(totals.withColumn("place", place), "divergence-groups")
 
-    n_buckets = max(1, -(-counts.count() // RATES))
+    n_buckets = max(1, -(-kept.count() // TERMS))
     sums = pair_sums(counts.select("lang", "source", "term", "n"), totals, n_buckets)
     other = totals.select("lang", F.col("source").alias("item"))
     pairs = (totals.select("lang", "source").join(other, "lang").where("source <> item")
