@@ -37,8 +37,8 @@ DISTINCT = 65            # least per cent of distinct words
 CAPITALS = 5             # most per cent of capitals
 FORBIDDEN = b"#$%&*|"
 WINDOW = 32 << 20        # bytes of distinct texts gathered before they are sent on
-TARGET = 32 << 20        # bytes of text from which a prefix is made longer
-FIRST, GROWTH = 16, 4    # bytes of the shortest prefix, and how much longer the next one is
+TARGET = 8 << 20         # bytes of text from which a prefix is made longer
+FIRST, GROWTH = 16, 16   # bytes of the shortest prefix, and how much longer the next one is
 _CAPITAL = bytes(range(65, 91))
 
 
