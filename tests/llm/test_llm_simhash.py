@@ -66,7 +66,7 @@ def test_odd_rows(odd_docs, no_docs):
     check(odd_docs)
     assert simhash.near_duplicates(no_docs).collect() == []
     kept = simhash.one_per_class(odd_docs).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 4, 5, 6]     # 2, 3 and 7 have no words
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 1, 2, 4, 5, 6]  # 1 leads two classes; 2, 3 and 7 have no words
     assert sum(r.doc_id is None for r in kept) == 2
 
 
@@ -113,3 +113,14 @@ def test_the_kept_row_of_a_repeated_id_leads_its_class(spark):
     kept = simhash.one_per_class(docs).collect()
     assert sorted(r.doc_id for r in kept) == list(range(40))
     assert {r.text for r in kept} == want
+
+
+def test_an_id_may_lead_several_classes(spark):
+    draw = random.Random(9)
+    a, b, c, *more = (" ".join(f"w{draw.randrange(5000)}" for _ in range(60)) for _ in range(203))
+    rows = [(5, a), (5, b), (7, b), (8, a), (9, c), *((1000, t) for t in more), *((1000, t) for t in more[:50]),
+            *((2000 + k, t) for k, t in enumerate(more))]
+    draw.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = [(r.doc_id, r.text) for r in simhash.one_per_class(docs).collect()]
+    assert sorted(kept) == sorted([(5, a), (5, b), (9, c), *((1000, t) for t in more)])

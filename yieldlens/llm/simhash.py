@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import arrow_map, connected_components, stored
 
@@ -132,42 +133,51 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return pairs.unionByName(stars.where(F.lit(max_bits > 0)))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+def _classified(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc_id, fp, class (one fingerprint of it) and component_id: one row per row of ``docs``."""
     rows = stored(fingerprints(docs, shingle), "simhash-rows")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     comps = stored(connected_components(links(classes.select("fp"), max_bits)), "simhash-components")
     linked = classes.join(comps, classes.fp == comps.node).select("fp", "first", "root")
     firsts = stored(linked.groupBy("root").agg(F.min("first").alias("lowest")), "simhash-lowest")
-    lowest = comps.join(firsts, "root").select(F.col("node").alias("fp"), "lowest")
+    lowest = comps.join(firsts, "root").select(F.col("node").alias("fp"), "root", "lowest")
     ids = stored(classes.join(lowest, "fp", "left")
-                 .select("fp", F.when(F.col("lowest").isNull(), F.col("first")).otherwise(F.col("lowest"))
-                         .alias("component_id")), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                       "component_id")
+                 .select("fp", F.coalesce("root", "fp").alias("class"),
+                         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("lowest")).alias("component_id")),
+                 "simhash-ids")
+    return rows.join(ids, "fp").select("doc_id", "fp", "class", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+    return _classified(docs, shingle, max_bits).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_class(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their class, one row each. Where a doc_id has several
-    texts, the row is one whose own class it leads, of the smallest fingerprint. Rows without a doc_id
-    cannot be named and all stay."""
-    leads = F.when(F.col("doc_id") == F.col("component_id"), F.col("fingerprint"))
-    found = near_duplicates(docs, shingle, max_bits).groupBy("doc_id").agg(
-        F.min(leads).alias("lead"), F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high"))
-    stays = stored(found.where("lead IS NOT NULL").select(
-        F.col("doc_id").alias("__keep"), F.when(F.col("low") < F.col("high"), F.col("lead")).alias("__lead")),
-        "simhash-keep")
-    led = stored(stays.where("__lead IS NOT NULL"), "simhash-several")     # few as a rule, by its stored size
+    """One row of ``docs`` for each class: of its smallest doc_id and, where that has several texts in the class, one with the
+    smallest fingerprint. A doc_id whose texts are in several classes may stand for each of them. Rows without a
+    doc_id cannot be named and all stay."""
+    found = stored(_classified(docs.where(F.col("doc_id").isNotNull()), shingle, max_bits), "simhash-found")
+    leads = (found.where(F.col("doc_id") == F.col("component_id")).groupBy("class", "doc_id")
+             .agg(F.min("fp").alias("fp")).select("doc_id", "fp"))
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    leads = stored(leads.join(rows, "doc_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "n"),
+                   "simhash-leads")
     named = docs.where(F.col("doc_id").isNotNull())
-    key = named["doc_id"].cast("long") == F.col("__keep")
-    single = named.join(stays.where("__lead IS NULL"), key, "left_semi").dropDuplicates(["doc_id"])
+    key = named["doc_id"].cast("long") == F.col("__id")
+    single = named.join(leads.where("n = 1"), key, "left_semi")
+    repeated = stored(rows.where("n > 1").select(F.col("doc_id").alias("__id")), "simhash-repeated")
 
-    def run(batches):                                        # the leading texts of ids that have several
+    def run(batches):                                        # the texts of ids that have several rows
         for batch in batches:
-            texts, lead = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            yield batch.drop_columns(["__lead"]).filter(
-                pa.array([f"{fingerprint(t, shingle):016x}" == x for t, x in zip(texts, lead)], pa.bool_()))
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(at).to_pylist()], np.uint64)
+            yield batch.append_column("__text", pa.array(fps.view(np.int64)))
 
     at = docs.columns.index("text")
-    several = arrow_map(named.join(led, key).drop("__keep"), run, docs.schema).dropDuplicates(["doc_id"])
+    several = arrow_map(named.join(repeated, key, "left_semi"), run,
+                        StructType([*docs.schema.fields, StructField("__text", LongType())]))
+    several = several.join(leads.where("n > 1"), (several["doc_id"].cast("long") == F.col("__id"))
+                           & (F.col("__text") == F.col("__fp")), "left_semi")
+    several = several.dropDuplicates(["doc_id", "__text"]).drop("__text")
     return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))
