@@ -1,4 +1,5 @@
 import re
+import time
 
 from yieldlens.llm import line_dedup
 
@@ -62,3 +63,17 @@ def test_no_python_in_the_plan(spark):
     df = line_dedup.dedup_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_documents_of_many_lines_take_linear_time(spark):
+    """Two texts of 200,000 equal lines but for ten: the second loses them all, in time linear in the lines."""
+    lines = [f"a line that is long enough, number {k}" for k in range(200_000)]
+    other = [*lines[:100_000], *(f"only in the second text {k}" for k in range(10)), *lines[100_000:]]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(other)), (None, "\n".join(lines[:50_000])), (None, "short\n" + lines[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - start < 60
+    assert got[1, 200_000].n_dropped == 0
+    assert got[2, 200_010].n_dropped == 200_000 and got[2, 200_010].text.count("\n") == 9
+    assert got[None, 50_000].n_dropped == 50_000 and got[None, 2].text == "short"

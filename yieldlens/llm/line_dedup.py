@@ -8,8 +8,9 @@ the next, so a line is rewritten once a level and a batch meets few runs. Since
 earlier batches hold smaller ids, a line found in a run is dropped from the whole
 batch, and one that is new stays only in its smallest document.
 
-Only 16-byte hashes are shuffled; the hashes to drop are gathered per document
-and the texts are read once more to leave those lines out.
+Only hashes are shuffled. A line to drop is known by its document's key (doc_id and a hash of the text)
+and its place; the places are gathered per document and the texts are read once more to leave those
+lines out, in time linear in their lines.
 
 Edge cases: a null or empty text is one empty line; lines shorter than
 ``MIN_CHARS`` code points once stripped are never dropped; a line repeated inside
@@ -47,11 +48,18 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2")]
 
 
+def _row_key() -> list[Column]:
+    """What names a document row: equal rows lose the same lines."""
+    return [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+
+
 def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """id, h1, h2: the distinct long enough line hashes of each document row."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("id"), F.explode(_lines(F.col("text"))).alias("line"))
-    keys = lines.select("id", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return keys.select("id", *_hashes(F.col("key")))
+    """id, row, place, h1, h2: the long enough lines of each document row."""
+    id_, row = _row_key()
+    lines = (docs.select(id_.alias("id"), row.alias("row"), _lines(F.col("text")).alias("lines"))     # hashed before the lines part
+             .select("id", "row", F.posexplode("lines").alias("place", "line")))
+    keys = lines.select("id", "row", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keys.select("id", "row", "place", *_hashes(F.col("key")))
 
 
 class Runs:
@@ -79,7 +87,7 @@ class Runs:
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
-    """id, h1, h2: the line hashes that each document loses."""
+    """id, row, place: the lines that each document row loses."""
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
@@ -102,23 +110,23 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
         if held:
             lost = lost.unionByName(old.select(*_HASH, F.lit(None).cast("long").alias("owner")))
         dropped.append(here.join(stored(lost, "line-lost"), _HASH)
-                       .where(~F.col("id").eqNullSafe(F.col("owner")) | F.col("id").isNull()).select("id", *_HASH))
+                       .where(~F.col("id").eqNullSafe(F.col("owner")) | F.col("id").isNull()).select("id", "row", "place"))
     return reduce(DataFrame.unionByName, dropped)
 
 
 def _with_kept(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     """``docs`` with __lines and __kept, the lines before and after."""
-    drop = (dropped_lines(docs, min_chars, batches).groupBy("id")
-            .agg(F.collect_set(F.struct(*_HASH)).alias("__drop")))
-    drop = stored(drop.withColumnRenamed("id", "__id"), "line-drop")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("__drop"), F.struct(*_hashes(key)))
-
-    joined = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(drop["__id"]), "left")
+    drop = (dropped_lines(docs, min_chars, batches).groupBy("id", "row")
+            .agg(F.collect_set("place").alias("__drop")))    # of one text's lines
+    drop = stored(drop.withColumnsRenamed({"id": "__id", "row": "__row"}), "line-drop")
+    id_, row = _row_key()
+    joined = docs.join(drop, id_.eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left")
     joined = joined.withColumn("__lines", _lines(F.col("text")))
-    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))    # by a hash set, in order
+    # lines and places as one value, so that the text is split once and not for each line
+    both = F.array(F.struct(F.col("__lines").alias("lines"), places.alias("places")))
+    chosen = F.transform(both, lambda x: F.transform(x["places"], lambda k: F.get(x["lines"], k)))
+    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.get(chosen, 0))
     return joined.withColumn("__kept", kept)
 
 
