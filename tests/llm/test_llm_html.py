@@ -1,5 +1,7 @@
 import html
 import re
+import time
+from collections import Counter
 
 from yieldlens.llm import html_text
 from yieldlens.llm.html_text import main_text
@@ -76,3 +78,48 @@ def test_wrappers_named_after_the_layout():
     talk = "<p>A reader wrote at length. </p>" * 20
     assert main_text(f"<div id=content>{text}</div><div class=comments>{talk}</div>") == want
     assert main_text(f"<nav>Menu</nav><footer>{talk}</footer>") == ""
+
+
+def words(text):
+    return Counter(text.split())
+
+
+def test_time_follows_the_length():
+    """1 MB of tags that never end, 50,000 open elements, quotes that do not pair off, ... in a few seconds each."""
+    pages = ["<div class=comment>x " * 50_000, "<a " * 350_000, "<![CDATA[" * 110_000, '<a "' * 250_000, "<div>x" * 150_000,
+             '<a "<b>" x' * 100_001, "<!x" * 300_000, "</p>" * 250_000, "<b>" * 100_000 + "x</div>" * 50_000, "<" * 1_000_000,
+             "<span class=ad><i>a</b>" * 50_000, "<article><form>x" * 50_000, "<a '\"<b>" * 110_001, "<script>" * 120_000]
+    for page in pages:
+        start = time.time()
+        main_text(page)
+        assert time.time() - start < 20, page[:40]
+
+
+def test_broken_markup_keeps_its_text():
+    assert main_text("one <b two") == "one <b two"
+    assert main_text("<p title=\"it's\">a</p><p class='x\">b</p>") == "a b"
+    assert main_text("a <![CDATA[b & <i>]]> c <![CDATA[ d") == "a b & <i> c <![CDATA[ d"
+    assert main_text("<p>a<!-- <p>b") == "a"
+
+
+def test_windows_decide():
+    """The surge threshold chooses the lines, in marked pages as in others."""
+    box = "<div class=ad>Buy</div>" * 3
+    page = f"<article><p>tiny</p><p>all of it</p>{box}<p>" + "a long paragraph " * 9 + "</p></article>"
+    assert main_text(page).startswith("tiny all of it a long")
+    for html_ in (page, page.replace("article", "div")):
+        kept = [len(main_text(html_, surge=s)) for s in (1, 80, 2000, 10 ** 6)]
+        assert kept == sorted(kept, reverse=True) and kept[-1] == 0 and len(set(kept)) > 2
+
+
+def test_pages_without_marks_tags_and_names(spark):
+    """Layout tags and the names of classes taken away, the windows alone find the article: all of it, and little else."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    found = wanted = both = 0
+    for r in pages:
+        want = words(main_text(r.html))
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", r.html)
+        bare = re.sub(r"<(/?)(?:article|main|nav|header|footer|aside|form|section)\b", r"<\1div", bare)
+        got = words(main_text(bare))
+        found, wanted, both = found + got.total(), wanted + want.total(), both + (got & want).total()
+    assert both / wanted >= 0.99 and both / found >= 0.9

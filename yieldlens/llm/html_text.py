@@ -1,17 +1,18 @@
 """Main text of web pages by line-block distribution.
 
-The markup is stripped to lines, one a block element. Containers that are never
-article text (scripts, styles, forms, menus, headers, footers, asides, and elements
-whose class, id or role names an advert, notice, menu, sidebar or comment) and lines
-that are mostly link text weigh nothing, as do, in a page that marks its
-article (``article`` or ``main``), all lines outside it. A container that wraps the
-article or the page's text is no boilerplate, whatever its tag and names: see
+The markup is stripped to lines, one a block element, and every line gets a weight: its characters, or nothing
+in containers that are never article text (scripts, styles, forms, menus, headers, footers, asides, and elements
+whose class, id or role names an advert, notice, menu, sidebar or comment), in lines
+that are mostly link text and, in a page that marks its article (``article`` or ``main``), outside it. Lines of the article
+weigh ``BOOST`` times their characters: those in the marked element or, in other pages, in the element that holds the
+strongest stretch. A container that wraps the article or the page's text is no boilerplate, whatever its tag and names: see
 ``_wrappers``. The weights are summed over
-sliding windows of ``WINDOW`` lines; a surge is a weighted line at which the sums rise
-from under the threshold, a dive the line after which they fall to nothing. Each
-stretch from a surge to its dive is a candidate. Where the page marks its article, all
-stretches in it are kept; elsewhere the strongest stretch, all others in the element that
-holds it, and those with a window of ``PARAGRAPH`` characters or more.
+sliding windows of ``WINDOW`` lines; a surge is a weighted line at which the sums reach the
+threshold ``SURGE``, a dive the line after which they fall to nothing. The text is that of the weighted lines from each
+surge to its dive.
+
+The page is scanned once, forwards, and elements know their parents only, so the time follows the page's length
+whatever its nesting and however broken its markup.
 
 Edge cases: a null or empty html gives an empty text; unclosed and stray tags, comments
 and scripts without an end are read as browsers do; character references are decoded
@@ -22,9 +23,7 @@ ignored.
 from __future__ import annotations
 
 import html as entities
-import os
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +32,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 WINDOW = 3               # lines whose weights are summed
-SURGE = 1                # least window sum of a surge, in characters
-PARAGRAPH = 80           # window sum at which a stretch is text wherever it stands
+SURGE = 80               # least window sum of a surge, in characters
+BOOST = 80               # weight of a character in the article
 LINKED = 0.6             # share of link text from which a line is a menu
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-                  re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile("[\"'>]")
 _RAW = {t: re.compile(rf"</{t}\s*>|$", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template",
                                                        "iframe", "svg", "math", "xmp", "noembed", "noframes")}
 _SKIP = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "object", "canvas",
@@ -90,118 +89,210 @@ def _boilerplate(tag: str, attributes: str) -> int:
     return kind
 
 
+class Element:
+    """An open element that matters: boilerplate, a marked article or a holder of paragraphs."""
+    __slots__ = ("up", "kind", "marks", "holds", "marked", "kinds")
+
+    def __init__(self, up: Element | None, kind: int, marks: bool, holds: bool):
+        self.up, self.kind, self.marks, self.holds = up, kind, marks, holds
+        self.marked = self if marks else up.marked if up else None          # innermost article element
+        self.kinds = max(kind, up.kinds if up else 0)                       # surest boilerplate around
+
+
 class Line:
-    __slots__ = ("text", "weight", "marked", "holders", "menu", "plain", "boxes")
+    __slots__ = ("text", "weight", "at", "marked", "menu", "plain")
 
-    def __init__(self, text: str, marked: bool, holders: tuple[int, ...], linked: int, boxes: list[tuple[int, int, bool]]):
-        self.text, self.marked, self.holders = text, marked, holders
+    def __init__(self, text: str, at: Element | None, linked: int):
+        self.text, self.at, self.weight = text, at, 0
+        self.marked = at.marked if at else None
         self.menu = linked >= LINKED * len(text)
         self.plain = max(0, len(text) - linked)              # characters outside links
-        self.boxes = boxes                                   # place, kind, whether an article is between it and the line
-        self.weigh(frozenset())
 
-    def weigh(self, wrappers: set[int] | frozenset[int]) -> None:
-        dull = any(place not in wrappers for place, _, _ in self.boxes) or (self.menu and not self.marked)
-        self.weight = 0 if dull else len(self.text)
+
+class Page:
+    """The lines of a page and its elements, parents before children."""
+
+    def __init__(self):
+        self.lines: list[Line] = []
+        self.elements: list[Element] = []
+
+    def sums(self, amounts: list[tuple[Element | None, int]]) -> dict[Element, int]:
+        """For each element the amounts in it and the elements below."""
+        total = dict.fromkeys(self.elements, 0)
+        for at, n in amounts:
+            if at:
+                total[at] += n
+        for x in reversed(self.elements):
+            if x.up:
+                total[x.up] += total[x]
+        return total
+
+    def weigh(self, wrappers: set[Element]) -> None:
+        dull: dict[Element | None, bool] = {None: False}
+        for x in self.elements:
+            dull[x] = dull[x.up] or (x.kind > 0 and x not in wrappers)
+        for line in self.lines:
+            line.weight = 0 if dull[line.at] or (line.menu and not line.marked) else len(line.text)
 
 
-def _most(found: list[Line], articles: bool) -> set[int]:
+def _most(page: Page, found: list[Line], articles: bool) -> set[Element]:
     """The boxes, or the boxes around articles, with more than half of the unlinked text of ``found``."""
-    held: Counter[int] = Counter()
-    for x in found:
-        for place, _, around in x.boxes:
-            if around or not articles:
-                held[place] += x.plain
     total = sum(x.plain for x in found)
-    return {place for place, n in held.items() if 2 * n > total}
+    held = page.sums([((x.marked.up if x.marked else None) if articles else x.at, x.plain) for x in found])
+    return {box for box, n in held.items() if box.kind and n and 2 * n > total}
 
 
-def _wrappers(found: list[Line]) -> set[int]:
+def _wrappers(page: Page) -> set[Element]:
     """Boilerplate containers that wrap the page's text. A form or a box named after a part of the layout is
     one if it holds most of the unlinked text, or of that in articles; if that leaves the page without text,
     so is any box around an article, or else a named one with most of the text. Hidden boxes never are."""
     def upto(kind: int) -> list[Line]:
-        return [x for x in found if all(k <= kind for _, k, _ in x.boxes)]
+        return [x for x in page.lines if (x.at.kinds if x.at else 0) <= kind]
 
-    wrappers: set[int] = set()
-    if any(k == _FRAME for x in found for _, k, _ in x.boxes):
+    def around(kind: int) -> set[Element]:
+        held = page.sums([(x.marked.up, 1) for x in upto(kind) if x.marked])
+        return {box for box, n in held.items() if box.kind and n}
+
+    wrappers: set[Element] = set()
+    if any(x.kind == _FRAME for x in page.elements):
         frames = upto(_FRAME)
-        wrappers = _most(frames, False) | _most([x for x in frames if x.marked], True)
-    for more in (lambda: {p for x in upto(_FRAME) for p, _, around in x.boxes if around},
-                 lambda: {p for x in upto(_PART) for p, _, around in x.boxes if around},
-                 lambda: _most(upto(_TALK), False)):
-        for x in found:
-            x.weigh(wrappers)
-        if any(x.weight for x in found):
+        wrappers = _most(page, frames, False) | _most(page, [x for x in frames if x.marked], True)
+    for more in (lambda: around(_FRAME), lambda: around(_PART), lambda: _most(page, upto(_TALK), False)):
+        page.weigh(wrappers)
+        if any(x.weight for x in page.lines):
             break
         wrappers |= more()
     return wrappers
 
 
-def lines(page: str) -> list[Line]:
+def _tags(page: str):
+    """(text before, kind, name, attributes, place after) of each tag: kind '' start, '/' end, '!' none; at last the
+    rest as text. Every search starts behind the last, and one that found nothing is not made again."""
+    at, start = 0, 0                                         # start: of the text not yet given
+    quotes = True
+    missing: set[str] = set()
+
+    def find(mark: str, place: int) -> int:
+        if mark in missing:
+            return -1
+        k = page.find(mark, place)
+        if k < 0:
+            missing.add(mark)
+        return k
+
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1:at + 2]
+        if sign in ("!", "?"):
+            if page.startswith("<!--", at):
+                end = find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+                data = ""
+            else:
+                end = find("]]>", at + 9) if page.startswith("<![CDATA[", at) else -1
+                data = page[at + 9:end] if end >= 0 else ""
+                end = end + 3 if end >= 0 else find(">", at + 2) + 1
+            if not end:
+                at += 1
+                continue
+            step = yield page[start:at] + data.replace("&", "&amp;"), "!", "", "", end
+        else:
+            name = _NAME.match(page, at + 1 + (sign == "/"))
+            if not name:
+                at += 1
+                continue
+            end = name.end()
+            while quotes:                                    # the first > outside quotes
+                m = _QUOTE.search(page, end) if ">" not in missing else None
+                if m and m[0] == ">":
+                    end = m.start()
+                    break
+                end = find(m[0], m.end()) + 1 if m else 0
+                if not end:
+                    quotes = False                           # they do not pair off: from here on they are plain characters
+            if not quotes:
+                end = find(">", name.end())
+            if end < 0:
+                at += 1
+                continue
+            step = yield page[start:at], "/" if sign == "/" else "", name[0].lower(), page[name.end():end], end + 1
+            end += 1
+        at = start = end if step is None else step
+    yield page[start:], "!", "", "", len(page)
+
+
+def read_page(page: str) -> Page:
     """The page's lines of text, weighted by the characters that may be article text."""
-    out: list[Line] = []
+    out = Page()
     parts: list[str] = []
-    open_tags: list[tuple[str, int, bool, int]] = []         # tag, boilerplate, marks an article, place in the page
-    linked = at = 0
+    open_tags: list[tuple] = []          # tag, whether it splits lines at its end, element around, tags so far of _SKIP and that split
+    places: dict[str, list[int]] = {}    # where each tag is open
+    linked = 0
+
+    def around() -> Element | None:
+        return open_tags[-1][2] if open_tags else None
+
+    def so_far(k: int, what: int) -> int:
+        return open_tags[k][what] if k >= 0 else 0
+
+    def cut(k: int) -> None:
+        while len(open_tags) > k:
+            places[open_tags.pop()[0]].pop()
 
     def end() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            inmost = max((k for k, (_, _, m, _) in enumerate(open_tags) if m), default=-1)
-            holders = tuple([place for t, _, _, place in open_tags if t in _HOLDERS])
-            boxes = [(place, b, k < inmost) for k, (_, b, _, place) in enumerate(open_tags) if b]
-            out.append(Line(text, inmost >= 0, holders, linked, boxes))
+            out.lines.append(Line(text, around(), linked))
         linked = 0
 
-    def say(text: str) -> None:
-        nonlocal linked
+    tags, after = _tags(page), None
+    while True:
+        try:
+            text, kind, tag, attributes, place = tags.send(after)
+        except StopIteration:
+            break
+        after = None
         if text:
             parts.append(text)
-            if any(t == "a" for t, _, _, _ in open_tags):
+            if places.get("a"):
                 linked += len(text.strip())
-
-    while m := _TAG.search(page, at):
-        say(page[at:m.start()])
-        at = m.end()
-        if m[3] is None:
-            if m[1]:
-                say(m[1].replace("&", "&amp;"))
+        if kind == "!":
             continue
-        tag, attributes = m[3].lower(), m[4] or ""
-        if m[2]:                                             # an end tag closes down to its start, if there is one
+        if kind:                                             # an end tag closes down to its start, if there is one
             if tag in _BLOCK:
                 end()
-            k = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == tag), None)
-            if k is not None and not (tag not in _BLOCK and any(t in _SKIP for t, _, _, _ in open_tags[k + 1:])):
-                if any(b or x for _, b, x, _ in open_tags[k:]):
+            top = len(open_tags) - 1
+            k = places[tag][-1] if places.get(tag) else None
+            if k is not None and (tag in _BLOCK or so_far(top, 3) == so_far(k, 3)):
+                if so_far(top, 4) > so_far(k - 1, 4):
                     end()
-                del open_tags[k:]
+                cut(k)
             continue
         if tag in _RAW:
-            stop = _RAW[tag].search(page, at)
-            at = stop.end()
+            after = _RAW[tag].search(page, place).end()
             continue
         dull = _boilerplate(tag, attributes)
         if tag in _BLOCK or dull:
             end()
         while open_tags and open_tags[-1][0] in _CLOSES.get(tag, ()):
-            open_tags.pop()
+            cut(len(open_tags) - 1)
         if tag in _BLOCK and open_tags and open_tags[-1][0] == "p":
-            open_tags.pop()
+            cut(len(open_tags) - 1)
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
-            open_tags.append((tag, dull, tag in _MARKED, at))
-    say(page[at:])
+            marks, holds, up, top = tag in _MARKED, tag in _HOLDERS, around(), len(open_tags) - 1
+            if dull or marks or holds:
+                up = Element(up, dull, marks, holds)
+                out.elements.append(up)
+            places.setdefault(tag, []).append(len(open_tags))
+            open_tags.append((tag, bool(dull or marks), up, so_far(top, 3) + (tag in _SKIP),
+                              so_far(top, 4) + bool(dull or marks)))
     end()
-    wrappers = _wrappers(out)
-    for x in out:
-        x.weigh(wrappers)
+    out.weigh(_wrappers(out))
     return out
 
 
-def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+def stretches(weights: list[int], window: int = WINDOW, surge: int = 1) -> list[tuple[int, int]]:
     """(first, last) line of each stretch from a surge to its dive."""
     sums = [sum(weights[k:k + window]) for k in range(len(weights))]
     found, start = [], None
@@ -216,34 +307,44 @@ def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> l
     return found
 
 
-def _holder(found: list[Line], lo: int, hi: int) -> int | None:
+def _holder(page: Page, lo: int, hi: int) -> Element | None:
     """The innermost element around the weighted lines from ``lo`` to ``hi``; around a line that has
     an element of its own, the next one out."""
-    paths = [x.holders for x in found[lo:hi + 1] if x.weight]
-    common = os.path.commonprefix(paths)
-    if len(paths) == 1 and common and sum(common[-1] in x.holders for x in found) == 1:
-        common = common[:-1]
-    return common[-1] if common else None
-
-
-def _kept(found: list[Line], weights: list[int], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches of text in a page that marks no article."""
-    best = max(runs, key=lambda r: (sum(weights[r[0]:r[1] + 1]), -r[0]))
-    holder = _holder(found, *best)
-    return [(lo, hi) for lo, hi in runs
-            if (lo, hi) == best or holder is None
-            or any(holder in found[k].holders for k in range(lo, hi + 1) if weights[k])
-            or max(sum(weights[k:min(k + WINDOW, hi + 1)]) for k in range(lo, hi + 1)) >= PARAGRAPH]
-
-
-def main_text(page: str | None) -> str:
-    found = lines(page or "")
-    marked = any(x.marked and x.weight for x in found)
-    weights = [x.weight if x.marked or not marked else 0 for x in found]
-    runs = stretches(weights)
-    if not marked and runs:
-        runs = _kept(found, weights, runs)
-    return " ".join(found[k].text for lo, hi in runs for k in range(lo, hi + 1) if weights[k])
+    lines = [x for x in page.lines[lo:hi + 1] if x.weight]
+    held = page.sums([(x.at, 1) for x in lines])
+
+    def out(x: Element | None) -> Element | None:
+        while x and not (x.holds and held[x] == len(lines)):
+            x = x.up
+        return x
+
+    holder = out(lines[0].at)
+    if len(lines) == 1 and holder and page.sums([(x.at, 1) for x in page.lines])[holder] == 1:
+        holder = out(holder.up)
+    return holder
+
+
+def _article_weights(page: Page) -> list[int]:
+    """The weights that the windows sum: those of the article's lines boosted."""
+    weights = [x.weight for x in page.lines]
+    if any(x.marked and x.weight for x in page.lines):
+        return [BOOST * w if x.marked else 0 for x, w in zip(page.lines, weights)]
+    runs = stretches(weights, surge=1)
+    if not runs:
+        return weights
+    lo, hi = max(runs, key=lambda r: (sum(weights[r[0]:r[1] + 1]), -r[0]))
+    holder = _holder(page, lo, hi)
+    inside: dict[Element | None, bool] = {None: False}
+    for x in page.elements:
+        inside[x] = inside[x.up] or x is holder
+    return [BOOST * w if lo <= k <= hi or holder is None or inside[x.at] else w
+            for k, (x, w) in enumerate(zip(page.lines, weights))]
+
+
+def main_text(html: str | None, surge: int = SURGE) -> str:
+    page = read_page(html or "")
+    weights = _article_weights(page)
+    return " ".join(page.lines[k].text for lo, hi in stretches(weights, surge=surge) for k in range(lo, hi + 1) if weights[k])
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
