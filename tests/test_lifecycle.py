@@ -123,7 +123,7 @@ def test_backfill_and_evolve(spark):
 
 
 def test_stream_alert_batch_is_replay_safe(spark, tmp_path):
-    from yieldlens.streaming.line_rates import alert_batch
+    from yieldlens.streaming.line_rates import alert_batch, alert_table
     t = dt.datetime(2024, 1, 30, 12)
     early = dt.datetime(2024, 1, 30, 11, 30)
     units = spark.createDataFrame(
@@ -137,7 +137,7 @@ def test_stream_alert_batch_is_replay_safe(spark, tmp_path):
     alert_batch(units, 0, root)          # replay: same partition rewritten
     alert_batch(units, 1, root)          # next evaluation: L1 already open
     alert_batch(units, 0, root, run="other")     # another query numbers its batches anew: nothing is replaced
-    a = spark.read.parquet(f"{root}/failure_alerts").collect()
+    a = alert_table(spark, root, "failure_alerts").collect()
     # every window that the batch closed is evaluated, the older one with its own time
     assert sorted((r.line, r.alert_sent_at, r.resolved) for r in a) == [("L1", "2024-01-30 12:00:00", 0),
                                                                         ("L3", "2024-01-30 11:30:00", 0)]
@@ -145,7 +145,7 @@ def test_stream_alert_batch_is_replay_safe(spark, tmp_path):
     codes = {r.line: [(c["testcode"], c["failed_units"], c["total_line"]) for c in json.loads(r.top_testcodes)] for r in a}
     assert codes == {"L1": [("TC_C_03", 5, 20), ("TC_A_01", 3, 20)], "L3": []}
     assert sorted((r.id, r.line) for r in a) == [(1, "L3"), (2, "L1")]
-    assert spark.read.parquet(f"{root}/repair_actions").count() == 2
+    assert alert_table(spark, root, "repair_actions").count() == 2
 
 
 def test_unit_texts_by_like_and_exactly(spark):

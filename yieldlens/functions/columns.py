@@ -132,7 +132,8 @@ def parse_result_time(text) -> Column:
 def micros_of_day(ts) -> Column:
     """Microsecond of the day of a TIMESTAMP_NTZ (for time-of-day ranges)."""
     ts = col_(ts)
-    return (F.hour(ts).cast("long") * 3600 + F.minute(ts) * 60 + F.second(ts)) * 1_000_000
+    seconds = F.extract(F.lit("SECOND"), ts)                 # with its fraction, exact
+    return (F.hour(ts).cast("long") * 3600 + F.minute(ts) * 60) * 1_000_000 + (seconds * 1_000_000).cast("long")
 
 
 def time_text_to_micros(text: str) -> int:
@@ -171,3 +172,12 @@ def minutes_between(later, earlier) -> Column:
     """Fractional minutes between two timestamps."""
     return (F.unix_micros(col_(later).cast("timestamp")) -
             F.unix_micros(col_(earlier).cast("timestamp"))) / 60_000_000.0
+
+
+def decodable(text: Column) -> Column:
+    """``text`` without its undecodable bytes. A replacement character that the text itself holds stays: it is
+    spelled as a pair of noncharacters while the undecodable bytes are replaced and dropped."""
+    mark, own, bad = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"
+    spelled = F.replace(F.replace(text, F.lit(mark), F.lit(own)), F.lit("\ufffd"), F.lit(bad))
+    clean = F.replace(F.make_valid_utf8(spelled), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(clean, F.lit(bad), F.lit("\ufffd")), F.lit(own), F.lit(mark))

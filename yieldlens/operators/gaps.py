@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as K
 from ..functions import columns as C
-from .frames import attach
 
 
 def skip_totals(skips: DataFrame) -> DataFrame:
@@ -31,18 +32,20 @@ def gap_report(routed: DataFrame, count_no_th4: bool = True,
         counted.append(K.R_DUPLICATE)
     o = F.col("outcome")
     late = (o == K.INSERT) & F.col("source").isin(*K.LATE_SOURCES)
+    n = {r: F.count_if(o == r).cast("long") for r in counted}
+    if K.R_DUPLICATE in n and "copies" in routed.columns:    # first outcomes stand for their later copies
+        n[K.R_DUPLICATE] = n[K.R_DUPLICATE] + F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))
+    # one aggregate; the reasons are a fixed list of five
+    per = F.array(*(F.struct(F.lit(r).alias("reason"), n.get(r, F.lit(0).cast("long")).alias("count")) for r in K.SKIP_REASONS))
     totals = routed.agg(
         F.count_if(o == K.INSERT).cast("long").alias("inserted"),
-        F.count_if(o.isin(*counted)).cast("long").alias("skipped"),
-        F.count_if(late).cast("long").alias("rescan_rows"))
+        reduce(lambda a, b: a + b, n.values()).alias("skipped"),
+        F.count_if(late).cast("long").alias("rescan_rows"), per.alias("_per"))
     totals = totals.withColumn("seen", F.col("inserted") + F.col("skipped")) \
         .withColumn("gap_pct", C.pct("skipped", "seen", 2))
-    per = routed.where(o.isin(*counted)).groupBy(o.alias("reason")).agg(F.count(F.lit(1)).alias("_n"))
-    # the reason list is a fixed five-value domain: an inline table, broadcast
-    reasons = routed.sparkSession.createDataFrame([(r,) for r in K.SKIP_REASONS], "reason string")
-    rows = reasons.join(per, "reason", "left").withColumn("count", F.coalesce("_n", F.lit(0)).cast("long"))
-    out = attach(rows, totals).drop("_n")
-    return out.withColumn("pct", C.pct("count", "seen", 2))
+    out = totals.select(F.explode("_per").alias("_r"), "inserted", "skipped", "rescan_rows", "seen", "gap_pct")
+    return (out.select("_r.reason", "_r.count", "inserted", "skipped", "rescan_rows", "seen", "gap_pct")
+            .withColumn("pct", C.pct("count", "seen", 2)))
 
 
 def hour_label(ts_text) -> F.Column:
@@ -108,27 +111,34 @@ def clean_csv(csv: DataFrame) -> DataFrame:
     return csv.select(*[F.coalesce(C.strip_ws(F.col(c)), F.lit("")).alias(c) for c in csv.columns])
 
 
-def read_reconciliation_csv(spark, path: str) -> DataFrame:
+def read_reconciliation_csv(spark, path: str, line_ends: bool = True) -> DataFrame:
     """S7 source: the six external columns by header name, in any order among others;
-    a missing column reads ''. Quoted fields may hold quotes ("" for one) and line ends."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    a missing column reads ''. Quoted fields may hold quotes ("" for one) and line ends; a file is split over
+    tasks only where the caller says that none holds ``line_ends``."""
+    raw = spark.read.csv(path, header=True, multiLine=line_ends, quote='"', escape='"')
     return clean_csv(raw.select(*[F.col(f"`{f.name}`") if f.name in raw.columns else F.lit("").alias(f.name)
                                   for f in K.RECONCILIATION_CSV.fields]))
 
 
-def reconcile(csv: DataFrame, facts: DataFrame) -> DataFrame:
+def reconcile(csv: DataFrame, facts: DataFrame, few: bool = False, by_date: bool = False) -> DataFrame:
     """Every external row looks up (track, process, date) in the facts;
     at most one match (the first inserted); found flag, matched time, note.
 
-    The facts are first semi-joined to the external keys (a small side,
-    broadcast when AQE sees it is small), then reduced to one row per key
-    with ``min_by`` (map-side combined), then left-joined: no fan-out."""
+    The facts are read once and reduced to one row per key with ``min_by`` (map-side combined, so a hot key moves
+    as one row a partition), then left-joined: no fan-out. ``few``: the caller knows that the external rows are few
+    (a day's file); then the facts are semi-joined to the keys before they are reduced, and those of other keys do not
+    move at all. ``by_date``: stored facts whose ``date`` is that of their time, as the ingest job writes them; they are
+    pruned to the span of the external dates, whole folders at a time."""
     ext = clean_csv(csv).select(*[F.col(c).alias(f"_x_{c.lower()}") for c in csv.columns])
-    k = ["_x_track_id", "_x_process", "_x_date"]
-    keys = ext.select(*[F.col(c).alias(c[3:]) for c in k]).distinct()
-    hits = (facts.join(keys, ["track_id", "process", "date"], "left_semi")
-            .groupBy("track_id", "process", "date")
-            .agg(F.min_by("timestamp", "id").alias("db_timestamp"), F.lit(1).alias("_hit")))
+    k = ["track_id", "process", "date"]
+    if by_date:
+        dates = ext.agg(F.struct(F.min(F.to_date(F.col("_x_date").try_cast("date"))).alias("first"),
+                                 F.max(F.to_date(F.col("_x_date").try_cast("date"))).alias("last")).alias("d"))
+        facts = facts.where(F.col("event_date").isNull()     # no time, so any date
+                            | F.col("event_date").between(dates.select("d.first").scalar(), dates.select("d.last").scalar()))
+    if few:
+        facts = facts.join(ext.select(*[F.col(f"_x_{c}").alias(c) for c in k]).distinct(), k, "left_semi")
+    hits = facts.groupBy(*k).agg(F.min_by("timestamp", "id").alias("db_timestamp"), F.lit(1).alias("_hit"))
     j = ext.join(hits, (ext["_x_track_id"] == hits["track_id"]) & (ext["_x_process"] == hits["process"])
                  & (ext["_x_date"] == hits["date"]), "left")
     mqs_ts = F.when((F.col("_x_date") != "") & (F.col("_x_time") != ""),

@@ -65,12 +65,13 @@ def _first_outcome(allowed: list[str] | None) -> Column:
 
 def first_outcomes(files: DataFrame, content: str = "content", order: list[str] | None = None,
                    allowed: list[str] | None = None) -> DataFrame:
-    """filename, outcome, event_ts of the first copy of every name: what ``route`` gives but for its
-    DUPLICATE rows, as one aggregate without a join."""
+    """filename, outcome, event_ts, source of the first copy of every name and its number of ``copies``: what
+    ``route`` gives but for its DUPLICATE rows, as one aggregate without a join."""
     rec = parse_records(files, content).withColumn("_gone", F.col(content).isNull())
     rec = rec.select("filename", F.struct(*(order or ORDER)).alias("_key"),
-                     F.struct(_first_outcome(allowed).alias("outcome"), "event_ts").alias("_r"))
-    return rec.groupBy("filename").agg(F.min_by("_r", "_key").alias("_r")).select("filename", "_r.*")
+                     F.struct(_first_outcome(allowed).alias("outcome"), "event_ts", "source").alias("_r"))
+    return (rec.groupBy("filename").agg(F.min_by("_r", "_key").alias("_r"), F.count(F.lit(1)).alias("copies"))
+            .select("filename", "_r.*", "copies"))
 
 
 def route(files: DataFrame, content: str = "content", order: list[str] | None = None,
@@ -158,14 +159,17 @@ def from_envelope(df: DataFrame, value: str = "value") -> DataFrame:
 
 def from_relay(decoded: DataFrame, order: list[str]) -> DataFrame:
     """S4 consumer side: decoded envelopes as routed rows. The first copy of a file name in
-    ``order`` is an INSERT, later ones are duplicates; bad rows are left to the dead letters."""
-    good = decoded.where(~F.col("bad_json"))
-    first = good.groupBy("filename").agg(F.min(F.struct(*order)).alias("_first_key"))
+    ``order`` is an INSERT, later ones are duplicates; bad rows are left to the dead letters. A record without a
+    file name is no copy of another: it is known by its place in ``order``."""
+    place = F.concat_ws("/", *(F.col(c).cast("string") for c in order))
+    good = decoded.where(~F.col("bad_json")).withColumn(
+        "_name", F.when(F.col("filename") != "", F.concat(F.lit("n"), "filename")).otherwise(place))
+    first = good.groupBy("_name").agg(F.min(F.struct(*order)).alias("_first_key"))
     copy = F.struct(*[F.col(c) for c in order]) != F.col("_first_key")
-    return (good.join(first, "filename")
+    return (good.join(first, "_name")
             .withColumn("outcome", F.when(copy, K.R_DUPLICATE).otherwise(K.INSERT))
-            .withColumn("file_id", F.col("filename"))
-            .withColumn("event_ts", C.parse_iso_ts(F.col("timestamp"))).drop("_first_key", "bad_json", "raw"))
+            .withColumn("file_id", F.col("_name"))
+            .withColumn("event_ts", C.parse_iso_ts(F.col("timestamp"))).drop("_name", "_first_key", "bad_json", "raw"))
 
 
 # --- J6 / S10: processed-file register -------------------------------------

@@ -155,12 +155,16 @@ def _exact_unit() -> Column:
 
 # --- L2: get or create the repair row of an alert ------------------------------
 
-def repair_for(alerts: DataFrame, repairs: DataFrame, alert_ids: DataFrame, asof: str):
+def repair_for(alerts: DataFrame, repairs: DataFrame, alert_ids: DataFrame, asof: str | None):
     """L2 for a set of alert ids. Returns ``(links, repairs')`` where links
     maps ``alert_id -> repair_id`` and repairs' is the repair table after
-    attaching found ``ALERT-<id>`` rows and creating missing rows."""
-    ids = alert_ids.select("alert_id").distinct().join(
-        alerts.select(F.col("id").alias("alert_id"), "line", "station"), "alert_id")
+    attaching found ``ALERT-<id>`` rows and creating missing rows, at ``asof`` or, without one, at the
+    first ``ts`` of their alert id."""
+    if asof is None:
+        ids = alert_ids.groupBy("alert_id").agg(F.min("ts").alias("_now"))
+    else:
+        ids = alert_ids.select("alert_id").distinct().withColumn("_now", _lit_ts(asof))
+    ids = ids.join(alerts.select(F.col("id").alias("alert_id"), "line", "station"), "alert_id")
     by_alert = (repairs.where(F.col("alert_id").isNotNull()).groupBy("alert_id")
                 .agg(F.max("id").alias("_by_alert")))
     unit_n = _exact_unit()
@@ -175,7 +179,7 @@ def repair_for(alerts: DataFrame, repairs: DataFrame, alert_ids: DataFrame, asof
                        F.col("alert_id").cast("long"),
                        F.concat(F.lit("ALERT-"), F.col("alert_id").cast("string")).alias("unit_id"),
                        "line", "station", F.lit("Open").alias("status"),
-                       _ts_text(_lit_ts(asof)).alias("created_at"), _ts_text(_lit_ts(asof)).alias("updated_at")))
+                       _ts_text(F.col("_now")).alias("created_at"), _ts_text(F.col("_now")).alias("updated_at")))
     links = (j.select("alert_id", F.coalesce("_by_alert", "_by_unit").alias("repair_id"))
              .where(F.col("repair_id").isNotNull())
              .unionByName(created.select("alert_id", F.col("id").alias("repair_id"))))
@@ -189,13 +193,20 @@ def repair_for(alerts: DataFrame, repairs: DataFrame, alert_ids: DataFrame, asof
 
 # --- L3 / L4 / L5 / L6 ------------------------------------------------------------
 
+def _responses(events: DataFrame) -> DataFrame:
+    return events.where((F.col("action") == "response") & F.col("field").isin(*K.RESPONSE_FIELDS))
+
+
 def apply_responses(alerts: DataFrame, repairs: DataFrame, events: DataFrame, asof: str) -> DataFrame:
     """L3: allowed fields only; per (repair row, field) the last value wins
     (ordered by ts, msg_id); engineer and updated_at from the last event."""
-    ev = valid_events(events, alerts).where((F.col("action") == "response")
-                                            & F.col("field").isin(*K.RESPONSE_FIELDS))
+    ev = _responses(valid_events(events, alerts))
     links, reps = repair_for(alerts, repairs, ev, asof)
-    ev = ev.join(links, "alert_id")
+    return _answered(reps, links, ev)
+
+
+def _answered(reps: DataFrame, links: DataFrame, responses: DataFrame) -> DataFrame:
+    ev = responses.join(links, "alert_id")
     order = F.struct("ts", "msg_id")
     per_field = (ev.groupBy("repair_id").pivot("field", K.RESPONSE_FIELDS)
                  .agg(F.max_by("value", order)))
@@ -216,13 +227,38 @@ def attach_media(alerts: DataFrame, repairs: DataFrame, events: DataFrame, asof:
     row, and the repair table with the rows that were attached or created for them."""
     ev = valid_events(events, alerts).where(F.col("action") == "media")
     links, repairs2 = repair_for(alerts, repairs, ev, asof)
-    ev = ev.join(links, "alert_id")
+    return _media_rows(links, ev), repairs2
+
+
+def _media_rows(links: DataFrame, photos: DataFrame) -> DataFrame:
+    ev = photos.join(links, "alert_id")
     fname = F.concat(F.lit("alert"), F.col("alert_id").cast("string"), F.lit("_"),
                      F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.col("user"), F.lit(".jpg"))
-    media = ev.select(F.col("msg_id").alias("id"), F.col("repair_id").cast("long"), F.col("alert_id").cast("long"),
+    return ev.select(F.col("msg_id").alias("id"), F.col("repair_id").cast("long"), F.col("alert_id").cast("long"),
                      fname.alias("filepath"), F.col("value").alias("caption"), F.col("user").alias("uploaded_by"),
                      F.lit("image").alias("media_type"), _ts_text(F.col("ts")).alias("uploaded_at"))
-    return media, repairs2
+
+
+def handle_events(alerts: DataFrame, repairs: DataFrame, events: DataFrame, sla_hours: int = K.SLA_HOURS) -> dict[str, DataFrame]:
+    """L2-L5 for parsed messages of all kinds, as if handled one by one in the order of (ts, msg_id): ``alerts``,
+    ``repairs`` and ``media`` after them, ``results`` of the resolve events and the ``rejected`` events. Splitting the
+    events by time and handling the parts in turn gives the same."""
+    valid = valid_events(events, alerts)
+    responses = _responses(valid)
+    touching = valid.where((F.col("action") == "media")
+                           | ((F.col("action") == "response") & F.col("field").isin(*K.RESPONSE_FIELDS)))
+    links, linked = repair_for(alerts, repairs, touching, None)
+    alerts2, closed, results = resolve(alerts, _answered(linked, links, responses), events, sla_hours)
+    # a response after the alert was resolved is the last change of its row
+    last = (responses.join(links, "alert_id").groupBy(F.col("repair_id").alias("_rid"))
+            .agg(_ts_text(F.max("ts")).alias("_late")))
+    later = F.col("_late") > F.col("closed_at")
+    repairs2 = (closed.join(last, closed["id"] == F.col("_rid"), "left")
+                .withColumn("updated_at", F.when(later, F.col("_late")).otherwise(F.col("updated_at")))
+                .select(*K.REPAIR_ACTIONS.fieldNames()))
+    photos = valid.where(F.col("action") == "media")
+    return {"alerts": alerts2, "repairs": repairs2, "media": _media_rows(links, photos), "results": results,
+            "rejected": rejected_events(events, alerts)}
 
 
 def resolve(alerts: DataFrame, repairs: DataFrame, events: DataFrame,

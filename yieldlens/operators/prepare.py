@@ -60,15 +60,20 @@ def prepare(facts: DataFrame, profile: str = "tests", columns: dict[str, str] |
         code = F.when(raw_code.isin(*K.CODE_NULL_TOKENS), F.lit(K.MISSING_CODE)).otherwise(raw_code)
         line, station, process = F.col("line"), F.col("station"), F.col("process")
         status = F.when(status == "P", "PASSED").when(status == "F", "FAILED").otherwise(status)
-    ts = C.parse_iso_ts(F.col("timestamp"))
+    # stored facts carry the parsed time and its date: a date filter then selects folders. Their time may also come
+    # from date and time, so rows without a timestamp of their own still go
+    stored = {"event_ts", "event_date"} <= set(df.columns)
+    ts = F.col("event_ts") if stored else C.parse_iso_ts(F.col("timestamp"))
+    if stored:
+        df = df.where(F.trim("timestamp") != "")
     out = (df.select(
         F.col("id"), F.col("track_id"), model.alias("model"), line.alias("line"),
         station.alias("station"), process.alias("process"), status.alias("status"),
-        code.alias("failed_testcode"), ts.alias("event_ts"))
+        code.alias("failed_testcode"), ts.alias("event_ts"),
+        (F.col("event_date") if stored else F.to_date(ts)).alias("date"))
         .where(F.col("event_ts").isNotNull()))
     return out.select(
-        "*",
-        F.to_date("event_ts").alias("date"),
+        *(c for c in out.columns if c != "date"), "date",
         F.hour("event_ts").cast("long").alias("hour"),
         C.micros_of_day("event_ts").alias("tod"),
         F.coalesce(F.col("status") == ("F" if profile == "tests" else "FAILED"), F.lit(False)).alias("failed"),

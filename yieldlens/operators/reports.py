@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as K
 from ..functions import columns as C
-from .frames import attach
+from .frames import attach, single_row
 
 
 def _nonnull(df: DataFrame, *keys: str) -> DataFrame:
@@ -43,23 +43,26 @@ def status_counts(df: DataFrame, dim: str) -> DataFrame:
 def test_kpis(df: DataFrame, predicate: Column | None = None) -> DataFrame:
     """A2 + A3: one row of test KPIs over the rows where ``predicate`` holds
     (all rows when None); ``total_all`` / ``delta`` compare with every row
-    of ``df``. One pass: each KPI is an aggregate conditioned on the filter."""
-    keep = F.lit(True) if predicate is None else predicate
+    of ``df``. The rows are reduced to one per track with its counts and flags, and apart from that to
+    the few (station, line) pairs, so that no row is copied for each distinct count."""
+    keep = F.coalesce(F.lit(True) if predicate is None else predicate, F.lit(False))
     coded = F.col("failed_testcode") != ""
-    f = F.col("failed")
-
-    def only(c: Column) -> Column:
-        return F.when(keep, c)
-    kpi = df.agg(
-        _cnt(keep, "total"),
-        _cnt(keep & (F.col("status") == "P"), "passed"),
-        _cnt(keep & f, "failed"),
-        F.count_distinct(only(F.col("track_id"))).alias("unique_tracks"),
-        F.count_distinct(only(F.col("station"))).alias("unique_stations"),
-        F.count_distinct(only(F.col("line"))).alias("unique_lines"),
-        F.count_distinct(F.when(keep & f & coded, F.col("track_id"))).alias("failed_tracks_with_code"),
-        F.count_distinct(F.when(keep & f & ~coded, F.col("track_id"))).alias("failed_tracks_without_code"),
-        F.count(F.lit(1)).alias("total_all"))
+    f = keep & F.col("failed")
+    tracks = df.groupBy("track_id").agg(
+        _cnt(keep, "total"), _cnt(keep & (F.col("status") == "P"), "passed"), _cnt(f, "failed"),
+        F.count(F.lit(1)).alias("total_all"), F.bool_or(keep).alias("_in"),
+        F.bool_or(f & coded).alias("_coded"), F.bool_or(f & ~coded).alias("_uncoded"))
+    named = F.col("track_id").isNotNull()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("total", "passed", "failed", "total_all")]
+    per_track = tracks.agg(*sums, _cnt(named & F.col("_in"), "unique_tracks"),
+                           _cnt(named & F.col("_coded"), "failed_tracks_with_code"),
+                           _cnt(named & F.col("_uncoded"), "failed_tracks_without_code"))
+    pairs = df.where(keep).groupBy("station", "line").agg(F.lit(1).alias("_one"))
+    places = [pairs.groupBy(c).agg(F.lit(1).alias("_one")).agg(F.count(c).alias(name))
+              for c, name in (("station", "unique_stations"), ("line", "unique_lines"))]
+    kpi = single_row(per_track, *places).select(
+        "total", "passed", "failed", "unique_tracks", "unique_stations", "unique_lines", "failed_tracks_with_code",
+        "failed_tracks_without_code", "total_all")
     return kpi.select("*", C.pct("passed", "total", 2).alias("pass_pct"),
                       C.pct("failed", "total", 2).alias("fail_pct"),
                       (F.col("total") - F.col("total_all")).alias("delta"))

@@ -54,6 +54,28 @@ def classify_by_pattern(df: DataFrame) -> DataFrame:
     g = (_tracked(df).groupBy("track_id")
          .agg(F.bool_or(F.col("status_display") == K.REAL_FAIL).alias("has_real_fail"),
               F.bool_or(F.col("status_display") == K.NTF).alias("has_ntf")))
+    return _pattern_status(g)
+
+
+def classify_by_pattern_within(df: DataFrame, max_span: float = K.SPAN_LIMIT_PATTERN) -> DataFrame:
+    """A18 of the tracks that F10 keeps: ``classify_by_pattern(span_filter(df))`` as one aggregate per track."""
+    f = F.col("failed")
+    g = (_tracked(df).groupBy("track_id")
+         .agg(F.bool_or(F.col("status_display") == K.REAL_FAIL).alias("has_real_fail"),
+              F.bool_or(F.col("status_display") == K.NTF).alias("has_ntf"), *_span_columns(f)))
+    return _pattern_status(g.where(_within(max_span)).drop("_n", "_span"))
+
+
+def _span_columns(f: Column) -> list[Column]:
+    span = _span_minutes(F.min(F.when(f, F.col("event_ts"))), F.max(F.when(f, F.col("event_ts"))))
+    return [F.count_if(f).alias("_n"), F.coalesce(span, F.lit(0.0)).alias("_span")]
+
+
+def _within(max_span: float) -> Column:
+    return (F.col("_n") <= 1) | (F.col("_span") <= F.lit(float(max_span)))
+
+
+def _pattern_status(g: DataFrame) -> DataFrame:
     return g.withColumn("overall_status", F.when(F.col("has_real_fail"), K.REAL_FAIL)
                         .when(F.col("has_ntf"), K.NTF).otherwise(K.PASSED))
 
@@ -61,12 +83,7 @@ def classify_by_pattern(df: DataFrame) -> DataFrame:
 def span_filter(df: DataFrame, max_span: float = K.SPAN_LIMIT_PATTERN) -> DataFrame:
     """F10 + J10: keep rows of tracks with <= 1 failed test or a failure
     span <= ``max_span`` minutes (span 0 when there is no failure)."""
-    f = F.col("failed")
-    stats = (_tracked(df).groupBy("track_id")
-             .agg(F.count_if(f).alias("_n"),
-                  F.coalesce(_span_minutes(F.min(F.when(f, F.col("event_ts"))),
-                                           F.max(F.when(f, F.col("event_ts")))), F.lit(0.0)).alias("_span")))
-    valid = stats.where((F.col("_n") <= 1) | (F.col("_span") <= F.lit(float(max_span)))).select("track_id")
+    valid = _tracked(df).groupBy("track_id").agg(*_span_columns(F.col("failed"))).where(_within(max_span)).select("track_id")
     return df.join(valid, "track_id", "left_semi")
 
 

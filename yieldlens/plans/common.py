@@ -118,7 +118,7 @@ def prep_sql(profile: str) -> str:
         label = (f"CASE WHEN NOT COALESCE(status = 'FAILED', false) THEN 'Passed' "
                  f"WHEN {ntf_match_sql('failed_testcode')} THEN 'NTF' ELSE 'Real Fail' END")
     return (f"SELECT *, CAST(event_ts AS DATE) AS date, hour(event_ts) AS hour, "
-            f"(hour(event_ts) * 3600 + minute(event_ts) * 60 + second(event_ts)) * 1000000 AS tod, "
+            f"(hour(event_ts) * 3600 + minute(event_ts) * 60) * 1000000 + microsecond(event_ts) AS tod, "
             f"COALESCE(status = '{failed}', false) AS failed, {label} AS status_display "
             f"FROM ({base}) WHERE event_ts IS NOT NULL")
 

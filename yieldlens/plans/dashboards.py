@@ -8,6 +8,8 @@ from .. import schemas as K
 from ..operators import filters as FL
 from ..operators import reports as R
 from ..operators.prepare import prepare
+from ..session import scratch
+from ..sources.files import read_facts, write_facts
 from . import common as Q
 from .common import dash_ctes
 
@@ -90,6 +92,15 @@ def _rows(profile, spec):
     return lambda s, d: view(s, d, profile, spec).select(*_ROW_COLS)
 
 
+def _stored_rows(profile, spec):
+    """The filter on stored facts: folders and row groups that it cannot hold are not read."""
+    def run(s, d):
+        path = f"{scratch(s)}/facts"
+        write_facts(Q.facts(s, d), path)
+        return spec.apply(prepare(read_facts(s, path), profile)).select(*_ROW_COLS)
+    return run
+
+
 def _shifts(spark, sf_dir):
     d = view(spark, sf_dir, "tests")
     return d.agg(*[F.count_if(FL.FilterSpec(shift=name).predicate()).cast("long").alias(name.lower())
@@ -98,6 +109,7 @@ def _shifts(spark, sf_dir):
 
 QUERIES.update({
     "filter_date_time_dims": _rows("tests", _DIMS_SPEC),
+    "filter_stored_facts": _stored_rows("tests", _DIMS_SPEC),
     "shift_presets": _shifts,
     "search_rows": _rows("tests", FL.FilterSpec(search="wifi")),
     "search_rows_all_columns": _rows("span", FL.FilterSpec(profile="span", search="l4_st1|2024-01-07")),
@@ -169,7 +181,11 @@ FROM grid g LEFT JOIN counts c ON g.hour = c.hour AND g.status = c.status"""
 
 
 def _detail_sql(profile, k, cond):
-    return dash_ctes(profile) + f"""
+    return dash_ctes(profile) + detail_sql(k, cond)
+
+
+def detail_sql(k, cond):
+    return f"""
 , codes AS (SELECT failed_testcode AS code, COUNT(*) AS count, arg_min_null(track_id, id) AS example_track
             FROM filt WHERE {cond} GROUP BY 1)
 , top AS (SELECT * FROM codes ORDER BY count DESC, code LIMIT {k})
@@ -313,3 +329,4 @@ WHERE failed AND model IS NOT NULL AND process IS NOT NULL GROUP BY 1, 2""", "mo
     "mapped_columns": dash_ctes("tests") + """
 SELECT process, status_display AS status, COUNT(*) AS count FROM prep WHERE process IS NOT NULL GROUP BY 1, 2""",
 }
+ORACLES["filter_stored_facts"] = ORACLES["filter_date_time_dims"]

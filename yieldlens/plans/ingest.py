@@ -9,8 +9,9 @@ from .. import schemas as K
 from ..functions import columns as C
 from ..operators import gaps as G
 from ..operators import ingest as I
-from ..session import tune_for_parsing
+from ..session import scratch, tune_for_parsing
 from ..sources import fixtures as fx
+from ..sources.files import read_facts, write_facts
 from . import common as Q
 from .common import with_ctes
 
@@ -41,9 +42,10 @@ def _hourly_gap(s, d):
 
 
 def _hourly_gap_tables(s, d):
-    # The stored fact and skip tables, joined by hour
-    routed = _routed(s, d)
-    return G.hourly_gap(I.records(routed), I.skip_log(routed))
+    # The fact and skip rows apart, joined by hour
+    first = I.first_outcomes(_raw(s, d))
+    skips = first.where(F.col("outcome").isin(K.R_PROCESS, K.R_PARSE_ERR)).withColumnRenamed("outcome", "reason")
+    return G.hourly_gap(first.where(F.col("outcome") == K.INSERT), skips)
 
 
 def _reconcile(s, d):
@@ -51,6 +53,22 @@ def _reconcile(s, d):
     return G.reconcile(fx.reconciliation_rows(facts), facts)
 
 
+def _reconcile_csv(s, d):
+    """S7 + J1: the external rows from a CSV file, few against the facts."""
+    facts = Q.facts(s, d)
+    path = f"{scratch(s)}/external"
+    fx.reconciliation_rows(facts).write.option("header", True).option("escape", '"').csv(path)
+    return G.reconcile(G.read_reconciliation_csv(s, path, line_ends=False), facts, few=True)
+
+
+def _reconcile_stored(s, d):
+    """J1 on the stored fact table, pruned to the external rows' dates."""
+    facts = Q.facts(s, d)
+    path = f"{scratch(s)}/facts"
+    write_facts(facts, path)
+    return G.reconcile(fx.reconciliation_rows(facts), read_facts(s, path), by_date=True)
+
+
 def _unprocessed(s, d):
     raw = _raw(s, d)
     # the register holds every file collected before the cut-off
@@ -66,13 +84,16 @@ QUERIES = {
     "envelope_roundtrip": lambda s, d: _envelope_decoded(I.to_envelope(
         I.records(_routed(s, d)).withColumnRenamed("failed_testcode", "failed_tests"))),
     "skip_totals": lambda s, d: G.skip_totals(I.skip_log(_routed(s, d))),
-    "gap_report": lambda s, d: G.gap_report(_routed(s, d), count_no_th4=True),
-    "gap_report_original": lambda s, d: G.gap_report(_routed(s, d), count_no_th4=False),
+    "gap_report": lambda s, d: G.gap_report(I.first_outcomes(_raw(s, d)), count_no_th4=True),
+    "gap_report_original": lambda s, d: G.gap_report(I.first_outcomes(_raw(s, d)), count_no_th4=False),
+    "gap_report_duplicates": lambda s, d: G.gap_report(I.first_outcomes(_raw(s, d)), count_duplicate=True),
     "hourly_gap": _hourly_gap,
     "hourly_gap_tables": _hourly_gap_tables,
     "register_latest": lambda s, d: I.register_latest(_raw(s, d).select(
         "filename", F.col("file_mtime").alias("processed_time"))),
     "reconcile": _reconcile,
+    "reconcile_csv": _reconcile_csv,
+    "reconcile_stored": _reconcile_stored,
     "reconcile_totals": lambda s, d: G.reconcile_totals(_reconcile(s, d)),
     "unprocessed_files": _unprocessed,
     "late_caught": lambda s, d: I.late_caught(_routed(s, d)),
@@ -150,8 +171,9 @@ def ingest_ctes(*extra) -> str:
                      _RECORDS, _SKIPS, *extra)
 
 
-def _gap_sql(count_no_th4: bool) -> str:
+def _gap_sql(count_no_th4: bool, count_duplicate: bool = False) -> str:
     counted = ["PROCESS_SKIP", "FILE_GONE", "PARSE_ERROR"] + (["NO_TH4"] if count_no_th4 else [])
+    counted += ["DUPLICATE"] if count_duplicate else []
     lst = ", ".join(f"'{r}'" for r in counted)
     reasons = " UNION ALL ".join(f"SELECT '{r}' AS reason" for r in K.SKIP_REASONS)
     return ingest_ctes() + f"""
@@ -216,10 +238,13 @@ SELECT track_id AS key, {', '.join(('failed_testcode AS failed_tests' if f == 'f
     "skip_totals": ingest_ctes() + "SELECT reason, COUNT(*) AS count FROM skips GROUP BY 1",
     "gap_report": _gap_sql(True),
     "gap_report_original": _gap_sql(False),
+    "gap_report_duplicates": _gap_sql(True, True),
     "hourly_gap": _HOURLY,
     "hourly_gap_tables": _HOURLY,
     "register_latest": ingest_ctes() + "SELECT filename, MAX(file_mtime) AS processed_time FROM raw GROUP BY 1",
     "reconcile": _RECONCILE + "SELECT * FROM rec",
+    "reconcile_csv": _RECONCILE + "SELECT * FROM rec",
+    "reconcile_stored": _RECONCILE + "SELECT * FROM rec",
     "reconcile_totals": _RECONCILE + """
 SELECT COUNT(*) AS inserted, COUNT(*) FILTER (WHERE found_in_db = 1) AS matched,
        COUNT(*) - COUNT(*) FILTER (WHERE found_in_db = 1) AS missing FROM rec""",

@@ -43,9 +43,11 @@ def _apply(s, d):
     return L.apply_responses(alerts, repairs, ev, Q.ASOF)
 
 
-def _media(s, d):
-    alerts, repairs, ev = _events(s, d)
-    return L.attach_media(alerts, repairs, ev, Q.ASOF)[0]
+def _media(part):
+    def run(s, d):
+        alerts, repairs, ev = _events(s, d)
+        return L.attach_media(alerts, repairs, ev, Q.ASOF)[part]
+    return run
 
 
 def _resolve(part):
@@ -110,7 +112,8 @@ QUERIES = {
     "parse_replies": lambda s, d: _events(s, d)[2],
     "repair_rows": _repair_rows,
     "apply_responses": _apply,
-    "attach_media": _media,
+    "attach_media": _media(0),
+    "attach_media_repairs": _media(1),
     "resolve_alerts": _resolve(0),
     "resolve_repairs": _resolve(1),
     "resolve_results": _resolve(2),
@@ -214,13 +217,15 @@ def _links_ctes(actions: str):
     ]
 
 
-_APPLY = _base_ctes(*_links_ctes("'response'"), ("ev", f"""
+_RESPONSE_CTES = [("ev", f"""
     SELECT v.*, l.repair_id FROM valid v JOIN links l USING (alert_id)
     WHERE v.action = 'response' AND v.field IN ({', '.join(f"'{f}'" for f in K.RESPONSE_FIELDS)})"""),
     ("upd", "SELECT repair_id, " + ", ".join(
         f"arg_max_null(value, {{'t': ts, 'm': msg_id}}) FILTER (WHERE field = '{f}') AS new_{f}"
         for f in K.RESPONSE_FIELDS) + ", arg_max_null(user, {'t': ts, 'm': msg_id}) AS last_user, "
-        "strftime(MAX(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM ev GROUP BY repair_id")) + """
+        "strftime(MAX(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM ev GROUP BY repair_id")]
+
+_APPLY = _base_ctes(*_links_ctes("'response'"), *_RESPONSE_CTES) + """
 SELECT r.id, r.alert_id, r.unit_id, r.line, r.station, r.status,
        COALESCE(u.new_failure_description, r.failure_description) AS failure_description,
        COALESCE(u.new_rca_text, r.rca_text) AS rca_text, COALESCE(u.new_action_taken, r.action_taken) AS action_taken,
@@ -277,6 +282,30 @@ SELECT id, alert_id, unit_id, line, station,
        AS closed_at
 FROM c"""
 
+# all messages handled: responses, photos and resolve events on one repair table
+_HANDLED_CTES = [
+    *_links_ctes("'response', 'media'"), *_RESPONSE_CTES,
+    ("closing", """SELECT f.alert_id AS cid, strftime(f.rts, '%Y-%m-%d %H:%M:%S') AS cts FROM (
+        SELECT alert_id, MIN(ts) AS rts FROM events WHERE outcome = 'ok' AND action = 'resolve' GROUP BY 1) f
+        JOIN alerts a ON a.id = f.alert_id AND a.resolved = 0"""),
+    ("handled", f"""SELECT r.*, u.repair_id, u.last_user, u.last_ts, COALESCE(c1.cts, c2.cts) AS cts,
+        {', '.join(f'u.new_{f}' for f in K.RESPONSE_FIELDS)}
+        FROM (SELECT *, {_UNIT_N} AS unit_n FROM reps) r LEFT JOIN upd u ON u.repair_id = r.id
+        LEFT JOIN closing c1 ON r.alert_id = c1.cid
+        LEFT JOIN closing c2 ON r.unit_n = c2.cid AND (r.alert_id IS NULL OR r.alert_id = c2.cid)"""),
+]
+HANDLED_REPAIRS = _base_ctes(*_HANDLED_CTES) + f"""
+SELECT id, alert_id, unit_id, line, station, CASE WHEN cts IS NOT NULL THEN 'Closed' ELSE status END AS status,
+       {', '.join(f'COALESCE(new_{f}, {f}) AS {f}' for f in K.RESPONSE_FIELDS)},
+       CASE WHEN repair_id IS NOT NULL THEN last_user ELSE engineer_contact END AS engineer_contact, created_at,
+       CASE WHEN cts IS NOT NULL AND (last_ts IS NULL OR last_ts <= cts) THEN cts
+            WHEN repair_id IS NOT NULL THEN last_ts ELSE updated_at END AS updated_at,
+       COALESCE(cts, closed_at) AS closed_at FROM handled"""
+REJECTED = _base_ctes() + """
+SELECT msg_id, ts, user, kind, action, field, value, alert_id,
+       CASE WHEN outcome = 'ok' THEN 'alert not found' ELSE outcome END AS outcome
+FROM events WHERE outcome <> 'ok' OR alert_id NOT IN (SELECT id FROM alerts)"""
+
 _RESOLVE_RESULTS = _RESOLVE_CTES + f"""
 SELECT e.msg_id, e.alert_id, COALESCE(e.msg_id = r.rmsg, false) AS ok,
        CASE WHEN e.msg_id = r.rmsg THEN r.mins END AS minutes,
@@ -477,6 +506,7 @@ ORACLES = {
     "parse_replies": _base_ctes() + "SELECT * FROM events",
     "repair_rows": _base_ctes(*_links_ctes("'response', 'media'")) + "SELECT * FROM links",
     "apply_responses": _APPLY,
+    "attach_media_repairs": _base_ctes(*_links_ctes("'media'")) + "SELECT * FROM reps",
     "attach_media": _MEDIA,
     "resolve_alerts": _RESOLVE_ALERTS,
     "resolve_repairs": _RESOLVE_REPAIRS,

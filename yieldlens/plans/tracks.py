@@ -23,6 +23,10 @@ def _pattern_view(s, d):
     return TR.span_filter(view(s, d, "pattern", FL.FilterSpec(profile="pattern")), K.SPAN_LIMIT_PATTERN)
 
 
+def _pattern_classes(s, d):
+    return TR.classify_by_pattern_within(view(s, d, "pattern", FL.FilterSpec(profile="pattern")), K.SPAN_LIMIT_PATTERN)
+
+
 def _kpis(s, d):
     # one pass: classes of the filtered rows and the unfiltered track count
     return TR.kpis_one_pass(prepare(Q.facts(s, d), "span"), FL.FilterSpec(profile="span").predicate(),
@@ -49,9 +53,9 @@ def _track_status_filter(s, d):
 
 QUERIES = {
     "track_classes_span": _span_classes,
-    "track_classes_pattern": lambda s, d: TR.classify_by_pattern(_pattern_view(s, d)),
+    "track_classes_pattern": lambda s, d: _pattern_classes(s, d),
     "track_kpis": _kpis,
-    "track_kpis_pattern": lambda s, d: TR.kpis(TR.classify_by_pattern(_pattern_view(s, d))),
+    "track_kpis_pattern": lambda s, d: TR.kpis(_pattern_classes(s, d)),
     "realfail_model_line_tracks": _matrix(K.REAL_FAIL),
     "ntf_model_line_tracks": _matrix(K.NTF),
     "ntf_daily": _by(TR.classes_by_day),

@@ -8,7 +8,9 @@ cluster's ``spark.checkpoint.dir``; only a local-mode session without one gets a
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings that matter at any scale: AQE re-plans joins and coalesces
@@ -32,14 +34,20 @@ RECOMMENDED_CONF = {
 
 
 def tune_for_parsing(spark: SparkSession) -> None:
-    """Switch off constraint inference for the parse plans (see above).
-    Best effort: a session that refuses runtime changes keeps its setting."""
+    """Switch off constraint inference for the parse plans (see above); it holds for the session. One that
+    refuses the change keeps its setting."""
     try:
         spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    except Exception:  # noqa: BLE001 - e.g. a locked-down shared session
+    except AnalysisException:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in the shared checkpoint location (never machine-local
+    on a cluster: ``spark.checkpoint.dir`` names the shared folder)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/yieldlens-run-{uuid.uuid4().hex}"
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "yieldlens", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(master).appName(app_name)

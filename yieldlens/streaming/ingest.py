@@ -3,10 +3,10 @@
 One file-stream source replaces the three detectors of the reproduced
 system (event watcher, 1 s poll, 3 s rescan): the checkpointed source lists
 each new file once. Every micro-batch is routed (P1-P7), files already in the
-processed-file register are marked DUPLICATE (ST2), and the outcomes are
-written by ``write_outcomes`` (S6), partitioned by batch id with dynamic
-overwrite, register last — a replayed batch rewrites the same partitions, so
-an executor or driver loss never duplicates or loses rows.
+processed-file register are marked DUPLICATE (ST2), files that the source listed but that
+were gone before they were read are recorded (P7), and the rows of all tables are one
+commit (S6, ``sources.store``): a replayed batch changes nothing, and a
+failed one is never seen in part.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .. import schemas as K
 from ..functions import columns as C
 from ..operators import ingest as I
-from ..sources.files import read_if_written, table_schema, write_outcomes
+from ..sources.files import ingest_store, listed_files, missing_files, staged, write_outcomes
+from ..sources.store import Store
 
 RAW_SCHEMA = "file_id string, filename string, content string, source string, file_mtime timestamp_ntz"
 
@@ -34,7 +35,7 @@ def stream_result_files(spark: SparkSession, path: str, max_files: int | None =
     df = r.load(path)
     return (df.select(F.col("_metadata.file_path").alias("file_id"),
                       F.col("_metadata.file_name").alias("filename"),
-                      F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("content"), F.lit("watchdog").alias("source"),
+                      C.decodable(F.col("value")).alias("content"), F.lit("watchdog").alias("source"),
                       F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("file_mtime"))
             .where(C.is_rslt_name(F.col("filename"))))
 
@@ -52,22 +53,37 @@ def stream_raw_rows(spark: SparkSession, path: str, max_files: int | None = None
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str, run: str = "batch",
-                  lag_seconds: int | None = None) -> None:
-    """ST1 + ST2 + ST6: route one micro-batch and write its outcomes. The first copy of a file
-    name that a batch confirms stays; copies in later batches are duplicates."""
-    routed = _mark_seen(I.route(batch), batch.select("filename"), batch_id, root, run)
-    write_outcomes(routed, batch_id, root, run, lag_seconds)
-
-
-def _mark_seen(routed: DataFrame, names: DataFrame, batch_id: int, root: str, run: str) -> DataFrame:
-    """Routed rows whose file name an earlier batch confirmed become duplicates. The register is
-    scanned for the batch's ``names`` only, so it is filtered where it lies, not shuffled."""
-    register = read_if_written(routed.sparkSession, f"{root}/processed_files", table_schema("processed_files"))
-    if register is None:
-        return routed
-    # files confirmed by an earlier batch (not this one: replays rewrite it)
-    earlier = (register.where((F.col("batch_id") != batch_id) | (F.col("run") != run))
-               .select("filename").join(names.distinct(), "filename", "left_semi").distinct())
+                  lag_seconds: int | None = None, listed: DataFrame | None = None) -> None:
+    """ST1 + ST2 + ST6: route one micro-batch and commit its outcomes. The first copy of a file
+    name that a batch confirms stays; copies in later batches are duplicates. With ``listed``, the files that the
+    source listed for the batch, those that were gone before they were read are FILE_GONE (P7).
+    A batch that is committed already is left out."""
+    store = ingest_store(batch.sparkSession, root)
+    if store.has(run, batch_id):
+        return
+    routed = staged(I.route(batch), store.root, run, I.ORDER)
+    if listed is not None:
+        gone = missing_files(listed.withColumn("content", F.lit(None).cast("string")), routed)
+        gone = I.route(gone).withColumn("_place", F.lit(-1))
+        here = routed.select("filename").distinct().withColumn("_here", F.lit(True))      # another copy was read
+        gone = gone.join(here, "filename", "left").withColumn(
+            "outcome", F.when(F.col("_here"), K.R_DUPLICATE).otherwise(F.col("outcome"))).drop("_here")
+        routed = routed.unionByName(gone.select(*(F.col(f.name).cast(f.dataType) for f in routed.schema)))
+    _commit_outcomes(store, routed, batch_id, run, lag_seconds)
+
+
+def _commit_outcomes(store: Store, routed: DataFrame, batch_id: int, run: str, lag_seconds: int | None = None, **more) -> None:
+    routed = _mark_seen(routed, store).persist()
+    try:
+        write_outcomes(store, routed, batch_id, run, lag_seconds, **more)
+    finally:
+        routed.unpersist()
+
+
+def _mark_seen(routed: DataFrame, store: Store) -> DataFrame:
+    """Routed rows whose file name an earlier batch confirmed become duplicates. Of the register, only the folders of
+    the batch's names are read."""
+    earlier = store.find("processed_files", routed).select("filename").distinct()
     seen = routed.join(earlier.withColumn("_seen", F.lit(True)), "filename", "left")
     return (seen.withColumn("outcome", F.when(F.col("_seen"), F.lit(K.R_DUPLICATE))
                             .otherwise(F.col("outcome"))).drop("_seen"))
@@ -76,33 +92,42 @@ def _mark_seen(routed: DataFrame, names: DataFrame, batch_id: int, root: str, ru
 def relay_batch(decoded: DataFrame, batch_id: int, root: str, run: str = "relay",
                 order: tuple[str, ...] = ("partition", "offset")) -> None:
     """S4 + ST3, consumer side: one micro-batch of decoded envelopes (``kafka_source``). Records of
-    names not confirmed before go to the fact table; values that are no JSON object are kept as
-    dead letters with key and text, written first so that a replay finds the batch open."""
+    names not confirmed before go to the fact table, records without a name all of them; values that are no JSON
+    object are kept as dead letters with key and text."""
+    store = ingest_store(decoded.sparkSession, root)
+    if store.has(run, batch_id):
+        return
     bad = decoded.where("bad_json").select(F.col("key").cast("string").alias("key"), "raw")
-    (bad.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run", "batch_id").parquet(f"{root}/dead_letters"))
-    routed = _mark_seen(I.from_relay(decoded, list(order)), decoded.select("filename"), batch_id, root, run)
-    write_outcomes(routed, batch_id, root, run)
+    routed = staged(I.from_relay(decoded, list(order)), store.root, run, list(order))
+    _commit_outcomes(store, routed, batch_id, run, order=list(order), more={"dead_letters": bad})
+
+
+def _run_name(checkpoint: str) -> str:
+    """Batches are numbered per checkpoint, so the commits name the checkpoint as their run."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}"
 
 
 def start_relay(decoded: DataFrame, root: str, checkpoint: str, trigger: dict | None = None):
     """Start the consumer of the relay; batches are numbered per checkpoint, as in ``start_ingest``."""
-    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    run = _run_name(checkpoint)
     w = (decoded.writeStream.option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: relay_batch(df, bid, root, run)))
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
 def start_ingest(stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None,
-                 lag_seconds: int | None = None):
+                 lag_seconds: int | None = None, result_files: bool = False):
     """Start the ingest query; ``trigger`` e.g. ``{"processingTime": "1 second"}``
-    or ``{"availableNow": True}``. Batches are numbered per checkpoint, so the tables name the
-    checkpoint as their run. ``lag_seconds``: files inserted later than that after their
-    modification count as late."""
-    run = f"{zlib.crc32(checkpoint.encode()):08x}"
-    w = (stream.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: process_batch(df, bid, root, run, lag_seconds)))
+    or ``{"availableNow": True}``. ``lag_seconds``: files inserted later than that after their
+    modification count as late. ``result_files``: the stream is ``stream_result_files``, and what its source listed
+    is settled against what was read, so that a file that left in between is recorded."""
+    run = _run_name(checkpoint)
+
+    def batch(df: DataFrame, bid: int) -> None:
+        listed = listed_files(df.sparkSession, checkpoint, bid) if result_files else None
+        process_batch(df, bid, root, run, lag_seconds, listed)
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 

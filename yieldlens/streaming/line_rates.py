@@ -16,14 +16,15 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from .. import schemas as K
 from ..functions import columns as C
 from ..operators import alerting as A
 from ..operators import lifecycle as L
 from ..operators.dedup import with_event_ts
-from ..sources.files import read_if_written
+from ..sources.store import Store, Table, changed
+from .state import state_store
 
 TRACK_COLS = ["id", "line", "station", "status", "failed_testcode", "process"]
 WINDOW_ROWS = ["line", "station", "process", "status", "failed_testcode"]
@@ -51,9 +52,12 @@ def _bounds() -> list:
 def stream_line_rates(facts_stream: DataFrame, window: str = "240 minutes", slide: str = "30 minutes",
                       watermark: str = "240 minutes") -> DataFrame:
     """Streaming DF of (window_start, window_end, line, total, failed)."""
-    per_line = (_latest_per_window(facts_stream, window, slide, watermark).groupBy("w", "line")
-                .agg(F.count(F.lit(1)).alias("total"),
-                     F.count_if(C.alert_failed()).cast("long").alias("failed")))
+    return _per_line(_latest_per_window(facts_stream, window, slide, watermark))
+
+
+def _per_line(latest: DataFrame) -> DataFrame:
+    per_line = latest.groupBy("w", "line").agg(F.count(F.lit(1)).alias("total"),
+                                               F.count_if(C.alert_failed()).cast("long").alias("failed"))
     return per_line.select(*_bounds(), "line", "total", "failed")
 
 
@@ -75,19 +79,9 @@ def start_line_rates(facts_stream: DataFrame, sink_path: str, checkpoint: str,
     return q.trigger(**(trigger or {"processingTime": "30 minutes"})).start()
 
 
-STATE = {"failure_alerts": K.FAILURE_ALERTS, "repair_actions": K.REPAIR_ACTIONS}
-
-
-def alert_table(spark: SparkSession, state_root: str, name: str, run: str | None = None,
-                batch_id: int | None = None) -> DataFrame:
-    """One of the ``STATE`` tables; without the rows of a batch, if one is named."""
-    schema = StructType([*STATE[name].fields, StructField("run", StringType()), StructField("batch_id", LongType())])
-    table = read_if_written(spark, f"{state_root}/{name}", schema)
-    if table is None:
-        return spark.createDataFrame([], STATE[name])
-    if run is not None:
-        table = table.where((F.col("run") != run) | (F.col("batch_id") != batch_id))
-    return table.select(*STATE[name].fieldNames())
+def alert_table(spark: SparkSession, state_root: str, name: str) -> DataFrame:
+    """The current rows of an alert or repair table (``streaming.state``)."""
+    return state_store(spark, state_root).newest(name)
 
 
 def first_breaches(units: DataFrame, min_samples: int, threshold: float, k: int) -> DataFrame:
@@ -108,13 +102,17 @@ def alert_batch(units: DataFrame, batch_id: int, state_root: str, min_samples: i
     """ST8 (``foreachBatch`` body) over the windows that the batch closed (``stream_window_units``).
     Evaluating them one by one, oldest first, opens an alert for a line in its first window above
     the threshold, unless it has an open alert (J7), with the codes and worst station of that
-    window; all lines are done at once, as no alert is closed here. Breaching lines with an open
-    alert but without a repair row get one (L1, L2). The rows are stored under (``run``,
-    ``batch_id``) with dynamic partition overwrite, so a replayed batch does not open alerts twice."""
+    window; all lines are done at once, as no alert is closed here. An alert that was resolved since
+    (``streaming.state``) lets its line alert again. Breaching lines with an open
+    alert but without a repair row get one (L1, L2). New and changed rows are one commit, and a
+    replayed batch is left out."""
     spark = units.sparkSession
+    store = state_store(spark, state_root)
+    if store.has(run, batch_id):
+        return
     units = units.persist()
     try:
-        alerts, repairs = (alert_table(spark, state_root, name, run, batch_id) for name in STATE)
+        alerts, repairs = store.newest("failure_alerts"), store.newest("repair_actions")
         rates = first_breaches(units, min_samples, threshold, k).persist()
         here = units.join(rates.select("line", F.col("asof").alias("window_end")), ["line", "window_end"], "left_semi")
         # the time of the last window stands for the evaluation that mends missing rows
@@ -123,11 +121,8 @@ def alert_batch(units: DataFrame, batch_id: int, state_root: str, min_samples: i
             return
         mended = L.ensure_repairs(rates, alerts, repairs, last)
         new_alerts, new_repairs = L.open_alerts(rates, A.top_codes(here), A.worst_station(here), alerts, mended, None)
-        added = mended.join(repairs.select("id"), "id", "left_anti").select(*repairs.columns)
-        for name, df in zip(STATE, (new_alerts, new_repairs.unionByName(added))):
-            (df.withColumn("run", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("run", "batch_id").parquet(f"{state_root}/{name}"))
+        store.commit({"failure_alerts": new_alerts,
+                      "repair_actions": new_repairs.unionByName(changed(mended, repairs, "id"))}, run, batch_id)
         rates.unpersist()
     finally:
         units.unpersist()
@@ -143,3 +138,69 @@ def start_alerts(facts_stream: DataFrame, state_root: str, checkpoint: str, trig
          .option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: alert_batch(df, bid, state_root, min_samples, threshold, k, run)))
     return w.trigger(**(trigger or {"processingTime": "30 minutes"})).start()
+
+
+# --- ST9: rows behind the watermark ---------------------------------------------------
+
+LATE_TABLES = {
+    "late_rows": Table(StructType([*K.LOG_DATA.fields, StructField("event_ts", TimestampNTZType())])),
+    "progress": Table("name string, latest timestamp_ntz", key="name"),
+}
+
+
+def late_store(spark: SparkSession, root: str) -> Store:
+    """Where rows that came too late for their windows are kept."""
+    return Store(spark, root, LATE_TABLES)
+
+
+def late_batch(facts: DataFrame, batch_id: int, root: str, run: str = "late", watermark: str = "240 minutes",
+               within_batch: bool = True) -> None:
+    """Keep the rows that the windows of the same stream drop: those older than the newest row by more than the
+    watermark. The newest row is that of the earlier batches or, ``within_batch``, of this one as well: needed
+    where the two queries may cut the stream into different batches, and never wrong, as a window that is evaluated
+    again without need gives the same."""
+    store = late_store(facts.sparkSession, root)
+    if store.has(run, batch_id):
+        return
+    rows = with_event_ts(facts).where(F.col("event_ts").isNotNull()).persist()
+    try:
+        before = store.newest("progress").first()
+        before = before.latest if before else None
+        newest = max(filter(None, (before, rows.agg(F.max("event_ts")).first()[0])), default=None)
+        if newest is None:
+            return
+        bound = newest if within_batch else before
+        late = rows.where(F.col("event_ts") < F.lit(bound).cast("timestamp_ntz") - F.expr(f"INTERVAL {watermark}"))
+        progress = facts.sparkSession.createDataFrame([("facts", newest)], LATE_TABLES["progress"].struct)
+        store.commit({"late_rows": late, "progress": progress}, run, batch_id)
+    finally:
+        rows.unpersist()
+
+
+def start_late_rows(facts_stream: DataFrame, root: str, checkpoint: str, trigger: dict | None = None, **kw):
+    """ST9 beside the window query: rows behind the watermark, kept for ``settled_rates``."""
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    w = (facts_stream.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: late_batch(df, bid, root, run, **kw)))
+    return w.trigger(**(trigger or {"processingTime": "30 minutes"})).start()
+
+
+def evaluate_again(facts: DataFrame, late: DataFrame, window: str = "240 minutes", slide: str = "30 minutes") -> DataFrame:
+    """The rates of the windows that late rows fall in, from all facts; only the facts of these windows move."""
+    start = lambda c: F.window(c, slide)["start"]
+    touched = (late.select(F.window(F.col("event_ts").cast("timestamp"), window, slide).alias("w")).distinct())
+    panes = touched.select(F.explode(F.sequence("w.start", F.col("w.end") - F.expr(f"INTERVAL {slide}"),
+                                                F.expr(f"INTERVAL {slide}"))).alias("_pane")).distinct()
+    rows = with_event_ts(facts).where(F.col("event_ts").isNotNull())
+    rows = rows.withColumn("_pane", start(F.col("event_ts").cast("timestamp"))).join(panes, "_pane", "left_semi").drop("_pane")
+    latest = _latest_per_window(rows, window, slide, "0 seconds").join(touched, "w", "left_semi")
+    return _per_line(latest)
+
+
+def settled_rates(rates: DataFrame, late: DataFrame, facts: DataFrame, window: str = "240 minutes",
+                  slide: str = "30 minutes") -> DataFrame:
+    """``rates`` as the stream gave them, but those of windows with late rows evaluated again: what the next evaluation
+    of the reproduced system would count."""
+    touched = late.select(F.window(F.col("event_ts").cast("timestamp"), window, slide)["start"]
+                          .cast("timestamp_ntz").alias("window_start")).distinct()
+    return rates.join(touched, "window_start", "left_anti").unionByName(evaluate_again(facts, late, window, slide))
