@@ -63,3 +63,33 @@ def test_random_edits(monkeypatch):
             a = draw.randrange(len(text) + 3)
             text, _ = T.edit(tree, text, a, a + draw.randrange(20), "".join(draw.choices(parts, k=draw.randrange(6))), counter)
             assert (tree.chars, tree.tokens) == (len(text), len(counter.encoding.encode_ordinary(text)))
+
+
+def test_trees_follow_replacements(monkeypatch):
+    """Leaves replaced by more or fewer, against a plain list; the tree is seldom made anew."""
+    draw, grown = random.Random(2), []
+    grow = T.Tree._grow
+    monkeypatch.setattr(T.Tree, "_grow", lambda self, leaves: (grown.append(1), grow(self, leaves))[1])
+    for n in (0, 1, 2, 7, 64, 300):
+        plain = [(draw.randint(1, 9), draw.randint(1, 5)) for _ in range(n)]
+        tree = T.Tree(*map(list, zip(*plain))) if n else T.Tree([], [])
+        grown.clear()
+        for turn in range(200):
+            total = sum(c for c, _ in plain)
+            a = draw.randint(0, total)
+            lo, at = tree.find(a)
+            i = next((k for k in range(len(plain)) if sum(c for c, _ in plain[:k + 1]) > a), len(plain))
+            assert at == sum(c for c, _ in plain[:i])
+            assert (tree.before(lo) is None) == (i == 0) and (i == 0 or tree.size(tree.before(lo)) == plain[i - 1][0])
+            j, hi = i, lo
+            for _ in range(draw.randint(0, 3)):
+                if j < len(plain):
+                    assert tree.size(hi) == plain[j][0]
+                    j, hi = j + 1, tree.after(hi)
+            new = [(draw.randint(1, 9), draw.randint(1, 5)) for _ in range(draw.randint(0, 4))]
+            plain[i:j] = new
+            tree.replace(lo, hi, *(map(list, zip(*new)) if new else ([], [])))
+            assert list(zip(*tree.leaves())) == plain
+            assert (tree.chars, tree.tokens) == (sum(c for c, _ in plain), sum(t for _, t in plain))
+        if n >= 64:
+            assert len(grown) < 30

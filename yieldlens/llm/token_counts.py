@@ -23,7 +23,6 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 LEAF = 64                # pre-tokens a leaf
+CROWD = 16               # leaves of a place at the bottom of a tree, at most
 REACH = 3                # code points after a pre-token's end that can decide it
 CACHE = 400_000
 # Fixed value: the pre-token pattern that the vocabulary was made with.
@@ -72,58 +72,101 @@ def counter_of(ranks_path: str) -> Counter:
 
 
 class Tree:
-    """Leaves under binary nodes that hold the sums of their code points and tokens."""
+    """Leaves under binary nodes that hold the sums of their code points and tokens. A place at the bottom holds a few
+    leaves, one at first, so that an edit that makes more or fewer of them changes the sums above its places
+    only; the tree is made anew when a place holds more than ``CROWD`` or most are empty."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
-        self._grow(np.stack([np.asarray(chars, np.int64), np.asarray(tokens, np.int64)], axis=1).reshape(-1, 2))
-
-    def _grow(self, leaves: np.ndarray) -> None:
-        self.n = len(leaves)
-        self.room = 1 << max(0, (self.n - 1).bit_length())
-        self.sums = np.zeros((2 * self.room, 2), np.int64)
-        self.sums[self.room:self.room + self.n] = leaves
-        level = self.room
-        while level > 1:
-            self.sums[level // 2:level] = self.sums[level:2 * level:2] + self.sums[level + 1:2 * level:2]
-            level //= 2
+        self._grow(list(zip(chars, tokens)))
+
+    def _grow(self, leaves: list[tuple[int, int]]) -> None:
+        self.places = [[x] for x in leaves]
+        self.used = len(leaves)                              # places that hold leaves
+        self.room = 1 << max(0, (len(leaves) - 1).bit_length())
+        self.sums = [(0, 0)] * self.room + leaves + [(0, 0)] * (self.room - len(leaves))
+        for node in range(self.room - 1, 0, -1):
+            self._add_up(node)
+
+    def _add_up(self, node: int) -> None:
+        (a, b), (c, d) = self.sums[2 * node], self.sums[2 * node + 1]
+        self.sums[node] = (a + c, b + d)
 
     @property
     def chars(self) -> int:
-        return int(self.sums[1, 0])
+        return int(self.sums[1][0])
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return int(self.sums[1][1])
 
     @property
-    def leaves(self) -> np.ndarray:
-        return self.sums[self.room:self.room + self.n]
+    def end(self) -> tuple[int, int]:
+        return len(self.places), 0
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """(code points, tokens) of each leaf, in order."""
+        every = [x for place in self.places for x in place]
+        return [int(c) for c, _ in every], [int(t) for _, t in every]
 
-    def find(self, char: int) -> tuple[int, int]:
-        """(leaf that holds this code point, code point where it starts); (n, chars) at the end."""
+    def size(self, at: tuple[int, int]) -> int:
+        """Code points of a leaf; leaves are known by (place, number in it)."""
+        return int(self.places[at[0]][at[1]][0])
+
+    def find(self, char: int) -> tuple[tuple[int, int], int]:
+        """(leaf that holds this code point, code point where it starts); (end, chars) at the end."""
         if char >= self.chars:
-            return self.n, self.chars
+            return self.end, self.chars
         node, start = 1, 0
         while node < self.room:
             node *= 2
-            if char >= start + self.sums[node, 0]:
-                start += int(self.sums[node, 0])
+            if char >= start + self.sums[node][0]:
+                start += int(self.sums[node][0])
                 node += 1
-        return node - self.room, start
-
-    def replace(self, lo: int, hi: int, chars: list[int], tokens: list[int]) -> None:
-        """Leaves [lo, hi) become these; as many of them change only the sums above them."""
-        new = np.stack([np.asarray(chars, np.int64), np.asarray(tokens, np.int64)], axis=1).reshape(-1, 2)
-        if len(new) != hi - lo:
-            self._grow(np.concatenate([self.leaves[:lo], new, self.leaves[hi:]]))
+        k = 0
+        while char >= start + self.size((node - self.room, k)):
+            start += self.size((node - self.room, k))
+            k += 1
+        return (node - self.room, k), start
+
+    def after(self, at: tuple[int, int]) -> tuple[int, int]:
+        place, k = at[0], at[1] + 1
+        while place < len(self.places) and k >= len(self.places[place]):
+            place, k = place + 1, 0
+        return place, k
+
+    def before(self, at: tuple[int, int]) -> tuple[int, int] | None:
+        place, k = at[0], at[1] - 1
+        while k < 0:
+            place -= 1
+            if place < 0:
+                return None
+            k = len(self.places[place]) - 1
+        return place, k
+
+    def replace(self, lo: tuple[int, int], hi: tuple[int, int], chars: list[int], tokens: list[int]) -> None:
+        """The leaves from ``lo`` to before ``hi`` become these, dealt over the places between."""
+        new = list(zip(chars, tokens))
+        if not self.places:
+            self._grow(new)
             return
-        if lo == hi:
+        last = len(self.places) - 1
+        (a, i), (b, j) = ((last, len(self.places[last])) if x == self.end else x for x in (lo, hi))
+        new = [*self.places[a][:i], *new, *self.places[b][j:]]
+        each = -(-len(new) // (b - a + 1))
+        for k in range(a, b + 1):
+            self.used -= bool(self.places[k])
+            self.places[k] = new[(k - a) * each:(k - a + 1) * each]
+            self.used += bool(self.places[k])
+        if each > CROWD or 2 * self.used < len(self.places):
+            self._grow([x for place in self.places for x in place])
             return
-        self.sums[self.room + lo:self.room + hi] = new
-        lo, hi = (self.room + lo) // 2, (self.room + hi - 1) // 2
-        while lo:
-            self.sums[lo:hi + 1] = self.sums[2 * lo:2 * hi + 2:2] + self.sums[2 * lo + 1:2 * hi + 2:2]
-            lo, hi = lo // 2, hi // 2
+        for k in range(a, b + 1):
+            self.sums[self.room + k] = (sum(c for c, _ in self.places[k]), sum(t for _, t in self.places[k]))
+        a, b = (self.room + a) // 2, (self.room + b) // 2
+        while a:
+            for node in range(a, b + 1):
+                self._add_up(node)
+            a, b = a // 2, b // 2
 
 
 def edit(tree: Tree, text: str, start: int, end: int, put: str, counter: Counter) -> tuple[str, int]:
@@ -131,22 +174,23 @@ def edit(tree: Tree, text: str, start: int, end: int, put: str, counter: Counter
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     lo, at = tree.find(max(0, start - REACH))
-    if lo:                                                   # one leaf of context before
-        lo -= 1
-        at -= int(tree.leaves[lo, 0])
+    context = tree.before(lo)                                # one leaf of context before
+    if context:
+        lo = context
+        at -= tree.size(lo)
     shift = len(put) - (end - start)
     after = text[:start] + put + text[end:]
     hi, limit = tree.find(end)
-    if hi < tree.n and limit < end:
-        limit += int(tree.leaves[hi, 0])
-        hi += 1
+    if hi < tree.end and limit < end:
+        limit += tree.size(hi)
+        hi = tree.after(hi)
     chars, tokens, size, made, n = [], [], 0, 0, 0
     here = at
     for m in counter.pattern.finditer(after, at):
-        while hi < tree.n and limit + shift < m.start():     # that leaf starts inside a new pre-token
-            limit += int(tree.leaves[hi, 0])
-            hi += 1
-        if hi < tree.n and limit + shift == m.start() and limit >= end:
+        while hi < tree.end and limit + shift < m.start():   # that leaf starts inside a new pre-token
+            limit += tree.size(hi)
+            hi = tree.after(hi)
+        if hi < tree.end and limit + shift == m.start() and limit >= end:
             break
         size += m.end() - m.start()
         made += counter.count(m[0])
@@ -157,7 +201,7 @@ def edit(tree: Tree, text: str, start: int, end: int, put: str, counter: Counter
             tokens.append(made)
             size = made = n = 0
     else:
-        hi = tree.n
+        hi = tree.end
     if n:
         chars.append(size)
         tokens.append(made)
@@ -216,7 +260,7 @@ def apply_edits(docs: DataFrame, edits: Column, ranks_path: str, trees: bool = F
                                           change["put"] or "", counter)
                         recounted, n = recounted + more, n + 1
                 row = (doc_id, before[0], tree.tokens, before[1], tree.chars, n, recounted)
-                out.append((*row, *tree.leaves.T.tolist()) if trees else row)
+                out.append((*row, *tree.leaves()) if trees else row)
             yield _batch(out, fields)
 
     schema = ", ".join(f"{c} long" for c, _ in fields[:7]) + (
