@@ -94,8 +94,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = stored(e.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
             F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct(), "cc-small")
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1000003).alias("s"),
-                    F.sum(F.xxhash64("b", "a") % 999983).alias("t")).first()
+        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("s"),
+                    F.bit_xor(F.xxhash64("b", "a")).alias("t")).first()
         if now == before:
             break
         before = now
