@@ -1,6 +1,7 @@
 """Registered streaming queries: each runs the stream with ``availableNow``
 into a fresh folder under the session's checkpoint directory and returns the
-table it produced; the oracle is the batch SQL of the same result."""
+table it produced; queries that read different tables of one job share its run.
+The oracle is the batch SQL of the same result."""
 
 from __future__ import annotations
 
@@ -33,6 +34,20 @@ _REC_COLS = ["filename", "source", "process", "model", "line", "station", "statu
              "track_id", "date", "time", "timestamp"]
 
 
+_RUNS: dict[tuple[str, str, str], str] = {}
+
+
+def _once(job):
+    """A job whose tables several queries read runs once for a session and input."""
+    def run(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir, job.__name__)
+        if key not in _RUNS:
+            _RUNS[key] = job(spark, sf_dir)
+        return _RUNS[key]
+    return run
+
+
+@_once
 def _ingested(spark, sf_dir):
     """The root of an ingest job that took all result files in one run."""
     tune_for_parsing(spark)
@@ -51,6 +66,7 @@ def _in_turns(frames, path, start):
         start().awaitTermination()
 
 
+@_once
 def _ingested_in_turns(spark, sf_dir):
     """As ``_ingested``, in two runs by the files' time."""
     tune_for_parsing(spark)
@@ -112,15 +128,17 @@ def stream_line_rate(spark, sf_dir):
     return spark.read.parquet(f"{base}/rates")
 
 
+@_once
+def _alerted(spark, sf_dir):
+    base = scratch(spark)
+    stream = _fact_stream(spark, sf_dir, base)
+    SL.start_alerts(stream, f"{base}/state", f"{base}/ckpt", trigger={"availableNow": True}, min_samples=Q.MIN_SAMPLES,
+                    threshold=Q.THRESHOLD, k=Q.TOP_LINES).awaitTermination()
+    return f"{base}/state"
+
+
 def _stream_alerts(name):
-    def run(spark, sf_dir):
-        base = scratch(spark)
-        stream = _fact_stream(spark, sf_dir, base)
-        q = SL.start_alerts(stream, f"{base}/state", f"{base}/ckpt", trigger={"availableNow": True},
-                            min_samples=Q.MIN_SAMPLES, threshold=Q.THRESHOLD, k=Q.TOP_LINES)
-        q.awaitTermination()
-        return SL.alert_table(spark, f"{base}/state", name)
-    return run
+    return lambda spark, sf_dir: SL.alert_table(spark, _alerted(spark, sf_dir), name)
 
 
 def stream_alerts_after_resolve(spark, sf_dir):
@@ -143,19 +161,24 @@ def stream_alerts_after_resolve(spark, sf_dir):
     return SL.alert_table(spark, f"{base}/state", "failure_alerts")
 
 
-def _stream_lifecycle(name):
+@_once
+def _handled(spark, sf_dir):
     """The messages as a stream, in two runs by their time, against the stored state."""
+    base = scratch(spark)
+    alerts_x = fx.alert_state(Q.facts(spark, sf_dir))
+    alerts_x.write.parquet(f"{base}/alerts")
+    alerts_x = spark.read.schema(alerts_x.schema).parquet(f"{base}/alerts")
+    ST.seed(ST.state_store(spark, f"{base}/state"), alerts_x.drop("_day"), fx.repair_state(alerts_x))
+    messages = fx.messages(alerts_x)
+    early = F.col("ts") < F.lit("2024-01-15 23:30:00").cast("timestamp_ntz")
+    _in_turns([messages.where(early), messages.where(~early)], f"{base}/messages", lambda: ST.start_messages(
+        spark.readStream.schema(K.MESSAGES).parquet(f"{base}/messages"), f"{base}/state", f"{base}/ckpt", {"availableNow": True}))
+    return f"{base}/state"
+
+
+def _stream_lifecycle(name):
     def run(spark, sf_dir):
-        base = scratch(spark)
-        alerts_x = fx.alert_state(Q.facts(spark, sf_dir))
-        alerts_x.write.parquet(f"{base}/alerts")
-        alerts_x = spark.read.schema(alerts_x.schema).parquet(f"{base}/alerts")
-        store = ST.state_store(spark, f"{base}/state")
-        ST.seed(store, alerts_x.drop("_day"), fx.repair_state(alerts_x))
-        messages = fx.messages(alerts_x)
-        early = F.col("ts") < F.lit("2024-01-15 23:30:00").cast("timestamp_ntz")
-        _in_turns([messages.where(early), messages.where(~early)], f"{base}/messages", lambda: ST.start_messages(
-            spark.readStream.schema(K.MESSAGES).parquet(f"{base}/messages"), f"{base}/state", f"{base}/ckpt", {"availableNow": True}))
+        store = ST.state_store(spark, _handled(spark, sf_dir))
         return store.newest(name) if ST.TABLES[name].key else store.read(name)
     return run
 
