@@ -245,3 +245,16 @@ def test_late_rows_are_kept_and_their_windows_evaluated_again(spark, tmp_path):
     want = {tuple(r) for r in SL.stream_line_rates(every).collect()}
     got = SL.settled_rates(SL.stream_line_rates(first.unionByName(late.where("id = 6"))), kept, every)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_commit_has_a_file_a_folder_whatever_the_tasks(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), SF.TABLES)
+    names = spark.range(0, 400, numPartitions=8).select(
+        F.concat(F.lit("n"), "id").alias("filename"), F.lit(None).cast("timestamp_ntz").alias("processed_time"),
+        bucket_of(F.concat(F.lit("n"), "id")).alias("bucket"))
+    store.commit({"processed_files": names}, "run", 0)
+    files = glob.glob(str(tmp_path / "s/processed_files/*/*/*.parquet"))
+    folders = {os.path.dirname(f) for f in files}
+    assert len(files) == len(folders) <= 64
+    assert sum(map(os.path.getsize, files)) < 64 * 100_000               # not a Bloom filter of 1 MB each
+    assert store.read("processed_files").count() == 400
