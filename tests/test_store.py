@@ -258,3 +258,30 @@ def test_a_commit_has_a_file_a_folder_whatever_the_tasks(spark, tmp_path):
     assert len(files) == len(folders) <= 64
     assert sum(map(os.path.getsize, files)) < 64 * 100_000               # not a Bloom filter of 1 MB each
     assert store.read("processed_files").count() == 400
+
+
+def test_message_batches_send_no_table_to_the_driver(spark, tmp_path, monkeypatch):
+    plans, path = [], str(tmp_path)
+    handle = ST.message_batch
+
+    def seen(messages, *rest):
+        ids = messages.select("msg_id")
+        plans.append(messages.join(ids.distinct(), "msg_id")._jdf.queryExecution().executedPlan().toString())
+        handle(messages, *rest)
+
+    monkeypatch.setattr(ST, "message_batch", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    ST.seed(ST.state_store(spark, f"{path}/state"), spark.createDataFrame([], K.FAILURE_ALERTS), spark.createDataFrame([], K.REPAIR_ACTIONS))
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "e", "text", "hello")], K.MESSAGES).write.parquet(f"{path}/messages")
+    ST.start_messages(spark.readStream.schema(K.MESSAGES).parquet(f"{path}/messages"), f"{path}/state", f"{path}/ckpt",
+                      {"availableNow": True}).awaitTermination()
+    assert len(plans) == 1 and "Broadcast" not in plans[0]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    assert ids(ST.state_store(spark, f"{path}/state").read("rejected_messages").withColumnRenamed("msg_id", "id")) == [1]
+
+
+def test_windows_of_rates_carry_what_rates_need_only(spark):
+    facts = spark.range(1).select(*[F.col("id").cast("string").cast(f.dataType).alias(f.name) for f in K.LOG_DATA.fields])
+    plan = SL.evaluate_again(facts, facts.withColumn("event_ts", F.lit("2024-01-01").cast("timestamp_ntz")))
+    grouped = [x for x in plan._jdf.queryExecution().analyzed().toString().splitlines() if "Aggregate" in x and "max(" in x]
+    assert grouped and not any("failed_testcode" in x or "process" in x for x in grouped)
