@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import xxhash
@@ -124,3 +125,11 @@ def test_an_id_may_lead_several_classes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = [(r.doc_id, r.text) for r in simhash.one_per_class(docs).collect()]
     assert sorted(kept) == sorted([(5, a), (5, b), (9, c), *((1000, t) for t in more)])
+
+
+def test_kept_texts_are_joined_alike_at_any_size(spark):
+    """Disk use in proportion: a small table takes the same join of the texts with the leads as a large one."""
+    rows = [(k, f"some words of text {k % 7} and {k % 3}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = simhash.one_per_class(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[doc_id#\d+L?\], \[__id#\d+L?\], LeftSemi", plan)

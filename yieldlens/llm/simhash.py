@@ -166,7 +166,8 @@ def one_per_class(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataF
                    "simhash-leads")
     named = docs.where(F.col("doc_id").isNotNull())
     key = named["doc_id"].cast("long") == F.col("__id")
-    single = named.join(leads.where("n = 1"), key, "left_semi")
+    # never by broadcast: else the texts begin to be shuffled at some size of the table, and disk use leaps there
+    single = named.join(leads.where("n = 1").hint("merge"), key, "left_semi")
     repeated = stored(rows.where("n > 1").select(F.col("doc_id").alias("__id")), "simhash-repeated")
 
     def run(batches):                                        # the texts of ids that have several rows
