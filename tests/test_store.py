@@ -5,6 +5,7 @@ import glob
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from test_ingest import _files, _th4
@@ -285,3 +286,76 @@ def test_windows_of_rates_carry_what_rates_need_only(spark):
     plan = SL.evaluate_again(facts, facts.withColumn("event_ts", F.lit("2024-01-01").cast("timestamp_ntz")))
     grouped = [x for x in plan._jdf.queryExecution().analyzed().toString().splitlines() if "Aggregate" in x and "max(" in x]
     assert grouped and not any("failed_testcode" in x or "process" in x for x in grouped)
+
+
+def unit_facts(spark, *rows):
+    """Facts from (id, track, line, status, minute of 2024-01-01)."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    return spark.createDataFrame([(i, "UCT", "M", line, "S1", s, "A;B" if s == "F" else "", t, f"{at(m):%Y-%m-%d}", f"{at(m):%H:%M:%S}",
+                                   f"{at(m):%Y-%m-%d %H:%M:%S}") for i, t, line, s, m in rows], K.LOG_DATA)
+
+
+UNIT_ROWS = [(1, "T1", "L1", "F", 5), (2, "T2", "L1", "P", 6), (3, None, "L1", "P", 7), (4, " ", "L1", "F", 8), (5, "T1", "L1", "P", 70),
+             (6, "T1", "L2", "F", 71), (7, "T3", "L2", "P", 250), (8, "T1", "L2", "F", 300), (9, "T4", "L3", "F", 520), (10, "T4", "L3", "F", 700),
+             (11, "T5", "L3", "P", 900), (12, "T5", None, None, 2000)]
+
+
+def test_windows_of_alerts_hold_the_newest_row_of_each_track(spark, tmp_path):
+    facts, got = unit_facts(spark, *UNIT_ROWS), []
+    SL.closed_windows(facts, 0, str(tmp_path / "open"), lambda u: got.extend(
+        SL.window_counts(u).select("asof", "line", "total", "failed").collect()))
+    # the stream's own windows; those that the newest row has not closed are left out
+    want = SL.stream_line_rates(facts).where("window_end <= TIMESTAMP_NTZ '2024-01-02 05:20:00'")
+    assert {tuple(r) for r in got} == {tuple(r) for r in want.select("window_end", "line", "total", "failed").collect()}
+    assert len(got) > 30
+
+
+def test_alert_job_keeps_open_panes_on_disk_not_as_executor_state(spark, tmp_path):
+    results = []
+    for name, cuts in (("once", [0, 12]), ("turns", [0, 4, 9, 12])):
+        base = str(tmp_path / name)
+        for i, j in zip(cuts, cuts[1:]):
+            unit_facts(spark, *UNIT_ROWS[i:j]).coalesce(1).write.mode("append").parquet(f"{base}/facts")
+            SL.start_alerts(spark.readStream.schema(K.LOG_DATA).parquet(f"{base}/facts"), f"{base}/state", f"{base}/ckpt",
+                            {"availableNow": True}, min_samples=2, threshold=20.0).awaitTermination()
+        assert not os.path.exists(f"{base}/ckpt/state")          # state stores live on the executors' heap
+        assert len(os.listdir(f"{base}/ckpt/open_panes")) == min(2, len(cuts) - 1)
+        last = spark.read.schema(SL.PANES).parquet(f"{base}/ckpt/open_panes/batch={len(cuts) - 2}")
+        assert [r.id for r in last.select("_m.*").collect()] == [12]
+        results.append({n: [str(r) for r in SL.alert_table(spark, f"{base}/state", n).orderBy("id").collect()]
+                        for n in ("failure_alerts", "repair_actions")})
+    assert results[0] == results[1] and len(results[0]["failure_alerts"]) == len(results[0]["repair_actions"]) > 1
+    # a batch whose panes of before are gone fails, as windows over a part of the rows would be wrong
+    with pytest.raises(AnalysisException):
+        SL.closed_windows(unit_facts(spark, (13, "T9", "L1", "F", 3000)), 9, f"{tmp_path}/once/ckpt/open_panes", lambda u: None)
+
+
+def test_a_late_or_replayed_batch_changes_no_closed_window(spark, tmp_path):
+    seen = lambda rows, bid, got: SL.closed_windows(unit_facts(spark, *rows), bid, str(tmp_path / "open"), lambda u: got.extend(
+        (r.window_end.hour, r.line, r.failed_testcode) for r in u.where("minute(window_end) = 0").collect()))
+    first, late, again = [], [], []
+    seen([(1, "T1", "L1", "F", 5), (2, "T2", "L1", "P", 605)], 0, first)
+    assert sorted(first) == [(h, "L1", "A;B") for h in (1, 2, 3, 4)]
+    more = [(3, "T3", "L2", "F", 300), (4, "T2", "L1", "F", 400), (5, "T9", "L9", "P", 1300)]      # 300: closed; 400: still open
+    seen(more, 1, late)
+    assert sorted(late) == [(h, "L1", "A;B") for h in (7, 8, 9, 10)] + [(h, "L1", "") for h in (11, 12, 13, 14)]
+    seen(more, 1, again)
+    assert sorted(again) == sorted(late)
+
+
+def test_what_an_alert_batch_holds_is_read_again(spark, tmp_path, monkeypatch):
+    """The rows are copied into their windows for the counts and for the alerts' own rows, not for each table that is written."""
+    leaves = []
+    known = SL.L.open_alerts
+
+    def seen(*args):
+        out = known(*args)
+        for df in out:
+            found = df._jdf.queryExecution().withCachedData().collectLeaves()
+            leaves.extend(str(found.apply(i).output()) for i in range(found.size()))
+        return out
+
+    monkeypatch.setattr(SL.L, "open_alerts", seen)
+    SL.closed_windows(unit_facts(spark, *UNIT_ROWS), 0, str(tmp_path / "open"),
+                      lambda u: SL.alert_batch(u, 0, str(tmp_path / "state"), 2, 20.0))
+    assert any("asof" in x for x in leaves) and not any("next_end" in x for x in leaves)
